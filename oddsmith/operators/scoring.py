@@ -38,14 +38,15 @@ def floor_events(events: DataFrame, actions: DataFrame) -> DataFrame:
 def loss_by_action(floored: DataFrame, components: bool = False) -> DataFrame:
     """Expected loss and event variance per action in one aggregation.
 
-    ``p_variance`` is optional; where absent the cold-start component applies.  Components
+    The loss is rounded to twelve decimals because partial sums meet in any order and a loss
+    equal to a threshold must not flip a gate.  ``p_variance`` is optional; where absent the cold-start component applies.  Components
     are only collected on request: they are bounded by the events of one action.
     """
     p, d = F.col("p_event"), F.col("disutility")
     pv = F.col("p_variance") if "p_variance" in floored.columns else F.lit(None)
     variance = d * d * F.coalesce(pv, F.lit(V["p_event"])) + p * p * V["disutility"]
     aggs = [
-        F.sum(p * d).alias("expected_loss"),
+        F.round(F.sum(p * d), 12).alias("expected_loss"),
         F.sum(variance).alias("event_variance"),
         F.count(F.lit(1)).alias("n_events"),
     ]

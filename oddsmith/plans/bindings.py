@@ -220,7 +220,7 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 49 A
 
 VIEWS["files"] = """
 SELECT file_path AS path, count(*) * 1000 AS size, count(*) AS node_count,
-  CASE WHEN count(*) % 3 = 0 THEN '[{"e":1},{"e":2}]' WHEN count(*) % 3 = 1 THEN '[]' ELSE 'broken' END AS errors
+  CASE WHEN count(*) % 3 = 0 THEN '[1, 2]' WHEN count(*) % 3 = 1 THEN '[]' ELSE 'broken' END AS errors
 FROM {nodes} GROUP BY file_path
 """
 
@@ -251,14 +251,14 @@ FROM {lineitem} WHERE l_quantity > 40 AND l_partkey <> l_suppkey * 7 + l_linenum
 VIEWS["change_files"] = """
 SELECT DISTINCT l_orderkey AS action_id,
   'dir' || cast(l_partkey % 12 as string) || '/m' || cast(l_partkey as string) || '.py' AS path
-FROM {lineitem} WHERE l_quantity > 44
+FROM {lineitem} WHERE l_quantity > 48
 """
 
 # paths with varied shapes for pattern rules
 VIEWS["change_paths"] = """
 SELECT l_orderkey AS action_id,
   CASE l_suppkey % 8 WHEN 0 THEN 'requirements-dev.txt' WHEN 1 THEN 'src/api/v' || cast(l_partkey % 9 as string) || '.py'
-    WHEN 2 THEN 'db\\schema\\t' || cast(l_partkey % 30 as string) || '.sql' WHEN 3 THEN 'app/migrations/' || cast(l_partkey % 70 as string) || '.py'
+    WHEN 2 THEN 'db' || chr(92) || 'schema' || chr(92) || 't' || cast(l_partkey % 30 as string) || '.sql' WHEN 3 THEN 'app/migrations/' || cast(l_partkey % 70 as string) || '.py'
     WHEN 4 THEN 'README.md' WHEN 5 THEN 'pkg/package.json' WHEN 6 THEN 'src/core/' || cast(l_partkey % 90 as string) || '.go'
     ELSE 'tests/test_' || cast(l_partkey % 40 as string) || '.py' END AS path
 FROM {lineitem}

@@ -11,7 +11,7 @@ fl AS (SELECT e.action_id, e.event, e.p_event, e.elicited_disutility AS ed,
   CASE WHEN e.event IN {_CONS} AND list_extract([0.10, 0.30, 0.50, 0.80, 1.00]::double[], 1 + cast(substr(a.criticality_stage, 2) as int)) > e.elicited_disutility
     THEN list_extract([0.10, 0.30, 0.50, 0.80, 1.00]::double[], 1 + cast(substr(a.criticality_stage, 2) as int)) ELSE e.elicited_disutility END AS d
   FROM action_events e JOIN actions a ON a.action_id = e.action_id),
-ls AS (SELECT action_id, sum(p_event * d) AS loss, sum(d ** 2 * 0.0025 + p_event ** 2 * 0.0025) AS ev, count(*) AS n FROM fl GROUP BY 1)
+ls AS (SELECT action_id, round(sum(p_event * d), 12) AS loss, sum(d ** 2 * 0.0025 + p_event ** 2 * 0.0025) AS ev, count(*) AS n FROM fl GROUP BY 1)
 """
 _GAIN = """
 dir AS (SELECT * FROM (VALUES ('complexity_delta', -1), ('coupling_delta', -1), ('maintainability_index_delta', 1),
