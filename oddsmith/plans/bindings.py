@@ -349,6 +349,33 @@ FROM {lineitem} WHERE l_quantity > 5 GROUP BY 1, 2
 """
 
 
+_AF = """
+SELECT o_orderkey AS action_id, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS action_type,
+  'sym' || cast(o_custkey % 50 as string) AS symbol_id, @D@ AS domains, (o_orderkey % 3 = 0) AS is_public_api,
+  CASE o_custkey % 3 WHEN 0 THEN 'BEHAVIORAL' WHEN 1 THEN 'CONTRACT' ELSE 'COSMETIC' END AS change_kind,
+  cast(o_custkey % 20 as double) / 20 AS symbol_fan_in_percentile, (o_custkey % 20 >= 18) AS is_high_symbol_fan_in,
+  'pkg' || cast(o_orderkey % 6 as string) || '/mod' || cast(o_custkey % 30 as string) || '.py' AS file_path,
+  CASE o_orderkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language,
+  CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'risk_only' END AS language_tier,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'exported_binding_continuity' END AS graph_fact_kind,
+  cast(80 + o_custkey % 20 as double) / 100 AS graph_confidence,
+  (o_custkey % 4 = 0) AS p_success_given, (o_custkey % 5 = 0) AS review_cost_given,
+  o_orderdate AS recorded_at, (o_orderstatus = 'F' AND o_orderkey % 3 <> 1) AS verified
+FROM {orders}
+"""
+VIEWS["action_features"] = (
+    _AF.replace("@D@", "array('d' || cast(o_orderkey % 4 as string))"),
+    _AF.replace("@D@", "['d' || cast(o_orderkey % 4 as string)]"),
+)
+
+VIEWS["action_targets"] = """
+SELECT action_id, 'p_success' AS target_name, p_success AS prior, p_success_variance AS prior_variance FROM {evidence}
+UNION ALL SELECT action_id, 'immediate_benefit_realized', immediate_benefit, benefit_variance_override FROM {evidence}
+UNION ALL SELECT action_id, 'review_cost', review_cost, review_cost_variance FROM {evidence}
+UNION ALL SELECT action_id, 'p_event.' || event, max(p_event), NULL FROM {action_events} GROUP BY 1, 2
+"""
+
+
 def text(name: str, dialect: str) -> str:
     v = VIEWS[name]
     return v if isinstance(v, str) else v[0 if dialect == "spark" else 1]
