@@ -53,9 +53,9 @@ def facts(m):
 
 _FJ = """SELECT p_partkey AS id, p_partkey % 3 AS repo_id, cast(p_partkey % 20 as int) AS snapshot_id,
   CASE p_partkey % 4 WHEN 0 THEN 'risk_binary' WHEN 1 THEN 'benefit_binary' WHEN 2 THEN 'benefit_continuous' ELSE 'cost_continuous' END AS target_type,
-  CASE p_partkey % 9 WHEN 0 THEN 'not json' WHEN 1 THEN '{"value": 0.5, "sample_size": 200}' ELSE
-  '{"value": 0.25, "sample_size": ' || cast(p_partkey % 300 as string) || ', "calibration_method": "m", "weight": ' || CASE WHEN p_partkey % 7 = 0 THEN '-1' ELSE '0.5' END || '}' END AS fact_json FROM {part}"""
-_FJD = f"fj AS ({_FJ.replace('{part}', 'part')}), us AS (SELECT * FROM fj WHERE id % 9 > 1 AND id % 300 >= 100 AND id % 7 <> 0)"
+  CASE p_partkey % 9 WHEN 0 THEN 'not json' WHEN 1 THEN '{{"value": 0.5, "sample_size": 200}}' ELSE
+  '{{"value": 0.25, "sample_size": ' || cast(p_partkey % 300 as string) || ', "calibration_method": "m", "weight": ' || CASE WHEN p_partkey % 7 = 0 THEN '-1' ELSE '0.5' END || '}}' END AS fact_json FROM {part}"""
+_FJD = f"fj AS ({_FJ.replace('{part}', 'part').replace('{{', '{').replace('}}', '}')}), us AS (SELECT * FROM fj WHERE id % 9 > 1 AND id % 300 >= 100 AND id % 7 <> 0)"
 
 
 @plan("b04_fact_usability", f"WITH {_FJD} SELECT id FROM us")
@@ -143,8 +143,8 @@ CELLS = [
 ]
 _CELLS = """
 ce AS (SELECT * FROM (VALUES ('base_edit', 400, 'F', NULL, NULL, NULL, NULL, 1, 0.62, 0.008, 0.3, NULL), ('ts_full', 150, NULL, 'typescript', 'full', NULL, NULL, 2, 0.71, NULL, NULL, 0.01),
-  ('py', 300, NULL, 'python', NULL, NULL, NULL, 1, NULL, 0.04, 0.22, NULL), ('graph', 90, 'F', NULL, NULL, 'exported_binding_continuity', 0.9, 3, 0.9, NULL, NULL, NULL)) t(tag, n, at, la, lt, gk, mc, sp, p, pv, c, cv)),
-cm AS (SELECT a.action_id, p_success_given, review_cost_given, ce.* FROM action_features a JOIN ce ON (at IS NULL OR at = a.action_type) AND (la IS NULL OR la = a.language) AND (lt IS NULL OR lt = a.language_tier)
+  ('py', 300, NULL, 'python', NULL, NULL, NULL, 1, NULL, 0.04, 0.22, NULL), ('graph', 90, 'F', NULL, NULL, 'exported_binding_continuity', 0.9, 3, 0.9, NULL, NULL, NULL)) t(tag, n, aty, la, lt, gk, mc, sp, p, pv, c, cv)),
+cm AS (SELECT a.action_id, p_success_given, review_cost_given, ce.* FROM action_features a JOIN ce ON (aty IS NULL OR aty = a.action_type) AND (la IS NULL OR la = a.language) AND (lt IS NULL OR lt = a.language_tier)
   AND (gk IS NULL OR (gk = a.graph_fact_kind AND a.graph_confidence >= mc)))"""
 _WARM = _CELLS + """,
 wp AS (SELECT a.action_id, (SELECT p FROM cm WHERE cm.action_id = a.action_id AND p IS NOT NULL AND NOT a.p_success_given ORDER BY sp DESC, n DESC, tag DESC LIMIT 1) AS p, (SELECT tag FROM cm WHERE cm.action_id = a.action_id AND p IS NOT NULL AND NOT a.p_success_given ORDER BY sp DESC, n DESC, tag DESC LIMIT 1) AS pt,
