@@ -187,3 +187,48 @@ def rank_values(values: DataFrame, population: DataFrame, value: str, out: str)
         )
     )
     return values.join(filled, value, "left")
+
+
+# --- ordered neighbours without one task per group -------------------------------------------
+
+
+def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    lo = span.select("lo").scalar()
+    width = span.select(F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))).scalar()
+    return df.withColumn("_bucket", F.floor((F.col(order) - lo) / width).cast("int"))
+
+
+def previous_row(df: DataFrame, group: list[str], order: str, cols: list[str], buckets: int = 64) -> DataFrame:
+    """Adds ``prev``, a struct of ``cols`` of the row before in the group (NULL for the first).
+
+    ``lag`` runs inside (group, id bucket); the first row of a bucket takes the last row of
+    the nearest earlier bucket from a small table.
+    """
+    from pyspark.sql import Window as W
+
+    tagged = _bucketed(df, order, buckets)
+    item = F.struct(*cols)
+    ends = tagged.groupBy(*group, "_bucket").agg(F.max_by(item, order).alias("_end"))
+    carry = W.partitionBy(*group).orderBy("_bucket")
+    ends = ends.select(*group, "_bucket", F.lag("_end").over(carry).alias("_carry"))
+    inside = W.partitionBy(*group, "_bucket").orderBy(order)
+    return (
+        tagged.withColumn("_prev", F.lag(item).over(inside)).join(ends, [*group, "_bucket"])
+        .withColumn("prev", F.coalesce("_prev", "_carry")).drop("_prev", "_carry", "_bucket")
+    )
+
+
+def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
+    """Running sum in ``order`` inside each group, spread over id buckets."""
+    from pyspark.sql import Window as W
+
+    tagged = _bucketed(df, order, buckets)
+    sums = tagged.groupBy(*group, "_bucket").agg(F.sum(value).alias("_v"))
+    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*group, "_bucket", F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        tagged.withColumn("_run", F.sum(value).over(inside)).join(sums, [*group, "_bucket"])
+        .withColumn(out, F.col("_run") + F.col("_off")).drop("_run", "_off", "_bucket")
+    )

@@ -349,6 +349,85 @@ FROM {lineitem} WHERE l_quantity > 5 GROUP BY 1, 2
 """
 
 
+# hash-covered JSON content of each assessment; {{ }} are literal braces
+VIEWS["assessments"] = """
+SELECT o_orderkey AS id, 'r' || cast(CASE WHEN o_orderkey % 40 = 0 THEN 9 ELSE o_custkey % 5 END as string) AS repo_id,
+  o_orderdate AS recorded_at,
+  CASE WHEN o_orderkey % 50 = 7 THEN 'broken' ELSE
+  '{{"repo_id": "r' || cast(o_custkey % 5 as string) || '", "decision": "' ||
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'reject' WHEN '2' THEN 'ask_human' WHEN '3' THEN 'revise_safer' WHEN '4' THEN 'test_first' ELSE 'proceed' END ||
+  '", "assessed_commit": "commit' || cast(o_custkey % 7 as string) || '", "requires_confirmation": ' || CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END ||
+  ', "scores": {{"expected_loss": 0.' || cast(10 + o_orderkey % 90 as string) || ', "benefit": 0.' || cast(10 + o_custkey % 90 as string) ||
+  ', "expected_utility": 0.' || cast(10 + (o_orderkey + o_custkey) % 90 as string) || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE ', "rau": -0.' || cast(10 + o_orderkey % 80 as string) END ||
+  ', "edit_confidence": 0.' || cast(10 + o_orderkey % 70 as string) || ', "loss_components": [{{"event": "public_api_break", "disutility": 0.' || cast(10 + o_custkey % 80 as string) ||
+  '}}, {{"event": "dependency_break", "disutility": 0.' || cast(10 + o_orderkey % 60 as string) || '}}]}}, "gates_fired": [{{"gate": 12, "name": "stale_architecture_map", "advisory": true}}, {{"gate": ' ||
+  CASE o_orderkey % 4 WHEN 0 THEN '3, "name": "expected_loss_over_threshold", "expected_loss": 0.5, "threshold": 0.4' WHEN 1 THEN '4, "name": "negative_rau", "rau": -0.1'
+    WHEN 2 THEN '2, "name": "c4_consequential_ask_human"' ELSE '9, "name": "revision_has_no_credible_benefit"' END || '}}]}}' END AS content_json
+FROM {orders}
+"""
+
+VIEWS["history"] = """
+SELECT o_orderkey AS id, '{{"request": {{' || CASE o_orderkey % 5 WHEN 1 THEN '"revision_envelope": {{"expected_files": ["a' || chr(92) || chr(92) || 'b' || cast(o_custkey % 9 as string) || '.py", "x::y"]}}'
+    WHEN 2 THEN '"revision_envelope": {{"expected_files": []}}' ELSE '' END || '}}, "model_guidance_packet": {{"binding": {{' ||
+  CASE WHEN o_orderkey % 5 = 0 THEN '"candidate": {{"algorithm": "sha256-file-map-v1", "files": {{"f' || cast(o_custkey % 8 as string) || '.py": "' || repeat('ab', 32) || '"}}}}'
+    WHEN o_orderkey % 5 = 3 THEN '"safe_scope": {{"files": ["g' || cast(o_custkey % 6 as string) || '.py"], "symbols": [{{"file_path": "h.py"}}, {{"file_path": "g' || cast(o_custkey % 6 as string) || '.py"}}]}}' ELSE '' END ||
+  '}}}}, "scores": {{"symbol_scope_evidence": {{"symbol_fanin": {{"resolved_file_paths": [' || CASE WHEN o_orderkey % 10 = 4 THEN '"k' || cast(o_custkey % 4 as string) || '.py"' ELSE '' END || ']}}}}}}}}' AS content_json
+FROM {orders}
+"""
+
+VIEWS["guardrails"] = """
+SELECT l_orderkey AS assessment_id, (cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id,
+  CASE l_returnflag WHEN 'A' THEN 'proceed' WHEN 'R' THEN 'inspect_first' ELSE 'ask_human' END AS pre_commit_decision,
+  l_discount AS measured_benefit, l_shipdate AS recorded_at
+FROM {lineitem} WHERE l_quantity > 20
+"""
+
+VIEWS["prediction_provenance"] = """
+SELECT l_orderkey AS assessment_id, (cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id,
+  CASE l_linenumber % 3 WHEN 0 THEN 'p_success' WHEN 1 THEN 'review_cost' ELSE 'p_event.public_api_break' END AS target_name,
+  CASE WHEN l_partkey % 4 = 0 THEN 'rs_' || cast(l_suppkey % 5 as string) END AS snapshot_id,
+  CASE WHEN l_partkey % 3 = 0 THEN 'tag' || cast(l_suppkey % 6 as string) END AS warm_tag
+FROM {lineitem}
+"""
+
+# revise-safer records and new requests with their file sets
+_REV = """
+SELECT @COLS@, o_custkey % 5 AS repo_id, 'commit' || cast(o_custkey % 11 as string) AS assessed_commit, @FILES@ AS files,
+  CASE WHEN o_orderkey % 6 <> 0 THEN 'base' || cast(o_custkey % 3 as string) END AS baseline
+FROM {orders} WHERE o_orderkey % 9 = @R@
+"""
+_FILE = "'file' || cast((o_custkey + {n}) % 60 as string) || '.py'"
+_SETS = ("array_distinct(array(@A@, @B@))", "list_distinct([@A@, @B@])")
+_SETS3 = ("array_distinct(array(@A@, @B@, @C@, @D@))", "list_distinct([@A@, @B@, @C@, @D@])")
+
+
+def _rev(cols: str, r: int, sets: tuple[str, str], **parts: str) -> tuple[str, str]:
+    out = []
+    for s in sets:
+        for k, v in parts.items():
+            s = s.replace(f"@{k}@", v)
+        out.append(_REV.replace("@COLS@", cols).replace("@R@", str(r)).replace("@FILES@", s))
+    return out[0], out[1]
+
+
+_f = lambda e: f"'file' || cast(({e}) % 24 as string)"
+VIEWS["revision_records"] = _rev(
+    """o_orderkey AS row_id, CASE WHEN o_orderkey % 8 <> 0 THEN 'lin' || cast(o_custkey % 13 as string) END AS lineage_key,
+  (o_orderkey % 4 = 0) AS retryable, (o_orderkey % 10 = 9) AS is_legacy, cast(o_custkey % 20 as double) / 20 AS expected_loss, cast(o_orderkey % 10 as double) / 10 AS rau""",
+    1, _SETS, A=_f("o_custkey"), B=_f("o_orderkey"))
+VIEWS["revision_requests"] = _rev(
+    "o_orderkey AS request_id", 2, _SETS3, A=_f("o_custkey"), B=_f("o_custkey + 1"), C=_f("o_orderkey"), D=_f("o_orderkey + 1"))
+
+# three-row hash chains over the event log; a few rows were tampered with
+VIEWS["hash_chain"] = ("""
+WITH e AS (SELECT event_id AS id, cast(floor(event_id / 3) as bigint) AS chain, cast(event_id % 3 as int) AS pos, props AS c FROM {events}),
+w AS (SELECT a.id, a.chain, a.pos, a.c, b.c AS c1, d.c AS c2 FROM e a LEFT JOIN e b ON b.id = a.id - 1 AND b.chain = a.chain LEFT JOIN e d ON d.id = a.id - 2 AND d.chain = a.chain)
+SELECT id, chain AS table_name, CASE WHEN id % 101 = 0 THEN c || ' ' ELSE c END AS content_json,
+  CASE pos WHEN 0 THEN 'GENESIS' WHEN 1 THEN sha2('GENESIS' || c1, 256) ELSE sha2(sha2('GENESIS' || c2, 256) || c1, 256) END AS prev_hash,
+  sha2(CASE pos WHEN 0 THEN 'GENESIS' WHEN 1 THEN sha2('GENESIS' || c1, 256) ELSE sha2(sha2('GENESIS' || c2, 256) || c1, 256) END || c, 256) AS row_hash FROM w
+""", "")
+VIEWS["hash_chain"] = (VIEWS["hash_chain"][0], re.sub(r", 256\)", ")", VIEWS["hash_chain"][0]).replace("sha2(", "sha256("))
+
 _AF = """
 SELECT o_orderkey AS action_id, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS action_type,
   'sym' || cast(o_custkey % 50 as string) AS symbol_id, @D@ AS domains, (o_orderkey % 3 = 0) AS is_public_api,
@@ -414,7 +493,7 @@ def duck_views(names: list[str]) -> list[tuple[str, str]]:
         sql = text(name, "duck")
         for n in needs(sql):
             visit(n)
-        out[name] = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+        out[name] = re.sub(r"\{(\w+)\}", r"\1", sql).replace("{{", "{").replace("}}", "}").strip()
 
     for n in names:
         visit(n)
