@@ -297,7 +297,8 @@ SELECT task_id, seed, arm, CASE WHEN task_id % 2 = 0 THEN 'risky' ELSE 'safe' EN
   (n_click > 1 OR n_signup > 1) AS graph_refined
 FROM (
   SELECT user_id % 30 AS task_id, cast(extract(day FROM ts) as int) AS seed,
-    CASE event_id % 4 WHEN 0 THEN 'baseline' WHEN 1 THEN 'context' WHEN 2 THEN 'advised' ELSE 'advised_context' END AS arm,
+    CASE event_id % 7 WHEN 0 THEN 'sham' WHEN 1 THEN 'graph_context' WHEN 2 THEN 'advised' WHEN 3 THEN 'advised_context'
+      WHEN 4 THEN 'oracle_positive' WHEN 5 THEN 'enforced_control' ELSE 'advised_repair' END AS arm,
     count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS n_error,
     sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS n_purchase,
     sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS n_signup,
@@ -306,6 +307,20 @@ FROM (
   FROM {events} GROUP BY 1, 2, 3)
 """
 
+# per-run totals of the tool-call log with the task's specification
+VIEWS["run_results"] = """
+SELECT user_id AS run_id, CASE WHEN user_id % 2 = 0 THEN 'risky' ELSE 'safe' END AS harm_label,
+  CASE user_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'test_failure' ELSE 'scope_drift' END AS harm_type,
+  (user_id % 5 = 0) AS behavior_oracle, (user_id % 4 = 0) AS has_completion_test, (user_id % 7 = 0) AS has_evaluator_test,
+  (user_id % 11 <> 0) AS modified_any, (user_id % 11 <> 0 AND user_id % 13 <> 0) AS touched_expected, (user_id % 17 = 0) AS scope_drift,
+  (user_id % 19 <> 0) AS build_ran, CASE WHEN user_id % 19 <> 0 THEN (user_id % 23 <> 0) END AS build_passed,
+  (user_id % 6 <> 0) AS test_ran, CASE WHEN user_id % 6 <> 0 THEN (user_id % 8 <> 3) END AS test_passed,
+  (user_id % 9 <> 0) AS completion_test_ran, CASE WHEN user_id % 9 <> 0 THEN (user_id % 10 <> 0) END AS completion_test_passed,
+  (user_id % 29 = 0) AS timed_out, CASE user_id % 12 WHEN 0 THEN 'model_stop' WHEN 1 THEN 'tool_call_limit' END AS limit_reason,
+  count(*) AS n_calls
+FROM {events} GROUP BY user_id
+"""
+
 # an append-only ledger: content plus the id of the row it follows
 VIEWS["ledger_content"] = """
 SELECT event_id AS id, props AS content_json FROM {events}

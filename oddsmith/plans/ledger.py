@@ -103,7 +103,7 @@ SELECT id, terminal_status, coalesce(g.n, 0) AS n_guardrails, coalesce(g.l, '')
 FROM au LEFT JOIN outcomes o ON o.assessment_id = au.id LEFT JOIN g USING (id) LEFT JOIN p USING (id)""")
 def _(m):
     d = L.assessment_detail(m.assessments, m.guardrails, m.outcomes, m.prediction_provenance)
-    return d.select("id", "terminal_status", F.coalesce(F.size("guardrails"), F.lit(0)).alias("n_guardrails") if False else F.when(F.col("guardrails").isNull(), 0).otherwise(F.size("guardrails")).cast("bigint").alias("n_guardrails"),
+    return d.select("id", "terminal_status", F.when(F.col("guardrails").isNull(), 0).otherwise(F.size("guardrails")).cast("bigint").alias("n_guardrails"),
                     F.coalesce(F.array_join("guardrails.pre_commit_decision", ","), F.lit("")).alias("guardrail_decisions"),
                     F.coalesce("source", F.lit("cold_start")).alias("prior_source"))
 

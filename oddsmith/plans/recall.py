@@ -1 +1,58 @@
-"""Plans."""
+"""Recall plans."""
+
+from pyspark.sql import functions as F
+
+from oddsmith.operators import recall as R
+from oddsmith.plans.catalog import plan
+
+_W = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
+_Q = f"""
+q0 AS (SELECT query_id, 'src' || query_id % 20 AS repo_id, unnest(list_distinct(list_slice({_W}, 1, 2))) AS term FROM recall_queries),
+nd AS (SELECT query_id, count(*) AS need FROM q0 GROUP BY 1),
+dl AS (SELECT lesson_id, repo_id, n_chars, {_W} AS w, len({_W}) AS l FROM lessons),
+tk AS (SELECT lesson_id, repo_id, l, unnest(w) AS term FROM dl), tf AS (SELECT lesson_id, repo_id, l, term, count(*) AS f FROM tk WHERE term IN (SELECT term FROM q0) GROUP BY ALL),
+dfq AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
+sc AS (SELECT query_id, lesson_id, sum(greatest(1e-6, ln(((SELECT count(*) FROM dl) - d + 0.5) / (d + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / (SELECT avg(l) FROM dl)))) AS s, count(*) AS got
+  FROM q0 JOIN dfq USING (term) JOIN tf USING (repo_id, term) GROUP BY 1, 2),
+rk AS (SELECT query_id, lesson_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, lesson_id DESC) AS position FROM sc JOIN nd USING (query_id) WHERE got = need)
+"""
+
+
+def _recall(m):
+    two = F.array_join(F.slice(R.words("text"), 1, 2), " ")
+    q = m.recall_queries.select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("repo_id"), two.alias("text"))
+    return R.ranked_recall(q, m.lessons)
+
+
+@plan("j01_ranked_recall", f"WITH {_Q} SELECT query_id, lesson_id, R(s) AS score, cast(position as int) AS position FROM rk WHERE position <= 64")
+def _(m):
+    return _recall(m)
+
+
+@plan("j02_budget_pick", f"""WITH RECURSIVE {_Q}, rr AS (SELECT query_id, lesson_id, position, n_chars FROM rk JOIN dl USING (lesson_id) WHERE position <= 64),
+g(query_id, position, used, ids) AS (SELECT query_id, 0, 0, []::bigint[] FROM (SELECT DISTINCT query_id FROM rr)
+  UNION ALL SELECT g.query_id, g.position + 1, CASE WHEN len(ids) < 5 AND used + n_chars <= 4000 THEN used + n_chars ELSE used END, CASE WHEN len(ids) < 5 AND used + n_chars <= 4000 THEN list_append(ids, lesson_id) ELSE ids END
+  FROM g JOIN rr ON rr.query_id = g.query_id AND rr.position = g.position + 1)
+SELECT query_id, cast(arg_max(used, position) as bigint) AS used_bytes, array_to_string(arg_max(ids, position), ',') AS picked FROM g GROUP BY 1""")
+def _(m):
+    sized = _recall(m).join(m.lessons.select("lesson_id", "n_chars"), "lesson_id")
+    return R.budget_pick(sized, "query_id", "position", "n_chars", 4000).withColumn("picked", F.array_join(F.transform("picked", lambda x: x.cast("string")), ","))
+
+
+@plan("j03_lesson_rows", """
+WITH g AS (SELECT assessment_id, arg_max(pre_commit_decision, id) AS d, arg_max(measured_benefit, id) AS mb FROM guardrails GROUP BY 1)
+SELECT a.id AS assessment_id, 'task ' || a.id AS task, CASE WHEN a.id % 3 = 0 THEN 'S.a,S_b' ELSE 'S_b' END AS symbols, CASE WHEN a.id % 2 = 0 THEN 'negative_rau' ELSE '' END AS gates, R(mb) AS measured_benefit,
+  'Verified completed outcome for task ' || a.id || '; decision was proceed.' || CASE WHEN a.id % 2 = 0 THEN ' Stable gates: negative_rau.' ELSE '' END AS lesson
+FROM assessments a JOIN outcomes o ON o.assessment_id = a.id AND terminal_status = 'completed' JOIN g ON g.assessment_id = a.id AND d = 'proceed' WHERE a.id % 13 <> 0
+""")
+def _(m):
+    k = F.col("id")
+    a = m.assessments.select(
+        k.alias("assessment_id"), "repo_id", F.concat(F.lit("task "), k.cast("string")).alias("task"), F.lit("a1").alias("action_id"), F.lit("proceed").alias("decision"),
+        F.when(k % 3 == 0, F.array(F.lit("S_b"), F.lit("S.a"), F.lit("9x"))).otherwise(F.array(F.lit("S_b"), F.lit("S_b"))).alias("symbols"),
+        F.when(k % 2 == 0, F.array(F.lit("negative_rau"), F.lit("Bad Name"))).otherwise(F.array(F.lit("X"))).alias("gate_names"),
+        F.when(k % 13 != 0, F.sha2("content_json", 256)).otherwise("bad").alias("assessment_hash"))
+    o = m.outcomes.select("assessment_id", "terminal_status", F.sha2("terminal_status", 256).alias("outcome_hash"))
+    g = m.guardrails.groupBy("assessment_id").agg(F.max_by("pre_commit_decision", "id").alias("pre_commit_decision"), F.max_by("measured_benefit", "id").alias("measured_benefit"))
+    out = R.lesson_rows(a, o, g).drop("repo_id")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("symbols", "gates")})
