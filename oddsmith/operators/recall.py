@@ -36,7 +36,7 @@ def ranked_recall(queries: DataFrame, lessons: DataFrame, max_terms: int = 32, w
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
     hits = (
-        terms.join(df, "term").join(tf.drop("len").join(docs.select("lesson_id", "len"), "lesson_id"), ["repo_id", "term"])
+        terms.join(df, "term").join(tf, ["repo_id", "term"])
         .withColumn("score", weight).groupBy("query_id", "lesson_id")
         .agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("got"))
         .join(need, "query_id").filter("got = need")

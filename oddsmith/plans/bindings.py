@@ -274,7 +274,7 @@ SELECT user_id AS run_id, event_id AS call_id, ts,
     WHEN 3 THEN 'revise_safer' WHEN 4 THEN 'inspect_first' WHEN 5 THEN 'test_first' END END AS recommended_decision,
   (event_type = 'view' AND event_id % 11 = 0) AS has_error,
   CASE WHEN event_type = 'view' AND event_id % 7 = 6 THEN CASE WHEN event_id % 2 = 0 THEN 'low' ELSE 'unknown' END END AS risk_level,
-  cast(value as int) AS input_tokens, CASE WHEN event_id % 97 = 0 THEN NULL ELSE cast(value * 2 as int) END AS output_tokens
+  cast(floor(value) as int) AS input_tokens, CASE WHEN event_id % 97 = 0 THEN NULL ELSE cast(floor(value * 2) as int) END AS output_tokens
 FROM {events}
 """
 
