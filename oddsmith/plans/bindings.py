@@ -182,7 +182,7 @@ SELECT 'p' || cast(p_partkey as string) AS id, 'function' AS kind, p_name AS nam
   CASE WHEN p_partkey % 4 = 0 THEN 'Mod' || cast(p_partkey % 40 as string) || '::fn' || cast(p_partkey as string)
     WHEN p_partkey % 4 = 1 THEN 'Mod' || cast(p_partkey % 40 as string) || '.fn' || cast(p_partkey as string)
     ELSE 'fn' || cast(p_partkey as string) END AS qualified_name,
-  'dir' || cast(p_partkey % 8 as string) || '/file' || cast(p_partkey % 40 as string) AS file_path,
+  'dir' || cast(cast(floor(p_partkey / 50) as bigint) % 8 as string) || '/file' || cast(cast(floor(p_partkey / 50) as bigint) as string) AS file_path,
   CASE p_partkey % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' WHEN 3 THEN 'csharp' ELSE 'rust' END AS language,
   cast((p_partkey % 97) * 10 as int) AS start_line, cast((p_partkey % 97) * 10 + p_size as int) AS end_line,
   CASE WHEN p_partkey % 3 = 0 THEN p_type END AS signature,
@@ -193,14 +193,14 @@ SELECT 'p' || cast(p_partkey as string) AS id, 'function' AS kind, p_name AS nam
 FROM {part}
 UNION ALL
 SELECT 's' || cast(s_suppkey as string), CASE WHEN s_suppkey % 10 = 0 THEN 'interface' ELSE 'class' END, s_name, 'Svc' || cast(s_suppkey as string),
-  'dir' || cast(s_suppkey % 8 as string) || '/file' || cast(s_suppkey % 40 as string),
+  'dir' || cast(cast(floor(s_suppkey / 3) as bigint) % 8 as string) || '/file' || cast(cast(floor(s_suppkey / 3) as bigint) as string),
   CASE WHEN s_suppkey % 2 = 0 THEN 'python' ELSE 'go' END, cast((s_suppkey % 9) * 100 as int), cast((s_suppkey % 9) * 100 + 120 as int),
   NULL, NULL, CASE WHEN s_suppkey % 3 = 0 THEN 'public' END, cast(s_suppkey % 2 as int), 0
 FROM {supplier}
 UNION ALL
 SELECT 'c' || cast(c_custkey as string), 'module', c_name, 'Pkg' || cast(c_custkey as string),
-  'dir' || cast(c_custkey % 8 as string) || '/' || CASE WHEN c_custkey % 6 = 0 THEN 'test_' ELSE '' END || 'file' || cast(c_custkey % 40 as string),
-  'python', 0, 1000, NULL, NULL, NULL, NULL, 0
+  'dir' || cast(cast(floor(c_custkey / 50) as bigint) % 8 as string) || '/' || CASE WHEN cast(floor(c_custkey / 50) as bigint) % 6 = 0 THEN 'test_' ELSE '' END || 'file' || cast(cast(floor(c_custkey / 50) as bigint) as string),
+  'python', cast((c_custkey % 50) * 20 as int), cast((c_custkey % 50) * 20 + 90 as int), NULL, NULL, NULL, NULL, 0
 FROM {customer}
 """
 

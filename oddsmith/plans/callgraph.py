@@ -288,7 +288,7 @@ def _(m):
     return G.language_coverage(m.nodes, m.edges).withColumn("edge_kinds", F.array_join("edge_kinds", ","))
 
 
-_RANGES = """SELECT l_orderkey * 10 + l_linenumber AS range_id, 'dir' || cast(l_partkey % 8 as string) || '/file' || cast(l_partkey % 40 as string) AS file_path,
+_RANGES = """SELECT l_orderkey * 10 + l_linenumber AS range_id, 'dir' || cast(cast(floor(l_partkey / 50) as bigint) % 8 as string) || '/file' || cast(cast(floor(l_partkey / 50) as bigint) as string) AS file_path,
   min(cast(l_quantity * 18 as int)) AS lo, min(cast(l_quantity * 18 as int)) + 12 AS hi FROM {lineitem} WHERE l_quantity > 30 GROUP BY 1, 2"""
 
 
@@ -301,7 +301,7 @@ def _(m):
     return G.owners_at(keyed, m.nodes).select(F.col("range_id.r").alias("range_id"), F.col("range_id.f").alias("file_path"), "id")
 
 
-_REQ = """SELECT p_partkey AS request, 'dir' || cast(p_partkey % 8 as string) || '/file' || cast(p_partkey % 40 as string) AS file_path,
+_REQ = """SELECT p_partkey AS request, 'dir' || cast(cast(floor(p_partkey / 50) as bigint) % 8 as string) || '/file' || cast(cast(floor(p_partkey / 50) as bigint) as string) AS file_path,
   CASE p_partkey % 3 WHEN 0 THEN 'Mod' || cast(p_partkey % 40 as string) || '.fn' || cast(p_partkey as string) WHEN 1 THEN 'X.' || p_name ELSE 'fn' || cast(p_partkey as string) END AS qualified FROM {part}"""
 
 

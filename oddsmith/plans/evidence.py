@@ -314,7 +314,7 @@ def _(m):
 
 
 _DIFFROWS = """
-df AS (SELECT 'dir' || p_partkey % 8 || '/file' || p_partkey % 40 AS file_path,
+df AS (SELECT 'dir' || (p_partkey // 50) % 8 || '/file' || p_partkey // 50 AS file_path,
   CASE WHEN p_partkey % 4 = 0 THEN 'Mod' || p_partkey % 40 || '::fn' || p_partkey WHEN p_partkey % 4 = 1 THEN 'Mod' || p_partkey % 40 || '.fn' || p_partkey ELSE 'fn' || p_partkey END AS qn,
   p_partkey % 2 = 0 AS sg, p_partkey % 6 = 0 AS rt, p_partkey % 9 = 0 AS vi FROM part WHERE p_partkey % 5 <> 0)
 """
