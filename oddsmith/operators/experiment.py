@@ -136,18 +136,18 @@ def bootstrap_ci(pairs: DataFrame, by: list[str], d: str, resamples: int = 1000,
     folded per (group, resample) before the shuffle.
     """
     hist = diffs_histogram(pairs, by, d)
-    draws = pairs.select(*by, F.xxhash64("task_id", "seed").alias("row")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64("row", "r", F.lit(seed)), F.col("n"))
-    value = F.when(u < F.col("neg"), -1).when(u < F.col("neg") + F.col("zero"), 0).otherwise(1)
-    means = draws.join(hist, by).groupBy(*by, "r").agg(F.avg(value).alias("m"))
-    order = W.partitionBy(*by).orderBy("m")  # `resamples` rows per group
+    draws = pairs.select(*by, F.xxhash64("task_id", "seed").alias("_row")).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = F.pmod(F.xxhash64("_row", "_draw", F.lit(seed)), F.col("_n"))
+    value = F.when(u < F.col("_neg"), -1).when(u < F.col("_neg") + F.col("_zero"), 0).otherwise(1)
+    means = draws.join(hist, by).groupBy(*by, "_draw").agg(F.avg(value).alias("_mean"))
+    order = W.partitionBy(*by).orderBy("_mean")  # `resamples` rows per group
     lo, hi = int(alpha / 2 * resamples) + 1, min(resamples, int((1 - alpha / 2) * resamples) + 1)
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("m")))
-    return means.withColumn("k", F.row_number().over(order)).groupBy(*by).agg(at(lo).alias("ci_low"), at(hi).alias("ci_high"))
+    at = lambda k: F.max(F.when(F.col("_k") == k, F.col("_mean")))
+    return means.withColumn("_k", F.row_number().over(order)).groupBy(*by).agg(at(lo).alias("ci_low"), at(hi).alias("ci_high"))
 
 
 def diffs_histogram(pairs: DataFrame, by: list[str], d: str) -> DataFrame:
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(d) < 0).alias("neg"), F.count_if(F.col(d) == 0).alias("zero"))
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(d) < 0).alias("_neg"), F.count_if(F.col(d) == 0).alias("_zero"))
 
 
 def interaction(effects: DataFrame, under: tuple[str, str], reference: tuple[str, str]) -> DataFrame:
