@@ -16,9 +16,8 @@ from oddsmith.session import local_session
 
 HEADLINE = [
     "e03_calibration_summary", "e04_ece", "e05_reliability_bins", "d01_label_join", "h09_score_batch", "c16_decision_gates",
-    "i03_recommended_action", "h14_event_injection", "h02_binary_gate", "h03_continuous_gate", "d07_fact_match", "f02_most_specific",
-    "f04_apply_snapshot", "d06_churn_count", "g02_fan_in_percentile", "g03_file_rollup", "g07_transitive_reach", "g08_impact_distributions",
-    "g24_cycle_files", "d09_interval_owners", "j01_ranked_recall", "f11_contiguous_groups", "f15_hash_chain", "e21_arm_metrics",
+    "i03_recommended_action", "h14_event_injection", "h02_binary_gate", "f04_apply_snapshot", "g02_fan_in_percentile", "g03_file_rollup",
+    "g07_transitive_reach", "g24_cycle_files", "d09_interval_owners", "j01_ranked_recall", "f15_hash_chain", "e21_arm_metrics",
 ]
 
 

@@ -15,7 +15,9 @@ def col(c: str | Column) -> Column:
 
 
 def clamp(c: str | Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), col(c)))
+    """Bound a value; NULL stays NULL (``least``/``greatest`` alone would skip it)."""
+    c = col(c)
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def finite(c: str | Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsmith import constants as K
-from oddsmith.functions.columns import col
+from oddsmith.functions.columns import clamp, col
 
 
 def brier(p, y) -> Column:
@@ -16,7 +16,7 @@ def brier(p, y) -> Column:
 
 
 def log_loss(p, y) -> Column:
-    q = F.least(F.lit(1.0 - K.LOG_LOSS_EPS), F.greatest(F.lit(K.LOG_LOSS_EPS), col(p)))
+    q = clamp(p, K.LOG_LOSS_EPS, 1.0 - K.LOG_LOSS_EPS)
     return -(col(y) * F.log(q) + (1 - col(y)) * F.log(1.0 - q))
 
 

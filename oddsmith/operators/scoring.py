@@ -170,7 +170,7 @@ def risk_adjusted_utility(eu="expected_utility", variance="utility_variance", z:
 
 
 def penalized(factor, penalty) -> Column:
-    return F.greatest(F.lit(K.MIN_CONFIDENCE_FACTOR), col(factor) - penalty)
+    return F.greatest(F.lit(K.MIN_CONFIDENCE_FACTOR), F.coalesce(col(factor), F.lit(1.0)) - penalty)
 
 
 def edit_confidence(factors=K.CONFIDENCE_FACTORS) -> Column:

@@ -46,7 +46,7 @@ FROM {lineitem}
 """
 
 _PE_COMMON = """
-  (cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS ledger_id,
+  ((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 32 + cast(extract(day FROM l_shipdate) as bigint) AS ledger_id,
   l_orderkey AS assessment_id, l_orderkey % 1000 AS action_id,
   CASE WHEN l_orderkey % 100 = 0 THEN 1 ELSE 2 END AS hash_version,
   CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS shadow_mode,

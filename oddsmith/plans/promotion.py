@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from oddsmith.functions.columns import clamp
 from oddsmith.operators import calibration as C
 from oddsmith.operators import promotion as P
 from oddsmith.plans.calibration import _LL
@@ -207,14 +208,16 @@ def _(m):
 
 
 @plan("h06_replay_comparison", f"""
-WITH {_CASES}, v AS (SELECT avg(actual_outcome) AS v FROM cs WHERE part = 'promote'),
-t AS (SELECT 'genesis' AS track, predicted_probability AS p, actual_outcome AS y FROM cs WHERE part = 'score' UNION ALL SELECT 'learned', least(0.99, greatest(0.01, v)), actual_outcome FROM cs, v WHERE part = 'score'),
+WITH {_CASES}, pr AS (SELECT * FROM cs WHERE part = 'promote'), {scopes_sql('pr')}, {_POS}, {_BCOV}, {_BGATE},
+v AS (SELECT CASE WHEN veto IS NULL THEN s / cast(n as double) END AS v, veto IS NULL AS fired FROM gt WHERE scope_kind = 'global'),
+t AS (SELECT 'genesis' AS track, predicted_probability AS p, actual_outcome AS y FROM cs WHERE part = 'score' UNION ALL SELECT 'learned', CASE WHEN fired THEN least(0.99, greatest(0.01, v)) ELSE predicted_probability END, actual_outcome FROM cs, v WHERE part = 'score'),
 q AS (SELECT track, count(*) AS n, avg((p - y) ** 2) AS b, avg({_LL}) AS l FROM t GROUP BY 1),
 e AS (SELECT track, sum(k * abs(a - c)) / sum(k) AS e FROM (SELECT track, len(list_filter(range(1, 10), lambda i: i * (cast(1 as double) / 10) <= p)) AS bin, count(*) AS k, avg(y) AS a, avg(p) AS c FROM t GROUP BY 1, 2) GROUP BY 1),
 j AS (SELECT * FROM q JOIN e USING (track)), g AS (SELECT * FROM j WHERE track = 'genesis'), w AS (SELECT * FROM j WHERE track = 'learned')
 SELECT g.n AS genesis_n, w.n AS learned_n, R(g.b) AS genesis_brier, R(w.b) AS learned_brier, R(g.l) AS genesis_log_loss, R(w.l) AS learned_log_loss, R(g.e) AS genesis_ece, R(w.e) AS learned_ece,
-  R(g.b - w.b) AS brier_lift, R(g.l - w.l) AS log_loss_lift, R(g.e - w.e) AS ece_lift, true AS promotion_fired, '' AS failure_reasons, true AS passed,
-  CASE WHEN g.b > w.b AND g.l > w.l AND g.e > w.e THEN 'improved_on_fixture' ELSE 'mixed_on_fixture' END AS verdict FROM g, w
+  R(g.b - w.b) AS brier_lift, R(g.l - w.l) AS log_loss_lift, R(g.e - w.e) AS ece_lift, fired AS promotion_fired,
+  array_to_string(list_filter([CASE WHEN NOT fired THEN 'PROMOTION_NOT_FIRED' END, CASE WHEN NOT w.b < g.b THEN 'LEARNED_NOT_BETTER' END, CASE WHEN g.b - w.b <= 0 THEN 'BRIER_NOT_IMPROVED' END], lambda x: x IS NOT NULL), ',') AS failure_reasons, fired AND w.b < g.b AS passed,
+  CASE WHEN g.b > w.b AND g.l > w.l AND g.e > w.e THEN 'improved_on_fixture' ELSE 'mixed_on_fixture' END AS verdict FROM g, w, v
 """)
 def _(m):
     tables = _case_tables(m)
@@ -222,7 +225,7 @@ def _(m):
     score = P.join_cases(*tables, "score")
     gate = P.binary_gate(promote).filter("scope_kind = 'global' AND promoted")
     learned = gate.agg(F.max(F.col("successes") / F.col("n_group")).alias("v"))
-    value = F.least(F.lit(0.99), F.greatest(F.lit(0.01), learned.select("v").scalar()))
+    value = clamp(learned.select("v").scalar(), 0.01, 0.99)
     base = score.select("predicted_probability", "actual_outcome", (F.col("actual_outcome") == 1).alias("harmful"), F.lit(True).alias("proceeded"), "criticality_stage")
     tracks = base.withColumn("track", F.lit("genesis")).withColumn("p", F.col("predicted_probability")).unionByName(
         base.withColumn("track", F.lit("learned")).withColumn("p", F.coalesce(value, F.col("predicted_probability"))))
