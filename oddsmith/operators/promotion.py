@@ -92,7 +92,8 @@ def folded(x: DataFrame, value: str, min_n: int = 2, buckets: int = 64) -> DataF
         F.sum("_n").over(scope).alias("n"), F.sum("_v").over(scope).alias("s"),
     ).filter(F.col("n") >= min_n)
     inside = W.partitionBy(*SCOPE, "_b").orderBy("ledger_id")
-    placed = x.withColumn("_r", F.row_number().over(inside)).join(sizes, [*SCOPE, "_b"])
+    # small scopes leave before anything is sorted; the window reuses the join's partitioning
+    placed = x.join(sizes, [*SCOPE, "_b"]).withColumn("_r", F.row_number().over(inside))
     pos = F.col("_r") + F.col("_off") - 1
     k = F.greatest(F.lit(2), F.least(F.lit(FOLDS), F.col("n")))
     fold = reduce(
