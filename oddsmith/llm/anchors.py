@@ -84,12 +84,14 @@ def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shipped(docs: DataFrame) -> DataFrame:
-    """``id, z``: texts compressed for a shuffle."""
+    """``docs`` with ``data`` compressed as ``z``, for a shuffle."""
+    rest = [c for c in docs.columns if c != "data"]
+
     def press(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.compress(x) for x in batch.column("data").to_pylist()], pa.binary())], ["id", "z"])
+        return pa.RecordBatch.from_arrays([*[batch.column(x) for x in rest], pa.array([c.compress(x) for x in batch.column("data").to_pylist()], pa.binary())], [*rest, "z"])
 
-    return docs.mapInArrow(per_batch(press), "id long, z binary")
+    return docs.mapInArrow(per_batch(press), docs.select(*rest).schema.add("z", "binary"))
 
 
 def opened(batch: pa.RecordBatch) -> list[bytes]:
@@ -104,6 +106,8 @@ def settle(pieces: DataFrame, rule: Callable[[], Callable[[dict[str, np.ndarray]
         for batch in batches:
             if batch.num_rows:
                 yield step({n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names})
+        if getattr(step, "last", None) is not None:  # a rule that looks one row ahead
+            yield step(None)
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pieces.repartition(n, "key").sortWithinPartitions("key", "content", "id", "at").mapInArrow(run, schema)
