@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsmith.llm import packing, simhash, warc
+from oddsmith.llm import debruijn, decontam, langid, packing, pii, rules, simhash, subword, suffixes, warc
 from oddsmith.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": lambda spark, folder: simhash.near_duplicate_report(table(spark, folder, "documents")),
+    "op2_pii": lambda spark, folder: pii.report(table(spark, folder, "documents")),
+    "op3_quality_rules": lambda spark, folder: rules.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels")),
+    "op4_quality_classifier": lambda spark, folder: subword.report(table(spark, folder, "documents"), table(spark, folder, "labels")),
+    "op5_decontamination": lambda spark, folder: decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")),
+    "op6_language": lambda spark, folder: langid.report(table(spark, folder, "documents")),
+    "op7_suffix_dedup": lambda spark, folder: suffixes.dedup_report(table(spark, folder, "documents")),
+    "op8_substring_dedup": lambda spark, folder: debruijn.dedup_report(table(spark, folder, "documents")),
     "op9_packing": lambda spark, folder: packing.packed_report(table(spark, folder, "documents")),
     "op10_warc": lambda spark, folder: warc.archive_report(spark, folder),
 }
