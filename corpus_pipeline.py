@@ -20,24 +20,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the smallest id.
+    """One document of each group of linked fingerprints: the smallest id, once if it is repeated.
 
-    Rows that repeat that id stay once; rows without id stay only where no row of their
-    group has one, once for each fingerprint.
+    Rows without id count as larger than any row with one, in the order of a hash of the row.
     """
-    tagged = docs.select(F.struct("*").alias("row"), F.xxhash64(*docs.columns).alias("mark"))
-    groups = simhash.near_duplicates(docs).groupBy("id", "fp").agg(F.min("component").alias("component"))
-    named = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias("keep"))
-    nameless = groups.filter(F.col("id").isNull() & F.col("component").isNull()).limit(1)
-    with_id = tagged.filter(F.col("row.doc_id").isNotNull())
-    once = with_id.groupBy(F.col("row.doc_id").alias("keep")).agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("n"))
-    kept = with_id.join(named.distinct().join(once, "keep"), (F.col("row.doc_id") == F.col("keep")) & (F.col("mark") == F.col("first")))
-    repeated = kept.filter("n > 1").select("row").dropDuplicates()
-    out = kept.filter("n = 1").select("row").unionByName(repeated)
-    if nameless.count():
-        alone = tagged.filter(F.col("row.doc_id").isNull()).select("row").dropDuplicates()
-        out = out.unionByName(alone)
-    return out.select("row.*")
+    mark = F.xxhash64(*docs.columns)
+    nameless = F.lit(1 << 62) + F.pmod(mark, F.lit(1 << 61))
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark"), F.coalesce(F.col("doc_id"), nameless).alias("key"))
+    groups = simhash.near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key")
+    first = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias("keep")).distinct()
+    once = rows.groupBy(F.col("key").alias("keep")).agg(F.min("mark").alias("least"), F.count(F.lit(1)).alias("n"))
+    chosen = first.join(once, "keep")
+    kept = rows.join(chosen, (F.col("key") == F.col("keep")) & (F.col("mark") == F.col("least")))
+    return kept.filter("n = 1").select("row.*").unionByName(kept.filter("n > 1").select("row").dropDuplicates().select("row.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
