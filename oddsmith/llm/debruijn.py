@@ -126,9 +126,9 @@ def edges(docs: DataFrame, open_pieces: DataFrame, window: int) -> DataFrame:
 
 def repeated_paths(found: DataFrame) -> DataFrame:
     """Compacted stretches ``id, at`` of the edges that a smaller document has too."""
-    unit = ["edge", "check"]
+    unit, found = ["edge", "check"], store(found, "edges")
     sourced = found.groupBy(*unit, "left", "right").agg(F.min(F.struct("id", "pos")).alias("source"), F.max("id").alias("most")).filter(F.col("source.id") < F.col("most"))
-    repeated = sourced.drop("most")
+    repeated = store(sourced.drop("most"), "repeated")
     into = repeated.groupBy(F.col("right").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
     out = repeated.groupBy(F.col("left").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
     plain = into.join(out, "node").filter("n_in = 1 AND n_out = 1").select(F.col("node").alias("left"), F.lit(True).alias("plain"))
