@@ -11,7 +11,8 @@ holds every block value of every item within that distance, so no pair within th
 lost.  At radius 19 a pair of similarity 0.8 is missed about once in 3,000; exact copies never.
 Candidates are verified by weighted Jaccard similarity, a shingle's weight being its count.
 
-The shingle table is broadcast only up to ``BROADCAST`` rows; beyond that the shingles are
+The block index is joined by shuffle: its size is that of the benchmark times the values
+within reach of a block.  The shingle table is broadcast only up to ``BROADCAST`` rows; beyond that the shingles are
 joined by shuffle.  The same holds for the table of window places that goes back to the
 documents: usually few documents have any, so their texts are not shuffled.
 
@@ -84,7 +85,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     index = index.select("item", F.col("n").alias("size"), "fp", "no", "v", F.explode(near).alias("flip")).select("item", "size", "fp", "no", F.col("v").bitwiseXOR(F.col("flip")).alias("value"))
     keyed = cut.select("id", "start", "n", "wfp", F.posexplode(F.array(*[block(F.col("wfp"), i) for i in range(BLOCKS)])).alias("wno", "wv"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp")))
-    pairs = keyed.join(index, (F.col("n") == F.col("size")) & (F.col("wno") == F.col("no")) & (F.col("wv") == F.col("value")) & (apart <= radius))
+    pairs = keyed.join(index.hint("merge"), (F.col("n") == F.col("size")) & (F.col("wno") == F.col("no")) & (F.col("wv") == F.col("value")) & (apart <= radius))
     pairs = pairs.select("id", "start", "n", "item", apart.alias("distance")).distinct().withColumnsRenamed({"id": "of", "start": "from", "n": "size"})
     both = pairs.join(cut, F.col("id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("from")) & (F.col("n") == F.col("size"))).drop("n")
     scored = both.join(items.select("item", "g"), "item").select("id", "item", "start", "distance", similarity(F.col("win"), F.col("g")).alias("similarity")).filter(F.col("similarity") >= least)
