@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from oddsmith.llm.anchors import SHIFT, Rolling, cut, merged, mixed, opened, pack, settle, shipped, unpack
 from oddsmith.llm.common import per_batch, store, texts
 
-WINDOW, GRAM, SHARD, QUEUED = 400, 32, 4 << 20, 64 << 20
+WINDOW, GRAM, SHARD, QUEUED, JOINED = 400, 32, 4 << 20, 64 << 20, 1 << 18
 VALUES = mixed(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -68,15 +68,18 @@ class Spool:
         return np.fromfile(x[0], x[1])
 
     def drain(self, c: int) -> Iterator[np.ndarray]:
-        """Also what is put while draining."""
-        parts = self.queues[c]
-        at = 0
-        while at < len(parts):
-            x, parts[at] = parts[at], None
-            self.held -= x.nbytes if isinstance(x, np.ndarray) else 0
-            at += 1
-            yield self._load(x)
-        self.queues.pop(c, None)
+        """In blocks of about ``JOINED`` positions; also what is put while draining."""
+        while parts := self.queues.pop(c, None):
+            at = 0
+            while at < len(parts):
+                block, size = [], 0
+                while at < len(parts) and size < JOINED:
+                    x, parts[at] = parts[at], None
+                    self.held -= x.nbytes if isinstance(x, np.ndarray) else 0
+                    block.append(self._load(x))
+                    size += len(block[-1])
+                    at += 1
+                yield np.concatenate(block)
 
     def reversed(self, c: int) -> Iterator[np.ndarray]:
         for x in reversed(self.queues.get(c, [])):
@@ -93,9 +96,9 @@ def deal(spool: Spool, text: np.ndarray, at: np.ndarray) -> None:
         chars = text[at]
         order = np.argsort(chars, kind="stable")
         at, chars = at[order], chars[order]
-        cuts = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-        for part, c in zip(np.split(at, cuts), chars[np.concatenate([[0], cuts])]):
-            spool.put(int(c), part)
+        cuts = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            spool.put(int(chars[a]), at[a:b])
 
 
 def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, limit: int) -> np.ndarray:
@@ -127,19 +130,29 @@ def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, limit: int)
 
 
 def doubled(names: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of ``names``, exact up to ``reach`` names."""
-    rank, step = names.astype(np.int64), 1
-    while True:
-        follow = np.zeros_like(rank)
-        follow[:-step] = rank[step:] + 1
-        order = np.lexsort((follow, rank))
-        new = np.ones(len(rank), bool)
-        new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (follow[order[1:]] != follow[order[:-1]])
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(new) - 1
+    """Order of the suffixes of ``names``, exact up to ``reach`` names.
+
+    A rank is the place of the first suffix of its group; only groups of several are sorted on.
+    """
+    n, step = len(names), 1
+    place = np.argsort(names, kind="stable")
+    first = np.concatenate([[True], names[place[1:]] != names[place[:-1]]])
+    rank = np.empty(n + 1, np.int64)
+    rank[place] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank[n] = -1  # what follows the end
+    open_ = place[~(first & np.append(first[1:], True))]
+    while len(open_) and step < reach:
+        own = rank[open_]
+        key = own * (n + 2) + rank[np.minimum(open_ + step, n)] + 1
+        order = np.argsort(key, kind="stable")
+        open_, own, key = open_[order], own[order], key[order]
+        at = np.arange(len(open_))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.concatenate([[True], own[1:] != own[:-1]])
+        rank[open_] = own + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        open_ = open_[~(new & np.append(new[1:], True))]
         step *= 2
-        if new.all() or step >= reach or step >= len(rank):
-            return order
+    return np.argsort(rank[:n], kind="stable")
 
 
 def suffix_array(text: np.ndarray, window: int, limit: int = QUEUED) -> np.ndarray:
