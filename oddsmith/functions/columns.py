@@ -84,13 +84,17 @@ def matches_any_glob(path: str | Column, patterns: Iterable[str]) -> Column:
 
 
 def glob_regex_column(pattern: str | Column) -> Column:
-    """Column form of :func:`glob_regex` for patterns stored in a table (no ``[...]`` sets)."""
-    quoted = F.regexp_replace(col(pattern), r"([.\\+^$(){}|\[\]])", r"\\$1")
-    return F.concat(
-        F.lit("^(?s:"),
-        F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")),
-        F.lit(")$"),
-    )
+    """Column form of :func:`glob_regex` for patterns stored in a table."""
+    pieces = F.regexp_extract_all(col(pattern), F.lit(r"\[!?\]?[^\]]*\]|[^\[]+|\["), F.lit(0))
+
+    def one(piece: Column) -> Column:
+        body = F.regexp_replace(F.substr(piece, F.lit(2), F.length(piece) - 2), r"([\\\[\]^&])", r"\\$1")
+        chosen = F.when(F.startswith(body, F.lit("!")), F.concat(F.lit("[^"), F.substr(body, F.lit(2)), F.lit("]"))).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+        quoted = F.regexp_replace(piece, r"([.\\+^$(){}|\[\]])", r"\\$1")
+        plain = F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+        return F.when(F.startswith(piece, F.lit("[")) & F.endswith(piece, F.lit("]")) & (F.length(piece) > 2), chosen).otherwise(plain)
+
+    return F.concat(F.lit("^(?s:"), F.array_join(F.transform(pieces, one), ""), F.lit(")$"))
 
 
 def posix(path: str | Column) -> Column:

@@ -192,7 +192,7 @@ def label_predictions(
     """
     host = F.col("label_source") == "host"
     event = F.when(
-        F.startswith("target_name", F.lit("p_event.")), F.substring("target_name", 9, 1000)
+        F.startswith("target_name", F.lit("p_event.")), F.substr("target_name", F.lit(9))
     )
     joined = (
         predictions.withColumn("event", event)

@@ -443,9 +443,11 @@ def diff_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
 # --- maps and bounded views --------------------------------------------------------------------------------------
 
 
-def hottest_files(nodes: DataFrame, edges: DataFrame, top: int = 200) -> DataFrame:
+def hottest_files(nodes: DataFrame, edges: DataFrame, top: int | None = None) -> DataFrame:
+    """Every called file, hottest first; only the first ``top`` if asked for."""
     rolled = file_fan_in(nodes, edges).filter("distinct_callers > 0")
-    return rolled.select("file_path", "distinct_callers").orderBy(F.desc("distinct_callers"), "file_path").limit(top)
+    ranked = rolled.select("file_path", "distinct_callers").orderBy(F.desc("distinct_callers"), "file_path")
+    return ranked if top is None else ranked.limit(top)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, kinds=K.FANIN_EDGES) -> DataFrame:
@@ -461,9 +463,11 @@ def degrees(nodes: DataFrame, edges: DataFrame, kinds=K.FANIN_EDGES) -> DataFram
         "id", "kind", "name", "qualified_name", posix("file_path").alias("file_path"), zero("inbound"), zero("outbound"))
 
 
-def top_symbols(nodes: DataFrame, edges: DataFrame, per_file: int = 10) -> DataFrame:
+def top_symbols(nodes: DataFrame, edges: DataFrame, per_file: int | None = None) -> DataFrame:
+    """Symbols ranked inside their file; only the first ``per_file`` if asked for."""
     order = W.partitionBy("file_path").orderBy(F.desc("inbound"), F.desc("outbound"), "qualified_name", "id")
-    d = degrees(nodes, edges).withColumn("symbol_rank", F.row_number().over(order)).filter(F.col("symbol_rank") <= per_file)
+    d = degrees(nodes, edges).withColumn("symbol_rank", F.row_number().over(order))
+    d = d if per_file is None else d.filter(F.col("symbol_rank") <= per_file)
     return d.withColumn("label", last_segment("qualified_name", "name"))
 
 
@@ -541,7 +545,7 @@ def hot_subgraph(centers: DataFrame, edges: DataFrame, max_depth: int = 2, max_n
         if left <= 0 or frontier.isEmpty():
             break
         near = back.join(F.broadcast(frontier.select(F.col("id").alias("target"))), "target").select(F.col("source").alias("id")).distinct()
-        near = near.orderBy("id").limit(left + 1).join(seen.select("id"), "id", "left_anti")
+        near = near.join(seen.select("id"), "id", "left_anti")
         frontier = cut_lineage(near.orderBy("id").limit(left).withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     ids = F.broadcast(seen.select("id"))  # at most max_nodes rows

@@ -56,7 +56,7 @@ def event_disutility(rows: DataFrame, assessments: DataFrame) -> DataFrame:
     """Stored disutility of the event a target names; NULL for other targets or bad content."""
     content = decode_json(assessments, "content_json", CONTENT).select(
         F.col("id").alias("assessment_id"), F.col("content.scores.loss_components").alias("parts"))
-    event = F.when(F.startswith("target_name", F.lit("p_event.")), F.substring("target_name", 9, 1000))
+    event = F.when(F.startswith("target_name", F.lit("p_event.")), F.substr("target_name", F.lit(9)))
     hit = F.try_element_at(F.filter("parts", lambda c: c["event"] == event), F.lit(1))
     return rows.join(content, "assessment_id", "left").withColumn("event_disutility", hit["disutility"]).drop("parts")
 
@@ -79,9 +79,9 @@ def with_outcome(assessments: DataFrame, outcomes: DataFrame) -> DataFrame:
     return authoritative(assessments).join(o, "id", "left")
 
 
-def page(df: DataFrame, limit: int = 50, offset: int = 0, top: int = 500) -> DataFrame:
-    """Newest first; limit and offset clamped to sane ranges."""
-    return df.orderBy(F.desc("id")).offset(max(0, offset)).limit(max(0, min(limit, top)))
+def page(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Newest first; a negative limit or offset counts as zero."""
+    return df.orderBy(F.desc("id")).offset(max(0, offset)).limit(max(0, limit))
 
 
 def overview(assessments: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -116,10 +116,8 @@ def reject_override(gates: Column) -> Column:
     return F.coalesce(valid & fits, F.lit(False))
 
 
-def pending_reviews(assessments: DataFrame, commit: str, top: int = 200) -> DataFrame:
-    """Newest assessments of a commit that still want a person, per repository: first 200."""
-    from pyspark.sql import Window as W
-
+def pending_reviews(assessments: DataFrame, commit: str) -> DataFrame:
+    """Assessments of a commit that still want a person; all of them, order by repository and descending id to show them."""
     c = F.col("content")
     want = (
         (c["decision"] == "ask_human")
@@ -127,8 +125,7 @@ def pending_reviews(assessments: DataFrame, commit: str, top: int = 200) -> Data
         | ((c["decision"] == "reject") & reject_override(c["gates_fired"]))
     )
     rows = decode_json(assessments, "content_json", CONTENT).filter((c["assessed_commit"] == commit) & want)
-    newest = W.partitionBy("repo_id").orderBy(F.desc("id"))
-    return rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= top).select(
+    return rows.select(
         "repo_id", "id", c["decision"].alias("decision"), controlling_gate()["gate"].alias("gate"))
 
 

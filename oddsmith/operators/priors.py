@@ -132,7 +132,11 @@ def churn_counts(facts: DataFrame, changes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c"))
     later = facts.select("fact_id", "scope_kind", "scope_value", "created_at").join(hist, ["scope_kind", "scope_value"]).filter(
         F.col("recorded_at") > F.col("created_at")).groupBy("fact_id").agg(F.sum("c").alias("scope_change_count"))
-    return facts.select("fact_id").join(later, "fact_id", "left").select(
+    paths = done.select("action_id", F.lit("").alias("target_name"), "file_path", "recorded_at")
+    globs = facts.filter("scope_kind = 'path_glob'").select("fact_id", "scope_kind", "scope_value", "created_at", F.lit("").alias("target_name"))
+    aged = match_globs(paths, globs).select("fact_id", "created_at", "action_id").distinct().join(paths.select("action_id", "recorded_at"), "action_id")
+    aged = aged.filter(F.col("recorded_at") > F.col("created_at")).groupBy("fact_id").agg(F.count(F.lit(1)).alias("scope_change_count"))
+    return facts.select("fact_id").join(later.unionByName(aged), "fact_id", "left").select(
         "fact_id", F.coalesce("scope_change_count", F.lit(0)).alias("scope_change_count"))
 
 
@@ -223,7 +227,7 @@ def apply_facts(targets: DataFrame, features: DataFrame, facts: DataFrame) -> Da
     j = targets.join(win, ["action_id", "target_name"], "left")
     t, v, prior, was = F.col("target_name"), F.col("value"), F.col("prior"), F.col("prior_variance")
     raw = F.when(is_probability(), clamp_probability(v)).when(t == "review_cost", F.greatest(F.lit(0.0), v)).otherwise(v)
-    name = F.when(F.startswith(t, F.lit("p_event.")), F.substring(t, 9, 1000))
+    name = F.when(F.startswith(t, F.lit("p_event.")), F.substr(t, F.lit(9)))
     held = F.coalesce(name.isin(*K.CONSEQUENCE_EVENTS) & (raw < prior), F.lit(False))
     learned = bounded_variance(variance_component(), "variance", "aleatoric_variance")
     cap = F.lit(K.COLD_START_VARIANCE["benefit"])

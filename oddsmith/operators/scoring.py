@@ -130,8 +130,8 @@ def variance_from_confidence(confidence) -> Column:
 
 
 def component_variance(supplied, component: str, confidence=None) -> Column:
-    """Supplied and non-negative, else from confidence, else the cold-start value."""
-    out = F.when(col(supplied) >= 0, col(supplied))
+    """Supplied, finite and non-negative, else from confidence, else the cold-start value."""
+    out = F.when((col(supplied) >= 0) & (col(supplied) < float("inf")), col(supplied))
     if confidence is not None:
         out = out.when(col(confidence).isNotNull(), variance_from_confidence(confidence))
     return out.otherwise(V[component])

@@ -216,9 +216,9 @@ def _(m):
 
 @plan("g15_hot_subgraph", f"""
 WITH ie AS (SELECT DISTINCT source, target FROM edges WHERE kind IN {_FAN}), c0 AS (SELECT id FROM nodes WHERE qualified_name IN ('Svc7', 'Svc20', 'fn6') ORDER BY id LIMIT 60),
-k1 AS (SELECT DISTINCT source AS id FROM ie WHERE target IN (SELECT id FROM c0) ORDER BY id LIMIT (SELECT 61 - count(*) FROM c0)),
+k1 AS (SELECT DISTINCT source AS id FROM ie WHERE target IN (SELECT id FROM c0)),
 l1 AS (SELECT id FROM k1 WHERE id NOT IN (SELECT id FROM c0) ORDER BY id LIMIT (SELECT 60 - count(*) FROM c0)), s1 AS (SELECT id, 0 AS depth FROM c0 UNION ALL SELECT id, 1 FROM l1),
-k2 AS (SELECT DISTINCT source AS id FROM ie WHERE target IN (SELECT id FROM l1) ORDER BY id LIMIT (SELECT 61 - count(*) FROM s1)),
+k2 AS (SELECT DISTINCT source AS id FROM ie WHERE target IN (SELECT id FROM l1)),
 l2 AS (SELECT id FROM k2 WHERE id NOT IN (SELECT id FROM s1) ORDER BY id LIMIT (SELECT 60 - count(*) FROM s1)),
 s2 AS (SELECT * FROM s1 UNION ALL SELECT id, 2 FROM l2),
 e2 AS (SELECT DISTINCT source, target, kind FROM edges WHERE kind IN {_FAN} AND source IN (SELECT id FROM s2) AND target IN (SELECT id FROM s2) ORDER BY 1, 2, 3 LIMIT 240)
@@ -232,9 +232,9 @@ def _(m):
 
 
 @plan("g16_hottest_files", f"""WITH {_EDGES}
-SELECT file_path, count(DISTINCT source) AS distinct_callers FROM cn JOIN fe ON target = id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25""")
+SELECT file_path, count(DISTINCT source) AS distinct_callers FROM cn JOIN fe ON target = id GROUP BY 1""")
 def _(m):
-    return G.hottest_files(m.nodes, m.edges, 25)
+    return G.hottest_files(m.nodes, m.edges)
 
 
 _DEG = f"""fe AS (SELECT DISTINCT source, target FROM edges WHERE kind IN {_FAN}),
@@ -242,7 +242,7 @@ dg AS (SELECT id, file_path, qualified_name, (SELECT count(*) FROM fe WHERE targ
 ts AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY inbound DESC, outbound DESC, qualified_name, id) AS rk FROM dg)"""
 
 
-@plan("g17_top_symbols", f"WITH {_DEG} SELECT file_path, id, inbound, outbound, cast(rk as int) AS symbol_rank FROM ts WHERE rk <= 10")
+@plan("g17_top_symbols", f"WITH {_DEG} SELECT file_path, id, inbound, outbound, cast(rk as int) AS symbol_rank FROM ts")
 def _(m):
     return G.top_symbols(m.nodes, m.edges).select("file_path", "id", "inbound", "outbound", "symbol_rank")
 

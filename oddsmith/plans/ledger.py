@@ -146,7 +146,7 @@ def _(m):
     return L.authoritative(m.assessments).select("id", L.controlling_gate()["gate"].alias("gate"))
 
 
-@plan("i04_page_newest", f"WITH {_AC} SELECT id, decision FROM au WHERE repo_id = 'r2' ORDER BY id DESC LIMIT 500 OFFSET 40")
+@plan("i04_page_newest", f"WITH {_AC} SELECT id, decision FROM au WHERE repo_id = 'r2' ORDER BY id DESC LIMIT 9999 OFFSET 40")
 def _(m):
     rows = L.authoritative(m.assessments).filter("repo_id = 'r2'")
     return L.page(rows, 9999, 40).select("id", F.col("content.decision").alias("decision"))
@@ -172,7 +172,7 @@ def _(m):
 
 @plan("i06_pending_reviews", f"""WITH {_AC}, q AS (SELECT id, repo_id, decision, CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 9 END AS gate FROM ac
   WHERE c % 7 = 3 AND (decision = 'ask_human' OR (decision = 'proceed' AND id % 3 = 0) OR (decision = 'reject' AND id % 4 IN (0, 1)))),
-n AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY id DESC) AS r FROM q) SELECT repo_id, id, decision, gate FROM n WHERE r <= 200""")
+n AS (SELECT * FROM q) SELECT repo_id, id, decision, gate FROM n""")
 def _(m):
     return L.pending_reviews(m.assessments, "commit3")
 

@@ -100,10 +100,11 @@ def _(m):
 
 
 @plan("d06_churn_count", f"""WITH {_FACTS}
-SELECT fact_id, (SELECT count(DISTINCT sk.action_id) FROM sk JOIN af ON af.action_id = sk.action_id WHERE sk.scope_kind = f.scope_kind AND sk.scope_value = f.scope_value AND af.verified AND af.recorded_at > f.created_at) AS scope_change_count
-FROM facts f WHERE scope_kind <> 'path_glob'""")
+SELECT fact_id, CASE WHEN scope_kind = 'path_glob' THEN (SELECT count(DISTINCT action_id) FROM af WHERE file_path GLOB f.scope_value AND af.verified AND af.recorded_at > f.created_at)
+  ELSE (SELECT count(DISTINCT sk.action_id) FROM sk JOIN af ON af.action_id = sk.action_id WHERE sk.scope_kind = f.scope_kind AND sk.scope_value = f.scope_value AND af.verified AND af.recorded_at > f.created_at) END AS scope_change_count
+FROM facts f""")
 def _(m):
-    return P.churn_counts(facts(m).filter("scope_kind <> 'path_glob'"), m.action_features)
+    return P.churn_counts(facts(m), m.action_features)
 
 
 @plan("f02_most_specific", f"WITH {_MATCHED} SELECT action_id, target_name, fact_id, R(value) AS value FROM wi")

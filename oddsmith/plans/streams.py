@@ -29,8 +29,9 @@ def _actions(m, orders):
         ((F.col("o_orderkey") % 19 + 1).cast("double") / 20).alias("p_success"), ((F.col("o_custkey") % 10).cast("double") / 20).alias("review_cost"))
 
 
-def _finish(query):
-    query.awaitTermination()
+def _finish(*queries):
+    for query in queries:
+        query.awaitTermination()
 
 
 @plan("k02_overview_counters", "SELECT decision, coalesce(terminal_status, 'pending') AS status, count(*) AS n FROM actions GROUP BY 1, 2")
@@ -44,14 +45,14 @@ def _(m):
 def _(m):
     path = scratch(m.spark, "trend")
     _finish(J.score_trend(_actions(m, _orders(m)), path, f"{path}-ck", ("p_success", "review_cost")))
-    out = J.latest(m.spark.read.parquet(path), ["day"], "n", "p_success", "review_cost")
-    return out.withColumn("day", _wall("day"))
+    return J.trend(m.spark.read.parquet(path), ("p_success", "review_cost")).withColumn("day", _wall("day"))
 
 
 @plan("k01_stream_measurement", """
 WITH o AS (SELECT action_id AS assessment_id, recorded_at + to_days(cast(action_id % 14 as int)) AS outcome_at, terminal_status FROM actions WHERE terminal_status IS NOT NULL)
 SELECT a.action_id AS assessment_id, R(p_success) AS p_success, o.terminal_status, 'joined' AS part FROM actions a JOIN o ON o.assessment_id = a.action_id AND outcome_at <= recorded_at + INTERVAL 10 DAY
 UNION ALL SELECT a.action_id, R(p_success), o.terminal_status, 'late' FROM actions a JOIN o ON o.assessment_id = a.action_id AND outcome_at > recorded_at + INTERVAL 10 DAY
+UNION ALL SELECT action_id, R(p_success), NULL, 'pending' FROM actions WHERE terminal_status IS NULL
 """)
 def _(m):
     def sides(orders):
@@ -64,9 +65,9 @@ def _(m):
     p, o = sides(_orders(m))
     twice = o.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")  # each outcome arrives twice
     path = scratch(m.spark, "measured")
-    _finish(J.measure_stream(p, twice, path, f"{path}-ck"))
-    pick = lambda df, part: df.select("assessment_id", "p_success", "terminal_status", F.lit(part).alias("part"))
-    return pick(m.spark.read.parquet(path), "joined").unionByName(pick(J.late_outcomes(*sides(m.orders)), "late"))
+    _finish(*J.measure_stream(p, twice, path, f"{path}-ck"))
+    done = J.measured(m.spark.read.parquet(f"{path}/predictions"), m.spark.read.parquet(f"{path}/outcomes"))
+    return done.select("assessment_id", "p_success", "terminal_status", "part")
 
 
 @plan("k04_stream_fact_application", f"""WITH {_MATCHED}, {_APPLIED.replace('@T@', 'action_targets')}

@@ -19,9 +19,11 @@ from oddsmith.sources.tables import append_once
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema: T.StructType, files_per_trigger: int = 64) -> DataFrame:
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    """Stream of a table that is one file or a folder of part files.
+
+    A pattern, as a plain path to a single file is not taken by the file source.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{table}[.]parquet")
 
 
 def _per_batch(stream: DataFrame, path: str, checkpoint: str, mode: str, write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -40,34 +42,33 @@ def overview_counters(actions: DataFrame, path: str, checkpoint: str) -> Streami
     return _per_batch(counts, path, checkpoint, "update")
 
 
-def score_trend(scores: DataFrame, path: str, checkpoint: str, columns: tuple[str, ...], late: str = "2 days") -> StreamingQuery:
-    """Daily means of the score series; rows later than the watermark no longer count."""
-    daily = scores.withWatermark("recorded_at", late).groupBy(F.window("recorded_at", "1 day").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
-    flat = daily.select(F.col("w.start").alias("day"), "n", *columns)
-    return _per_batch(flat, path, checkpoint, "update")
+def score_trend(scores: DataFrame, path: str, checkpoint: str, columns: tuple[str, ...]) -> StreamingQuery:
+    """Daily sums and counts of the score series, one additive partial per batch: rows may come in any order."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        day = F.date_trunc("day", "recorded_at").alias("day")
+        sums = [x for c in columns for x in (F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))]
+        batch.groupBy(day).agg(F.count(F.lit(1)).alias("n"), *sums).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+    return _per_batch(scores, path, checkpoint, "append", write)
 
-def measure_stream(predictions: DataFrame, outcomes: DataFrame, path: str, checkpoint: str, wait: str = "10 days") -> StreamingQuery:
-    """Join each prediction to its single outcome inside ``wait``.
 
-    Both sides carry watermarks, so state is bounded: an outcome later than ``wait`` is
-    dropped, where a batch job would still find it.
-    """
-    p = predictions.withWatermark("predicted_at", wait)
-    o = outcomes.withWatermark("outcome_at", wait).dropDuplicatesWithinWatermark(["outcome_assessment_id"])
-    on = (
-        (F.col("assessment_id") == F.col("outcome_assessment_id")) & (F.col("outcome_at") >= F.col("predicted_at"))
-        & (F.col("outcome_at") <= F.col("predicted_at") + F.expr(f"INTERVAL {wait}"))
-    )
-    joined = p.join(o, on, "inner").drop("outcome_assessment_id")
-    return joined.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def trend(partials: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Daily means from the partials of ``score_trend``."""
+    return partials.groupBy("day").agg(F.sum("n").alias("n"), *[(F.sum(f"{c}_sum") / F.sum(f"{c}_n")).alias(c) for c in columns])
+
+
+def measure_stream(predictions: DataFrame, outcomes: DataFrame, path: str, checkpoint: str) -> list[StreamingQuery]:
+    """Append both sides under ``path``; what is due is measured by ``measured``, whatever the order of arrival."""
+    return [_per_batch(side, f"{path}/{name}", f"{checkpoint}-{name}", "append") for name, side in (("predictions", predictions), ("outcomes", outcomes))]
 
 
-def late_outcomes(predictions: DataFrame, outcomes: DataFrame, wait: str = "10 days") -> DataFrame:
-    """Batch audit of what the stream leaves out: outcomes later than ``wait``."""
-    late = F.col("outcome_at") > F.col("predicted_at") + F.expr(f"INTERVAL {wait}")
-    return predictions.join(outcomes, F.col("assessment_id") == F.col("outcome_assessment_id")).filter(late)
+def measured(predictions: DataFrame, outcomes: DataFrame, wait: str = "10 days") -> DataFrame:
+    """Every prediction with its earliest outcome; ``part``: joined, late (after ``wait``, or before the prediction) or pending."""
+    first = outcomes.groupBy("outcome_assessment_id").agg(F.min(F.struct("outcome_at", *[c for c in outcomes.columns if c not in ("outcome_at", "outcome_assessment_id", "batch_id")])).alias("o"))
+    both = predictions.join(first, F.col("assessment_id") == F.col("outcome_assessment_id"), "left").drop("outcome_assessment_id")
+    in_time = (F.col("o.outcome_at") >= F.col("predicted_at")) & (F.col("o.outcome_at") <= F.col("predicted_at") + F.expr(f"INTERVAL {wait}"))
+    part = F.when(F.col("o").isNull(), "pending").when(in_time, "joined").otherwise("late")
+    return both.select(*[c for c in predictions.columns if c != "batch_id"], "o.*", part.alias("part"))
 
 
 def apply_facts_stream(targets: DataFrame, features: DataFrame, facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
