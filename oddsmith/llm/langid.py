@@ -9,47 +9,38 @@ decides; all of them below that) of those whose crc32 of the id leaves 0 or 2 mo
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if
 nothing can be learned; ties between languages go to the first by name, ties between
-n-grams of a document to the one that appears first.
+n-grams of a document to the smaller crc32.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.llm.common import per_batch
 
-LONGEST, PROFILE, MAX_DOCS, CACHED = 3, 300, 4_000, 1 << 18
+LONGEST, PROFILE, MAX_DOCS, CACHED, KNOWN = 3, 300, 1_000, 1 << 18, 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-class Grams(dict):
-    """Word -> its n-grams."""
-
-    def __missing__(self, word: str) -> list[str]:
-        if len(self) >= CACHED:
-            self.clear()
-        w = f"_{word}_"
-        found = [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-_GRAMS = Grams()
+def grams(word: str) -> list[str]:
+    w = f"_{word}_"
+    return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
 
 
 def gram_counts(text: str) -> dict[str, int]:
-    """Counts in order of first appearance."""
     out: dict[str, int] = {}
     get = out.get
     for word, n in Counter(LETTERS.findall(text.lower())).items():
-        for g in _GRAMS[word]:
+        for g in grams(word):
             out[g] = get(g, 0) + n
     return out
 
@@ -79,24 +70,72 @@ def profiles(docs: DataFrame, size: int = PROFILE, max_docs: int = MAX_DOCS) ->
     return out
 
 
-def predict(text: str | None, table: dict[str, dict[str, int]], size: int = PROFILE) -> tuple[str, float]:
-    """The nearest language and 1 - distance / largest possible distance."""
-    counts = gram_counts(text or "")
-    if not counts or not table:
-        return UNKNOWN, 0.0
-    own = sorted(counts, key=counts.get, reverse=True)[:size]  # stable: ties in order of appearance
-    best = min((sum(abs(i - ranks[g]) if g in ranks else size for i, g in enumerate(own)), lang) for lang, ranks in sorted(table.items()))
-    return best[1], 1.0 - best[0] / (size * len(own))
+class Ranker(dict):
+    """Predicts one text after another; remembers the numbered n-grams of words (all is forgotten at ``CACHED`` words or ``KNOWN`` n-grams)."""
+
+    def __init__(self, table: dict[str, dict[str, int]], size: int = PROFILE):
+        self.langs, self.size = sorted(table), size
+        self.table, self.numbers = table, {}
+        self.ranks = np.full((len(self.langs), KNOWN), -1, np.int32)
+        self.marks = np.zeros(KNOWN, np.int64)
+
+    def number(self, g: str) -> int:
+        no = self.numbers.setdefault(g, len(self.numbers))
+        self.marks[no] = zlib.crc32(g.encode())
+        for i, lang in enumerate(self.langs):
+            self.ranks[i, no] = self.table[lang].get(g, -1)
+        return no
+
+    def __missing__(self, word: str) -> np.ndarray:
+        known, found = self.numbers, grams(word)
+        out = np.array([known[g] if g in known else self.number(g) for g in found], np.int32)
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The nearest language and 1 - distance / largest possible distance."""
+        counts = Counter(LETTERS.findall((text or "").lower()))
+        if not counts or not self.langs:
+            return UNKNOWN, 0.0
+        if len(self) >= CACHED or len(self.numbers) + sum(LONGEST * (len(w) + 2) for w in counts) >= KNOWN:
+            self.clear()
+            self.numbers.clear()
+        if sum(LONGEST * (len(w) + 2) for w in counts) >= KNOWN:
+            return slow_predict(text, self.table, self.size)
+        parts = [self[w] for w in counts]
+        weight = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) for x in parts])
+        total = np.bincount(np.concatenate(parts), weight)
+        seen = np.flatnonzero(total)
+        order = (total[seen].astype(np.int64) << 32) - self.marks[seen]  # larger counts first, then smaller marks
+        if len(seen) > self.size:
+            top = np.argpartition(-order, self.size)[: self.size]
+            seen, order = seen[top], order[top]
+        own = seen[np.argsort(-order)]
+        ranks = self.ranks[:, own]
+        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own)))).sum(1)
+        best = int(np.argmin(far))
+        return self.langs[best], 1.0 - int(far[best]) / (self.size * len(own))
+
+
+def slow_predict(text: str, table: dict[str, dict[str, int]], size: int) -> tuple[str, float]:
+    """The same for a text with more different words than a ``Ranker`` remembers."""
+    counts = gram_counts(text)
+    own = sorted(counts, key=lambda g: (-counts[g], zlib.crc32(g.encode())))[:size]
+    far, best = min((sum(abs(i - ranks[g]) if g in ranks else size for i, g in enumerate(own)), lang) for lang, ranks in sorted(table.items()))
+    return best, 1.0 - far / (size * len(own))
 
 
 def identified(docs: DataFrame, table: dict[str, dict[str, int]], text_col: str = "text") -> DataFrame:
     """``docs`` as column ``row`` with ``lang_pred`` and ``score``."""
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [predict(x, table) for x in batch.column("t").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranker = Ranker(table)
+        for batch in batches:
+            got = [ranker.predict(x) for x in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
 
     packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"))
-    return packed.mapInArrow(per_batch(score), packed.select("row").schema.add("lang_pred", "string").add("score", "double"))
+    return packed.mapInArrow(score, packed.select("row").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def report(docs: DataFrame) -> DataFrame:

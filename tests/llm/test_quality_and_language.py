@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import zlib
 from hashlib import sha256
 
 import duckdb
@@ -118,10 +119,19 @@ def test_language_odd_rows(frame):
     assert langid.report(frame([], "doc_id long, text string, lang string")).collect() == []
 
 
-def test_rank_distance():
+def test_rank_distance(monkeypatch):
     table = {"a": {"_x": 0, "x_": 1, "x": 2}, "b": {"y": 0}}
-    # own list of "x": x, _x, x_, _x_
-    assert langid.predict("x", table, 10) == ("a", 1 - (2 + 1 + 1 + 10) / 40)
+    own = sorted(["x", "_x", "x_", "_x_"], key=lambda g: zlib.crc32(g.encode()))
+    far = sum(abs(i - table["a"][g]) if g in table["a"] else 10 for i, g in enumerate(own))
+    assert langid.Ranker(table, 10).predict("x") == ("a", 1 - far / 40)
+    rng = random.Random(6)
+    table = {lang: {"".join(rng.choice("abc_") for _ in range(rng.randrange(1, 4))): i for i in range(40)} for lang in "uvw"}
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 80))) for _ in range(60)]
+    want = [langid.slow_predict(t, table, 20) for t in texts]
+    for known in (1 << 18, 300):  # also when all is forgotten again and again
+        monkeypatch.setattr(langid, "KNOWN", known)
+        ranker = langid.Ranker(table, 20)
+        assert [ranker.predict(t) for t in texts] == want
 
 
 def test_classifier_held_out(docs, labels):
