@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict, deque
 from math import ceil
+from struct import pack as packed_ids
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,32 @@ class Encoder(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= CACHED:
             self.clear()
+        if (word := stem(chunk)) != chunk:
+            ids = self[word] + self[chunk[-1:]]
+            if len(chunk) <= 64:
+                self[chunk] = ids
+            return ids
         ids = np.array(self.model.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
     def ids(self, data: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, data.split()))
+        if b"<|" not in data:  # special tokens are written in one case; everything else is lower-cased anyway
+            data = data.lower()
+        chunks = data.split()
+        new = [c for c in {stem(c) for c in set(chunks) if c not in self} if c not in self and len(c) <= 64]
+        if len(self) + len(new) >= CACHED:
+            self.clear()
+        elif new:  # together, and without offsets
+            found = self.model.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+            self.update((c, packed_ids(f"<{len(x.ids)}I", *x.ids)) for c, x in zip(new, found))
+        return b"".join(map(self.__getitem__, chunks))
+
+
+def stem(chunk: bytes) -> bytes:
+    """Without a final full stop or comma after an ASCII letter or digit: that mark is a token of its own."""
+    return chunk[:-1] if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum() else chunk
 
 
 def encoder(path: str) -> Encoder:
