@@ -204,18 +204,20 @@ SELECT 'c' || cast(c_custkey as string), 'module', c_name, 'Pkg' || cast(c_custk
 FROM {customer}
 """
 
-VIEWS["edges"] = """
-SELECT DISTINCT 's' || cast(l_suppkey as string) AS source, 'p' || cast(l_partkey as string) AS target, 'calls' AS kind
-FROM {lineitem} WHERE l_linestatus = 'F' AND l_quantity > 45
+# every line takes part; the graph is sparse because a key keeps the other end of its newest order only
+_NEWEST = "max(cast(l_orderkey as bigint) * 1000000000 + {end}) % 1000000000"
+VIEWS["edges"] = f"""
+SELECT 's' || cast({_NEWEST.format(end="l_suppkey")} as string) AS source, 'p' || cast(l_partkey as string) AS target, 'calls' AS kind
+FROM {{lineitem}} GROUP BY l_partkey, l_linestatus
 UNION ALL
-SELECT DISTINCT 'p' || cast(l_partkey as string), 's' || cast(l_suppkey as string), 'references'
-FROM {lineitem} WHERE l_linestatus = 'O' AND l_quantity > 48
+SELECT DISTINCT 'p' || cast(part as string), 's' || cast(l_suppkey as string), 'references'
+FROM (SELECT l_suppkey, {_NEWEST.format(end="l_partkey")} AS part FROM {{lineitem}} GROUP BY l_suppkey, l_linenumber)
 UNION ALL
-SELECT DISTINCT 'c' || cast(o_custkey as string), 'p' || cast(l_partkey as string), 'instantiates'
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 49
+SELECT 'c' || cast(o_custkey as string), 'p' || cast({_NEWEST.format(end="l_partkey")} as string), 'instantiates'
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY o_custkey
 UNION ALL
-SELECT DISTINCT 'c' || cast(o_custkey as string), 's' || cast(l_suppkey as string), 'contains'
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_discount > 0.09
+SELECT 'c' || cast({_NEWEST.format(end="o_custkey")} as string), 's' || cast(l_suppkey as string), 'contains'
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY l_suppkey
 """
 
 VIEWS["files"] = """
@@ -224,11 +226,11 @@ SELECT file_path AS path, count(*) * 1000 AS size, count(*) AS node_count,
 FROM {nodes} GROUP BY file_path
 """
 
-# owners an action touches: up to a handful of graph nodes per action
+# owners an action touches: at most one service and one function per action
 VIEWS["touched"] = """
-SELECT DISTINCT l_orderkey AS action_id, CASE WHEN l_linenumber % 5 = 0 THEN 's' || cast(l_suppkey as string)
-  ELSE 'p' || cast(l_partkey as string) END AS id
-FROM {lineitem} WHERE l_quantity > 40
+SELECT l_orderkey AS action_id, CASE WHEN service THEN 's' || cast(max(l_suppkey) as string)
+  ELSE 'p' || cast(max(l_partkey) as string) END AS id
+FROM (SELECT *, l_linenumber % 5 = 0 AS service FROM {lineitem}) GROUP BY l_orderkey, service
 """
 
 VIEWS["import_files"] = """
@@ -245,13 +247,14 @@ SELECT 'dir' || cast(l_partkey % 12 as string) || '/m' || cast(l_partkey as stri
   CASE l_linenumber WHEN 1 THEN 'static' WHEN 2 THEN 'relative' WHEN 3 THEN 'wildcard' WHEN 4 THEN 'dynamic'
     WHEN 6 THEN CASE l_suppkey % 3 WHEN 0 THEN 'static' WHEN 1 THEN 'dynamic' ELSE 'external' END ELSE 'static' END AS kind,
   'mod' || cast(l_suppkey as string) AS name
-FROM {lineitem} WHERE l_quantity > 40 AND l_partkey <> l_suppkey * 7 + l_linenumber
+FROM (SELECT l_partkey, l_linenumber, max(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_partkey, l_linenumber)
+WHERE l_partkey <> l_suppkey * 7 + l_linenumber
 """
 
 VIEWS["change_files"] = """
 SELECT DISTINCT l_orderkey AS action_id,
   'dir' || cast(l_partkey % 12 as string) || '/m' || cast(l_partkey as string) || '.py' AS path
-FROM {lineitem} WHERE l_quantity > 48
+FROM {lineitem}
 """
 
 # paths with varied shapes for pattern rules
@@ -360,7 +363,7 @@ SELECT l_orderkey AS assessment_id,
   CASE l_linenumber % 4 WHEN 0 THEN 'test_regression' WHEN 1 THEN 'public_api_break'
     WHEN 2 THEN 'dependency_break' ELSE 'migration_failure' END AS event,
   bool_or(l_returnflag = 'R') AS observed
-FROM {lineitem} WHERE l_quantity > 5 GROUP BY 1, 2
+FROM {lineitem} GROUP BY 1, 2
 """
 
 
@@ -391,10 +394,11 @@ FROM {orders}
 """
 
 VIEWS["guardrails"] = """
-SELECT l_orderkey AS assessment_id, (cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id,
+SELECT l_orderkey AS assessment_id,
+  ((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 32 + cast(extract(day FROM l_shipdate) as bigint) AS id,
   CASE l_returnflag WHEN 'A' THEN 'proceed' WHEN 'R' THEN 'inspect_first' ELSE 'ask_human' END AS pre_commit_decision,
   l_discount AS measured_benefit, l_shipdate AS recorded_at
-FROM {lineitem} WHERE l_quantity > 20
+FROM {lineitem}
 """
 
 VIEWS["prediction_provenance"] = """

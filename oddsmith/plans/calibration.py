@@ -66,15 +66,14 @@ def _(m):
 
 
 @plan("e05_reliability_bins", f"""
-WITH g AS (SELECT target_name, {_BIN} AS b, predicted_probability AS p, actual_outcome AS y FROM risk_rows WHERE predicted_probability < 0.85),
+WITH g AS (SELECT target_name, {_BIN} AS b, predicted_probability AS p, actual_outcome AS y FROM risk_rows),
 f AS (SELECT DISTINCT target_name FROM g), k AS (SELECT cast(unnest(range(0, 10)) as int) AS bin)
 SELECT f.target_name, k.bin, R(k.bin * (cast(1 as double) / 10)) AS predicted_lo, R((k.bin + 1) * (cast(1 as double) / 10)) AS predicted_hi,
   count(g.p) AS count, R(avg(g.y)) AS observed_rate, R(avg(g.p)) AS mean_predicted
 FROM f CROSS JOIN k LEFT JOIN g ON g.target_name = f.target_name AND g.b = k.bin GROUP BY 1, 2
 """)
 def _(m):
-    rows = m.risk_rows.filter("predicted_probability < 0.85")
-    return C.reliability_bins(rows, ["target_name"], "predicted_probability", "actual_outcome")
+    return C.reliability_bins(m.risk_rows, ["target_name"], "predicted_probability", "actual_outcome")
 
 
 def _decided(m):

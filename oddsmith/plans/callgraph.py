@@ -289,7 +289,7 @@ def _(m):
 
 
 _RANGES = """SELECT l_orderkey * 10 + l_linenumber AS range_id, 'dir' || cast(cast(floor(l_partkey / 50) as bigint) % 8 as string) || '/file' || cast(cast(floor(l_partkey / 50) as bigint) as string) AS file_path,
-  min(cast(l_quantity * 18 as int)) AS lo, min(cast(l_quantity * 18 as int)) + 12 AS hi FROM {lineitem} WHERE l_quantity > 30 GROUP BY 1, 2"""
+  min(cast(l_quantity * 18 as int)) AS lo, min(cast(l_quantity * 18 as int)) + 12 AS hi FROM {lineitem} GROUP BY 1, 2"""
 
 
 @plan("d09_interval_owners", f"""WITH r0 AS ({_RANGES.replace('{lineitem}', 'lineitem')}), r AS (SELECT *, row_number() OVER () AS q FROM r0),

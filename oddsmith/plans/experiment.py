@@ -44,14 +44,14 @@ def _(m):
 
 def _tasks(m):
     n = F.col("p_partkey")
-    return m.part.filter("p_partkey < 40").select(n.alias("task_id"), F.when(n % 2 == 0, "risky").otherwise("safe").alias("harm_label"),
+    return m.part.select(n.alias("task_id"), F.when(n % 2 == 0, "risky").otherwise("safe").alias("harm_label"),
                                                   F.when(n % 3 == 0, "csharp").otherwise("javascript").alias("language"))
 
 
 ARMS = ("sham", "graph_context", "advised", "advised_context", "oracle_positive", "enforced_control", "advised_repair")
 _GRID = f"""
 pl AS (SELECT p_partkey AS task_id, CASE WHEN p_partkey % 2 = 0 THEN 'risky' ELSE 'safe' END AS harm_label, CASE WHEN p_partkey % 3 = 0 THEN 'csharp' ELSE 'javascript' END AS language, s.seed, a.arm
-  FROM part, (SELECT unnest(range(1, 26)) AS seed) s, (SELECT unnest({list(ARMS)}) AS arm) a WHERE p_partkey < 40),
+  FROM part, (SELECT unnest(range(1, 26)) AS seed) s, (SELECT unnest({list(ARMS)}) AS arm) a),
 gr AS (SELECT coalesce(pl.task_id, o.task_id) AS task_id, cast(coalesce(pl.seed, o.seed) as int) AS seed, coalesce(pl.arm, o.arm) AS arm, CASE WHEN o.task_id IS NULL THEN 'pending' ELSE 'done' END AS status, coalesce(o.harm_label, pl.harm_label) AS harm_label, language
   FROM pl FULL JOIN run_outcomes o ON o.task_id = pl.task_id AND o.seed = pl.seed AND o.arm = pl.arm)"""
 

@@ -164,15 +164,15 @@ def _(m):
 
 
 @plan("e17_cluster_fit", """
-WITH r AS (SELECT l_partkey AS owner, l_returnflag <> 'N' AS ok FROM lineitem WHERE l_quantity > 40 AND l_linenumber = 1),
+WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS owner, l_returnflag <> 'N' AS ok FROM lineitem),
 d AS (SELECT owner, count(*) AS k, bool_or(ok) AS y FROM r GROUP BY 1)
 SELECT 'duplicate_owner' AS status, count(*) AS owners, count(*) FILTER (y) AS successes, count(*) FILTER (k > 1) AS repeated_owners, NULL AS p_success, NULL AS p_success_variance, NULL AS aleatoric_variance FROM d
 UNION ALL SELECT 'ok', count(*), count(*) FILTER (y), 0, R((1.0 + count(*) FILTER (y)) / (2 + count(*))), R((1.0 + count(*) FILTER (y)) * (1 + count(*) FILTER (NOT y)) / (cast(2 + count(*) as double) ** 2 * (3 + count(*)))),
   R((1.0 + count(*) FILTER (y)) * (1 + count(*) FILTER (NOT y)) / (cast(2 + count(*) as double) * (3 + count(*)))) FROM d WHERE k = 1
 """)
 def _(m):
-    rows = m.lineitem.filter("l_quantity > 40 AND l_linenumber = 1").select(
-        F.col("l_partkey").alias("owner"), (F.col("l_returnflag") != "N").alias("action_success"), F.lit(True).alias("eligible"))
+    rows = m.lineitem.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("owner"), (F.col("l_returnflag") != "N").alias("action_success"), F.lit(True).alias("eligible"))
     every = P.cluster_fit(rows.withColumn("proof_fired", F.lit(True)))
     once = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("k"))
     single = rows.join(once, "owner").withColumn("proof_fired", F.col("k") == 1)
