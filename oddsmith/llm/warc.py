@@ -48,9 +48,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.lit("\r\n"),
     )
     held.select("id", "address", head.alias("head")).write.parquet(f"{path}/records")
-    stored = first.select(F.col("address").alias("of"), "first")
-    once = rows.join(stored, (F.col("address") == F.col("of")) & F.col("id").eqNullSafe(F.col("first"))).select("address", "payload")
-    once.dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    # one shuffle: each task keeps one row of an address before it sends any
+    rows.select("address", "payload").dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
 
 
 def _field(name: str, value: str = "[^\r\n]*") -> Column:
