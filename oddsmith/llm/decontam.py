@@ -1,9 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 5, DataFrame functions only).
 
 A benchmark item of n five-word shingles is compared with the n-shingle windows of a
-document.  Windows are cut where a shingle of the document is one of an item's: an item and
-a window without common shingle have similarity 0.  A document needs as many such shingles
-as the similarity asks for before its windows are fingerprinted.
+document, a document of fewer shingles as a whole.  Windows are cut where a shingle of the
+document is one of an item's: an item and a window without common shingle have similarity 0.
+They begin at a shared shingle, or so that one has the same place in window and item, moved
+inside the document; no other window has more in common.  A document needs as many shared
+shingles as the similarity asks for before its windows are fingerprinted.
 
 Window and item fingerprints (64 bits) meet through ``BLOCKS`` bit blocks: within
 ``radius`` bits in all, one block differs in at most ``radius // BLOCKS`` bits, and the index
@@ -55,21 +57,26 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def need(n: Column, least: float) -> Column:
-    """Common shingles that two bags of ``n`` have at least at that similarity."""
-    return F.ceil(2 * least * n / (1 + least) - F.lit(1e-9))
+def need(n: Column, size: Column, least: float) -> Column:
+    """Common shingles that bags of ``n`` and ``size`` have at least at that similarity."""
+    return F.ceil(least * (n + size) / (1 + least) - F.lit(1e-9))
 
 
 def windows(docs: DataFrame, items: DataFrame, least: float, broadcast: int) -> DataFrame:
-    """``id, start, n, win``: item-sized windows of ``docs(id, g)`` placed by shared shingles of ``items(item, n, g)``."""
+    """``id, start, n, win``: windows of ``docs(id, g)`` for items of ``n`` shingles, placed by shared shingles of ``items(item, n, g)``."""
     table = items.select("item", "n", F.posexplode("g").alias("at", "h"))
     table = F.broadcast(table) if table.count() <= broadcast else table
     # the outer form: the inner one adds a filter on the shingles, which would compute them once more for every word
     hits = docs.select("id", F.size("g").alias("size"), "g").select("id", "size", F.posexplode_outer("g").alias("pos", "h")).join(table, "h")
-    placed = store(hits.groupBy("id", "item", "n", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("hits")), "placed")
-    total = placed.groupBy("id", "item").agg(F.sum("hits").alias("total")).withColumnsRenamed({"id": "of", "item": "for"})
-    good = placed.join(total, F.col("id").eqNullSafe(F.col("of")) & (F.col("item") == F.col("for")))
-    good = good.filter((F.col("total") >= need(F.col("n"), least)) & (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size")))
+    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
+    aligned = F.greatest(F.least(F.col("pos") - F.col("at"), last), F.lit(0))
+    placed = hits.groupBy("id", "item", "n", "size").agg(F.collect_set("pos").alias("shared"), F.collect_set(aligned).alias("aligned"))
+    common = need(F.col("n"), F.least("n", "size"), least).cast("int")
+    placed = placed.filter(F.size("shared") >= common).withColumns({"shared": F.sort_array("shared"), "common": common, "last": last})
+    # a window that begins between shared shingles has no more of them than the next one that begins at one, or the last
+    full = F.filter(placed["shared"], lambda p, i: (p <= F.col("last")) & (F.get("shared", i + F.col("common") - 1) < p + F.col("n")))
+    starts = F.array_union(F.array_union("aligned", full), F.array("last"))
+    good = placed.select("id", "n", F.explode(starts).alias("start"))
     good = store(good.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("start", "n")).alias("wins")), "starts")
     few = F.broadcast(good) if (good.select(F.sum(F.size("wins") + 1)).first()[0] or 0) <= broadcast else good
     cut = docs.join(few, F.col("id").eqNullSafe(F.col("of"))).select("id", "g", F.explode("wins").alias("x"))

@@ -103,3 +103,30 @@ def test_leaks_equal_brute_force_on_both_join_paths(frame):
 def test_odd_rows(frame):
     assert len(simhash.near_duplicate_report(frame(ODD, ODD_SCHEMA)).collect()) == len(ODD)
     assert decontam.contaminated(frame(ODD, ODD_SCHEMA), frame([(7, "one two three four five six")], "item_id long, text string")).count() == 2
+
+
+def test_cut_short_and_moved_passages_equal_brute_force(frame):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((45, 45, 64, 30))]
+    pad = lambda n: " ".join(f"p{rng.randrange(5000)}" for _ in range(n))
+    docs = []
+    for _, text in items:
+        w = text.split()
+        docs += [pad(30) + " " + " ".join(w[:-4]), " ".join(w[4:]) + " " + pad(30), " ".join(w[:-2]), " ".join(w[2:]), " ".join(w[:20] + w[21:])]
+        docs += [" ".join(w[:-12]), pad(9) + " " + " ".join(w[12:]), pad(30) + " " + " ".join(w[:10] + w[11:]), " ".join(w[1:20] + w[21:]) + " " + pad(5)]
+        docs += [pad(7) + " zz " + " ".join(w[1:20]) + " a b " + " ".join(w[20:-1]) + " zz " + pad(9), pad(7) + " zz zz " + " ".join(w[2:]) + " " + pad(9)]
+    docs = list(enumerate(docs))
+    want = {}
+    for d, t in docs:
+        g = grams(t)
+        for i, x in ((i, grams(x)) for i, x in items):
+            for s in range(max(len(g) - len(x), 0) + 1):
+                win = g[s : s + len(x)]
+                both = sum((collections.Counter(win) & collections.Counter(x)).values())
+                if both / (len(win) + len(x) - both) >= 0.8:
+                    want[d, i] = max(want.get((d, i), 0), round(both / (len(win) + len(x) - both), 6))
+    assert len(want) >= 25
+    for limit in (1_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(frame(docs), frame(items, "item_id long, text string"), broadcast=limit).collect()}
+        assert got == want
