@@ -100,7 +100,7 @@ def opened(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def settle(pieces: DataFrame, rule: Callable[[], Callable[[dict[str, np.ndarray]], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``rule`` over the rows of each key in the order of (key, content, id, at), batch by batch."""
+    """Run ``rule`` over the rows of each key in the order of (key, content, id, row if there is one, at), batch by batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = rule()
         for batch in batches:
@@ -110,7 +110,8 @@ def settle(pieces: DataFrame, rule: Callable[[], Callable[[dict[str, np.ndarray]
             yield step(None)
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.repartition(n, "key").sortWithinPartitions("key", "content", "id", "at").mapInArrow(run, schema)
+    order = [c for c in ("key", "content", "id", "row", "at") if c in pieces.columns]
+    return pieces.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 class Runs:
@@ -142,5 +143,5 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def by_document(spans: DataFrame) -> DataFrame:
-    """``id, ats``: all packed spans of a document, at most one per window of it."""
-    return spans.groupBy("id").agg(F.collect_list("at").alias("ats"))
+    """``row, ats``: all packed spans of a row, at most one per window of it."""
+    return spans.groupBy("row").agg(F.collect_list("at").alias("ats"))

@@ -87,6 +87,18 @@ def test_words(frame, seed, size):
     assert sorted((tuple(r) for r in debruijn.dedup_report(frame(docs)).collect()), key=repr) == brute_words(docs)
 
 
+@pytest.mark.parametrize("size", [400, 4])
+def test_words_of_rows_that_share_an_id_or_have_none(frame, size):
+    rng = random.Random(size)
+    words = lambda n: " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+    shared = [words(30) for _ in range(3)]
+    docs = [(i, words(5) + " " + shared[i] + " " + words(20)) for i in range(3)]
+    for i in [None] * 12 + [7] * 6:
+        docs.append((i, words(rng.randrange(60)) + " " + rng.choice(shared)[: rng.randrange(150)] + " " + words(rng.randrange(60))))
+    docs += [docs[-1]] * 3 + [(None, docs[5][1])] * 2
+    assert sorted((tuple(r) for r in debruijn.dedup_report(frame(docs)).collect()), key=repr) == brute_words(docs)
+
+
 def test_long_texts_in_blocks(monkeypatch):
     monkeypatch.setattr(anchors, "BLOCK", 50)
     values = anchors.mixed(np.arange(400, dtype=np.uint64) % np.uint64(37))
