@@ -20,25 +20,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the smallest id, once if it is repeated.
+    """One document of each group of linked fingerprints: the smallest id, once if the row is repeated.
 
-    Rows without id count as larger than any row with one, in the order of a hash of the row.
+    Rows without id count as larger than any row with one; rows of one id, or none, follow a hash of the row.
     """
-    mark = F.xxhash64(*docs.columns)
-    nameless = F.lit(1 << 62) + F.pmod(mark, F.lit(1 << 61))
-    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark"), F.coalesce(F.col("doc_id"), nameless).alias("key"))
-    groups = simhash.near_duplicates(rows.select("key", F.col("row.text").alias("text")), "key")
-    first = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias("keep")).distinct()
-    once = rows.groupBy(F.col("key").alias("keep")).agg(F.min("mark").alias("least"), F.count(F.lit(1)).alias("n"))
-    chosen = first.join(once, "keep")
-    kept = rows.join(chosen, (F.col("key") == F.col("keep")) & (F.col("mark") == F.col("least")))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*docs.columns).alias("mark"))
+    groups = simhash.near_duplicates(rows.select("mark", F.col("row.text").alias("text")), "mark")
+    marks = rows.groupBy(F.col("mark").alias("id")).agg(F.min("row.doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    members = groups.select("id", "component").distinct().join(marks, "id")
+    least = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "id", "n")).alias("least")
+    chosen = members.groupBy("component").agg(least).select(F.col("least.id").alias("keep"), "least.n")
+    kept = rows.join(chosen, F.col("mark") == F.col("keep"))
     return kept.filter("n = 1").select("row.*").unionByName(kept.filter("n > 1").select("row").dropDuplicates().select("row.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")
+    """Documents without a passage of the benchmark; clean texts stay whatever their id is."""
+    found = decontam.leaking(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias("leaking")).distinct()
+    return docs.join(found, decontam.row_key() == F.col("leaking"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

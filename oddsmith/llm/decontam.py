@@ -19,7 +19,8 @@ joined by shuffle.  The same holds for the table of window places that goes back
 documents: usually few documents have any, so their texts are not shuffled.
 
 Cases: null texts have no words; items with fewer than five words have no shingle and match
-nothing; rows without doc_id keep null; equal items are reported separately.
+nothing; equal items are reported separately.  A document is what has one id and text (see
+``row_key``): texts that share an id, or have none, are found and reported on their own.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ def shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.filter(F.size("w") >= GRAM).select("id", F.slice(hashes, 1, F.size("w") - (GRAM - 1)).alias("g"))
 
 
+def row_key() -> Column:
+    """Tells documents apart also if they share ``doc_id`` or have none."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprint(g: Column) -> Column:
     """Bit b is set if it is set in more than half of the hashes."""
     bit = lambda h, b: F.call_function("bit_get", h, b).cast("int")
@@ -79,14 +85,15 @@ def windows(docs: DataFrame, items: DataFrame, least: float, broadcast: int) ->
     good = placed.select("id", "n", F.explode(starts).alias("start"))
     good = store(good.groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("start", "n")).alias("wins")), "starts")
     few = F.broadcast(good) if (good.select(F.sum(F.size("wins") + 1)).first()[0] or 0) <= broadcast else good
-    cut = docs.join(few, F.col("id").eqNullSafe(F.col("of"))).select("id", "g", F.explode("wins").alias("x"))
+    cut = docs.join(few, F.col("id") == F.col("of")).select("id", "g", F.explode("wins").alias("x"))
     return cut.select("id", "x.start", "x.n", F.slice("g", F.col("x.start") + 1, F.col("x.n")).alias("win")).dropDuplicates(["id", "start", "n"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, broadcast: int = BROADCAST) -> DataFrame:
-    """``doc_id, item_id, similarity, start_word, distance``: the best window of each pair at or above ``least``."""
+def leaking(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, broadcast: int = BROADCAST) -> DataFrame:
+    """``row, item_id, similarity, start_word, distance``: the best window of each pair at or above ``least``."""
+    docs = docs.select(row_key().alias("row"), "text")
     items = store(shingles(benchmark, "item_id", "text").select(F.col("id").alias("item"), F.size("g").alias("n"), "g", fingerprint(F.col("g")).alias("fp")), "items")
-    cut = store(windows(shingles(docs, "doc_id", "text"), items.select("item", "n", "g"), least, broadcast).withColumn("wfp", fingerprint(F.col("win"))), "windows")
+    cut = store(windows(shingles(docs, "row", "text"), items.select("item", "n", "g"), least, broadcast).withColumn("wfp", fingerprint(F.col("win"))), "windows")
     near = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda x: F.bit_count(x) <= radius // BLOCKS)
     index = items.select("item", "n", "g", "fp", F.posexplode(F.array(*[block(F.col("fp"), i) for i in range(BLOCKS)])).alias("no", "v"))
     index = index.select("item", F.col("n").alias("size"), "fp", "no", "v", F.explode(near).alias("flip")).select("item", "size", "fp", "no", F.col("v").bitwiseXOR(F.col("flip")).alias("value"))
@@ -94,7 +101,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp")))
     pairs = keyed.join(index.hint("merge"), (F.col("n") == F.col("size")) & (F.col("wno") == F.col("no")) & (F.col("wv") == F.col("value")) & (apart <= radius))
     pairs = pairs.select("id", "start", "n", "item", apart.alias("distance")).distinct().withColumnsRenamed({"id": "of", "start": "from", "n": "size"})
-    both = pairs.join(cut, F.col("id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("from")) & (F.col("n") == F.col("size"))).drop("n")
+    both = pairs.join(cut, (F.col("id") == F.col("of")) & (F.col("start") == F.col("from")) & (F.col("n") == F.col("size"))).drop("n")
     scored = both.join(items.select("item", "g"), "item").select("id", "item", "start", "distance", similarity(F.col("win"), F.col("g")).alias("similarity")).filter(F.col("similarity") >= least)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance")).alias("b"))
-    return best.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).alias("start_word"), F.col("b.distance").alias("distance"))
+    return best.select(F.col("id").alias("row"), F.col("item").alias("item_id"), F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).alias("start_word"), F.col("b.distance").alias("distance"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, broadcast: int = BROADCAST) -> DataFrame:
+    """``doc_id, item_id, similarity, start_word, distance`` of every document and item in ``leaking``."""
+    found = store(leaking(docs, benchmark, least, radius, broadcast), "leaking")
+    named = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(found, "row")
+    return named.distinct().drop("row")

@@ -37,3 +37,16 @@ def test_stages(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     sf = folder(spark, tmp_path / "sf", [], [(1, "a b c d e f g")])
     assert C.run(spark, sf).count() == 0
+
+
+def test_documents_that_share_an_id_or_have_none(spark, tmp_path):
+    text = lambda i: " ".join(f"wort{i}x{j} the of and" for j in range(25))
+    item = "this passage of the benchmark is long enough to have many shingles of five words each"
+    rows = [(d, t, "en", "s", 1) for d in (None, 5) for t in (text(80 + (d or 0)), text(90 + (d or 0)), f"start {text(70 + (d or 0))} {item}")]
+    sf = folder(spark, tmp_path / "sf", rows, [(1, item)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    order = lambda rs: sorted(((r.doc_id, r.text) for r in rs), key=repr)
+    assert order(C.near_copies(spark, docs, sf).collect()) == sorted((r[:2] for r in rows), key=repr)
+    assert order(C.leaks(spark, docs, sf).collect()) == sorted((r[:2] for r in rows if item not in r[1]), key=repr)
+    found = C.decontam.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
+    assert sorted(((r.doc_id, r.item_id, r.similarity, r.start_word) for r in found), key=repr) == [(5, 1, 1.0, 101), (None, 1, 1.0, 101)]
