@@ -6,7 +6,9 @@ settled by a running comparison (see ``anchors``).  The different stretches of a
 has several become part of a shard, whose suffix array is built by induced sorting: suffixes
 move through one first-in-first-out queue per first character (the buckets of a priority
 queue), which spill to disk beyond ``QUEUED`` bytes.  Neighbours in the array are compared
-byte for byte up to ``window`` bytes.
+byte for byte up to ``window`` bytes.  A key whose different stretches have more than
+``SHARD`` bytes (a short footer of many documents) gets no shard: each of its windows is a row,
+and windows meet by 128 hashed bits in joins that skew handling can split.
 
 The reduced string of an induction level is ordered by prefix doubling, up to ``window``
 bytes only, instead of by another induction, and common prefixes are compared rather than
@@ -280,6 +282,23 @@ class Elsewhere:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "id", "at", "gone", "open"])
 
 
+def hot_windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
+    """``id, at``: the windows of the pieces ``asked(id, ats)`` that occur at several places of such pieces."""
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for own, data, ats in zip(batch.column("id").to_pylist(), opened(batch), batch.column("ats").to_pylist()):
+            first, count = unpack(np.array(ats, np.int64))
+            pos = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            values = VALUES[np.frombuffer(data, np.uint8)]
+            for column, x in zip(out, (Rolling(values).ranges(pos, pos + window), Rolling(mixed(values)).ranges(pos, pos + window), np.full(len(pos), own, np.int64), pack(pos, np.ones(len(pos), np.int64)))):
+                column.append(x.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "check", "id", "at"])
+
+    found = store(shipped(docs).join(asked, "id").mapInArrow(per_batch(make), "h long, check long, id long, at long"), "hot_windows")
+    several = found.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return found.join(several, ["h", "check"]).select("id", "at").distinct()
+
+
 def shard_spans(pieces: Iterator[pa.RecordBatch], window: int, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of repeated windows of pieces sorted by key; keys are gathered up to ``size`` bytes."""
     held, total, key = [], 0, None
@@ -308,7 +327,11 @@ def shard_spans(pieces: Iterator[pa.RecordBatch], window: int, size: int) -> Ite
 def removed_spans(docs: DataFrame, window: int = WINDOW, k: int = GRAM, shard: int = SHARD) -> DataFrame:
     """``id, at``: packed runs of repeated windows of ``docs(id, data)``."""
     settled = store(settle(byte_pieces(docs, window, k), Elsewhere, "key long, id long, at long, gone boolean, open boolean"), "stretches")
-    asked = settled.filter("open").groupBy("id").agg(F.collect_list(F.struct("key", "at")).alias("ats"))
+    bytes_ = F.col("at").bitwiseAND(F.lit((1 << SHIFT) - 1)) + (window - 1)
+    hot = store(settled.filter("open").groupBy("key").agg(F.sum(bytes_).alias("bytes")).filter(F.col("bytes") > shard).select("key"), "hot_keys")
+    some, waiting = not hot.isEmpty(), settled.filter("open")
+    usual = waiting.join(hot, "key", "left_anti") if some else waiting
+    asked = usual.groupBy("id").agg(F.collect_list(F.struct("key", "at")).alias("ats"))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = ([], [], [], [])
@@ -322,13 +345,16 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, k: int = GRAM, shard: i
     parts = shipped(docs).join(asked, "id").mapInArrow(per_batch(fetch), "key long, id long, at long, part binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sharded = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: shard_spans(it, window, shard), "id long, at long")
-    return settled.filter("gone").select("id", "at").unionByName(sharded)
+    spans = settled.filter("gone").select("id", "at").unionByName(sharded)
+    if not some:
+        return spans
+    return spans.unionByName(hot_windows(docs, waiting.join(hot, "key", "left_semi").groupBy("id").agg(F.collect_list("at").alias("ats")), window))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM, shard: int = SHARD) -> DataFrame:
     """Every row's ``id``, ``n_bytes``, ``spans`` (removed runs, packed) and ``kept`` bytes."""
     known = texts(docs, id_col, text_col).withColumn("doc_id", F.col("id")).withColumn("id", F.xxhash64("id", "data"))
-    spans = removed_spans(known.select("id", "data"), window, k).groupBy("id").agg(F.collect_list("at").alias("ats"))
+    spans = removed_spans(known.select("id", "data"), window, k, shard).groupBy("id").agg(F.collect_list("at").alias("ats"))
 
     def strike(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = ([], [], [], [])

@@ -57,6 +57,38 @@ def test_bytes(frame, seed, letters, window):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_no_shard_holds_more_than_its_size(frame, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    footer, turns = text(18), [text(6) for _ in range(5)]
+    docs = [(i, text(rng.randrange(40)) + rng.choice(turns) + footer + rng.choice(turns) + text(rng.randrange(40))) for i in range(80)]
+    docs += [docs[3], (None, docs[4][1]), (None, None), (90, footer + text(9) + footer)]
+    log, run = tmp_path / "shards", suffixes.shard_spans
+
+    def logged(batches, window, size):
+        held, each = list(batches), collections.Counter()
+        for batch in held:
+            for key, part in zip(batch.column("key").to_pylist(), batch.column("part").to_pylist()):
+                each[key] += len(part)
+        with log.open("a") as f:
+            f.write("".join(f"{size} {n}\n" for n in each.values()))
+        return run(iter(held), window, size)
+
+    monkeypatch.setattr(suffixes, "shard_spans", logged)
+    order = lambda rs: sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rs), key=repr)
+    data = [(t or "").encode() for _, t in docs]
+    seen = collections.Counter(b[k : k + 24] for b in data for k in range(len(b) - 24 + 1))
+    want = []
+    for (i, _), b in zip(docs, data):
+        bad = {x for k in range(len(b) - 24 + 1) if seen[b[k : k + 24]] > 1 for x in range(k, k + 24)}
+        want.append((i, len(b), len(bad), sum(1 for x in bad if x - 1 not in bad), bytes(x for j, x in enumerate(b) if j not in bad)))
+    for shard in (200, 1, 1 << 20):
+        assert order(suffixes.dedup(frame(docs), window=24, k=6, shard=shard).collect()) == sorted(want, key=repr)
+    assert sum(n for _, _, n, _, _ in want) > 1000
+    held = [tuple(map(int, line.split())) for line in log.read_text().splitlines()]
+    assert all(n <= size for size, n in held) and max(n for _, n in held) > 200
+
+
 def brute_words(docs, window=13):
     first, out = {}, []
     big = (1 << 63) - 1
