@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsmith.llm import debruijn, decontam, langid, packing, pii, rules, simhash, subword, suffixes, warc
+from oddsmith.llm import centroids, debruijn, decontam, langid, packing, pii, prefixtrie, rules, simhash, subword, suffixes, tokens, warc
 from oddsmith.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": lambda spark, folder: debruijn.dedup_report(table(spark, folder, "documents")),
     "op9_packing": lambda spark, folder: packing.packed_report(table(spark, folder, "documents")),
     "op10_warc": lambda spark, folder: warc.archive_report(spark, folder),
+    "op11_centroid_clustering": lambda spark, folder: centroids.clusters(table(spark, folder, "embeddings")),
+    "op12_prefix_trie": lambda spark, folder: prefixtrie.trie(table(spark, folder, "conversations")),
+    "op13_token_counts": lambda spark, folder: tokens.report(table(spark, folder, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op10_warc": warc.ARCHIVE_SQL}
+ORACLES: dict[str, str] = {"op10_warc": warc.ARCHIVE_SQL, "op11_centroid_clustering": centroids.CLUSTERS_SQL, "op12_prefix_trie": prefixtrie.TRIE_SQL}
