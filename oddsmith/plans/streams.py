@@ -6,6 +6,7 @@ from oddsmith.plans.catalog import plan
 from oddsmith.plans.priors import _APPLIED, _MATCHED, facts
 from oddsmith.sources.tables import scratch
 from oddsmith.streaming import jobs as J
+from oddsmith.streaming import measure as S
 
 
 def _orders(m):
@@ -65,9 +66,10 @@ def _(m):
     p, o = sides(_orders(m))
     twice = o.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")  # each outcome arrives twice
     path = scratch(m.spark, "measured")
-    _finish(*J.measure_stream(p, twice, path, f"{path}-ck"))
-    done = J.measured(m.spark.read.parquet(f"{path}/predictions"), m.spark.read.parquet(f"{path}/outcomes"))
-    return done.select("assessment_id", "p_success", "terminal_status", "part")
+    _finish(S.measure_stream(p, twice.withColumnRenamed("outcome_assessment_id", "assessment_id"), path, f"{path}-ck"))
+    done = m.spark.read.parquet(path).filter(F.col("part").isin(S.JOINED, S.LATE)).select("assessment_id", "p_success", "terminal_status", "part")
+    left = S.pending(m.spark, f"{path}-ck").select("assessment_id", "p_success", F.lit(None).cast("string").alias("terminal_status"), F.lit(S.PENDING).alias("part"))
+    return done.unionByName(left)
 
 
 @plan("k04_stream_fact_application", f"""WITH {_MATCHED}, {_APPLIED.replace('@T@', 'action_targets')}

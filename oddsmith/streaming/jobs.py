@@ -57,20 +57,6 @@ def trend(partials: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return partials.groupBy("day").agg(F.sum("n").alias("n"), *[(F.sum(f"{c}_sum") / F.sum(f"{c}_n")).alias(c) for c in columns])
 
 
-def measure_stream(predictions: DataFrame, outcomes: DataFrame, path: str, checkpoint: str) -> list[StreamingQuery]:
-    """Append both sides under ``path``; what is due is measured by ``measured``, whatever the order of arrival."""
-    return [_per_batch(side, f"{path}/{name}", f"{checkpoint}-{name}", "append") for name, side in (("predictions", predictions), ("outcomes", outcomes))]
-
-
-def measured(predictions: DataFrame, outcomes: DataFrame, wait: str = "10 days") -> DataFrame:
-    """Every prediction with its earliest outcome; ``part``: joined, late (after ``wait``, or before the prediction) or pending."""
-    first = outcomes.groupBy("outcome_assessment_id").agg(F.min(F.struct("outcome_at", *[c for c in outcomes.columns if c not in ("outcome_at", "outcome_assessment_id", "batch_id")])).alias("o"))
-    both = predictions.join(first, F.col("assessment_id") == F.col("outcome_assessment_id"), "left").drop("outcome_assessment_id")
-    in_time = (F.col("o.outcome_at") >= F.col("predicted_at")) & (F.col("o.outcome_at") <= F.col("predicted_at") + F.expr(f"INTERVAL {wait}"))
-    part = F.when(F.col("o").isNull(), "pending").when(in_time, "joined").otherwise("late")
-    return both.select(*[c for c in predictions.columns if c != "batch_id"], "o.*", part.alias("part"))
-
-
 def apply_facts_stream(targets: DataFrame, features: DataFrame, facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Each batch of new actions is resolved against the active facts."""
     def write(batch: DataFrame, batch_id: int) -> None:
