@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsmith import constants as K
-from oddsmith.functions.columns import finite, posix, previous_row, running_sum
+from oddsmith.functions.columns import finite, previous_row, running_sum
 
 _S, _D, _B = T.StringType(), T.DoubleType(), T.BooleanType()
 
@@ -235,67 +235,3 @@ def utc_timestamp(c: str) -> Column:
     """Strict ISO-8601 UTC text, else NULL."""
     shape = F.col(c).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{6})?\+00:00$")
     return F.when(shape, F.try_to_timestamp(F.regexp_replace(c, r"\+00:00$", "Z")))
-
-
-# --- revision lineage ------------------------------------------------------------------------------------------------
-
-
-def _file_sets(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, "repo_id", "assessed_commit", F.explode(F.array_distinct(F.transform("files", lambda p: posix(p)))).alias("file"))
-
-
-def lineage_candidates(requests: DataFrame, records: DataFrame) -> DataFrame:
-    """Earlier records on the same commit whose files are inside, or overlap, the request's.
-
-    Sets meet file by file on an equi-key and are counted, instead of comparing every pair.
-    """
-    a, b = _file_sets(requests, "request_id"), _file_sets(records, "row_id")
-    shared = a.join(b, ["repo_id", "assessed_commit", "file"]).groupBy("request_id", "row_id").agg(F.count(F.lit(1)).alias("shared"))
-    rec = records.select("row_id", F.size(F.array_distinct("files")).alias("size"), "lineage_key", "is_legacy", F.col("baseline").alias("record_baseline"))
-    return shared.join(rec, "row_id").join(requests.select("request_id", "repo_id", "assessed_commit", "baseline"), "request_id").withColumn(
-        "inside", F.col("shared") == F.col("size"))
-
-
-def revision_attempts(requests: DataFrame, records: DataFrame) -> DataFrame:
-    """Attempts already spent on a request's lineage; one infrastructure retry is free."""
-    c = lineage_candidates(requests, records)
-    live = c.filter(~F.col("is_legacy") & (F.col("inside") | F.col("baseline").isNotNull()))
-    fits = F.when(F.col("baseline").isNull(), F.col("inside")).otherwise(F.coalesce(F.col("record_baseline") == F.col("baseline"), F.lit(False)))
-    named = fits & F.coalesce(F.col("lineage_key") != "", F.lit(False))
-    spent = records.filter("NOT is_legacy AND lineage_key <> ''").groupBy("repo_id", "assessed_commit", "lineage_key").agg(
-        (F.count_if(~F.col("retryable")) + F.greatest(F.lit(0), F.count_if("retryable") - 1)).alias("spent"))
-    worst = live.filter(named).select("request_id", "repo_id", "assessed_commit", "lineage_key").distinct().join(
-        spent, ["repo_id", "assessed_commit", "lineage_key"]).groupBy("request_id").agg(F.max("spent").alias("spent"))
-    seen = live.select("request_id").distinct().withColumn("live", F.lit(True))
-    old = c.filter(F.col("is_legacy") & F.col("inside")).select("request_id").distinct().withColumn("old", F.lit(True))
-    j = requests.select("request_id").join(worst, "request_id", "left").join(seen, "request_id", "left").join(old, "request_id", "left")
-    n = F.coalesce(F.col("spent"), F.when(F.col("live") | F.col("old"), 1), F.lit(0))
-    return j.select("request_id", n.cast("bigint").alias("attempts"))
-
-
-def revision_origin(requests: DataFrame, records: DataFrame) -> DataFrame:
-    """Earliest record of the one matching lineage, or why there is none."""
-    c = lineage_candidates(requests, records)
-    live = c.filter(~F.col("is_legacy") & (F.col("inside") | F.col("baseline").isNotNull()))
-    same = F.coalesce(F.col("record_baseline") == F.col("baseline"), F.lit(False))
-    g = live.groupBy("request_id").agg(
-        F.count_if(same).alias("matches"), F.count_if(same & (F.coalesce("lineage_key", F.lit("")) == "")).alias("unnamed"),
-        F.countDistinct(F.when(same, F.col("lineage_key"))).alias("lineages"), F.min(F.when(same, F.col("row_id"))).alias("origin"))
-    old = c.filter(F.col("is_legacy") & F.col("inside")).select("request_id").distinct().withColumn("old", F.lit(True))
-    j = requests.select("request_id", "baseline").join(g, "request_id", "left").join(old, "request_id", "left")
-    status = (
-        F.when(F.col("matches").isNull(), F.when(F.col("old"), "predates_lineage").otherwise("none"))
-        .when(F.col("baseline").isNull(), "baseline_unbound")
-        .when(F.col("matches") == 0, "none").when(F.col("unnamed") > 0, "predates_lineage")
-        .when(F.col("lineages") != 1, "ambiguous").otherwise("available")
-    )
-    return j.select("request_id", status.alias("status"), F.when(status == "available", F.col("origin")).alias("origin_row_id"))
-
-
-def revision_completeness(requests: DataFrame, origins: DataFrame, records: DataFrame) -> DataFrame:
-    """Origin files the revision no longer touches, and the stored lineage digest."""
-    o = origins.filter("status = 'available'").select("request_id", F.col("origin_row_id").alias("row_id")).join(
-        records.select("row_id", F.col("files").alias("origin_files"), "lineage_key"), "row_id")
-    return requests.join(o, "request_id").select(
-        "request_id", "row_id", F.array_sort(F.array_except("origin_files", "files")).alias("missing_files"),
-        F.sha2("lineage_key", 256).alias("lineage_digest"))

@@ -409,33 +409,26 @@ SELECT l_orderkey AS assessment_id, (cast(l_orderkey as bigint) * 8 + l_linenumb
 FROM {lineitem}
 """
 
-# revise-safer records and new requests with their file sets
+# revise-safer records and new requests with their file sets, one of each per order; every set holds one common file, and a quarter
+# of all orders shares a commit
 _REV = """
-SELECT @COLS@, o_custkey % 5 AS repo_id, 'commit' || cast(o_custkey % 11 as string) AS assessed_commit, @FILES@ AS files,
-  CASE WHEN o_orderkey % 6 <> 0 THEN 'base' || cast(o_custkey % 3 as string) END AS baseline
-FROM {orders} WHERE o_orderkey % 9 = @R@
+SELECT @COLS@, o_custkey % 5 AS repo_id, CASE WHEN o_orderkey % 4 = 0 THEN 'commit0' ELSE 'commit' || cast(o_custkey % 401 as string) END AS assessed_commit,
+  @FILES@ AS files, CASE WHEN o_orderkey % 6 <> 0 THEN 'base' || cast(o_custkey % 3 as string) END AS baseline
+FROM {orders}
 """
-_FILE = "'file' || cast((o_custkey + {n}) % 60 as string) || '.py'"
-_SETS = ("array_distinct(array(@A@, @B@))", "list_distinct([@A@, @B@])")
-_SETS3 = ("array_distinct(array(@A@, @B@, @C@, @D@))", "list_distinct([@A@, @B@, @C@, @D@])")
+_f = lambda e: f"'file' || cast(({e}) % 240 as string)"
 
 
-def _rev(cols: str, r: int, sets: tuple[str, str], **parts: str) -> tuple[str, str]:
-    out = []
-    for s in sets:
-        for k, v in parts.items():
-            s = s.replace(f"@{k}@", v)
-        out.append(_REV.replace("@COLS@", cols).replace("@R@", str(r)).replace("@FILES@", s))
-    return out[0], out[1]
+def _rev(cols: str, *files: str) -> tuple[str, str]:
+    own = ", ".join([*map(_f, files), "'common'"])
+    return tuple(_REV.replace("@COLS@", cols).replace("@FILES@", s) for s in (f"array_distinct(array({own}))", f"list_distinct([{own}])"))
 
 
-_f = lambda e: f"'file' || cast(({e}) % 24 as string)"
 VIEWS["revision_records"] = _rev(
     """o_orderkey AS row_id, CASE WHEN o_orderkey % 8 <> 0 THEN 'lin' || cast(o_custkey % 13 as string) END AS lineage_key,
   (o_orderkey % 4 = 0) AS retryable, (o_orderkey % 10 = 9) AS is_legacy, cast(o_custkey % 20 as double) / 20 AS expected_loss, cast(o_orderkey % 10 as double) / 10 AS rau""",
-    1, _SETS, A=_f("o_custkey"), B=_f("o_orderkey"))
-VIEWS["revision_requests"] = _rev(
-    "o_orderkey AS request_id", 2, _SETS3, A=_f("o_custkey"), B=_f("o_custkey + 1"), C=_f("o_orderkey"), D=_f("o_orderkey + 1"))
+    "o_custkey % 7", "o_orderkey")
+VIEWS["revision_requests"] = _rev("o_orderkey AS request_id", "o_custkey % 7", "o_custkey + 1", "o_orderkey + 1", "o_orderkey + 3")
 
 # three-row hash chains over the event log; a few rows were tampered with
 VIEWS["hash_chain"] = ("""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.operators import calibration as C
 from oddsmith.operators import ledger as L
+from oddsmith.operators import lineage as V
 from oddsmith.plans.catalog import plan
 
 _AC = """
@@ -229,7 +230,7 @@ sp AS (SELECT repo_id, assessed_commit, lineage_key, count(*) FILTER (NOT retrya
 mx AS (SELECT request_id, max(k) AS k FROM mt JOIN sp USING (repo_id, assessed_commit, lineage_key) GROUP BY 1)
 SELECT request_id, coalesce(k, CASE WHEN request_id IN (SELECT request_id FROM lv) OR request_id IN (SELECT request_id FROM lg) THEN 1 END, 0) AS attempts FROM rq LEFT JOIN mx USING (request_id)""")
 def _(m):
-    return L.revision_attempts(m.revision_requests, m.revision_records)
+    return V.revision_attempts(m.revision_requests, m.revision_records)
 
 
 _ORIG = f"""{_CAND},
@@ -240,13 +241,13 @@ og AS (SELECT request_id, CASE WHEN k IS NULL THEN CASE WHEN request_id IN (SELE
 
 @plan("d17_revision_origin", f"WITH {_ORIG} SELECT request_id, status, CASE WHEN status = 'available' THEN o END AS origin_row_id FROM og")
 def _(m):
-    return L.revision_origin(m.revision_requests, m.revision_records)
+    return V.revision_origin(m.revision_requests, m.revision_records)
 
 
 @plan("d20_revision_completeness", f"""WITH {_ORIG}
 SELECT og.request_id, o AS row_id, array_to_string(list_sort(list_filter(re.files, lambda f: NOT list_contains(rq.files, f))), ',') AS missing_files, sha256(lineage_key) AS lineage_digest
 FROM og JOIN rq USING (request_id) JOIN re ON re.row_id = o WHERE status = 'available'""")
 def _(m):
-    origins = L.revision_origin(m.revision_requests, m.revision_records)
-    out = L.revision_completeness(m.revision_requests, origins, m.revision_records)
+    origins = V.revision_origin(m.revision_requests, m.revision_records)
+    out = V.revision_completeness(m.revision_requests, origins, m.revision_records)
     return out.withColumn("missing_files", F.array_join("missing_files", ","))
