@@ -1,67 +1,102 @@
-"""Ranked recall of past lessons and the building of lesson rows."""
+"""Ranked recall of past lessons over a stored inverted index, and the building of lesson rows.
+
+The index has three Parquet tables.  ``lessons``: id, repository, length.  ``terms``: how many
+lessons of a repository hold a term.  ``postings``: for a term and a block of ``BLOCK`` neighbouring lesson ids, who holds
+it, how often, and the largest weight in the block.  A term in a third of all lessons is spread over its blocks.
+
+A query asks for lessons with all its terms.  Its rarest term names the blocks that can match; a
+block in which another term has no posting is left out by the block keys alone, before any list is read.
+Only the lists of the blocks that are left are read, cut to the rarest term's lessons and added up.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = "[A-Za-z0-9_]+"
+BLOCK_BITS = 7
+K1, B = 1.2, 0.75
 
 
 def words(c: str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
 
 
-def ranked_recall(queries: DataFrame, lessons: DataFrame, max_terms: int = 32, window: int = 64, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Lessons of the query's repository that contain every literal term, best BM25 first.
+def build_index(lessons: DataFrame, path: str, k1: float = K1, b: float = B) -> None:
+    """Writes the index of ``lessons(lesson_id, repo_id, text)`` under ``path``; a null text has no term.
 
-    Whole texts are tokenised.  Tokens are filtered to the query vocabulary before they are
-    shuffled, so the shuffle carries only (lesson, term) counts of asked-for words.
+    Each text is read once more for the postings; only (lesson, term) counts are shuffled.
     """
-    terms = (
-        queries.withColumn("term", F.explode(F.slice(words("text"), 1, max_terms)))
-        .select("query_id", "repo_id", "term").distinct()
-    )
+    spark = lessons.sparkSession
+    docs = lessons.select("lesson_id", "repo_id", F.coalesce(words("text"), F.array().cast("array<string>")).alias("w"))
+    docs.select("lesson_id", "repo_id", F.size("w").alias("len")).write.parquet(f"{path}/lessons")
+    avg = spark.read.parquet(f"{path}/lessons").agg(F.coalesce(F.avg("len"), F.lit(0.0))).first()[0]
+    counts = docs.withColumn("len", F.size("w")).select("lesson_id", "repo_id", "len", F.explode("w").alias("term")).groupBy("repo_id", "term", "lesson_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
+    entry = F.struct("lesson_id", "tf", weight.alias("weight"))
+    blocks = counts.withColumn("block", F.shiftright("lesson_id", BLOCK_BITS)).groupBy("repo_id", "term", "block").agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"), F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"))
+    blocks.sortWithinPartitions("term", "repo_id", "block").write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("repo_id", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).write.parquet(f"{path}/terms")
+
+
+def ranked_recall(spark: SparkSession, queries: DataFrame, path: str) -> DataFrame:
+    """Every lesson of the query's repository that holds every term of ``queries(query_id, repo_id, text)``, best BM25 first.
+
+    ``query_id, lesson_id, score, position``.  A query without a term finds nothing.
+    """
+    postings, known = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    total = spark.read.parquet(f"{path}/lessons").count()
+    terms = queries.select("query_id", "repo_id", F.explode(F.array_distinct(words("text"))).alias("term"))
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    docs = lessons.select("lesson_id", "repo_id", words("text").alias("w")).withColumn("len", F.size("w"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    n, avg = stats.select("n").scalar(), stats.select("avg").scalar()
-    asked = terms.select("term").distinct()
-    tf = (
-        docs.select("lesson_id", "repo_id", "len", F.explode("w").alias("term")).join(asked, "term", "left_semi")
-        .groupBy("lesson_id", "repo_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
-    hits = (
-        terms.join(df, "term").join(tf, ["repo_id", "term"])
-        .withColumn("score", weight).groupBy("query_id", "lesson_id")
-        .agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("got"))
-        .join(need, "query_id").filter("got = need")
-    )
+    asked = known.join(terms.select("term").distinct(), "term", "left_semi")
+    held = asked.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    found = terms.join(asked.select("repo_id", "term", "n"), ["repo_id", "term"]).join(held.select("term", idf.alias("idf")), "term")
+    rarest = found.groupBy("query_id", "repo_id").agg(F.min(F.struct("n", "term"))["term"].alias("term"), F.count(F.lit(1)).alias("got"))
+    rarest = rarest.join(need, "query_id").filter("got = need").select("query_id", "repo_id", "term", "need")
+    # blocks that hold all terms, from keys alone
+    first = rarest.join(postings.select("repo_id", "term", "block"), ["repo_id", "term"]).select("query_id", "repo_id", "need", "block")
+    keys = first.join(found.select("query_id", "term", "idf"), "query_id").join(postings.select("repo_id", "term", "block", "most"), ["repo_id", "term", "block"])
+    full = keys.groupBy("query_id", "repo_id", "block", "need").agg(F.count(F.lit(1)).alias("got"), F.sum(F.col("idf") * F.col("most")).alias("bound"))
+    full = full.filter("got = need").drop("got")
+    # their lists, cut to the lessons of the rarest term
+    start = full.join(rarest.select("query_id", "term"), "query_id").join(postings.select("repo_id", "term", "block", F.col("entries.lesson_id").alias("ids")), ["repo_id", "term", "block"])
+    lists = start.drop("term").join(found.select("query_id", "term", "idf"), "query_id").join(postings.select("repo_id", "term", "block", "entries"), ["repo_id", "term", "block"])
+    hits = lists.select("query_id", "need", "idf", "ids", F.explode("entries").alias("e")).filter(F.array_contains("ids", F.col("e.lesson_id")))
+    scored = hits.groupBy("query_id", F.col("e.lesson_id").alias("lesson_id"), "need").agg(F.sum(F.col("idf") * F.col("e.weight")).alias("score"), F.count(F.lit(1)).alias("got")).filter("got = need")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("lesson_id"))
-    return hits.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= window).select(
-        "query_id", "lesson_id", "score", "position")
+    return scored.select("query_id", "lesson_id", "score").withColumn("position", F.row_number().over(order))
 
 
-def budget_pick(ranked: DataFrame, key: str, position: str, size: str, budget: int, most: int = 5) -> DataFrame:
-    """Greedy pick in rank order: too-large rows are skipped, the pick stops after ``most``.
+def budget_pick(queries: DataFrame, ranked: DataFrame, budget: int, most: int = 5, window: int = 64, hints: int = 16) -> DataFrame:
+    """What fits a reader's budget, per query: a capped view of ``ranked(query_id, lesson_id, position, size, files, symbols)``.
 
-    The fold runs over at most one recall window (64 rows) per key.
+    The first ``window`` rows are gone through in order, one too large is skipped, ``most`` picks end
+    it.  ``truncated`` tells whether any match was not picked or not looked at; ``status`` is ``available`` or
+    ``empty``; file and symbol hints are the first ``hints`` different ones of the picks.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(size).cast("bigint").alias("s"), F.col("lesson_id").alias("id"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    seen = F.when(F.col("position") <= window, F.struct(F.col("position").alias("p"), F.col("size").cast("bigint").alias("s"), F.col("lesson_id").alias("id"), "files", "symbols"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("inspected"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("files"), F.array().cast("array<string>").alias("symbols"))
 
     def step(acc, r):
-        fits = (F.size(acc["ids"]) < most) & (acc["used"] + r["s"] <= budget)
+        more = F.size(acc["ids"]) < most
+        fits = more & (acc["used"] + r["s"] <= budget)
+        grown = lambda c: F.when(fits, F.array_distinct(F.concat(acc[c], r[c]))).otherwise(acc[c]).alias(c)
         return F.struct(
-            F.when(fits, acc["used"] + r["s"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.array_append(acc["ids"], r["id"])).otherwise(acc["ids"]).alias("ids"))
+            F.when(fits, acc["used"] + r["s"]).otherwise(acc["used"]).alias("used"), F.when(more, acc["inspected"] + 1).otherwise(acc["inspected"]).alias("inspected"),
+            F.when(fits, F.array_append(acc["ids"], r["id"])).otherwise(acc["ids"]).alias("ids"), grown("files"), grown("symbols"))
 
-    return ranked.groupBy(key).agg(rows.alias("_r")).select(key, F.aggregate("_r", start, step).alias("x")).select(
-        key, F.col("x.used").alias("used_bytes"), F.col("x.ids").alias("picked"))
+    rows = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(seen)).alias("r"), F.count(F.lit(1)).alias("matches"))
+    done = queries.select("query_id").distinct().join(rows, "query_id", "left").withColumn("x", F.aggregate(F.coalesce("r", F.expr("cast(array() as array<struct<p:int,s:bigint,id:bigint,files:array<string>,symbols:array<string>>>)")), start, step))
+    picked, n = F.size("x.ids"), F.coalesce("matches", F.lit(0))
+    truncated = (n > window) | (F.col("x.inspected") < F.least(n, F.lit(window))) | (picked < F.col("x.inspected"))
+    return done.select(
+        "query_id", F.when(picked > 0, "available").otherwise("empty").alias("status"), F.col("x.used").alias("used_bytes"), F.col("x.ids").alias("picked"),
+        F.slice("x.files", 1, hints).alias("files"), F.slice("x.symbols", 1, hints).alias("symbols"), n.alias("matches"), truncated.alias("truncated"))
 
 
 SYMBOL = "^[A-Za-z_][A-Za-z0-9_.]{0,127}$"
@@ -69,22 +104,18 @@ GATE_NAME = "^[a-z][a-z0-9_]{0,63}$"
 
 
 def lesson_rows(assessments: DataFrame, outcomes: DataFrame, guardrails: DataFrame) -> DataFrame:
-    """Lessons of completed outcomes whose latest verification said proceed.
+    """Lessons of completed outcomes whose latest verification said proceed, as fields.
 
-    ``guardrails`` holds the latest row per assessment.  Free text never enters: symbols and
-    gate names must match their patterns; lists are sorted, distinct and capped at 16.
+    ``guardrails`` holds the latest row per assessment.  Symbols and gate names must match their patterns; lists are
+    sorted, distinct and whole, and so is the task.
     """
-    kept = lambda c, pattern: F.slice(F.array_sort(F.array_distinct(F.filter(c, lambda x: x.rlike(pattern)))), 1, 16)
+    kept = lambda c, pattern: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.rlike(pattern))))
     done = (
         assessments.join(outcomes.filter("terminal_status = 'completed'"), "assessment_id")
         .join(guardrails.filter("pre_commit_decision = 'proceed'"), "assessment_id")
         .filter("repo_id <> '' AND task <> '' AND action_id <> ''")
         .filter(F.col("assessment_hash").rlike("^[0-9a-f]{64}$") & F.col("outcome_hash").rlike("^[0-9a-f]{64}$"))
     )
-    gates = kept("gate_names", GATE_NAME)
-    clause = F.when(F.size(gates) > 0, F.concat(F.lit(" Stable gates: "), F.array_join(gates, ", "), F.lit("."))).otherwise("")
     return done.select(
-        "assessment_id", "repo_id", F.substring("task", 1, 1024).alias("task"),
-        kept("symbols", SYMBOL).alias("symbols"), gates.alias("gates"), "measured_benefit",
-        F.concat(F.lit("Verified completed outcome for "), F.substring("task", 1, 1024), F.lit("; decision was "),
-                 F.coalesce("decision", F.lit("unknown")), F.lit("."), clause).alias("lesson"))
+        "assessment_id", "repo_id", "task", "action_id", F.coalesce("decision", F.lit("unknown")).alias("decision"), "terminal_status",
+        kept("symbols", SYMBOL).alias("symbols"), kept("gate_names", GATE_NAME).alias("gates"), "measured_benefit")
