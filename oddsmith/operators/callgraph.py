@@ -379,24 +379,62 @@ def covering_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- lookups --------------------------------------------------------------------------------------------------
 
 
-def owners_at(ranges: DataFrame, nodes: DataFrame, stride: int = 64) -> DataFrame:
+LINES = 16  #: lines of the smallest bin
+
+
+def nested_bins(first: str, last: str) -> Column:
+    """The fewest aligned bins, each twice as wide as the level below, that make up bins ``first`` to ``last``: ``struct(level, bin)``.
+
+    At each level at most one bin at either end is left over, so there are at most two a level.
+    """
+    lo, hi = f"shiftright({first} + shiftleft(1L, k) - 1, k)", f"shiftright({last} + 1, k)"
+    left = f"CASE WHEN {lo} < {hi} AND {lo} % 2 = 1 THEN struct(k AS level, {lo} AS bin) END"
+    right = f"CASE WHEN {lo} < {hi} AND {hi} % 2 = 1 THEN struct(k AS level, {hi} - 1 AS bin) END"
+    levels = f"sequence(0, cast(ceil(log2({last} - {first} + 2)) as int))"
+    return F.expr(f"CASE WHEN {last} >= {first} THEN filter(flatten(transform({levels}, k -> array({left}, {right}))), x -> x IS NOT NULL) ELSE array() END")
+
+
+def bins_around(df: DataFrame, bin: str, top: Column) -> DataFrame:
+    """``df`` with a row for its bin and each one that lies around it, up to level ``top``: columns ``level``, ``bin``."""
+    return df.withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn("bin", F.call_function("shiftright", F.col(bin), F.col("level")))
+
+
+def overlapping(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each of ``ranges`` (file_path, lo, hi) with each of ``nodes`` (id, file_path, start_line, end_line) that overlaps it, once.
+
+    Either the node covers the range's first bin, or it starts in a later bin of the range.  The
+    interval is made up of nested bins, the single bin looks up all it lies in, and both meet on
+    an equal (file, level, bin): a node of a million lines has about 20 rows, and so has a range.
+    """
+    bin = lambda c: F.floor(F.col(c) / LINES).cast("bigint")
+    r = ranges.withColumns({"b_lo": bin("lo"), "b_next": bin("lo") + 1, "b_hi": bin("hi")})
+    n = nodes.select("id", "file_path", "start_line", "end_line", bin("start_line").alias("b_from"), bin("end_line").alias("b_to"))
+    top = lambda df, a, b: df.agg(F.coalesce(F.ceil(F.log2(F.greatest(F.max(F.col(b) - F.col(a)), F.lit(0)) + 2)), F.lit(0)).cast("int").alias("t")).select("t").scalar()
+    keyed = lambda df, bins: df.withColumn("x", F.explode(bins)).select("*", "x.level", "x.bin").drop("x")
+    key = ["file_path", "level", "bin"]
+    covers = bins_around(r, "b_lo", top(n, "b_from", "b_to")).join(keyed(n, nested_bins("b_from", "b_to")), key)
+    begins = keyed(r, nested_bins("b_next", "b_hi")).join(bins_around(n, "b_from", top(r, "b_next", "b_hi")), key)
+    both = covers.unionByName(begins).filter("start_line <= hi AND end_line >= lo")
+    return both.drop("level", "bin", "b_lo", "b_next", "b_hi", "b_from", "b_to")
+
+
+def owners_at(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Tightest owner nodes overlapping each (file, lo, hi) range.
 
-    Ranges and nodes meet on (file, line bucket), so a huge file spreads over its buckets.
-    A node is dropped when a strictly smaller matched node lies inside it; that is one
-    ordered window per range over distinct intervals, not a comparison of all pairs.
+    A place is looked up once, however many ranges name it.  A node is dropped when a strictly
+    smaller matched node lies inside it; that is one ordered window per place over distinct
+    intervals, not a comparison of all pairs.  A range that ends before it begins meets nothing.
     """
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / stride), F.floor(F.col(b) / stride)))
-    r = ranges.select("range_id", F.col("file_path"), "lo", "hi", bucket("lo", "hi").alias("b"))
-    n = structural(nodes).select("id", "file_path", "start_line", "end_line", bucket("start_line", "end_line").alias("b"))
-    hits = r.join(n, ["file_path", "b"]).filter("start_line <= hi AND end_line >= lo").select("range_id", "id", "start_line", "end_line").distinct()
-    later = W.partitionBy("range_id").orderBy(F.col("start_line"), F.col("end_line").desc()).rowsBetween(1, W.unboundedFollowing)
+    place = ["file_path", "lo", "hi"]
+    places = ranges.select(*place).filter("lo <= hi").distinct()
+    hits = overlapping(places, structural(nodes)).repartition(*place)
+    later = W.partitionBy(*place).orderBy(F.col("start_line"), F.col("end_line").desc()).rowsBetween(1, W.unboundedFollowing)
     leaves = (
-        hits.select("range_id", "start_line", "end_line").distinct()
+        hits.groupBy(*place, "start_line", "end_line").agg(F.collect_set("id").alias("ids"))
         .withColumn("inner_end", F.min("end_line").over(later))
         .filter("inner_end IS NULL OR inner_end > end_line")
     )
-    return hits.join(leaves, ["range_id", "start_line", "end_line"], "left_semi").select("range_id", "id")
+    return ranges.select("range_id", *place).join(leaves.select(*place, "ids"), place).select("range_id", F.explode("ids").alias("id"))
 
 
 def resolve_names(requests: DataFrame, nodes: DataFrame) -> DataFrame:
