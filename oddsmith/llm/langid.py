@@ -1,13 +1,16 @@
 """Language identification by rank-order n-gram profiles (operator 6).
 
 A profile is the list of a language's most frequent character n-grams (1 to ``LONGEST``, over
-lower-cased letter words padded by ``_``).  A document's own list is compared with each by
+lower-cased words of letters, Unicode category L, padded by ``_``).  A document's own list is compared with each by
 the out-of-place distance: the sum of rank differences, ``PROFILE`` for an absent n-gram.
 
 Profiles are fitted on at most about ``MAX_DOCS`` documents per language (a hash of the id
 decides; all of them below that) of those whose crc32 of the id leaves 0 or 2 modulo 3.
 
-Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if
+The driver holds ``PROFILE`` n-grams and one sampling rate a language; so small a table of rates is broadcast, and
+only the sample is shuffled.  A task remembers at most ``REMEMBERED`` bytes of numbered words.
+
+Cases: very long texts are read whole, no rows give no rows; null texts and texts without a letter are ``und`` with score 0, as is everything if
 nothing can be learned; ties between languages go to the first by name, ties between
 n-grams of a document to the smaller crc32.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,11 +30,23 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.common import per_batch
 
-LONGEST, PROFILE, MAX_DOCS, CACHED, KNOWN = 3, 300, 1_000, 1 << 18, 1 << 18
-LETTERS = re.compile(r"[^\W\d_]+")
+LONGEST, PROFILE, MAX_DOCS, REMEMBERED, KNOWN = 3, 300, 1_000, 40 << 20, 1 << 18
+LETTERS = re.compile(r"[^\W\d_]+")  # and some numerals, which ``letter_words`` takes out
 UNKNOWN = "und"
 
 
+def letter_words(text: str) -> Counter:
+    """How often each lower-cased word of letters occurs."""
+    found = Counter(LETTERS.findall(text.lower()))
+    if found and not "".join(found).isalpha():  # isalpha: category L only
+        out: Counter = Counter()
+        for word, n in found.items():
+            for part in [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split():
+                out[part] += n
+        return out
+    return found
+
+
 def grams(word: str) -> list[str]:
     w = f"_{word}_"
     return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
@@ -39,7 +55,7 @@ def grams(word: str) -> list[str]:
 def gram_counts(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     get = out.get
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
+    for word, n in letter_words(text).items():
         for g in grams(word):
             out[g] = get(g, 0) + n
     return out
@@ -53,7 +69,8 @@ def profiles(docs: DataFrame, size: int = PROFILE, max_docs: int = MAX_DOCS) ->
     """Language -> n-gram -> rank, from ``docs(doc_id, lang, text)``; the result has ``size`` rows a language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (third(F.col("doc_id")) != 1))
     rates = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count(F.lit(1))).alias("rate"))
-    sample = known.join(rates, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
+    told = F.broadcast(docs.sparkSession.createDataFrame(rates.collect(), rates.schema))
+    sample = known.join(told, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         total: dict[str, Counter] = {}
@@ -70,12 +87,12 @@ def profiles(docs: DataFrame, size: int = PROFILE, max_docs: int = MAX_DOCS) ->
     return out
 
 
-class Ranker(dict):
-    """Predicts one text after another; remembers the numbered n-grams of words (all is forgotten at ``CACHED`` words or ``KNOWN`` n-grams)."""
+class Ranker:
+    """Predicts one text after another; remembers the numbered n-grams of words (all is forgotten at ``REMEMBERED`` bytes or ``KNOWN`` n-grams)."""
 
     def __init__(self, table: dict[str, dict[str, int]], size: int = PROFILE):
         self.langs, self.size = sorted(table), size
-        self.table, self.numbers = table, {}
+        self.table, self.numbers, self.words, self.held = table, {}, {}, 0
         self.ranks = np.full((len(self.langs), KNOWN), -1, np.int32)
         self.marks = np.zeros(KNOWN, np.int64)
 
@@ -86,26 +103,31 @@ class Ranker(dict):
             self.ranks[i, no] = self.table[lang].get(g, -1)
         return no
 
-    def __missing__(self, word: str) -> np.ndarray:
+    def numbered(self, word: str) -> bytes:
+        """The numbers of a word's n-grams, 32 bits each."""
         known, found = self.numbers, grams(word)
-        out = np.array([known[g] if g in known else self.number(g) for g in found], np.int32)
+        out = array("i", [known[g] if g in known else self.number(g) for g in found]).tobytes()
         if len(word) <= 64:
-            self[word] = out
+            self.words[word] = out
+            self.held += len(out) + len(word) + 200  # with the two objects and the entry
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language and 1 - distance / largest possible distance."""
-        counts = Counter(LETTERS.findall((text or "").lower()))
+        counts = letter_words(text or "")
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        if len(self) >= CACHED or len(self.numbers) + sum(LONGEST * (len(w) + 2) for w in counts) >= KNOWN:
-            self.clear()
+        most = LONGEST * (sum(map(len, counts)) + 2 * len(counts))
+        if self.held >= REMEMBERED or len(self.numbers) + most >= KNOWN:
+            self.words.clear()
             self.numbers.clear()
-        if sum(LONGEST * (len(w) + 2) for w in counts) >= KNOWN:
+            self.held = 0
+        if most >= KNOWN:
             return slow_predict(text, self.table, self.size)
-        parts = [self[w] for w in counts]
-        weight = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) for x in parts])
-        total = np.bincount(np.concatenate(parts), weight)
+        get = self.words.get
+        parts = [get(w) or self.numbered(w) for w in counts]
+        weight = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) // 4 for x in parts])
+        total = np.bincount(np.frombuffer(b"".join(parts), np.int32), weight)
         seen = np.flatnonzero(total)
         order = (total[seen].astype(np.int64) << 32) - self.marks[seen]  # larger counts first, then smaller marks
         if len(seen) > self.size:
@@ -126,20 +148,27 @@ def slow_predict(text: str, table: dict[str, dict[str, int]], size: int) -> tupl
     return best, 1.0 - far / (size * len(own))
 
 
-def identified(docs: DataFrame, table: dict[str, dict[str, int]], text_col: str = "text") -> DataFrame:
-    """``docs`` as column ``row`` with ``lang_pred`` and ``score``."""
+def identified(docs: DataFrame, table: dict[str, dict[str, int]], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) as column ``row`` with ``lang_pred`` and ``score``; a text that is kept is sent to Python once."""
+    columns = docs.columns if keep is None else keep
+    own = dict(docs.dtypes)[text_col] == "string" and text_col in columns
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(table)
         for batch in batches:
-            got = [ranker.predict(x) for x in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
-
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"))
+            row = batch.column("row")
+            read = row.field(columns.index(text_col)) if own else batch.column("t")
+            got = [ranker.predict(x.as_py()) for x in read]
+            yield pa.RecordBatch.from_arrays([row, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
+            del batch, row, read, got
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *([] if own else [F.col(text_col).cast("string").alias("t")]))
     return packed.mapInArrow(score, packed.select("row").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     table = profiles(docs.select("doc_id", "lang", "text"))
-    done = identified(docs.select("doc_id", "text"), table)
+    done = identified(docs.select("doc_id", "text"), table, keep=["doc_id"])
     own = F.col("row.doc_id").cast("long")
     return done.select(own.alias("doc_id"), (third(own) == 1).alias("held_out"), "lang_pred", "score")

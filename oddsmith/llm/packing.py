@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.common import per_batch, store, texts
 
-WINDOW, END_ID, CACHED = 2048, 1, 1 << 19
+WINDOW, END_ID, REMEMBERED = 2048, 1, 64 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -37,7 +37,8 @@ class Encoder(dict):
     """White-space separated chunk -> its ids as little-endian 32-bit bytes.
 
     The vocabulary drops white space before merging, so a text's ids are those of its chunks
-    in order.  The memory of chunks is emptied at ``CACHED`` entries.
+    in order.  A worker keeps the memory of chunks from task to task (one costs about 180 bytes and its text);
+    it is emptied at ``REMEMBERED`` bytes.
     """
 
     def __init__(self, path: str):
@@ -46,31 +47,40 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model, self.held = Tokenizer.from_file(path), 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
+        if self.held >= REMEMBERED:
+            self.forget()
         if (word := stem(chunk)) != chunk:
             ids = self[word] + self[chunk[-1:]]
             if len(chunk) <= 64:
-                self[chunk] = ids
+                self.keep(chunk, ids)
             return ids
         ids = np.array(self.model.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
-            self[chunk] = ids
+            self.keep(chunk, ids)
         return ids
 
+    def keep(self, chunk: bytes, ids: bytes) -> None:
+        self[chunk] = ids
+        self.held += len(chunk) + len(ids) + 180
+
     def ids(self, data: bytes) -> bytes:
         if b"<|" not in data:  # special tokens are written in one case; everything else is lower-cased anyway
             data = data.lower()
         chunks = data.split()
         new = [c for c in {stem(c) for c in set(chunks) if c not in self} if c not in self and len(c) <= 64]
-        if len(self) + len(new) >= CACHED:
-            self.clear()
+        if self.held >= REMEMBERED:
+            self.forget()
         elif new:  # together, and without offsets
             found = self.model.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            self.update((c, packed_ids(f"<{len(x.ids)}I", *x.ids)) for c, x in zip(new, found))
+            for c, x in zip(new, found):
+                self.keep(c, packed_ids(f"<{len(x.ids)}I", *x.ids))
         return b"".join(map(self.__getitem__, chunks))
 
 

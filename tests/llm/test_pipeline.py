@@ -50,3 +50,13 @@ def test_documents_that_share_an_id_or_have_none(spark, tmp_path):
     assert order(C.leaks(spark, docs, sf).collect()) == sorted((r[:2] for r in rows if item not in r[1]), key=repr)
     found = C.decontam.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
     assert sorted(((r.doc_id, r.item_id, r.similarity, r.start_word) for r in found), key=repr) == [(5, 1, 1.0, 101), (None, 1, 1.0, 101)]
+
+
+def test_clashing_columns(spark, tmp_path):
+    text = lambda i: " ".join(f"wort{i}x{j} the of and" for j in range(25))
+    item = "this passage of the benchmark is long enough to have many shingles of five words each"
+    sf = folder(spark, tmp_path / "sf", [(1, text(1), "en", "s", 1), (2, f"{text(2)} {item}", "en", "s", 1)], [(1, item)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *[f"'x' AS {c}" for c in ("leaking", "mark", "row", "id", "t", "lang_pred", "score", "component", "keep", "n")])
+    for _, stage in C.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+    assert [r.doc_id for r in docs.collect()] == [1] and len(docs.columns) == 15

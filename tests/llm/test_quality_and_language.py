@@ -148,3 +148,21 @@ def test_classifier_odd_rows(frame):
     assert subword.report(frame([]), none).collect() == []
     one = frame([(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)], "doc_id long, quality int")
     assert {r.predicted for r in subword.report(frame(ODD, ODD_SCHEMA), one).collect()} == {1}
+
+
+def test_numerals_are_no_letters():
+    table = {"en": {"a": 0, "b": 1}, "fr": {"c": 0}}
+    ranker = langid.Ranker(table)
+    assert [ranker.predict(t) for t in ("ⅷ ⅷ", "12 ²³ ½", "_ -", "", None)] == [("und", 0.0)] * 5
+    assert ranker.predict("a²b ⅷ") == langid.slow_predict("a b", table, langid.PROFILE)
+    assert langid.letter_words("A²b b ½x") == {"a": 1, "b": 2, "x": 1}
+
+
+def test_the_memory_of_words_is_emptied(monkeypatch):
+    monkeypatch.setattr(langid, "REMEMBERED", 2_000)
+    table, ranker = {"en": langid.gram_counts("a b c")}, None
+    ranker = langid.Ranker(table)
+    for i in range(50):
+        text = f"wort{'abcdefghij'[i % 10]} {'xyz'[i % 3] * (i + 1)} und"
+        assert ranker.predict(text) == langid.slow_predict(text, table, langid.PROFILE)
+        assert ranker.held < 6_000
