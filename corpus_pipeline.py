@@ -37,7 +37,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; clean texts stay whatever their id is."""
     found = decontam.leaking(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias("leaking")).distinct()
-    return docs.join(found, decontam.row_key() == F.col("leaking"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), decontam.row_key().alias("mark"))  # no column of docs can clash
+    return rows.join(found, F.col("mark") == F.col("leaking"), "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
