@@ -409,11 +409,12 @@ def overlapping(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
     bin = lambda c: F.floor(F.col(c) / LINES).cast("bigint")
     r = ranges.withColumns({"b_lo": bin("lo"), "b_next": bin("lo") + 1, "b_hi": bin("hi")})
     n = nodes.select("id", "file_path", "start_line", "end_line", bin("start_line").alias("b_from"), bin("end_line").alias("b_to"))
-    top = lambda df, a, b: df.agg(F.coalesce(F.ceil(F.log2(F.greatest(F.max(F.col(b) - F.col(a)), F.lit(0)) + 2)), F.lit(0)).cast("int").alias("t")).select("t").scalar()
+    # levels in use, by the widest interval of either side
+    top = lambda df, a, b: F.coalesce(df.agg(F.ceil(F.log2(F.max(F.greatest(F.col(b) - F.col(a), F.lit(0))) / LINES + 3)).cast("int").alias("t")).select("t").scalar(), F.lit(0))
     keyed = lambda df, bins: df.withColumn("x", F.explode(bins)).select("*", "x.level", "x.bin").drop("x")
     key = ["file_path", "level", "bin"]
-    covers = bins_around(r, "b_lo", top(n, "b_from", "b_to")).join(keyed(n, nested_bins("b_from", "b_to")), key)
-    begins = keyed(r, nested_bins("b_next", "b_hi")).join(bins_around(n, "b_from", top(r, "b_next", "b_hi")), key)
+    covers = bins_around(r, "b_lo", top(nodes, "start_line", "end_line")).join(keyed(n, nested_bins("b_from", "b_to")), key)
+    begins = keyed(r, nested_bins("b_next", "b_hi")).join(bins_around(n, "b_from", top(ranges, "lo", "hi")), key)
     both = covers.unionByName(begins).filter("start_line <= hi AND end_line >= lo")
     return both.drop("level", "bin", "b_lo", "b_next", "b_hi", "b_from", "b_to")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddsmith import constants as K
 from oddsmith.functions.columns import lookup, rank_table, top_domain
-from oddsmith.session import cut_lineage
+from oddsmith.session import cut_lineage, written
 
 
 def edge_confidence(kind: str = "kind") -> Column:
@@ -54,82 +54,81 @@ def hub_scores(degrees: DataFrame) -> DataFrame:
 
 
 def _trim(e: DataFrame) -> DataFrame:
-    """Drop edges at nodes without both an incoming and an outgoing edge, until none is left to drop."""
+    """Drop edges at nodes without both an incoming and an outgoing edge, while that drops a tenth of them."""
     n = e.count()
     while n:
-        e = cut_lineage(
+        e = written(
             e.join(e.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi")
             .join(e.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi"))
         left = e.count()
-        if left == n:
+        if left > 0.9 * n:
             break
         n = left
     return e
 
 
-def _spread(e: DataFrame, colour: DataFrame) -> DataFrame:
-    """Largest upstream label of every node, propagated along edges to a fixed point."""
-    while True:
-        offers = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("tgt").alias("node")).agg(F.max("colour").alias("offer"))
-        nxt = cut_lineage(
-            colour.join(offers, "node", "left")
-            .select("node", F.greatest("colour", F.coalesce("offer", "colour")).alias("new"), "colour"))
-        changed = nxt.filter("new <> colour").limit(1).count()
-        colour = nxt.select("node", F.col("new").alias("colour"))
-        if not changed:
-            return colour
-
-
-def _closure(start: DataFrame, e: DataFrame) -> DataFrame:
-    """All nodes reached from ``start`` along ``e(src → tgt)``, start included."""
-    seen = cut_lineage(start.select("node").distinct())
-    frontier = seen
+def strongest_above(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, best``: the strongest of all nodes from which each node can be reached along ``e(src, tgt)``, itself included.
+
+    ``nodes(node, power)`` holds every node once; strength is (power, node).  Whatever reaches
+    the best node known so far reaches the node too, so besides taking its neighbours' best a node
+    jumps to the best of its best.  With powers in random order the stretch that a node has seen
+    grows by a factor a round, so rounds follow the logarithm of the longest path, not the path.
+    """
+    now = written(nodes.select("node", F.struct("power", "node").alias("best"), F.lit(True).alias("grew")))
     while True:
-        step = frontier.withColumnRenamed("node", "src").join(e, "src").select(F.col("tgt").alias("node")).distinct()
-        frontier = cut_lineage(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+        offers = e.join(now.filter("grew").select(F.col("node").alias("src"), F.col("best").alias("offer")), "src").select(F.col("tgt").alias("node"), "offer")
+        via = now.filter("best.node <> node").select(F.col("node").alias("via"), F.col("best").alias("offer"))
+        jumps = now.select("node", F.col("best.node").alias("via")).join(via, "via").select("node", "offer")
+        best = offers.unionByName(jumps).groupBy("node").agg(F.max("offer").alias("offer"))
+        joined = now.join(best, "node", "left")
+        now = written(joined.select("node", F.greatest("best", F.coalesce("offer", "best")).alias("best"), F.coalesce(F.col("offer") > F.col("best"), F.lit(False)).alias("grew")))
+        if now.filter("grew").isEmpty():
+            return now.select("node", "best")
+
+
+def _nodes(e: DataFrame) -> DataFrame:
+    return e.select(F.explode(F.array("src", "tgt")).alias("node")).distinct()
 
 
 def cycle_files(edges: DataFrame) -> DataFrame:
     """Files in a strongly connected component of more than one file.
 
-    Acyclic fringes are trimmed first.  Then each node takes the largest label upstream of
-    it; inside one colour, the nodes that lead back to the label's own node form its
-    component.  Edges between colours cannot lie on a cycle and are dropped before the next
-    round, so the work shrinks every round.  Every state is a distributed table; the driver
-    only sees counts.
+    Acyclic fringes are trimmed first.  Then each node takes the strongest node upstream as its
+    colour, in a random order of strength; inside a colour, the nodes whose strongest node downstream is the
+    colour's own lead back to it and form its component.  Edges between colours cannot lie on
+    a cycle and are dropped before the next round, so the work shrinks every round.  Every
+    state is a distributed table; the driver only sees counts.
     """
-    e = cut_lineage(edges.filter("tgt IS NOT NULL AND src <> tgt").select("src", "tgt").distinct())
+    e = written(edges.filter("tgt IS NOT NULL AND src <> tgt").select("src", "tgt").distinct())
     parts = [e.select(F.col("src").alias("path")).limit(0)]
+    rounds = 0
     while True:
         e = _trim(e)
         if e.isEmpty():
             break
-        nodes = e.select(F.col("src").alias("node")).distinct()
-        colour = _spread(e, nodes.withColumn("colour", F.col("node")))
-        a = colour.withColumnsRenamed({"node": "src", "colour": "sc"})
-        b = colour.withColumnsRenamed({"node": "tgt", "colour": "tc"})
-        inner = cut_lineage(e.join(a, "src").join(b, "tgt").filter("sc = tc").select("src", "tgt"))
-        back = inner.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
-        roots = colour.filter("node = colour").select("node")
-        found = _closure(roots, back)
-        gone = found.select(F.col("node").alias("src"))
-        member = found.join(colour, "node")
-        big = member.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sizes = member.join(big, "colour", "left_semi")
-        parts.append(cut_lineage(sizes.select(F.col("node").alias("path"))))
-        e = cut_lineage(
-            inner.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "tgt"), "tgt", "left_anti"))
+        ranked = _nodes(e).withColumn("power", F.xxhash64("node", F.lit(rounds)))
+        above = strongest_above(e, ranked).select("node", F.col("best.node").alias("root"))
+        a, b = above.toDF("src", "sr"), above.toDF("tgt", "tr")
+        inner = written(e.join(a, "src").join(b, "tgt").filter("sr = tr").select("src", "tgt"))
+        below = strongest_above(inner.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")), ranked).select("node", F.col("best.node").alias("back"))
+        found = written(above.join(below, "node").filter("root = back").select("node", "root"))
+        others = found.filter("node <> root")
+        parts.append(others.select(F.explode(F.array("node", "root")).alias("path")).distinct())
+        gone = found.select("node")
+        e = written(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "tgt"), "tgt", "left_anti"))
+        rounds += 1
     return reduce(DataFrame.unionByName, parts)
 
 
 def leads_to_cycle(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """Files from which a cycle can be reached: one backward closure serves every action."""
-    loops = edges.filter("src = tgt").select(F.col("src").alias("node"))
-    back = edges.filter("tgt IS NOT NULL").select(F.col("tgt").alias("src"), F.col("src").alias("tgt")).distinct()
-    return _closure(cyclic.select(F.col("path").alias("node")).unionByName(loops), back).withColumnRenamed("node", "path")
+    """Files from which a cycle can be reached: the strongest node downstream, cyclic ones being stronger than all others."""
+    real = edges.filter("tgt IS NOT NULL")
+    on = real.filter("src = tgt").select(F.col("src").alias("node")).unionByName(cyclic.select(F.col("path").alias("node"))).distinct()
+    back = real.filter("src <> tgt").select(F.col("tgt").alias("src"), F.col("src").alias("tgt")).distinct()
+    marked = _nodes(back).unionByName(on).distinct().join(on.withColumn("on", F.lit(True)), "node", "left")
+    ranked = marked.select("node", F.struct(F.coalesce("on", F.lit(False)).alias("on"), F.xxhash64("node").alias("mark")).alias("power"))
+    return strongest_above(back, ranked).filter("best.power.on").select(F.col("node").alias("path"))
 
 
 def cycle_from_changes(changed: DataFrame, reaching: DataFrame) -> DataFrame:

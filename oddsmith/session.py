@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder, read back: no lineage, and the sizes are those of its files.
+
+    A checkpoint keeps the estimate of the plan it came from, and estimates of joins multiply: after some
+    rounds of joining a state with itself they have thousands of digits.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
