@@ -510,87 +510,69 @@ def top_symbols(nodes: DataFrame, edges: DataFrame, per_file: int | None = None)
     return d.withColumn("label", last_segment("qualified_name", "name"))
 
 
-def hub_map(nodes: DataFrame, edges: DataFrame, max_files: int = 20, per_file: int = 10, max_nodes: int = 250,
-            max_edges: int = 800) -> tuple[DataFrame, DataFrame]:
-    """Hub-and-spoke map: hot files, their top symbols, spokes and displayed cross edges."""
-    rolled = file_fan_in(nodes, edges).filter("distinct_callers > 0")
-    hubs = rolled.orderBy(F.desc("distinct_callers"), "file_path").limit(max_files)
-    rank = W.orderBy(F.desc("distinct_callers"), "file_path")  # at most max_files rows
-    hubs = cut_lineage(hubs.select("file_path", "distinct_callers", (F.row_number().over(rank) - 1).alias("hub_rank")))
-    in_hubs = structural(nodes).join(F.broadcast(hubs.select("file_path")), "file_path", "left_semi")
-    order = W.partitionBy("file_path").orderBy(F.desc("inbound"), F.desc("outbound"), "qualified_name", "id")
-    e = links(edges)
-    struct_ids = structural(nodes).select("id")
-    e = e.join(struct_ids.withColumnRenamed("id", "source"), "source", "left_semi").join(
-        struct_ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    inn = e.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("inbound"))
-    out = e.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("outbound"))
-    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    syms = in_hubs.join(inn, "id", "left").join(out, "id", "left").select("id", "file_path", "qualified_name", z("inbound"), z("outbound"))
-    syms = syms.withColumn("symbol_rank", F.row_number().over(order)).filter(F.col("symbol_rank") <= per_file)
-    shown = hubs.select(F.concat(F.lit("file:"), "file_path").alias("id"), F.lit("hub").alias("role"), "hub_rank", F.lit(0).alias("symbol_rank"),
-                        F.col("distinct_callers").alias("inbound")).unionByName(
-        syms.join(F.broadcast(hubs.select("file_path", "hub_rank")), "file_path").select(
-            "id", F.lit("symbol").alias("role"), "hub_rank", "symbol_rank", "inbound"))
-    place = W.orderBy("hub_rank", "symbol_rank")  # at most max_files × (per_file + 1) rows
-    shown = cut_lineage(shown.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= max_nodes))
-    symbols = shown.filter("role = 'symbol'")
-    hub_ids = hubs.select("hub_rank", F.concat(F.lit("file:"), "file_path").alias("source"))
-    spokes = symbols.join(hub_ids, "hub_rank").select("source", F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit("spoke").alias("edge_type"), "place")
-    ids = F.broadcast(symbols.select("id"))  # at most max_nodes rows
-    cross = (
-        edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).select("source", "target", "kind").distinct()
-        .join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-        .withColumn("edge_type", F.lit("cross_symbol")).withColumn("place", F.lit(1_000_000))
-    )
-    every = spokes.unionByName(cross.select(*spokes.columns)).orderBy("place", "source", "target", "kind").limit(max_edges)
-    return shown.drop("place"), every.drop("place")
+def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct impact edges (source, target, kind) between nodes of ``ids(id)``."""
+    e = edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).select("source", "target", "kind").distinct()
+    return e.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi").join(
+        ids.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
 
 
-def full_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 250, max_edges: int = 40000, collapse_after: int = 300) -> tuple[str, DataFrame, DataFrame]:
-    """Whole graph by symbol, or weighted file-to-file once it is large.
+def hub_map(nodes: DataFrame, edges: DataFrame, per_file: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hub-and-spoke map of every called file, as (nodes, edges).
 
-    One count picks the mode.  The caps are display limits of the view.
+    A file is a hub, its symbols (all, or the first ``per_file``) hang on it by spokes, and symbols of
+    different or equal files are linked by cross edges.
     """
-    base = structural(nodes)
+    hubs = file_fan_in(nodes, edges).filter("distinct_callers > 0").select("file_path", "distinct_callers")
+    symbols = top_symbols(nodes, edges, per_file).join(hubs, "file_path")
+    hub = F.concat(F.lit("file:"), "file_path")
+    shown = hubs.select(hub.alias("id"), F.lit("hub").alias("role"), "file_path", "distinct_callers", F.lit(0).alias("symbol_rank"), F.col("distinct_callers").alias("inbound")).unionByName(
+        symbols.select("id", F.lit("symbol").alias("role"), "file_path", "distinct_callers", "symbol_rank", "inbound"))
+    spokes = symbols.select(hub.alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit("spoke").alias("edge_type"))
+    return shown, spokes.unionByName(_inside(edges, symbols).withColumn("edge_type", F.lit("cross_symbol")))
+
+
+def symbol_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every structural symbol with its file, and the impact edges between them."""
+    shown = structural(nodes).select("id", "kind", posix("file_path").alias("file_path"))
+    return shown, _inside(edges, shown)
+
+
+def file_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every file with its symbols and outside callers counted, and weighted edges between different files."""
+    at = structural(nodes).filter("file_path IS NOT NULL").select("id", posix("file_path").alias("f"))
     kinds = edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).select("source", "target", "kind").distinct()
-    if base.count() <= collapse_after:
-        kept = base.orderBy("id").limit(max_nodes).select("id", "kind", "file_path")
-        ids = cut_lineage(kept.select("id"))
-        e = kinds.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-        return "symbol", kept, e.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).orderBy("source", "target").limit(max_edges)
-    at = base.filter("file_path IS NOT NULL").select("id", posix("file_path").alias("f"))
     ends = kinds.join(at.select(F.col("id").alias("source"), F.col("f").alias("src")), "source").join(
         at.select(F.col("id").alias("target"), F.col("f").alias("dst")), "target")
     inbound = ends.select("dst", "source").distinct().groupBy(F.col("dst").alias("f")).agg(F.count(F.lit(1)).alias("inbound_count"))
     files = at.groupBy("f").agg(F.count(F.lit(1)).alias("symbol_count")).join(inbound, "f", "left")
     files = files.select(F.col("f").alias("id"), "symbol_count", F.coalesce("inbound_count", F.lit(0)).alias("inbound_count"))
-    kept = cut_lineage(files.orderBy(F.desc("inbound_count"), F.desc("symbol_count"), "id").limit(max_nodes))
-    ids = F.broadcast(kept.select("id"))  # at most max_nodes rows
-    weighted = (
-        ends.filter("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).orderBy("src", "dst").limit(max_edges)
-    )
-    return "file", kept, weighted
+    weighted = ends.filter("src <> dst").groupBy(F.col("src").alias("source"), F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    return files, weighted
 
 
-def hot_subgraph(centers: DataFrame, edges: DataFrame, max_depth: int = 2, max_nodes: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Reverse neighbourhood of a few centres under a node cap and an edge cap of four times it."""
+def subgraph_around(centers: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Reverse neighbourhood of any number of centres: nodes at their least depth, and the impact edges among them."""
     back = links(edges, K.IMPACT_EDGES)
-    seen = cut_lineage(centers.select("id").distinct().orderBy("id").limit(max_nodes).withColumn("depth", F.lit(0)))
-    frontier = seen
-    for d in range(1, max_depth + 1):
-        left = max_nodes - seen.count()
-        if left <= 0 or frontier.isEmpty():
-            break
-        near = back.join(F.broadcast(frontier.select(F.col("id").alias("target"))), "target").select(F.col("source").alias("id")).distinct()
-        near = near.join(seen.select("id"), "id", "left_anti")
-        frontier = cut_lineage(near.orderBy("id").limit(left).withColumn("depth", F.lit(d)))
+    frontier = cut_lineage(centers.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
+    for d in range(1, depth + 1):
+        near = frontier.select(F.col("id").alias("target")).join(back, "target").select(F.col("source").alias("id")).distinct()
+        frontier = cut_lineage(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
-    ids = F.broadcast(seen.select("id"))  # at most max_nodes rows
-    kept = (
-        edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).select("source", "target", "kind").distinct()
-        .join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-        .orderBy("source", "target", "kind").limit(max_nodes * 4)
-    )
-    return seen, kept
+    return seen, _inside(edges, seen)
+
+
+def capped_view(shown: DataFrame, edges: DataFrame, order: list, max_nodes: int, max_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a display of so many nodes and edges gets of a whole graph, and what it leaves out.
+
+    The first nodes by ``order``, then id; edges between those, by source and target.  The third table has one row:
+    totals of the whole graph, what is shown, and ``truncated``.
+    """
+    nodes = cut_lineage(shown.orderBy(*order, "id").limit(max_nodes))
+    ids = nodes.select("id")
+    inside = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    links_ = cut_lineage(inside.orderBy("source", "target", *[c for c in edges.columns if c not in ("source", "target")]).limit(max_edges))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = n(shown, "total_nodes").join(n(edges, "total_edges")).join(n(nodes, "shown_nodes")).join(n(links_, "shown_edges"))  # one row each
+    return nodes, links_, counts.withColumn("truncated", (F.col("shown_nodes") < F.col("total_nodes")) | (F.col("shown_edges") < F.col("total_edges")))

@@ -214,23 +214,6 @@ def _(m):
     return G.covering_tests(m.nodes, m.edges)
 
 
-@plan("g15_hot_subgraph", f"""
-WITH ie AS (SELECT DISTINCT source, target FROM edges WHERE kind IN {_FAN}), c0 AS (SELECT id FROM nodes WHERE qualified_name IN ('Svc7', 'Svc20', 'fn6') ORDER BY id LIMIT 60),
-k1 AS (SELECT DISTINCT source AS id FROM ie WHERE target IN (SELECT id FROM c0)),
-l1 AS (SELECT id FROM k1 WHERE id NOT IN (SELECT id FROM c0) ORDER BY id LIMIT (SELECT 60 - count(*) FROM c0)), s1 AS (SELECT id, 0 AS depth FROM c0 UNION ALL SELECT id, 1 FROM l1),
-k2 AS (SELECT DISTINCT source AS id FROM ie WHERE target IN (SELECT id FROM l1)),
-l2 AS (SELECT id FROM k2 WHERE id NOT IN (SELECT id FROM s1) ORDER BY id LIMIT (SELECT 60 - count(*) FROM s1)),
-s2 AS (SELECT * FROM s1 UNION ALL SELECT id, 2 FROM l2),
-e2 AS (SELECT DISTINCT source, target, kind FROM edges WHERE kind IN {_FAN} AND source IN (SELECT id FROM s2) AND target IN (SELECT id FROM s2) ORDER BY 1, 2, 3 LIMIT 240)
-SELECT id AS a, '' AS b, 'node' AS kind, depth FROM s2 UNION ALL SELECT source, target, kind, NULL FROM e2
-""")
-def _(m):
-    centers = m.nodes.filter(F.col("qualified_name").isin("Svc7", "Svc20", "fn6"))
-    nodes, edges = G.hot_subgraph(centers, m.edges, max_nodes=60)
-    return nodes.select(F.col("id").alias("a"), F.lit("").alias("b"), F.lit("node").alias("kind"), "depth").unionByName(
-        edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "kind", F.lit(None).cast("int").alias("depth")))
-
-
 @plan("g16_hottest_files", f"""WITH {_EDGES}
 SELECT file_path, count(DISTINCT source) AS distinct_callers FROM cn JOIN fe ON target = id GROUP BY 1""")
 def _(m):
@@ -247,26 +230,87 @@ def _(m):
     return G.top_symbols(m.nodes, m.edges).select("file_path", "id", "inbound", "outbound", "symbol_rank")
 
 
-@plan("g18_hub_map", f"""WITH {_DEG},
-hf AS (SELECT file_path, count(DISTINCT source) AS c FROM nodes JOIN fe ON target = id WHERE kind IN {_CALL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
-hr AS (SELECT *, row_number() OVER (ORDER BY c DESC, file_path) - 1 AS hub FROM hf),
-sh AS (SELECT id, hub, rk FROM ts JOIN hr USING (file_path) WHERE rk <= 10),
-sp AS (SELECT 'file:' || file_path AS source, id AS target, 'contains' AS kind, 'spoke' AS edge_type FROM sh JOIN hr USING (hub)),
-cr AS (SELECT DISTINCT source, target, kind, 'cross_symbol' FROM edges WHERE kind IN {_FAN} AND source IN (SELECT id FROM sh) AND target IN (SELECT id FROM sh) ORDER BY 1, 2, 3 LIMIT (SELECT 800 - count(*) FROM sp))
-SELECT * FROM sp UNION ALL SELECT * FROM cr""")
+_CENTRE = f"""c0 AS (SELECT id FROM ts WHERE rk = 1 AND inbound > 0),
+s1 AS (SELECT DISTINCT source AS id FROM fe WHERE target IN (SELECT id FROM c0)), s2 AS (SELECT DISTINCT source AS id FROM fe WHERE target IN (SELECT id FROM s1)),
+sn AS (SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM c0 UNION ALL SELECT id, 1 FROM s1 UNION ALL SELECT id, 2 FROM s2) GROUP BY 1),
+se AS (SELECT DISTINCT source, target, kind FROM edges WHERE kind IN {_FAN} AND source IN (SELECT id FROM sn) AND target IN (SELECT id FROM sn))"""
+
+
+def _around(m):
+    centres = G.top_symbols(m.nodes, m.edges, 1).filter("inbound > 0")
+    return G.subgraph_around(centres, m.edges)
+
+
+def _rows(nodes, edges):
+    return nodes.select(F.col("id").alias("a"), F.lit("").alias("b"), F.lit("node").alias("kind"), "depth").unionByName(
+        edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "kind", F.lit(None).cast("int").alias("depth")))
+
+
+@plan("g15_hot_subgraph", f"WITH {_DEG}, {_CENTRE} SELECT id AS a, '' AS b, 'node' AS kind, depth FROM sn UNION ALL SELECT source, target, kind, NULL FROM se")
+def _(m):
+    return _rows(*_around(m))
+
+
+_CAPPED = """SELECT (SELECT count(*) FROM {n}) AS total_nodes, (SELECT count(*) FROM {e}) AS total_edges, (SELECT count(*) FROM vn) AS shown_nodes, (SELECT count(*) FROM ve) AS shown_edges,
+  (SELECT count(*) FROM vn) < (SELECT count(*) FROM {n}) OR (SELECT count(*) FROM ve) < (SELECT count(*) FROM {e}) AS truncated"""
+
+
+@plan("g15_capped_view", f"""WITH {_DEG}, {_CENTRE}, vn AS (SELECT * FROM sn ORDER BY depth, id LIMIT 300),
+ve AS (SELECT * FROM se WHERE source IN (SELECT id FROM vn) AND target IN (SELECT id FROM vn) ORDER BY source, target, kind LIMIT 1200), {_CAPPED.replace('{n}', 'sn').replace('{e}', 'se').join(('t AS (', ')'))}
+SELECT a, b, kind, depth, total_nodes, total_edges, shown_nodes, shown_edges, truncated FROM (SELECT id AS a, '' AS b, 'node' AS kind, depth FROM vn UNION ALL SELECT source, target, kind, NULL FROM ve), t""")
+def _(m):
+    nodes, edges, about = G.capped_view(*_around(m), ["depth"], 300, 1200)
+    return _rows(nodes, edges).join(F.broadcast(about))  # one row
+
+
+_HUB = f"""{_DEG},
+hf AS (SELECT file_path, count(DISTINCT source) AS c FROM nodes JOIN fe ON target = id WHERE kind IN {_CALL} GROUP BY 1),
+sh AS (SELECT id, file_path, c, rk, inbound FROM ts JOIN hf USING (file_path)),
+hn AS (SELECT 'file:' || file_path AS id, 'hub' AS role, file_path, c AS distinct_callers, 0 AS symbol_rank, c AS inbound FROM hf UNION ALL SELECT id, 'symbol', file_path, c, cast(rk as int), inbound FROM sh),
+he AS (SELECT 'file:' || file_path AS source, id AS target, 'contains' AS kind, 'spoke' AS edge_type FROM sh
+  UNION ALL SELECT DISTINCT source, target, kind, 'cross_symbol' FROM edges WHERE kind IN {_FAN} AND source IN (SELECT id FROM sh) AND target IN (SELECT id FROM sh))"""
+
+
+@plan("g18_hub_map", f"WITH {_HUB} SELECT source, target, kind, edge_type FROM he")
 def _(m):
     return G.hub_map(m.nodes, m.edges)[1]
 
 
-@plan("g19_full_graph", f"""
-WITH ke AS (SELECT DISTINCT source, target, kind FROM edges WHERE kind IN {_FAN}),
-en AS (SELECT ke.*, s.file_path AS src, t.file_path AS dst FROM ke JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target),
-fl AS (SELECT n.file_path AS f, count(*) AS sc, (SELECT count(DISTINCT source) FROM en WHERE dst = n.file_path) AS ic FROM nodes n GROUP BY 1 ORDER BY ic DESC, sc DESC, f LIMIT 250)
-SELECT src AS source, dst AS target, count(*) AS weight FROM en WHERE src <> dst AND src IN (SELECT f FROM fl) AND dst IN (SELECT f FROM fl) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 40000
-""")
+@plan("g18_hub_nodes", f"WITH {_HUB} SELECT * FROM hn")
+def _(m):
+    return G.hub_map(m.nodes, m.edges)[0]
+
+
+@plan("g18_capped_view", f"""WITH {_HUB}, vn AS (SELECT * FROM hn ORDER BY distinct_callers DESC, file_path, symbol_rank, id LIMIT 250),
+ve AS (SELECT * FROM he WHERE source IN (SELECT id FROM vn) AND target IN (SELECT id FROM vn) ORDER BY source, target, kind, edge_type LIMIT 800), {_CAPPED.replace('{n}', 'hn').replace('{e}', 'he').join(('t AS (', ')'))}
+SELECT a, b, kind, total_nodes, total_edges, shown_nodes, shown_edges, truncated FROM (SELECT id AS a, '' AS b, role AS kind FROM vn UNION ALL SELECT source, target, edge_type FROM ve), t""")
+def _(m):
+    nodes, edges, about = G.capped_view(*G.hub_map(m.nodes, m.edges), [F.desc("distinct_callers"), "file_path", "symbol_rank"], 250, 800)
+    rows = nodes.select(F.col("id").alias("a"), F.lit("").alias("b"), F.col("role").alias("kind")).unionByName(
+        edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("edge_type").alias("kind")))
+    return rows.join(F.broadcast(about))  # one row
+
+
+_FILES = f"""ke AS (SELECT DISTINCT source, target, kind FROM edges WHERE kind IN {_FAN}),
+en AS (SELECT ke.*, s.file_path AS src, t.file_path AS dst FROM ke JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target)"""
+
+
+@plan("g19_full_graph", f"WITH {_FILES} SELECT src AS source, dst AS target, count(*) AS weight FROM en WHERE src <> dst GROUP BY 1, 2")
+def _(m):
+    return G.file_graph(m.nodes, m.edges)[1]
+
+
+@plan("g19_files", f"""WITH {_FILES}, ib AS (SELECT dst AS id, count(DISTINCT source) AS n FROM en GROUP BY 1)
+SELECT f.id, symbol_count, coalesce(n, 0) AS inbound_count FROM (SELECT file_path AS id, count(*) AS symbol_count FROM nodes GROUP BY 1) f LEFT JOIN ib USING (id)""")
+def _(m):
+    return G.file_graph(m.nodes, m.edges)[0]
+
+
+@plan("g19_symbol_graph", f"SELECT id AS a, '' AS b, kind, file_path FROM nodes UNION ALL SELECT DISTINCT source, target, kind, NULL FROM edges WHERE kind IN {_FAN} AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)")
 def _(m):
-    mode, _, e = G.full_graph(m.nodes, m.edges)
-    return e if mode == "symbol" else e.withColumnsRenamed({"src": "source", "dst": "target"})
+    nodes, edges = G.symbol_graph(m.nodes, m.edges)
+    return nodes.select(F.col("id").alias("a"), F.lit("").alias("b"), "kind", "file_path").unionByName(
+        edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "kind", F.lit(None).cast("string").alias("file_path")))
 
 
 @plan("g20_node_counts", """

@@ -43,11 +43,15 @@ def test_streams_over_many_batches(spark, parts, key, monkeypatch):
     assert got == sorted((tuple(norm(r[i]) for i in order) for r in cur.fetchall()), key=repr)
 
 
-def test_no_reachable_node_is_lost_under_the_cap(spark):
+def test_views_around_centres_are_whole_and_capped_ones_say_so(spark):
     links = [("b", "a"), ("a", "b"), ("c", "b"), ("d", "c"), ("a", "c")]
     edges = spark.createDataFrame([(s, t, "calls", 1) for s, t in links], "source string, target string, kind string, line int")
-    nodes, _ = G.hot_subgraph(spark.createDataFrame([("a",)], "id string"), edges, max_depth=3, max_nodes=4)
-    assert {r.id for r in nodes.collect()} == {"a", "b", "c", "d"}
+    nodes, among = G.subgraph_around(spark.createDataFrame([("a",), ("a",)], "id string"), edges, depth=3)
+    assert {(r.id, r.depth) for r in nodes.collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)} and among.count() == 5
+    shown, inside, about = G.capped_view(nodes, among, ["depth"], 2, 1)
+    assert [r.id for r in shown.orderBy("depth").collect()] == ["a", "b"] and [(r.source, r.target) for r in inside.collect()] == [("a", "b")]
+    assert about.first().asDict() == {"total_nodes": 4, "total_edges": 5, "shown_nodes": 2, "shown_edges": 1, "truncated": True}
+    assert not G.capped_view(nodes, among, ["depth"], 4, 5)[2].first().truncated
 
 
 def test_globs_with_sets(spark):
