@@ -363,35 +363,34 @@ def verdict(effects: DataFrame) -> DataFrame:
 
 
 def claim_readiness(effects: DataFrame, primary: tuple[str, str], design: dict, intent: str | None) -> DataFrame:
-    """Why an efficacy claim may not be made yet; empty reasons mean it may."""
-    p = effects.filter((F.col("intervention") == primary[0]) & (F.col("baseline") == primary[1])).agg(
-        F.coalesce(F.max("n_pairs_risky"), F.lit(0)).alias("pairs"), F.coalesce(F.max("n_independent_risky_tasks"), F.lit(0)).alias("tasks"))
-    need = lambda k: F.lit(design.get(k))
-    unit = lambda k, closed=False: ~((need(k) > 0) & (need(k) <= 1 if closed else need(k) < 1))
-    power = any(design.get(k) is None for k in ("alpha", "target_power", "minimum_effect"))
-    mp, mt = design.get("minimum_pairs"), design.get("minimum_independent_tasks")
-    rules = [
-        F.when(F.lit(intent != "efficacy"), "explicit diagnostic run intent" if intent == "diagnostic" else "efficacy run intent unavailable"),
-        F.when(F.lit(mp is None or mt is None), "predeclared claim design is incomplete"),
-        F.when(F.lit(not design.get("analysis")), "predeclared analysis method unavailable"),
-        F.when(F.lit(power), "predeclared power assumptions are incomplete"),
-    ]
-    if not power:
-        rules += [
-            F.when(unit("alpha"), "declared alpha must be between zero and one"),
-            F.when(unit("target_power"), "declared target power must be between zero and one"),
-            F.when(unit("minimum_effect", True), "declared minimum effect must be between zero and one"),
-        ]
-    if mp is None or mp <= 0:
-        rules.append(F.lit("declared minimum pairs must be positive"))
-    else:
-        rules.append(F.when(F.col("pairs") < mp, F.format_string(f"observed risky pairs %d below declared minimum {mp}", "pairs")))
-    if mt is None or mt <= 0:
-        rules.append(F.lit("declared minimum independent tasks must be positive"))
-    else:
-        rules.append(F.when(F.col("tasks") < mt, F.format_string(f"independent risky tasks %d below declared minimum {mt}", "tasks")))
-    reasons = F.array_compact(F.array(*rules))
-    return p.select(F.col("pairs").alias("actual_pairs"), F.col("tasks").alias("independent_tasks"), reasons.alias("reasons"), (F.size(reasons) > 0).alias("diagnostic_only"))
+    """Why an efficacy claim may not be made yet; no code means it may.
+
+    ``reasons`` holds a code per open point: ``intent``, ``no_minimums``, ``no_analysis``, ``no_power``, a number of the design out of
+    its range (``range:<name>``), and a count short of its minimum (``pairs:<found>/<needed>``, ``tasks:...``).
+    """
+    here = (F.col("intervention") == primary[0]) & (F.col("baseline") == primary[1])
+    found = effects.filter(here).agg(
+        F.coalesce(F.max("n_pairs_risky"), F.lit(0)).alias("actual_pairs"), F.coalesce(F.max("n_independent_risky_tasks"), F.lit(0)).alias("independent_tasks"))
+    power = {name: design.get(name) for name in ("alpha", "target_power", "minimum_effect")}
+    told = all(x is not None for x in power.values())
+    # what the design alone decides, before any row is looked at
+    open_points = {
+        "intent": intent != "efficacy",
+        "no_minimums": design.get("minimum_pairs") is None or design.get("minimum_independent_tasks") is None,
+        "no_analysis": not design.get("analysis"),
+        "no_power": not told,
+    }
+    for name, x in power.items():
+        top = 1.0 if name == "minimum_effect" else 1.0 - 1e-12  # an effect may be whole, the others stay below one
+        open_points[f"range:{name}"] = told and not 0 < x <= top
+    codes = [F.lit(code) for code, on in open_points.items() if on]
+    for code, column, least in (("pairs", "actual_pairs", design.get("minimum_pairs")), ("tasks", "independent_tasks", design.get("minimum_independent_tasks"))):
+        if least is None or least <= 0:
+            codes.append(F.lit(f"range:{code}"))
+        else:
+            codes.append(F.when(F.col(column) < least, F.concat(F.lit(f"{code}:"), F.col(column).cast("string"), F.lit(f"/{least}"))))
+    reasons = F.array_compact(F.array(*codes))
+    return found.select("actual_pairs", "independent_tasks", reasons.alias("reasons"), (F.size(reasons) > 0).alias("diagnostic_only"))
 
 
 def report_state(verdicts: DataFrame, readiness: DataFrame, preflight_valid: bool = True) -> DataFrame:
@@ -403,4 +402,4 @@ def report_state(verdicts: DataFrame, readiness: DataFrame, preflight_valid: boo
     return j.select(
         F.col("verdict").alias("raw_verdict"), F.when(valid & F.col("diagnostic_only"), "DIAGNOSTIC_ONLY").otherwise(structural).alias("verdict"),
         valid.alias("assay_valid"), claim.alias("claim_valid"), (claim & (F.col("has_efficacy") | F.col("repair_exceeds"))).alias("efficacy_claim_allowed"),
-        "actual_pairs", "independent_tasks", F.array_join("reasons", "; ").alias("reasons"))
+        "actual_pairs", "independent_tasks", F.array_join("reasons", ",").alias("reasons"))

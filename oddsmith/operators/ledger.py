@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsmith import constants as K
-from oddsmith.functions.columns import finite, previous_row, running_sum
+from oddsmith.functions.columns import finite, previous_row, running_positions, running_sum
+from oddsmith.session import cut_lineage
 
 _S, _D, _B = T.StringType(), T.DoubleType(), T.BooleanType()
 
@@ -181,15 +184,73 @@ def verify_chain(rows: DataFrame, table: str = "table_name", genesis: str = "GEN
         F.count(F.lit(1)).alias("rows"), F.every(ok).alias("valid"), F.min(F.when(~ok, F.col("id"))).alias("first_bad_id"))
 
 
-def batch_digests(rows: DataFrame, group: list[str], batch: Column) -> DataFrame:
-    """One digest per batch over its row hashes, so new chains link batches, not rows.
+def _in_order(node: str, digest: str) -> Column:
+    """SHA-256 over the digests of a bounded group, by ``node``."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(node).alias("n"), F.col(digest).alias("d")))), lambda c: c["d"]), ""), 256)
+
+
+def batch_digests(rows: DataFrame, group: list[str], batch: Column, order: str = "id", content: str = "content_json") -> DataFrame:
+    """One digest per batch over its row hashes in ledger order, so new chains link batches, not rows.
+
+    A batch is what its writer closed at once; its hashes, 64 characters a row, are put in order in one row.
+    """
+    hashed = rows.select(*group, batch.alias("batch"), order, F.sha2(F.coalesce(content, F.lit("")), 256).alias("hash"))
+    return hashed.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("rows"), _in_order(order, "hash").alias("digest"))
+
+
+def merkle_levels(rows: DataFrame, group: list[str], order: str = "id", content: str = "content_json", fanout: int = 256, height: int | None = None) -> list[DataFrame]:
+    """An ordered hash tree per group: tables of (group, node, rows, digest), leaves first, one root per group last.
 
-    Row hashes are folded by an order-free sum of four 64-bit slices, then hashed once.
+    A leaf hashes a row's place and content; a node hashes its children's digests in order, ``fanout`` at
+    a time.  Two swapped rows, a changed, missing or added one change every digest up to the root.  A null
+    content is told apart from an empty one.  ``height`` levels are put on the leaves, by default as many as the largest group needs.
     """
-    h = F.sha2("content_json", 256)
-    part = lambda i: F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
-    g = rows.groupBy(*group, batch.alias("batch")).agg(F.count(F.lit(1)).alias("rows"), *[part(i).alias(f"s{i}") for i in range(4)])
-    return g.select(*group, "batch", "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("digest"))
+    placed = running_positions(rows, group, order)
+    place = F.col("position") - 1
+    told = F.concat(place.cast("string"), F.lit(":"), F.col(order).cast("string"), F.lit(":"), F.coalesce(F.concat(F.lit("="), content), F.lit("-")))
+    level = placed.select(*group, place.cast("bigint").alias("node"), F.lit(1).cast("bigint").alias("rows"), F.sha2(told, 256).alias("digest"))
+    levels = [level]
+    if height is None:
+        width, height = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0, 0
+        while width > 1:
+            width, height = -(-width // fanout), height + 1
+    for _ in range(height):
+        up = level.withColumn("up", F.floor(F.col("node") / fanout).cast("bigint")).groupBy(*group, "up")
+        level = cut_lineage(up.agg(F.sum("rows").alias("rows"), _in_order("node", "digest").alias("digest")).withColumnRenamed("up", "node"))
+        levels.append(level)
+    return levels
+
+
+def inclusion_proof(levels: list[DataFrame], place: DataFrame, group: list[str], fanout: int = 256) -> DataFrame:
+    """What shows that the row at ``place(group, node)`` is under the root: per level the digests of its node and siblings, in order."""
+    out = []
+    for i, level in enumerate(levels[:-1]):
+        up = F.floor(F.col("node") / fanout).cast("bigint")
+        wanted = place.select(*group, F.col("node").alias("own"), up.alias("parent"))
+        out.append(level.withColumn("parent", up).join(wanted, [*group, "parent"]).select(*group, F.lit(i).alias("level"), "own", "node", "digest"))
+        place = place.select(*group, up.alias("node"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def proof_holds(proof: DataFrame, roots: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: do the digests of each level hash to the node above, up to the stored root?"""
+    made = proof.groupBy(*group, "level", "own").agg(_in_order("node", "digest").alias("made"))
+    above = proof.filter(F.col("node") == F.col("own")).select(*group, (F.col("level") - 1).alias("level"), F.col("digest").alias("stored"))
+    top = made.groupBy(*group).agg(F.max("level").alias("level")).join(roots.select(*group, F.col("digest").alias("stored")), group)
+    told = above.filter("level >= 0").unionByName(top.select(*above.columns))
+    return made.join(told, [*group, "level"], "left").groupBy(*group).agg(F.every(F.coalesce(F.col("made") == F.col("stored"), F.lit(False))).alias("holds"))
+
+
+def changed_ranges(before: list[DataFrame], after: list[DataFrame], group: list[str], fanout: int = 256) -> DataFrame:
+    """(group, node) of the leaves that differ, found from the roots down: below equal digests nothing is read."""
+    open_ = None
+    for i in range(len(before) - 1 if len(before) == len(after) else 0, -1, -1):  # trees of two heights are compared by their leaves
+        here = [t.withColumn("parent", F.floor(F.col("node") / fanout).cast("bigint")) for t in (before[i], after[i])]
+        if open_ is not None:
+            here = [t.join(open_.select(*group, F.col("node").alias("parent")), [*group, "parent"], "left_semi") for t in here]
+        b, a = (t.select(*group, "node", F.col("digest").alias(c)) for t, c in zip(here, "ba"))
+        open_ = cut_lineage(b.join(a, [*group, "node"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select(*group, "node"))
+    return open_
 
 
 # --- identity --------------------------------------------------------------------------------------------------

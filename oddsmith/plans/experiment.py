@@ -214,7 +214,7 @@ def _(m):
 
 
 @plan("e33_claim_readiness", f"""WITH {_VERDICT}, c AS (SELECT nr, nt FROM ef WHERE baseline = 'graph_context'),
-r AS (SELECT nr, nt, array_to_string(list_filter([CASE WHEN nr < 500 THEN 'observed risky pairs ' || nr || ' below declared minimum 500' END, CASE WHEN nt < 12 THEN 'independent risky tasks ' || nt || ' below declared minimum 12' END], lambda x: x IS NOT NULL), '; ') AS why FROM c),
+r AS (SELECT nr, nt, array_to_string(list_filter([CASE WHEN nr < 500 THEN 'pairs:' || nr || '/500' END, CASE WHEN nt < 12 THEN 'tasks:' || nt || '/12' END], lambda x: x IS NOT NULL), ',') AS why FROM c),
 s AS (SELECT *, verdict NOT LIKE 'INVALID%' AS ok FROM vd, r)
 SELECT verdict AS raw_verdict, CASE WHEN ok AND why <> '' THEN 'DIAGNOSTIC_ONLY' ELSE verdict END AS verdict, ok AS assay_valid, ok AND why = '' AS claim_valid, ok AND why = '' AND (has_efficacy OR repair_exceeds) AS efficacy_claim_allowed,
   nr AS actual_pairs, nt AS independent_tasks, why AS reasons FROM s""")

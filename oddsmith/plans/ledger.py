@@ -135,11 +135,26 @@ def _(m):
 
 
 @plan("f15_batch_digests", """
-SELECT id % 7 AS repo, id // 500 AS batch, count(*) AS rows FROM ledger_content GROUP BY 1, 2
+SELECT id % 7 AS repo, id // 500 AS batch, count(*) AS rows, sha256(string_agg(sha256(content_json), '' ORDER BY id)) AS digest FROM ledger_content GROUP BY 1, 2
 """)
 def _(m):
     rows = m.ledger_content.withColumn("repo", F.col("id") % 7)
-    return L.batch_digests(rows, ["repo"], F.floor(F.col("id") / 500)).filter(F.length("digest") == 64).drop("digest")
+    return L.batch_digests(rows, ["repo"], F.floor(F.col("id") / 500))
+
+
+_TREE = """
+l0 AS (SELECT id % 7 AS repo, row_number() OVER (PARTITION BY id % 7 ORDER BY id) - 1 AS node, 1 AS rows, id, content_json FROM ledger_content),
+l1 AS (SELECT repo, node, rows, sha256(node || ':' || id || ':' || coalesce('=' || content_json, '-')) AS digest FROM l0),
+l2 AS (SELECT repo, node // 64 AS node, sum(rows) AS rows, sha256(string_agg(digest, '' ORDER BY l1.node)) AS digest FROM l1 GROUP BY 1, 2),
+l3 AS (SELECT repo, node // 64 AS node, sum(rows) AS rows, sha256(string_agg(digest, '' ORDER BY l2.node)) AS digest FROM l2 GROUP BY 1, 2),
+l4 AS (SELECT repo, node // 64 AS node, sum(rows) AS rows, sha256(string_agg(digest, '' ORDER BY l3.node)) AS digest FROM l3 GROUP BY 1, 2)"""
+
+
+@plan("f15_merkle_tree", f"WITH {_TREE} SELECT repo, 1 AS level, node, cast(rows as bigint) AS rows, digest FROM l2 UNION ALL SELECT repo, 2, node, cast(rows as bigint), digest FROM l3 UNION ALL SELECT repo, 3, node, cast(rows as bigint), digest FROM l4")
+def _(m):
+    levels = L.merkle_levels(m.ledger_content.withColumn("repo", F.col("id") % 7), ["repo"], fanout=64, height=3)
+    tables = [t.select("repo", F.lit(i).alias("level"), "node", "rows", "digest") for i, t in enumerate(levels) if i]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 @plan("f16_controlling_gate", f"WITH {_AC} SELECT id, CASE id % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 9 END AS gate FROM au")

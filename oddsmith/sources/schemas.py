@@ -1,37 +1,23 @@
-"""Explicit schemas of the nine ledger tables; nothing is inferred."""
+"""Explicit schemas of the file sources; nothing is inferred.  Ledger tables are Parquet and carry their own."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_T = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType()}
-
-
-def _table(spec: str) -> T.StructType:
-    """``name:type`` pairs, one letter per type (s string, l long, i int, d double)."""
-    return T.StructType([T.StructField(n, _T[t]) for n, t in (p.split(":") for p in spec.split())])
-
-
-LEDGER = {
-    "assessments": _table("id:l repo_id:s action_id:s decision:s content_json:s prev_hash:s row_hash:s"),
-    "sanction_events": _table("id:l assessment_id:l repo_id:s action_id:s status:s sanction_json:s recorded_at:s prev_hash:s row_hash:s"),
-    "post_assessment_guardrails": _table("id:l assessment_id:l recorded_at:s guardrails_json:s prev_hash:s row_hash:s"),
-    "outcomes": _table("id:l assessment_id:l guidance_packet_id:s hash_version:i terminal_status:s detail_json:s recorded_at:s prev_hash:s row_hash:s"),
-    "assessment_predictions": _table("id:l assessment_id:l action_id:s target_type:s target_name:s predicted_value:d prediction_scope:s provenance_json:s features_json:s prev_hash:s row_hash:s"),
-    "prediction_errors": _table(
-        "id:l assessment_id:l action_id:s target_type:s target_name:s predicted_probability:d predicted_value:d actual_outcome:i actual_value:d residual:d "
-        "brier_error:d log_loss:d squared_error:d outcome_label_status:s calibration_scope:s guidance_packet_id:s benefit_guidance_influenced:i shadow_mode:i "
-        "hash_version:i recorded_at:s prev_hash:s row_hash:s"),
-    "risk_snapshots": _table("id:l repo_id:s status:s metrics_json:s parent_snapshot_id:s promotion_reason:s rollback_reason:s drift_score:d activated_at:s created_at:s hash_version:i prev_hash:s row_hash:s"),
-    "learned_risk_facts": _table(
-        "id:l repo_id:s snapshot_id:s fact_type:s target_type:s target_name:s scope_kind:s scope_value:s specificity_rank:i scope_json:s fact_json:s status:s "
-        "requires_human_ratification:i created_at:s prev_hash:s row_hash:s"),
-    "learning_context": _table("id:l learning_context_id:s repo_id:s assessment_id:s task:s target_files:s symbols:s lesson:s terminal_status:s created_at:s row_hash:s"),
-}
-
-PAIRS = _table("target_type:s target_name:s predicted_probability:d predicted_value:d actual_outcome:i actual_value:d outcome_label_status:s")
+PAIRS = T.StructType([
+    T.StructField("target_type", T.StringType()),
+    T.StructField("target_name", T.StringType()),
+    T.StructField("predicted_probability", T.DoubleType()),
+    T.StructField("predicted_value", T.DoubleType()),
+    T.StructField("actual_outcome", T.IntegerType()),
+    T.StructField("actual_value", T.DoubleType()),
+    T.StructField("outcome_label_status", T.StringType()),
+])
 
 CASE = T.StructType([
-    T.StructField("case_id", T.LongType()), T.StructField("action_id", T.StringType()), T.StructField("partition", T.StringType()),
-    T.StructField("criticality_stage", T.StringType()), T.StructField("predicted_value", T.DoubleType()),
+    T.StructField("case_id", T.LongType()),
+    T.StructField("action_id", T.StringType()),
+    T.StructField("partition", T.StringType()),
+    T.StructField("criticality_stage", T.StringType()),
+    T.StructField("predicted_value", T.DoubleType()),
 ])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsmith.session import checkpoint_root
-from oddsmith.sources.schemas import LEDGER, PAIRS
+from oddsmith.sources.schemas import PAIRS
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,10 +17,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def read_ledger(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(LEDGER[table]).parquet(f"{root}/{table}")
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One object per non-blank line; a line that is not an object fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

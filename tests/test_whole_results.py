@@ -60,3 +60,25 @@ def test_globs_with_sets(spark):
     df = spark.createDataFrame([(g, p) for g in globs for p in paths], "g string, p string")
     got = {(r.g, r.p) for r in df.filter(F.regexp_like("p", Cx.glob_regex_column("g"))).collect()}
     assert got == {(g, p) for g in globs for p in paths if fnmatch.fnmatchcase(p, g)}
+
+
+def test_hash_tree_finds_changes_and_proves_rows(spark):
+    from oddsmith.operators import ledger as L
+
+    rows = [(g, i, f"c{i}" if i % 7 else None) for g, n in (("a", 50), ("b", 3)) for i in range(n)]
+    frame = lambda rs: spark.createDataFrame(rs, "g string, id long, content_json string")
+    tree = lambda rs, height=None: L.merkle_levels(frame(rs), ["g"], fanout=4, height=height)
+    one = tree(rows)
+    roots = {r.g: r.digest for r in one[-1].collect()}
+    assert len(one) == 4 and len(roots) == 2
+    swapped = [(g, i, {3: "c4", 4: "c3"}.get(i, c) if g == "a" else c) for g, i, c in rows]
+    empty = [(g, i, "" if c is None else c) for g, i, c in rows]
+    for other, where in ((swapped, {("a", 3), ("a", 4)}), (empty, {(g, i) for g, i, c in rows if c is None}), (rows + [("b", 3, "new")], {("b", 3)})):
+        two = tree(other)
+        assert {r.g for r in two[-1].collect() if r.digest != roots[r.g]} == {g for g, _ in where}
+        assert {(r.g, r.node) for r in L.changed_ranges(one, two, ["g"], fanout=4).collect()} == where
+    place = spark.createDataFrame([("a", 37), ("b", 2)], "g string, node long")
+    proof = L.inclusion_proof(one, place, ["g"], fanout=4)
+    assert proof.count() <= 2 * 3 * 4 and all(r.holds for r in L.proof_holds(proof, one[-1], ["g"]).collect())
+    forged = proof.withColumn("digest", F.when((F.col("g") == "a") & (F.col("level") == 0) & (F.col("node") == 37), "0" * 64).otherwise(F.col("digest")))
+    assert {r.g: r.holds for r in L.proof_holds(forged, one[-1], ["g"]).collect()} == {"a": False, "b": True}
