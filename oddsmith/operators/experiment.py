@@ -129,15 +129,20 @@ def signed_rank(diffs: DataFrame, by: list[str], d: str) -> DataFrame:
 
 
 def bootstrap_ci(pairs: DataFrame, by: list[str], d: str, resamples: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Percentile bootstrap of a mean of −1/0/+1 differences with hash-seeded draws.
+    """Percentile bootstrap of a mean of −1/0/+1 differences with counter-based draws.
 
-    Each pair row makes one draw per resample.  A drawn index only matters through the
+    Each pair row makes one draw per resample: 48 bits of a SHA-256 of the row's key, a counter and ``seed``, five
+    draws a hash, the same in any engine and any order.  A drawn index only matters through the
     three-bin histogram of the group, so nothing is looked up row by row, and the draws are
     folded per (group, resample) before the shuffle.
     """
     hist = diffs_histogram(pairs, by, d)
-    draws = pairs.select(*by, F.xxhash64("task_id", "seed").alias("_row")).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64("_row", "_draw", F.lit(seed)), F.col("_n"))
+    key = F.concat_ws(":", F.col("task_id").cast("string"), F.col("seed").cast("string"))
+    blocks = pairs.select(*by, key.alias("_row"), F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 5) - 1))).alias("_block"))
+    hashed = blocks.withColumn("_hash", F.sha2(F.concat_ws(":", "_row", F.col("_block").cast("string"), F.lit(str(seed))), 256))
+    parts = F.array(*[F.conv(F.substring("_hash", 12 * i + 1, 12), 16, 10).cast("bigint") for i in range(5)])
+    draws = hashed.select(*by, "_block", F.posexplode(parts).alias("_part", "_bits")).withColumn("_draw", F.col("_block") * 5 + F.col("_part")).filter(F.col("_draw") < resamples)
+    u = F.col("_bits") % F.col("_n")
     value = F.when(u < F.col("_neg"), -1).when(u < F.col("_neg") + F.col("_zero"), 0).otherwise(1)
     means = draws.join(hist, by).groupBy(*by, "_draw").agg(F.avg(value).alias("_mean"))
     order = W.partitionBy(*by).orderBy("_mean")  # `resamples` rows per group

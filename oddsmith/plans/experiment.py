@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from oddsmith.functions.stats import CDF_END, CDF_TERMS
 from oddsmith.operators import experiment as X
 from oddsmith.plans.catalog import plan
 
@@ -108,21 +109,32 @@ def _(m):
     return X.cohens_d(_diffs(m), ["intervention", "baseline"], "d")
 
 
-@plan("f14_signed_rank", f"""WITH {_PAIR}, z AS (SELECT intervention, baseline, harm AS d FROM pr WHERE harm_label = 'risky' AND harm <> 0),
+_RANKS = f"""{_PAIR}, z AS (SELECT intervention, baseline, harm AS d FROM pr WHERE harm_label = 'risky' AND harm <> 0),
 k AS (SELECT *, rank() OVER (PARTITION BY intervention, baseline ORDER BY abs(d)) + (count(*) OVER (PARTITION BY intervention, baseline, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY intervention, baseline, abs(d)) AS t FROM z),
-g AS (SELECT intervention, baseline, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm, sum(cast(t as double) * t - 1) AS ties FROM k GROUP BY 1, 2),
-n AS (SELECT intervention, baseline, count(*) AS n FROM pr WHERE harm_label = 'risky' GROUP BY 1, 2)
-SELECT intervention, baseline, n, R(coalesce(ties, 0)) AS tie_term, R(coalesce(least(wp, wm), 0)) AS w FROM n LEFT JOIN g USING (intervention, baseline)""")
+g AS (SELECT intervention, baseline, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm, sum(cast(t as double) * t - 1) AS ties, cast(count(*) as double) AS m FROM k GROUP BY 1, 2),
+n AS (SELECT intervention, baseline, count(*) AS n FROM pr WHERE harm_label = 'risky' GROUP BY 1, 2),
+s AS (SELECT *, least(wp, wm) AS w, sqrt(greatest(0, m * (m + 1) * (2 * m + 1) / 24 - ties / 48)) AS sd FROM n LEFT JOIN g USING (intervention, baseline)),
+zz AS (SELECT *, least(abs((abs(w - m * (m + 1) / 4) - 0.5) / sd), {CDF_END}) AS z FROM s),
+pp AS (SELECT *, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * z * list_reduce(list_prepend(cast(1 as double), [{', '.join(f'{m}::double' for m in CDF_TERMS)}]), lambda h, m: 1 + z * z / m * h) AS cdf FROM zz)"""
+
+
+@plan("f14_signed_rank", f"WITH {_RANKS} SELECT intervention, baseline, n, R(coalesce(ties, 0)) AS tie_term, R(coalesce(w, 0)) AS w FROM s")
 def _(m):
     return X.signed_rank(_diffs(m), ["intervention", "baseline"], "d").drop("p_value")
 
 
-@plan("f14_signed_rank_p")
+@plan("f14_signed_rank_p", f"WITH {_RANKS} SELECT intervention, baseline, n, R(coalesce(ties, 0)) AS tie_term, R(coalesce(w, 0)) AS w, R(CASE WHEN coalesce(sd, 0) = 0 THEN 1 ELSE least(1, greatest(0, 2 * (1 - cdf))) END) AS p_value FROM pp")
 def _(m):
     return X.signed_rank(_diffs(m), ["intervention", "baseline"], "d")
 
 
-@plan("h13_bootstrap_ci")
+@plan("h13_bootstrap_ci", f"""WITH {_PAIR}, z AS (SELECT intervention, baseline, task_id, seed, harm AS d FROM pr WHERE harm_label = 'risky'),
+h AS (SELECT intervention, baseline, count(*) AS n, count(*) FILTER (d < 0) AS ng, count(*) FILTER (d = 0) AS zr FROM z GROUP BY 1, 2),
+b AS (SELECT intervention, baseline, blk, sha256(concat_ws(':', cast(task_id as varchar), cast(seed as varchar), cast(blk as varchar), '0')) AS x FROM z, range(200) r(blk)),
+u AS (SELECT intervention, baseline, blk * 5 + part AS draw, cast('0x' || substr(x, cast(part * 12 + 1 as int), 12) as bigint) AS bits FROM b, range(5) p(part)),
+mm AS (SELECT intervention, baseline, draw, avg(CASE WHEN bits % n < ng THEN -1 WHEN bits % n < ng + zr THEN 0 ELSE 1 END) AS m FROM u JOIN h USING (intervention, baseline) GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY intervention, baseline ORDER BY m) AS k FROM mm)
+SELECT intervention, baseline, R(max(m) FILTER (k = 26)) AS ci_low, R(max(m) FILTER (k = 976)) AS ci_high FROM k GROUP BY 1, 2""")
 def _(m):
     return X.bootstrap_ci(_diffs(m), ["intervention", "baseline"], "d")
 
