@@ -171,8 +171,27 @@ def reverse_blast(changed: DataFrame, edges: DataFrame, files: DataFrame, depth:
         F.coalesce("entry", F.lit(False)).alias("entrypoint_signal"))
 
 
+PROVENANCE = ("unresolved_imports", "dynamic_imports", "wildcard_imports", "missing_files", "parse_error_files")
+
+
+def uncertainty_provenance(expected: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Every file and import behind an action's uncertainty: ``action_id, list, line``, all of them."""
+    placed = expected.select("action_id", "path").distinct().join(files.select("path", "parse_error"), "path", "left")
+    known = F.col("kind").isin("static", "relative") & F.col("tgt").isNull()
+    kind = F.when(known, "unresolved_imports").when(F.col("kind") == "dynamic", "dynamic_imports").when(F.col("kind") == "wildcard", "wildcard_imports")
+    unnamed = F.when(known, "<unknown>").when(F.col("kind") == "dynamic", "<dynamic>").otherwise("*")
+    lines = edges.select(F.col("src").alias("path"), kind.alias("list"), F.concat("src", F.lit(": "), F.coalesce(F.nullif("name", F.lit("")), unnamed)).alias("line")).filter("list IS NOT NULL").distinct()
+    imports = placed.filter("parse_error IS NOT NULL").join(lines, "path").select("action_id", "list", "line")
+    state = F.when(F.col("parse_error").isNull(), "missing_files").when(F.col("parse_error"), "parse_error_files")
+    return imports.unionByName(placed.select("action_id", state.alias("list"), F.col("path").alias("line")).filter("list IS NOT NULL"))
+
+
 def graph_uncertainty(expected: DataFrame, edges: DataFrame, files: DataFrame, keep: int = 25) -> DataFrame:
-    """Bounded penalty for what the import graph could not resolve around each action."""
+    """Bounded penalty for what the import graph could not resolve around each action.
+
+    Each list shows its first ``keep`` lines next to the count of all; ``uncertainty_provenance`` has them whole.
+    ``uncertainty_codes`` names what raised the score, with its number.
+    """
     w = K.UNCERTAINTY_WEIGHT
     placed = expected.select("action_id", "path").distinct().join(files.select("path", "parse_error"), "path", "left")
     base = placed.groupBy("action_id").agg(
@@ -197,16 +216,16 @@ def graph_uncertainty(expected: DataFrame, edges: DataFrame, files: DataFrame, k
         + w["unresolved_import"] * F.col("unresolved_import_count") + w["dynamic_import"] * F.col("dynamic_import_count")
         + w["wildcard_import"] * F.col("wildcard_import_count") + w["repo_dynamic_import"] * rd + w["repo_wildcard_import"] * rw
     )
-    lines = (
-        placed.filter("parse_error IS NOT NULL").join(edges.filter(unresolved).select(F.col("src").alias("path"), "name"), "path")
-        .select("action_id", F.concat("path", F.lit(": "), F.coalesce("name", F.lit("<unknown>"))).alias("line")).distinct()
-    )
-    order = W.partitionBy("action_id").orderBy("line")
-    listed = (
-        lines.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
-        .groupBy("action_id").agg(F.array_sort(F.collect_list("line")).alias("unresolved_imports"))
-    )
-    return out.withColumn("graph_uncertainty_score", F.least(F.lit(K.UNCERTAINTY_CAP), score)).join(listed, "action_id", "left").drop("n_changed")
+    order = W.partitionBy("action_id", "list").orderBy("line")
+    first = uncertainty_provenance(expected, edges, files).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
+    listed = first.groupBy("action_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == c, F.col("line")))).alias(c) for c in PROVENANCE])
+    none = F.array().cast("array<string>")
+    found = {"missing_files": F.col("missing_file_count"), "parse_errors": F.col("parse_error_count"), "unresolved": F.col("unresolved_import_count"),
+             "dynamic": F.col("dynamic_import_count"), "wildcard": F.col("wildcard_import_count"), "elsewhere": rd + rw}
+    codes = [F.when(n > 0, F.concat(F.lit(f"{c}:"), n.cast("string"))) for c, n in found.items()]
+    return (
+        out.withColumns({"graph_uncertainty_score": F.least(F.lit(K.UNCERTAINTY_CAP), score), "uncertainty_codes": F.array_compact(F.array(*codes))})
+        .join(listed, "action_id", "left").withColumns({c: F.coalesce(c, none) for c in PROVENANCE}).drop("n_changed"))
 
 
 def architecture_evidence(changed: DataFrame, degrees: DataFrame, hubs: DataFrame, cyclic: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -80,20 +80,35 @@ def _(m):
 _EXP = "SELECT action_id, CASE WHEN action_id % 17 = 0 THEN 'ghost/' || path ELSE path END AS path FROM {change_files}"
 
 
-@plan("g27_graph_uncertainty", f"""WITH {_IMP}, ex AS (SELECT DISTINCT * FROM ({_EXP.replace('{change_files}', 'change_files')})),
+_UNSURE = f"""{_IMP}, ex AS (SELECT DISTINCT * FROM ({_EXP.replace('{change_files}', 'change_files')})),
 pl AS (SELECT ex.*, f.path IS NULL AS miss, coalesce(parse_error, false) AS pe FROM ex LEFT JOIN import_files f USING (path)),
 lo AS (SELECT pl.action_id, im.* FROM pl JOIN im ON im.src = pl.path WHERE NOT miss),
+pv AS (SELECT DISTINCT action_id, 'unresolved_imports' AS list, src || ': ' || coalesce(nullif(name, ''), '<unknown>') AS line FROM lo WHERE tgt IS NULL AND kind IN ('static', 'relative')
+  UNION ALL SELECT DISTINCT action_id, 'dynamic_imports', src || ': ' || coalesce(nullif(name, ''), '<dynamic>') FROM lo WHERE kind = 'dynamic'
+  UNION ALL SELECT DISTINCT action_id, 'wildcard_imports', src || ': ' || coalesce(nullif(name, ''), '*') FROM lo WHERE kind = 'wildcard'
+  UNION ALL SELECT action_id, 'missing_files', path FROM pl WHERE miss UNION ALL SELECT action_id, 'parse_error_files', path FROM pl WHERE pe)"""
+_LISTS = ", ".join(f"coalesce((SELECT string_agg(line, ',' ORDER BY line) FROM (SELECT line FROM pv WHERE pv.action_id = b.action_id AND list = '{c}' ORDER BY line LIMIT 25)), '') AS {c}" for c in I.PROVENANCE)
+
+
+@plan("g27_provenance", f"WITH {_UNSURE} SELECT * FROM pv")
+def _(m):
+    return I.uncertainty_provenance(m.spark.sql(_EXP, change_files=m.change_files), _edges(m), m.import_files)
+
+
+@plan("g27_graph_uncertainty", f"""WITH {_UNSURE},
 b AS (SELECT action_id, count(*) FILTER (miss) AS mi, count(*) FILTER (pe) AS pe, count(*) FILTER (NOT miss) AS ch FROM pl GROUP BY 1),
-c AS (SELECT action_id, count(*) FILTER (tgt IS NULL AND kind IN ('static', 'relative')) AS u, count(*) FILTER (kind = 'dynamic') AS d, count(*) FILTER (kind = 'wildcard') AS w, count(*) FILTER (kind = 'external') AS x,
-  string_agg(DISTINCT src || ': ' || name, ',' ORDER BY src || ': ' || name) FILTER (tgt IS NULL AND kind IN ('static', 'relative')) AS l FROM lo GROUP BY 1),
-t AS (SELECT count(*) FILTER (kind = 'dynamic') AS d, count(*) FILTER (kind = 'wildcard') AS w FROM im)
-SELECT action_id, mi AS missing_file_count, pe AS parse_error_count, coalesce(u, 0) AS unresolved_import_count, coalesce(c.d, 0) AS dynamic_import_count, coalesce(c.w, 0) AS wildcard_import_count, coalesce(x, 0) AS external_import_count,
-  R(least(0.25, 0.05 * mi + 0.08 * pe + 0.03 * coalesce(u, 0) + 0.02 * coalesce(c.d, 0) + 0.01 * coalesce(c.w, 0) + CASE WHEN ch > 0 THEN 0.01 * (t.d - coalesce(c.d, 0)) + 0.005 * (t.w - coalesce(c.w, 0)) ELSE 0 END)) AS graph_uncertainty_score,
-  l AS unresolved_imports FROM b LEFT JOIN c USING (action_id), t""")
+c AS (SELECT action_id, count(*) FILTER (tgt IS NULL AND kind IN ('static', 'relative')) AS u, count(*) FILTER (kind = 'dynamic') AS d, count(*) FILTER (kind = 'wildcard') AS w, count(*) FILTER (kind = 'external') AS x FROM lo GROUP BY 1),
+t AS (SELECT count(*) FILTER (kind = 'dynamic') AS d, count(*) FILTER (kind = 'wildcard') AS w FROM im),
+r AS (SELECT b.action_id, mi, pe, ch, coalesce(u, 0) AS u, coalesce(c.d, 0) AS d, coalesce(c.w, 0) AS w, coalesce(x, 0) AS x,
+  CASE WHEN ch > 0 THEN t.d - coalesce(c.d, 0) ELSE 0 END AS rd, CASE WHEN ch > 0 THEN t.w - coalesce(c.w, 0) ELSE 0 END AS rw FROM b LEFT JOIN c USING (action_id), t)
+SELECT action_id, mi AS missing_file_count, pe AS parse_error_count, u AS unresolved_import_count, d AS dynamic_import_count, w AS wildcard_import_count, x AS external_import_count,
+  R(least(0.25, 0.05 * mi + 0.08 * pe + 0.03 * u + 0.02 * d + 0.01 * w + 0.01 * rd + 0.005 * rw)) AS graph_uncertainty_score,
+  concat_ws(',', CASE WHEN mi > 0 THEN 'missing_files:' || mi END, CASE WHEN pe > 0 THEN 'parse_errors:' || pe END, CASE WHEN u > 0 THEN 'unresolved:' || u END, CASE WHEN d > 0 THEN 'dynamic:' || d END,
+    CASE WHEN w > 0 THEN 'wildcard:' || w END, CASE WHEN rd + rw > 0 THEN 'elsewhere:' || (rd + rw) END) AS uncertainty_codes, {_LISTS} FROM r b""")
 def _(m):
     expected = m.spark.sql(_EXP, change_files=m.change_files)
     out = I.graph_uncertainty(expected, _edges(m), m.import_files)
-    return out.withColumn("unresolved_imports", F.array_join("unresolved_imports", ","))
+    return out.withColumns({c: F.array_join(c, ",") for c in (*I.PROVENANCE, "uncertainty_codes")})
 
 
 @plan("g28_architecture_evidence", f"""WITH RECURSIVE {_IMP}, {_CYC}
