@@ -257,16 +257,18 @@ def owner_reach(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple
     return reached, callers
 
 
-def impact_witnesses(members: DataFrame, nodes: DataFrame, edges: DataFrame, per_owner: int = 3, per_action: int = 5) -> DataFrame:
-    """Nearest dependents of each owner, then the first few of each action.
+def impact_witnesses(members: DataFrame, nodes: DataFrame, edges: DataFrame, per_owner: int | None = None, per_action: int | None = None) -> DataFrame:
+    """Dependents of each owner, nearest first: all of them, or the first few of each owner and action.
 
-    Both limits are the feature: the row_number filters become partial top-k in the plan.
-    A depth-1 witness shows the first edge site that has a line.
+    With limits, ``n_witnesses`` still counts all of the action and ``truncated`` tells whether any is left out; the
+    row_number filters become partial top-k in the plan.  A depth-1 witness shows the first edge site that has a line.
     """
     reached, _ = owner_reach(members, nodes, edges)
     info = nodes.select(F.col("id").alias("node"), "file_path", "qualified_name", "start_line")
     near = W.partitionBy("action", "key").orderBy("depth", "file_path", "qualified_name", "node")
-    picked = reached.join(info, "node").withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= per_owner)
+    picked = reached.join(info, "node")
+    total = picked.groupBy("action").agg(F.count(F.lit(1)).alias("n_witnesses"))
+    picked = picked.withColumn("rn", F.lit(0)) if per_owner is None else picked.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= per_owner)
     own = members.select("key").distinct().withColumn("node", F.col("key"))
     targets = impact_targets(own, nodes, edges).withColumnRenamed("node", "target")
     first = W.partitionBy("key", "source").orderBy(
@@ -279,13 +281,16 @@ def impact_witnesses(members: DataFrame, nodes: DataFrame, edges: DataFrame, per
     at_edge = F.coalesce(F.col("edge_line") > 0, F.lit(False))
     rows = picked.drop("rn").join(sites, ["key", "node", "depth"], "left").join(
         nodes.select(F.col("id").alias("key"), F.col("qualified_name").alias("owner_name")), "key").select(
-        "action", "owner_name", F.col("qualified_name").alias("dependent_name"), posix("file_path").alias("file_path"), "depth",
+        "action", "key", "node", "owner_name", F.col("qualified_name").alias("dependent_name"), posix("file_path").alias("file_path"), "depth",
         F.when(at_edge, F.col("edge_line")).otherwise(F.col("start_line")).alias("line"),
         F.coalesce("edge_kind", F.lit("")).alias("edge_kind"),
         F.when(at_edge, "edge_site").otherwise("node_definition").alias("location_source"))
     order = W.partitionBy("action").orderBy("depth", "owner_name", "dependent_name", "file_path",
-                                            F.col("line").asc_nulls_last(), "edge_kind")
-    return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= per_action)
+                                            F.col("line").asc_nulls_last(), "edge_kind", "key", "node")
+    placed = rows.withColumn("position", F.row_number().over(order))
+    placed = placed if per_action is None else placed.filter(F.col("position") <= per_action)
+    shown = placed.groupBy("action").agg(F.count(F.lit(1)).alias("shown"))
+    return placed.join(total.join(shown, "action"), "action").withColumn("truncated", F.col("shown") < F.col("n_witnesses")).drop("shown", "key", "node")
 
 
 def edges_among(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -146,18 +146,32 @@ def _(m):
 _SITE = "cast((cast(substr(source, 2) as bigint) + cast(substr(target, 2) as bigint)) % 50 as int)"
 
 
-@plan("g10_impact_witnesses", f"""WITH RECURSIVE {_OWNER},
+_WITNESS = f"""{_OWNER},
 w1 AS (SELECT r.*, n.file_path, n.qualified_name AS qn, n.start_line, row_number() OVER (PARTITION BY a, o ORDER BY d, n.file_path, n.qualified_name, n.id) AS rn FROM rr r JOIN nodes n ON n.id = r.id),
 si AS (SELECT t.o, e.source, e.kind, {_SITE} AS line, row_number() OVER (PARTITION BY t.o, e.source ORDER BY CASE WHEN {_SITE} > 0 THEN 0 ELSE 1 END, {_SITE}, e.kind, e.target) AS rn
   FROM (SELECT DISTINCT o, node FROM ot) t JOIN edges e ON e.target = t.node WHERE e.kind IN {_FAN}),
-w2 AS (SELECT w1.a, own.qualified_name AS owner_name, qn AS dependent_name, w1.file_path, d AS depth, CASE WHEN si.line > 0 THEN si.line ELSE w1.start_line END AS line, coalesce(si.kind, '') AS edge_kind,
-  CASE WHEN si.line > 0 THEN 'edge_site' ELSE 'node_definition' END AS location_source FROM w1 JOIN nodes own ON own.id = w1.o LEFT JOIN si ON w1.d = 1 AND si.o = w1.o AND si.source = w1.id AND si.rn = 1 WHERE w1.rn <= 3),
-w3 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY depth, owner_name, dependent_name, file_path, line, edge_kind) AS position FROM w2)
-SELECT a AS action, owner_name, dependent_name, file_path, depth, line, edge_kind, location_source, cast(position as int) AS position FROM w3 WHERE position <= 5""")
-def _(m):
+nw AS (SELECT a, count(*) AS n_witnesses FROM w1 GROUP BY 1),
+w2 AS (SELECT w1.a, w1.o, w1.id, own.qualified_name AS owner_name, qn AS dependent_name, w1.file_path, d AS depth, CASE WHEN si.line > 0 THEN si.line ELSE w1.start_line END AS line, coalesce(si.kind, '') AS edge_kind,
+  CASE WHEN si.line > 0 THEN 'edge_site' ELSE 'node_definition' END AS location_source FROM w1 JOIN nodes own ON own.id = w1.o LEFT JOIN si ON w1.d = 1 AND si.o = w1.o AND si.source = w1.id AND si.rn = 1 WHERE w1.rn <= @OWNER@),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY depth, owner_name, dependent_name, file_path, line NULLS LAST, edge_kind, o, id) AS position FROM w2),
+w4 AS (SELECT * FROM w3 WHERE position <= @ACTION@), sw AS (SELECT a, count(*) AS shown FROM w4 GROUP BY 1)
+SELECT a AS action, owner_name, dependent_name, file_path, depth, line, edge_kind, location_source, cast(position as int) AS position, n_witnesses, shown < n_witnesses AS truncated FROM w4 JOIN nw USING (a) JOIN sw USING (a)"""
+
+
+def _witnesses(m, per_owner=None, per_action=None):
     members = m.touched.select(F.col("action_id").alias("action"), F.col("id").alias("key"))
     edges = m.edges.withColumns({"line": F.expr(_SITE), "col": F.lit(0)})
-    return G.impact_witnesses(members, m.nodes, edges)
+    return G.impact_witnesses(members, m.nodes, edges, per_owner, per_action)
+
+
+@plan("g10_impact_witnesses", f"WITH RECURSIVE {_WITNESS.replace('@OWNER@', '3').replace('@ACTION@', '5')}")
+def _(m):
+    return _witnesses(m, 3, 5)
+
+
+@plan("g10_every_witness", f"WITH RECURSIVE {_WITNESS.replace('@OWNER@', '1000000000').replace('@ACTION@', '1000000000')}")
+def _(m):
+    return _witnesses(m)
 
 
 @plan("g11_edges_among_owners", f"""
