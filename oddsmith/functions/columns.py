@@ -123,21 +123,39 @@ def last_segment(qualified: str | Column, name: str | Column) -> Column:
 # --- distributed positions and ranks ---------------------------------------------------------
 
 
-def running_positions(
-    df: DataFrame, group: list[str], order: str, buckets: int = 64, name: str = "position"
-) -> DataFrame:
+#: Rows of one range, and the most ranges that are made.
+RANGE_ROWS, MOST_RANGES = 50_000, 512
+
+
+def equi_depth(df: DataFrame, value: str, rows: int | None = None) -> Column:
+    """Number, in order, of the range that ``value`` falls in; ranges hold about ``rows`` rows each whatever the values' spread.
+
+    Split points are quantiles of all rows, found in one pass (a sketch; the driver gets at most ``MOST_RANGES`` of
+    them), and looked up by halving.  Equal values share a range.
+    """
+    wanted = [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)]
+    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, wanted, 10_000).alias("q")).first()
+    ranges = min(MOST_RANGES, -(-found["n"] // (rows or RANGE_ROWS)))
+    cuts = sorted({found["q"][i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if ranges > 1 else []
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) <= F.lit(cuts[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return between(0, len(cuts))
+
+
+def running_positions(df: DataFrame, group: list[str], order: str, name: str = "position") -> DataFrame:
     """1-based row position inside each group without one task per group.
 
-    ``order`` is an integer ledger id, unique inside a group.  Its range is cut into equal
-    buckets; rows are numbered inside (group, bucket) and shifted by the row counts of the
-    earlier buckets, so a group holding most rows is still spread over ``buckets`` tasks.
+    ``order`` is a ledger id, unique inside a group.  Rows are numbered inside (group, range of ids) and
+    shifted by the row counts of the earlier ranges, so a group holding most rows is spread over all ranges.
     """
     from pyspark.sql import Window as W
 
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    lo = span.select("lo").scalar()
-    width = span.select(F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))).scalar()
-    tagged = df.withColumn("_bucket", F.floor((F.col(order) - lo) / width).cast("int"))
+    tagged = df.withColumn("_bucket", equi_depth(df, order))
     sizes = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -198,22 +216,15 @@ def rank_values(values: DataFrame, population: DataFrame, value: str, out: str)
 # --- ordered neighbours without one task per group -------------------------------------------
 
 
-def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    lo = span.select("lo").scalar()
-    width = span.select(F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))).scalar()
-    return df.withColumn("_bucket", F.floor((F.col(order) - lo) / width).cast("int"))
-
-
-def previous_row(df: DataFrame, group: list[str], order: str, cols: list[str], buckets: int = 64) -> DataFrame:
+def previous_row(df: DataFrame, group: list[str], order: str, cols: list[str]) -> DataFrame:
     """Adds ``prev``, a struct of ``cols`` of the row before in the group (NULL for the first).
 
-    ``lag`` runs inside (group, id bucket); the first row of a bucket takes the last row of
-    the nearest earlier bucket from a small table.
+    ``lag`` runs inside (group, range of ids); the first row of a range takes the last row of
+    the nearest earlier range from a small table.
     """
     from pyspark.sql import Window as W
 
-    tagged = _bucketed(df, order, buckets)
+    tagged = df.withColumn("_bucket", equi_depth(df, order))
     item = F.struct(*cols)
     ends = tagged.groupBy(*group, "_bucket").agg(F.max_by(item, order).alias("_end"))
     carry = W.partitionBy(*group).orderBy("_bucket")
@@ -225,11 +236,11 @@ def previous_row(df: DataFrame, group: list[str], order: str, cols: list[str], b
     )
 
 
-def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
-    """Running sum in ``order`` inside each group, spread over id buckets."""
+def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Running sum in ``order`` inside each group, spread over ranges of ids."""
     from pyspark.sql import Window as W
 
-    tagged = _bucketed(df, order, buckets)
+    tagged = df.withColumn("_bucket", equi_depth(df, order))
     sums = tagged.groupBy(*group, "_bucket").agg(F.sum(value).alias("_v"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*group, "_bucket", F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_off"))

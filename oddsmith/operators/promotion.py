@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oddsmith import constants as K
-from oddsmith.functions.columns import lookup
+from oddsmith.functions.columns import equi_depth, lookup
 from oddsmith.functions.stats import (
     bernoulli_variance, beta_variance, brier, log_loss, rate, sample_variance, wilson_lower,
 )
@@ -74,16 +74,17 @@ def leave_one_out(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 # --- contiguous folds ---------------------------------------------------------------------------------------
 
 
-def folded(x: DataFrame, value: str, min_n: int = 2, buckets: int = 64) -> DataFrame:
+def ranged(rows: DataFrame) -> DataFrame:
+    """Rows with ``_b``, the even range of ledger ids they fall in; found before rows are multiplied by their scopes."""
+    return rows.withColumn("_b", equi_depth(rows, "ledger_id"))
+
+
+def folded(x: DataFrame, value: str, min_n: int = 2) -> DataFrame:
     """Adds scope totals (n, s) and the fold of each row in ledger order.
 
-    Rows are numbered per (scope, id bucket) and shifted by the sizes of earlier buckets,
+    Rows are numbered per (scope, range ``_b`` of ids) and shifted by the sizes of earlier ranges,
     so no scope is ever one task.  Fold edges are half-even rounded shares of n.
     """
-    span = x.agg(F.min("ledger_id").alias("lo"), F.max("ledger_id").alias("hi"))
-    lo = span.select("lo").scalar()
-    width = span.select(F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))).scalar()
-    x = x.withColumn("_b", F.floor((F.col("ledger_id") - lo) / width).cast("int"))
     sizes = x.groupBy(*SCOPE, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
     scope = W.partitionBy(*SCOPE)
     before = scope.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -126,7 +127,7 @@ def _binary_coverage(folds: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def binary_coverage(rows: DataFrame, min_n: int = 2) -> DataFrame:
-    x = folded(explode_scopes(rows, "ledger_id", "actual_outcome"), "actual_outcome", min_n)
+    x = folded(explode_scopes(ranged(rows), "_b", "ledger_id", "actual_outcome"), "actual_outcome", min_n)
     folds = x.groupBy(*SCOPE, "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("actual_outcome").alias("fs"))
     return _binary_coverage(folds, [])
 
@@ -167,8 +168,8 @@ def binary_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, concern
     Inside a scope the left-out rate takes two values, (S−1)/(n−1) after a positive and
     S/(n−1) after a negative, so the replayed scores are closed forms of n and S.
     """
-    cols = ("ledger_id", "actual_outcome", "predicted_probability", "event_disutility", "criticality_stage", "is_high_symbol_fan_in")
-    x = explode_scopes(rows, *cols)
+    cols = ("_b", "ledger_id", "actual_outcome", "predicted_probability", "event_disutility", "criticality_stage", "is_high_symbol_fan_in")
+    x = explode_scopes(ranged(rows), *cols)
     sizes = x.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_group"), F.bool_or("is_high_symbol_fan_in").alias("_flag"))
     sizes = sizes.filter((F.col("scope_kind") != "high_symbol_fan_in") | F.col("_flag")).drop("_flag")
     sizes = sizes.unionByName(proposed_domains(rows).withColumn("n_group", F.lit(0).cast("bigint"))).groupBy(*SCOPE).agg(F.max("n_group").alias("n_group"))
@@ -211,7 +212,7 @@ def binary_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, concern
 
 def continuous_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, min_coverage: float = 0.90) -> DataFrame:
     """Leave-one-out MSE replay; the replayed error is n·SS/(n−1)² with SS the squared spread."""
-    x = explode_scopes(rows, "ledger_id", "actual_value", "predicted_value", "is_high_symbol_fan_in")
+    x = explode_scopes(ranged(rows), "_b", "ledger_id", "actual_value", "predicted_value", "is_high_symbol_fan_in")
     a, p = F.col("actual_value"), F.col("predicted_value")
     n = F.col("n_group").cast("double")
     g = x.groupBy(*SCOPE).agg(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oddsmith.functions.columns import equi_depth
+
 
 def candidate_order() -> list[Column]:
     return [
@@ -14,17 +16,14 @@ def candidate_order() -> list[Column]:
     ]
 
 
-def rank_candidates(df: DataFrame, buckets: int = 32) -> DataFrame:
+def rank_candidates(df: DataFrame) -> DataFrame:
     """Rank of every eligible candidate that needs refinement, by ten keys.
 
-    The leading key is cut into value buckets; rows are numbered inside (request, bucket)
-    and shifted by the sizes of the better buckets, so one huge request is many tasks.
+    The leading key is cut into ranges of about equal rows; rows are numbered inside (request, range)
+    and shifted by the sizes of the better ranges, so one huge request is many tasks.
     """
     live = df.filter("eligible AND needs_refinement")
-    span = live.agg(F.min("rau").alias("lo"), F.max("rau").alias("hi"))
-    hi = span.select("hi").scalar()
-    width = span.select(F.greatest((F.col("hi") - F.col("lo")) / buckets, F.lit(1e-9))).scalar()
-    tagged = live.withColumn("_b", F.floor((hi - F.col("rau")) / width))
+    tagged = live.withColumn("_b", -equi_depth(live, "rau"))
     sizes = tagged.groupBy("request_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("request_id").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("request_id", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -82,3 +82,20 @@ def test_hash_tree_finds_changes_and_proves_rows(spark):
     assert proof.count() <= 2 * 3 * 4 and all(r.holds for r in L.proof_holds(proof, one[-1], ["g"]).collect())
     forged = proof.withColumn("digest", F.when((F.col("g") == "a") & (F.col("level") == 0) & (F.col("node") == 37), "0" * 64).otherwise(F.col("digest")))
     assert {r.g: r.holds for r in L.proof_holds(forged, one[-1], ["g"]).collect()} == {"a": False, "b": True}
+
+
+def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
+    ids = [*range(1000), *(10**12 + 7 * i for i in range(1000)), *([5] * 10), -(10**15)]
+    df = spark.createDataFrame([(i % 3, x) for i, x in enumerate(dict.fromkeys(ids))], "g int, id long")
+    n = {r.b: r.n for r in df.groupBy(Cx.equi_depth(df, "id", 100).alias("b")).agg(F.count("*").alias("n")).collect()}
+    assert len(n) >= 18 and max(n.values()) <= 130
+    order = [r.id for r in df.withColumn("b", Cx.equi_depth(df, "id", 100)).orderBy("b", "id").collect()]
+    assert order == sorted(order)
+    monkeypatch.setattr(Cx, "RANGE_ROWS", 100)
+    got = {(r.g, r.id): r.position for r in Cx.running_positions(df, ["g"], "id").collect()}
+    for g in range(3):
+        assert [got[g, x] for x in sorted(x for h, x in got if h == g)] == list(range(1, 1 + sum(h == g for h, _ in got)))
+    prev = {(r.g, r.id): r.prev and r.prev.id for r in Cx.previous_row(df, ["g"], "id", ["id"]).collect()}
+    mine = sorted(x for h, x in got if h == 1)
+    assert [prev[1, x] for x in mine] == [None, *mine[:-1]]
+    assert Cx.equi_depth(df.limit(0), "id") is not None and Cx.running_positions(df.limit(0), ["g"], "id").collect() == []
