@@ -93,20 +93,52 @@ def _dirs(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def match_globs(targets: DataFrame, facts: DataFrame, salts: int = 16) -> DataFrame:
-    """Path-glob facts by equi-join on the literal folder before the first wildcard.
+GRAM = 3  #: characters of a literal key
 
-    Each path meets only globs anchored in one of its own folders; the pattern is then
-    checked.  Globs without a folder meet every path, so the key is salted.
+
+def _grams(text: Column, n: Column) -> Column:
+    """The different pieces of ``n`` characters of a text; none if it is shorter."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, n)))
+
+
+def _literals(pattern: str) -> Column:
+    """The parts of a pattern that stand for themselves."""
+    return F.split(pattern, r"\[!?\]?[^\]]*\]|[*?]")
+
+
+def pattern_pairs(paths: DataFrame, patterns: DataFrame, hot: int = 10_000) -> DataFrame:
+    """(file_path, scope_value) of every distinct path that a distinct pattern may match, by equal keys; still to be checked.
+
+    A pattern with a literal folder meets the paths in that folder.  Any other is keyed by the
+    rarest of its literal pieces of ``GRAM`` characters (of its longest literal, if that is shorter) and meets only paths that hold it; without
+    a literal it meets all.  Paths of a key that over ``hot`` paths hold are dealt over several tasks.
     """
-    literal = F.regexp_extract("scope_value", r"^([^*?\[]*)", 1)
-    globs = facts.filter("scope_kind = 'path_glob'").withColumns(
-        {"_dir": F.regexp_extract(literal, r"^(.*)/[^/]*$", 1), "_salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
-    placed = targets.select(
-        "action_id", "target_name", "file_path", F.explode(_dirs(F.col("file_path"))).alias("_dir"),
-        F.pmod(F.xxhash64("action_id"), F.lit(salts)).cast("int").alias("_salt"))
-    hits = placed.join(globs, ["target_name", "_dir", "_salt"])
-    return hits.filter(F.regexp_like("file_path", glob_regex_column("scope_value"))).drop("file_path", "_dir", "_salt")
+    folder = F.regexp_extract(F.regexp_extract("scope_value", r"^([^*?\[]*)", 1), r"^(.*)/[^/]*$", 1)
+    keyed = patterns.select("scope_value", folder.alias("_dir"))
+    anchored = paths.withColumn("_dir", F.explode(_dirs(F.col("file_path")))).join(keyed.filter("_dir <> ''"), "_dir").select("file_path", "scope_value")
+
+    floating = keyed.filter("_dir = ''").select("scope_value", _literals("scope_value").alias("_runs"))
+    n = F.least(F.lit(GRAM), F.array_max(F.transform("_runs", lambda r: F.length(r))))
+    wanted = floating.withColumn("_n", n).select("scope_value", F.explode(F.when(F.col("_n") > 0, F.flatten(F.transform("_runs", lambda r: _grams(r, F.col("_n"))))).otherwise(F.array(F.lit("")))).alias("_gram")).distinct()
+    own = F.concat(F.array(F.lit("")), *[_grams(F.col("file_path"), F.lit(k)) for k in range(1, GRAM + 1)])
+    held = paths.withColumn("_gram", F.explode(own)).join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = wanted.join(often, "_gram", "left").groupBy("scope_value").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("_often"), F.col("_gram").alias("_gram"))).alias("k"))
+    rarest = rarest.select("scope_value", "k.*").filter("_often > 0").withColumn("_tasks", F.ceil(F.col("_often") / hot).cast("int"))
+    tasks = rarest.groupBy("_gram").agg(F.max("_tasks").alias("_tasks"))
+    dealt = held.join(tasks, "_gram").withColumn("_task", F.pmod(F.xxhash64("file_path"), F.col("_tasks")).cast("int")).select("file_path", "_gram", "_task")
+    met = dealt.join(rarest.withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))), ["_gram", "_task"])
+    return anchored.unionByName(met.select("file_path", "scope_value"))
+
+
+def match_globs(targets: DataFrame, facts: DataFrame) -> DataFrame:
+    """Path-glob facts of each target: distinct paths meet distinct patterns by literal keys, and each pair is checked once."""
+    globs = facts.filter("scope_kind = 'path_glob'")
+    pairs = pattern_pairs(targets.select("file_path").filter("file_path IS NOT NULL").distinct(), globs.select("scope_value").distinct())
+    pairs = pairs.filter(F.regexp_like("file_path", glob_regex_column("scope_value")))
+    placed = targets.select("action_id", "target_name", "file_path").join(pairs, "file_path")
+    return placed.join(globs, ["target_name", "scope_value"]).drop("file_path")
 
 
 def match_facts(targets: DataFrame, features: DataFrame, facts: DataFrame) -> DataFrame:

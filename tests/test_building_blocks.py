@@ -63,6 +63,18 @@ def test_path_globs_by_folder(spark):
     assert got == {(i, g) for i, p in enumerate(paths) for g in globs if fnmatch.fnmatchcase(p, g)}
 
 
+def test_wildcard_first_patterns_meet_only_paths_with_their_rarest_piece(spark):
+    paths = [f"pkg{i}/mod{i}.py" for i in range(300)] + ["a.c", "zz", ""]
+    globs = ["*mod2?.py", "*/mod1[0-4].py", "?.c", "*", "[!p]*", "pkg7/*", "*.nothing"]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {}
+    for r in P.pattern_pairs(frame(paths, "file_path"), frame(globs, "scope_value"), hot=50).collect():
+        got.setdefault(r.scope_value, []).append(r.file_path)
+    assert sorted(got["*mod2?.py"]) == sorted(p for p in paths if "od2" in p) and len(got["*mod2?.py"]) < 120
+    assert sorted(got["*/mod1[0-4].py"]) == sorted(p for p in paths if "od1" in p) and got["?.c"] == ["a.c"] and got["pkg7/*"] == ["pkg7/mod7.py"]
+    assert sorted(got["*"]) == sorted(got["[!p]*"]) == sorted(paths) and "*.nothing" not in got
+
+
 def test_signed_rank_small_case(spark):
     from math import erf, sqrt
 
