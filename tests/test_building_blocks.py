@@ -14,7 +14,8 @@ from oddsmith.operators import priors as P
 from oddsmith.sources import tables as S
 
 
-def test_neighbours_and_positions_with_a_hot_group(spark):
+def test_neighbours_and_positions_with_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(Cx, "RANGE_ROWS", 60)
     rng = random.Random(3)
     rows = [(("hot" if rng.random() < 0.5 else f"g{rng.randrange(4)}"), i * 3 + rng.randrange(3), rng.randrange(2)) for i in range(400)]
     df = spark.createDataFrame(rows, "g string, id long, v int")
@@ -23,9 +24,9 @@ def test_neighbours_and_positions_with_a_hot_group(spark):
         n, total, prev = seen.get(g, (0, 0, None))
         want[i] = (n + 1, prev, total + v)
         seen[g] = (n + 1, total + v, v)
-    pos = {r.id: r.position for r in Cx.running_positions(df, ["g"], "id", 7).collect()}
-    prev = {r.id: r.prev.v if r.prev else None for r in Cx.previous_row(df, ["g"], "id", ["v"], 7).collect()}
-    run = {r.id: r.s for r in Cx.running_sum(df, ["g"], "id", "v", "s", 7).collect()}
+    pos = {r.id: r.position for r in Cx.running_positions(df, ["g"], "id").collect()}
+    prev = {r.id: r.prev.v if r.prev else None for r in Cx.previous_row(df, ["g"], "id", ["v"]).collect()}
+    run = {r.id: r.s for r in Cx.running_sum(df, ["g"], "id", "v", "s").collect()}
     assert {i: (pos[i], prev[i], run[i]) for i in want} == want
 
 
