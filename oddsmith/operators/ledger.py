@@ -100,6 +100,37 @@ def latest_by(df: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(order, *cols), order).alias("r")).select(key, "r.*")
 
 
+_NAMED = "action_id string, action_ids array<string>"
+
+
+def sanctions_in_force(sanctions: DataFrame) -> DataFrame:
+    return sanctions.filter(F.col("status").isin("active", "consumed"))
+
+
+def sanction_of_assessment(sanctions: DataFrame) -> DataFrame:
+    """Newest sanction in force of each assessment."""
+    return latest_by(sanctions_in_force(sanctions), "assessment_id", "id", "status", "sanction_json")
+
+
+def sanction_of_action(sanctions: DataFrame) -> DataFrame:
+    """Newest sanction in force that names an action, per repository and action.
+
+    The action is named at the top or in the risk profile, singly or in a list; a profile that is mere text names none.
+    """
+    top = F.from_json("sanction_json", f"{_NAMED}, risk_profile string")
+    read = sanctions_in_force(sanctions).withColumn("t", top).withColumn("p", F.from_json("t.risk_profile", _NAMED))
+    none = F.array().cast("array<string>")
+    named = F.concat(F.array("t.action_id", "p.action_id"), F.coalesce("t.action_ids", none), F.coalesce("p.action_ids", none))
+    each = read.withColumn("action_id", F.explode(F.array_distinct(F.array_compact(named))))
+    return each.groupBy("repo_id", "action_id").agg(F.max_by(F.struct("id", "assessment_id", "sanction_json"), "id").alias("r")).select("repo_id", "action_id", "r.*")
+
+
+def lessons_of(lessons: DataFrame, repo_id: str, ids: DataFrame | None = None) -> DataFrame:
+    """Lessons of a repository, all or those whose ``lesson_id`` is in ``ids``."""
+    own = lessons.filter(F.col("repo_id") == repo_id)
+    return own if ids is None else own.join(ids.select("lesson_id").distinct(), "lesson_id", "left_semi")
+
+
 def controlling_gate(gates: str | Column = "content.gates_fired") -> Column:
     """First valid non-advisory gate of the ordered array."""
     gates = F.col(gates) if isinstance(gates, str) else gates

@@ -401,6 +401,16 @@ SELECT l_orderkey AS assessment_id,
 FROM {lineitem}
 """
 
+# grants for risky actions; they name an action at the top, in a list, in a profile, or (a profile that is text) not at all
+VIEWS["sanctions"] = """
+SELECT o_orderkey AS id, o_custkey % 5 AS repo_id, o_orderkey % 3000 AS assessment_id,
+  CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'P' THEN 'consumed' ELSE 'revoked' END AS status,
+  CASE o_orderkey % 4 WHEN 0 THEN '{{"action_id": "a' || cast(o_custkey % 50 as string) || '"}}'
+    WHEN 1 THEN '{{"action_ids": ["a' || cast(o_custkey % 50 as string) || '", "a' || cast(o_custkey % 50 + 50 as string) || '"]}}'
+    WHEN 2 THEN '{{"risk_profile": {{"action_id": "a' || cast(o_custkey % 50 as string) || '"}}}}' ELSE '{{"risk_profile": "low"}}' END AS sanction_json
+FROM {orders}
+"""
+
 VIEWS["prediction_provenance"] = """
 SELECT l_orderkey AS assessment_id, (cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id,
   CASE l_linenumber % 3 WHEN 0 THEN 'p_success' WHEN 1 THEN 'review_cost' ELSE 'p_event.public_api_break' END AS target_name,

@@ -28,10 +28,11 @@ def _(m):
 @plan("a08_table_counts", """
 SELECT 'assessments' AS table_name, count(*) AS n FROM assessments UNION ALL SELECT 'outcomes', count(*) FROM outcomes UNION ALL SELECT 'post_assessment_guardrails', count(*) FROM guardrails
 UNION ALL SELECT 'assessment_predictions', count(*) FROM prediction_provenance UNION ALL SELECT 'prediction_errors', count(*) FROM prediction_errors
+UNION ALL SELECT 'sanction_events', count(*) FROM sanctions UNION ALL SELECT 'learning_context', count(*) FROM lessons
 """)
 def _(m):
     return L.table_counts({"assessments": m.assessments, "outcomes": m.outcomes, "post_assessment_guardrails": m.guardrails,
-                           "assessment_predictions": m.prediction_provenance, "prediction_errors": m.prediction_errors})
+                           "assessment_predictions": m.prediction_provenance, "prediction_errors": m.prediction_errors, "sanction_events": m.sanctions, "learning_context": m.lessons})
 
 
 @plan("b16_target_files", """
@@ -116,6 +117,26 @@ def _(m):
     return L.latest_by(m.guardrails, "assessment_id", "id", "pre_commit_decision", "measured_benefit")
 
 
+@plan("f10_sanction_of_assessment", """
+SELECT assessment_id, id, status, sanction_json FROM (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY id DESC) AS rn FROM sanctions WHERE status <> 'revoked') WHERE rn = 1
+""")
+def _(m):
+    return L.sanction_of_assessment(m.sanctions)
+
+
+@plan("f10_sanction_of_action", """
+WITH n AS (SELECT s.*, unnest(CASE o_orderkey % 4 WHEN 1 THEN ['a' || o_custkey % 50, 'a' || (o_custkey % 50 + 50)] WHEN 3 THEN [] ELSE ['a' || o_custkey % 50] END) AS action_id FROM sanctions s JOIN orders ON o_orderkey = id WHERE status <> 'revoked')
+SELECT repo_id, action_id, id, assessment_id, sanction_json FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, action_id ORDER BY id DESC) AS rn FROM n) WHERE rn = 1
+""")
+def _(m):
+    return L.sanction_of_action(m.sanctions)
+
+
+@plan("i05_lessons_by_id", "SELECT lesson_id, n_chars FROM lessons WHERE repo_id = 'src3' AND lesson_id IN (SELECT doc_id FROM labels)")
+def _(m):
+    return L.lessons_of(m.lessons, "src3", m.labels.select(F.col("doc_id").alias("lesson_id"))).select("lesson_id", "n_chars")
+
+
 @plan("f11_contiguous_groups", f"""WITH {_AC}, k AS (SELECT id, repo_id, decision, el < 0.9 AS ok FROM au),
 l AS (SELECT *, lag(decision) OVER w AS pd, lag(ok) OVER w AS po FROM k WINDOW w AS (PARTITION BY repo_id ORDER BY id)),
 i AS (SELECT *, sum(CASE WHEN ok AND po AND pd = decision THEN 0 ELSE 1 END) OVER (PARTITION BY repo_id ORDER BY id) AS island FROM l)
