@@ -108,6 +108,21 @@ def test_append_once_replay_and_repeat(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_append_once_reads_only_partitions_that_may_know_a_key(spark, tmp_path, monkeypatch):
+    path, frame = str(tmp_path / "t"), lambda ks: spark.createDataFrame([(k, 1) for k in ks], "k long, o int")
+    S.append_once(frame([*range(400), None]), path, "k", "o", 0)
+    S.append_once(frame([*range(390, 500), None, None]), path, "k", "o", 1)
+    S.append_once(frame(range(1000, 1005)), path, "k", "o", 2)
+    S.append_once(frame(range(1000, 1005)), path, "k", "o", 2)  # replayed
+    S.append_once(frame([]), path, "k", "o", 3)
+    kept = [r.k for r in spark.read.parquet(path).collect()]
+    assert sorted(kept, key=repr) == sorted([*range(500), None, *range(1000, 1005)], key=repr)
+    members = spark.read.parquet(f"{path}-members").select("bucket", "word", "bits")
+    fresh = frame(range(5000, 6000)).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(S.BUCKETS)).cast("int"))
+    stored = spark.read.parquet(path).filter("k IS NOT NULL").select("k", "bucket")
+    assert S._maybe_known(stored, "k", members).count() == 505 and S._maybe_known(fresh, "k", members).count() <= 5
+
+
 def test_jsonl_rejects_non_objects(spark, tmp_path):
     from oddsmith.sources.schemas import CASE
 
