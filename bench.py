@@ -18,6 +18,7 @@ HEADLINE = [
     "e03_calibration_summary", "e04_ece", "e05_reliability_bins", "d01_label_join", "h09_score_batch", "c16_decision_gates",
     "i03_recommended_action", "h14_event_injection", "h02_binary_gate", "f04_apply_snapshot", "g02_fan_in_percentile", "g03_file_rollup",
     "g07_transitive_reach", "g24_cycle_files", "d09_interval_owners", "j01_ranked_recall", "f15_hash_chain", "e21_arm_metrics",
+    "h03_continuous_gate", "d16_revision_attempts", "k01_stream_measurement",
 ]
 
 
