@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.llm.common import per_batch, store, texts
 
-WINDOW, END_ID, REMEMBERED = 2048, 1, 64 << 20
+WINDOW, END_ID, REMEMBERED = 2048, 1, 72 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -37,7 +37,7 @@ class Encoder(dict):
     """White-space separated chunk -> its ids as little-endian 32-bit bytes.
 
     The vocabulary drops white space before merging, so a text's ids are those of its chunks
-    in order.  A worker keeps the memory of chunks from task to task (one costs about 180 bytes and its text);
+    in order.  A worker keeps the memory of chunks from task to task (one costs about 120 bytes, its text and its ids);
     it is emptied at ``REMEMBERED`` bytes.
     """
 
@@ -68,7 +68,7 @@ class Encoder(dict):
 
     def keep(self, chunk: bytes, ids: bytes) -> None:
         self[chunk] = ids
-        self.held += len(chunk) + len(ids) + 180
+        self.held += len(chunk) + len(ids) + 120
 
     def ids(self, data: bytes) -> bytes:
         if b"<|" not in data:  # special tokens are written in one case; everything else is lower-cased anyway
@@ -79,8 +79,8 @@ class Encoder(dict):
             self.forget()
         elif new:  # together, and without offsets
             found = self.model.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            for c, x in zip(new, found):
-                self.keep(c, packed_ids(f"<{len(x.ids)}I", *x.ids))
+            self.update((c, packed_ids(f"<{len(x.ids)}I", *x.ids)) for c, x in zip(new, found))
+            self.held += sum(map(len, new)) + sum(4 * len(x.ids) for x in found) + 120 * len(new)
         return b"".join(map(self.__getitem__, chunks))
 
 
