@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from oddsmith import constants as K
 from oddsmith.functions.columns import last_segment, posix, rank_table, rank_values
-from oddsmith.session import cut_lineage
+from oddsmith.session import cut_lineage, written
 
 
 def callables(nodes: DataFrame) -> DataFrame:
@@ -136,6 +136,7 @@ def ancestors(members: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
         .select(F.col("target").alias("node"), F.col("source").alias("parent"))
         .distinct()
     )
+    up = written(up)
     frontier = members.select("key", "node")
     found = None
     for _ in range(depth):
@@ -175,24 +176,25 @@ def reach(targets: DataFrame, edges: DataFrame, blocked: DataFrame | None = None
           keys: tuple[str, ...] = ("key",), blocked_keys: tuple[str, ...] | None = None) -> DataFrame:
     """Reverse reach with the nearest depth of each node.
 
-    Each round joins the frontier with the edges, drops what is already seen and is written
-    to the checkpoint folder.  A hub target is a skewed join key, which adaptive execution
+    A shortest way never comes back to a target, so walks of 1 to ``depth`` edges are followed and the
+    least length per (key, node) counts, the targets themselves at 0.  The longest walks are shuffled once,
+    by that aggregate.  A hub target is a skewed join key, which adaptive execution
     splits; the pairs of one key are never gathered in one task.
     """
     keys = list(keys)
-    back = links(edges, K.IMPACT_EDGES).withColumnsRenamed({"target": "node", "source": "next"})
-    frontier = targets.select(*keys, "node").distinct()
-    seen, found = frontier, []
+    back = written(links(edges, K.IMPACT_EDGES).withColumnsRenamed({"target": "node", "source": "next"}))
     bkeys = list(blocked_keys or keys)
+    stop = None if blocked is None else written(blocked.select(*bkeys, "node").distinct())
+    frontier = written(targets.select(*keys, "node").distinct())
+    walks = [frontier.withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
-        step = frontier.join(back, "node").select(*keys, F.col("next").alias("node")).distinct()
-        step = step.join(seen, [*keys, "node"], "left_anti")
-        if blocked is not None:
-            step = step.join(blocked.select(*bkeys, "node").distinct(), [*bkeys, "node"], "left_anti")
-        frontier = cut_lineage(step)
-        seen = seen.unionByName(frontier)
-        found.append(frontier.withColumn("depth", F.lit(d)))
-    return reduce(DataFrame.unionByName, found)
+        step = frontier.join(back, "node").select(*keys, F.col("next").alias("node"))
+        if stop is not None:
+            step = step.join(stop, [*bkeys, "node"], "left_anti")
+        if d < depth:
+            step = frontier = written(step.distinct())
+        walks.append(step.withColumn("depth", F.lit(d)))
+    return reduce(DataFrame.unionByName, walks).groupBy(*keys, "node").agg(F.min("depth").alias("depth")).filter("depth > 0")
 
 
 def reach_summary(reached: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -200,6 +202,43 @@ def reach_summary(reached: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataF
     return reached.groupBy(*keys).agg(F.count(F.lit(1)).alias("transitive_count"), at(1), at(2), at(3))
 
 
+#: Entries of all owners' reach up to which a set is settled from lists; a larger one is settled row by row.
+SET_ENTRIES = 100_000
+
+
+def set_reach_summary(members: DataFrame, nodes: DataFrame, edges: DataFrame, entries: int = SET_ENTRIES) -> DataFrame:
+    """Reach of each node set, counted by depth; sets that reach nothing have no row.
+
+    The reach of a set is that of its owners, each node at its least depth, without what the set itself holds.  So each owner is
+    walked once, however many sets name it.  A set of one owner takes that owner's counts; larger ones
+    unite their owners' lists of node numbers, or the rows themselves if the lists would be long.
+    """
+    pairs = written(members.select("key", F.col("node").alias("owner")).distinct())
+    own = pairs.select(F.col("owner").alias("key")).distinct().withColumn("node", F.col("key"))
+    targets = written(impact_targets(own, nodes, edges))
+    numbers = written(targets.select("node").unionByName(links(edges, K.IMPACT_EDGES).select(F.col("source").alias("node"))).distinct().withColumn("number", F.monotonically_increasing_id()))
+    ball = written(
+        targets.withColumn("depth", F.lit(0)).unionByName(reach(targets, edges)).join(numbers, "node")
+        .select(F.col("key").alias("owner"), "number", "depth"))
+    sizes = written(ball.groupBy("owner").agg(F.count(F.lit(1)).alias("entries"), *[F.count_if(F.col("depth") == d).alias(f"depth{d}") for d in (1, 2, 3)]))
+    sets = pairs.join(sizes.select("owner", "entries"), "owner").groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.sum("entries").alias("entries"), F.max("owner").alias("owner"))
+    sets = written(sets)
+    counts = ["depth1", "depth2", "depth3"]
+    single = sets.filter("owners = 1").join(sizes.drop("entries"), "owner").select("key", *counts)
+    small = pairs.join(sets.filter((F.col("owners") > 1) & (F.col("entries") <= entries)).select("key"), "key")
+    large = pairs.join(sets.filter((F.col("owners") > 1) & (F.col("entries") > entries)).select("key"), "key")
+    lists = ball.join(sizes.filter(F.col("entries") <= entries).select("owner"), "owner", "left_semi").groupBy("owner").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("depth") == d, F.col("number")))).alias(f"at{d}") for d in range(4)])
+    united = small.join(lists, "owner").groupBy("key").agg(*[F.array_distinct(F.flatten(F.collect_list(f"at{d}"))).alias(f"at{d}") for d in range(4)])
+    # what is new at a depth: the union up to it, less the union up to the one before
+    upto = [F.size(F.array_distinct(F.concat(*[F.col(f"at{k}") for k in range(d + 1)]))) for d in range(4)]
+    united = united.select("key", *[(upto[d] - upto[d - 1]).cast("bigint").alias(f"depth{d}") for d in (1, 2, 3)])
+    rows = large.join(ball, "owner").groupBy("key", "number").agg(F.min("depth").alias("depth"))
+    rows = rows.groupBy("key").agg(*[F.count_if(F.col("depth") == d).alias(f"depth{d}") for d in (1, 2, 3)])
+    out = single.unionByName(united).unionByName(rows).withColumn("transitive_count", F.col("depth1") + F.col("depth2") + F.col("depth3"))
+    return out.filter("transitive_count > 0").select("key", "transitive_count", *counts)
+
+
 def blast_fraction(summary: DataFrame, nodes: DataFrame) -> DataFrame:
     total = structural(nodes).agg(F.count(F.lit(1)).alias("n")).scalar()
     return summary.withColumn(
@@ -209,7 +248,7 @@ def blast_fraction(summary: DataFrame, nodes: DataFrame) -> DataFrame:
 def impact_populations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Direct and transitive impact counts of every callable, zeros included."""
     roots = callables(nodes).select(F.col("id").alias("key"), F.col("id").alias("node"))
-    targets = cut_lineage(impact_targets(roots, nodes, edges))
+    targets = written(impact_targets(roots, nodes, edges))
     direct = (
         direct_impact(targets, edges, exclude_inside=False).select("key", "source").distinct()
         .groupBy("key").agg(F.count(F.lit(1)).alias("direct_count"))
@@ -228,9 +267,10 @@ def _percentile_or_zero(df: DataFrame, population: DataFrame, pop_col: str, col:
 
 def owner_evidence(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per (action, owner): callers, direct and transitive counts, each with its percentile."""
-    reached, callers = owner_reach(members, nodes, edges)
-    counts = reached.groupBy("action", "key").agg(
-        F.count_if(F.col("depth") == 1).alias("direct_count"), F.count(F.lit(1)).alias("transitive_count"))
+    plain, ball, own_reach, callers = owner_reach(members, nodes, edges)
+    per = [F.count_if(F.col("depth") == 1).alias("direct_count"), F.count(F.lit(1)).alias("transitive_count")]
+    counts = plain.join(ball.groupBy("key").agg(*per), "key").select("action", "key", "direct_count", "transitive_count").unionByName(
+        own_reach.groupBy("action", "key").agg(*per))
     base = members.select("action", "key").distinct().join(callers, ["action", "key"], "left").join(counts, ["action", "key"], "left")
     base = base.select("action", "key", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("caller_count", "direct_count", "transitive_count")])
     base = cut_lineage(base)
@@ -240,57 +280,95 @@ def owner_evidence(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     return _percentile_or_zero(base, pops, "transitive_count", "transitive_count", "transitive_percentile")
 
 
-def owner_reach(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reach of each owner that stops at anything the same action changes, and its callers."""
-    pairs = members.select("action", "key").distinct()
+def owner_reach(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reach of each owner that stops at anything the same action changes, and its callers.
+
+    An owner is walked once for all its actions: ``ball(key, node, depth)``.  That is its reach in every action of
+    ``plain(action, key)``.  Only where the walk meets something else that the action changes does the result depend on
+    the action; those pairs are walked anew with what stops them: ``own_reach(action, key, node, depth)``.
+    """
+    pairs = written(members.select("action", "key").distinct())
     per_owner = pairs.select("key").distinct().withColumn("node", F.col("key"))
-    targets = pairs.join(impact_targets(per_owner, nodes, edges), "key")
-    targets = cut_lineage(targets.select("action", "key", "node"))
-    blocked = targets.select("action", "node").distinct()
-    reached = reach(targets, edges, blocked, keys=("action", "key"), blocked_keys=("action",))
+    own = written(impact_targets(per_owner, nodes, edges))
+    ball = written(reach(own, edges))
+    targets = written(pairs.join(own, "key").select("action", "key", "node"))
+    several = pairs.join(pairs.groupBy("action").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("action"), "action")
+    others = several.join(targets.select("action", F.col("key").alias("other"), "node"), "action").filter("other <> key").select("action", "key", "node")
+    apart = written(others.join(ball.select("key", "node"), ["key", "node"]).select("action", "key").distinct())
+    plain = written(pairs.join(apart, ["action", "key"], "left_anti"))
+    blocked = targets.join(apart.select("action").distinct(), "action", "left_semi").select("action", "node").distinct()
+    own_reach = written(reach(targets.join(apart, ["action", "key"], "left_semi"), edges, blocked, keys=("action", "key"), blocked_keys=("action",)))
     calls = links(edges).select(F.col("target").alias("key"), F.col("source").alias("caller"))
     inside = pairs.select("action", F.col("key").alias("caller"))
     callers = (
         pairs.join(calls, "key").join(inside, ["action", "caller"], "left_anti")
         .groupBy("action", "key").agg(F.count(F.lit(1)).alias("caller_count"))
     )
-    return reached, callers
+    return plain, ball, own_reach, callers
 
 
 def impact_witnesses(members: DataFrame, nodes: DataFrame, edges: DataFrame, per_owner: int | None = None, per_action: int | None = None) -> DataFrame:
     """Dependents of each owner, nearest first: all of them, or the first few of each owner and action.
 
-    With limits, ``n_witnesses`` still counts all of the action and ``truncated`` tells whether any is left out; the
-    row_number filters become partial top-k in the plan.  A depth-1 witness shows the first edge site that has a line.
+    With limits, ``n_witnesses`` still counts all of the action and ``truncated`` tells whether any is left out.
+    A depth-1 witness shows the first edge site that has a line.
+
+    An owner's witnesses are described, cut and ranked once.  The order goes by depth, then owner's name, so
+    where names differ a witness's position is its rank inside (owner, depth) plus the numbers of the blocks
+    before it: rows of all actions are never sorted.  Actions with two owners of one name are ranked whole.
     """
-    reached, _ = owner_reach(members, nodes, edges)
+    plain, ball, own_reach, _ = owner_reach(members, nodes, edges)
     info = nodes.select(F.col("id").alias("node"), "file_path", "qualified_name", "start_line")
-    near = W.partitionBy("action", "key").orderBy("depth", "file_path", "qualified_name", "node")
-    picked = reached.join(info, "node")
-    total = picked.groupBy("action").agg(F.count(F.lit(1)).alias("n_witnesses"))
-    picked = picked.withColumn("rn", F.lit(0)) if per_owner is None else picked.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= per_owner)
+    names = nodes.select(F.col("id").alias("key"), F.col("qualified_name").alias("owner_name"))
     own = members.select("key").distinct().withColumn("node", F.col("key"))
     targets = impact_targets(own, nodes, edges).withColumnRenamed("node", "target")
     first = W.partitionBy("key", "source").orderBy(
         F.when(F.col("line") > 0, 0).otherwise(1), "line", "col", "edge_kind", "target")
-    sites = (
+    sites = written(
         edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).withColumnRenamed("kind", "edge_kind")
         .join(targets, "target").withColumn("rn", F.row_number().over(first)).filter("rn = 1")
         .select("key", F.col("source").alias("node"), "edge_kind", F.col("line").alias("edge_line"), F.lit(1).alias("depth"))
     )
     at_edge = F.coalesce(F.col("edge_line") > 0, F.lit(False))
-    rows = picked.drop("rn").join(sites, ["key", "node", "depth"], "left").join(
-        nodes.select(F.col("id").alias("key"), F.col("qualified_name").alias("owner_name")), "key").select(
-        "action", "key", "node", "owner_name", F.col("qualified_name").alias("dependent_name"), posix("file_path").alias("file_path"), "depth",
-        F.when(at_edge, F.col("edge_line")).otherwise(F.col("start_line")).alias("line"),
-        F.coalesce("edge_kind", F.lit("")).alias("edge_kind"),
-        F.when(at_edge, "edge_site").otherwise("node_definition").alias("location_source"))
+
+    def described(reached: DataFrame, by: list[str]) -> DataFrame:
+        """Witnesses of each ``by`` with their place inside it at their depth, ``rank``, and how many the whole ``by`` has."""
+        picked = reached.join(info, "node")
+        near = W.partitionBy(*by).orderBy("depth", "file_path", "qualified_name", "node")
+        total = picked.groupBy(*by).agg(F.count(F.lit(1)).alias("whole"))
+        if per_owner is not None:
+            picked = picked.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= per_owner).drop("rn")
+        rows = picked.join(sites, ["key", "node", "depth"], "left").join(names, "key").select(
+            *by, "node", "owner_name", F.col("qualified_name").alias("dependent_name"), posix("file_path").alias("file_path"), "depth",
+            F.when(at_edge, F.col("edge_line")).otherwise(F.col("start_line")).alias("line"),
+            F.coalesce("edge_kind", F.lit("")).alias("edge_kind"),
+            F.when(at_edge, "edge_site").otherwise("node_definition").alias("location_source"))
+        level = W.partitionBy(*by, "depth").orderBy("dependent_name", "file_path", F.col("line").asc_nulls_last(), "edge_kind", "node")
+        return written(rows.withColumn("rank", F.row_number().over(level)).join(total, by))
+
+    shared, special = described(ball, ["key"]), described(own_reach, ["action", "key"])
+    # one row per (action, owner, depth): how many are shown, before any limit on the action
+    levels = lambda df, by: df.groupBy(*by, "owner_name", "depth", "whole").agg(F.count(F.lit(1)).alias("n"))
+    blocks = written(plain.join(levels(shared, ["key"]), "key").withColumn("own", F.lit(False)).unionByName(levels(special, ["action", "key"]).withColumn("own", F.lit(True))))
+    action = W.partitionBy("action")
+    earlier = action.orderBy("depth", "owner_name", "key").rowsBetween(W.unboundedPreceding, -1)
+    placed = blocks.withColumns({
+        "before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "lines": F.sum("n").over(action)})
+    total = blocks.select("action", "key", "whole").distinct().groupBy("action").agg(F.sum("whole").alias("n_witnesses"))
+    same = blocks.groupBy("action", "depth", "owner_name").agg(F.countDistinct("key").alias("k")).filter("k > 1").select("action").distinct()
+    placed = placed.join(total, "action").join(same.withColumn("mixed", F.lit(True)), "action", "left")
+    shown = F.col("lines") if per_action is None else F.least(F.col("lines"), F.lit(per_action))
+    placed = placed.withColumn("truncated", shown < F.col("n_witnesses"))
+    if per_action is not None:
+        placed = placed.filter((F.col("before") < per_action) | F.col("mixed"))
+    placed = written(placed.select("action", "key", "depth", "own", "before", "n_witnesses", "truncated", F.coalesce("mixed", F.lit(False)).alias("mixed")))
+    rows = placed.filter("NOT own").join(shared, ["key", "depth"]).unionByName(placed.filter("own").join(special, ["action", "key", "depth"]))
     order = W.partitionBy("action").orderBy("depth", "owner_name", "dependent_name", "file_path",
                                             F.col("line").asc_nulls_last(), "edge_kind", "key", "node")
-    placed = rows.withColumn("position", F.row_number().over(order))
-    placed = placed if per_action is None else placed.filter(F.col("position") <= per_action)
-    shown = placed.groupBy("action").agg(F.count(F.lit(1)).alias("shown"))
-    return placed.join(total.join(shown, "action"), "action").withColumn("truncated", F.col("shown") < F.col("n_witnesses")).drop("shown", "key", "node")
+    easy = rows.filter("NOT mixed").withColumn("position", (F.col("before") + F.col("rank")).cast("int"))
+    out = easy.unionByName(rows.filter("mixed").withColumn("position", F.row_number().over(order)))
+    out = out if per_action is None else out.filter(F.col("position") <= per_action)
+    return out.select("action", "owner_name", "dependent_name", "file_path", "depth", "line", "edge_kind", "location_source", "position", "n_witnesses", "truncated")
 
 
 def edges_among(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -105,8 +105,7 @@ def _(m):
 SELECT key, count(*) AS transitive_count, count(*) FILTER (d = 1) AS depth1, count(*) FILTER (d = 2) AS depth2, count(*) FILTER (d = 3) AS depth3,
   R(least(1, count(*) / cast((SELECT count(*) FROM nodes) as double))) AS blast_fraction FROM rr GROUP BY 1""")
 def _(m):
-    targets = G.impact_targets(_touched(m), m.nodes, m.edges)
-    return G.blast_fraction(G.reach_summary(G.reach(targets, m.edges)), m.nodes)
+    return G.blast_fraction(G.set_reach_summary(_touched(m), m.nodes, m.edges), m.nodes)
 
 
 @plan("g08_impact_distributions", f"""WITH RECURSIVE {_ROOT}, {_REACH},
