@@ -210,7 +210,8 @@ def modify_event(df: DataFrame) -> DataFrame:
     if "breadth_bonus" in df.columns:
         many = F.when(F.col("owner_count") > 0, F.col("breadth_bonus")).otherwise(many)
     base = base + many + F.least(F.lit(0.06), 0.01 * F.col("outgoing_edge_total"))
-    p = F.least(F.lit(_P_CAP), base + F.least(F.lit(0.28), reach * (0.28 / 0.90)))
+    # the fixed parts are decimals: their sum is rounded back to one, so that equal probabilities compare as equal
+    p = F.least(F.lit(_P_CAP), F.round(base, 12) + F.least(F.lit(0.28), reach * 28 / 90))
     event = F.when(storage, "api_contract_break").when(public | contract, "public_api_break").otherwise("dependency_break")
     return df.filter(F.col("has_fanin") & (F.col("file_operation_kind") == "NONE") & trusted() & fires).select(
         "action_id",
