@@ -104,7 +104,7 @@ GATE_NAME = "^[a-z][a-z0-9_]{0,63}$"
 
 
 def lesson_rows(assessments: DataFrame, outcomes: DataFrame, guardrails: DataFrame) -> DataFrame:
-    """Lessons of completed outcomes whose latest verification said proceed, as fields.
+    """Lessons of completed outcomes whose latest verification said proceed, as fields and as a sentence.
 
     ``guardrails`` holds the latest row per assessment.  Symbols and gate names must match their patterns; lists are
     sorted, distinct and whole, and so is the task.
@@ -116,6 +116,9 @@ def lesson_rows(assessments: DataFrame, outcomes: DataFrame, guardrails: DataFra
         .filter("repo_id <> '' AND task <> '' AND action_id <> ''")
         .filter(F.col("assessment_hash").rlike("^[0-9a-f]{64}$") & F.col("outcome_hash").rlike("^[0-9a-f]{64}$"))
     )
+    gates, decision = kept("gate_names", GATE_NAME), F.coalesce("decision", F.lit("unknown"))
+    clause = F.when(F.size(gates) > 0, F.concat(F.lit(" Stable gates: "), F.array_join(gates, ", "), F.lit("."))).otherwise("")
+    lesson = F.concat(F.lit("Verified completed outcome for "), "task", F.lit("; decision was "), decision, F.lit("."), clause)
     return done.select(
-        "assessment_id", "repo_id", "task", "action_id", F.coalesce("decision", F.lit("unknown")).alias("decision"), "terminal_status",
-        kept("symbols", SYMBOL).alias("symbols"), kept("gate_names", GATE_NAME).alias("gates"), "measured_benefit")
+        "assessment_id", "repo_id", "task", "action_id", decision.alias("decision"), "terminal_status",
+        kept("symbols", SYMBOL).alias("symbols"), gates.alias("gates"), "measured_benefit", lesson.alias("lesson"))

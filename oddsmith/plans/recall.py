@@ -59,7 +59,8 @@ def _(m):
 @plan("j03_lesson_rows", """
 WITH g AS (SELECT assessment_id, arg_max(pre_commit_decision, id) AS d, arg_max(measured_benefit, id) AS mb FROM guardrails GROUP BY 1)
 SELECT a.id AS assessment_id, 'task ' || a.id AS task, 'a1' AS action_id, CASE WHEN a.id % 5 = 0 THEN 'unknown' ELSE 'proceed' END AS decision, 'completed' AS terminal_status,
-  CASE WHEN a.id % 3 = 0 THEN 'S.a,S_b' ELSE 'S_b' END AS symbols, CASE WHEN a.id % 2 = 0 THEN 'negative_rau' ELSE '' END AS gates, R(mb) AS measured_benefit
+  CASE WHEN a.id % 3 = 0 THEN 'S.a,S_b' ELSE 'S_b' END AS symbols, CASE WHEN a.id % 2 = 0 THEN 'negative_rau' ELSE '' END AS gates, R(mb) AS measured_benefit,
+  'Verified completed outcome for task ' || a.id || '; decision was ' || CASE WHEN a.id % 5 = 0 THEN 'unknown' ELSE 'proceed' END || '.' || CASE WHEN a.id % 2 = 0 THEN ' Stable gates: negative_rau.' ELSE '' END AS lesson
 FROM assessments a JOIN outcomes o ON o.assessment_id = a.id AND terminal_status = 'completed' JOIN g ON g.assessment_id = a.id AND d = 'proceed' WHERE a.id % 13 <> 0
 """)
 def _(m):
