@@ -35,8 +35,8 @@ def floor_events(events: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def loss_by_action(floored: DataFrame, components: bool = False) -> DataFrame:
-    """Expected loss and event variance per action in one aggregation.
+def loss_by_action(floored: DataFrame, components: bool = False, by: tuple[str, ...] = ("action_id",)) -> DataFrame:
+    """Expected loss and event variance per action (or per ``by``) in one aggregation.
 
     The loss is rounded to twelve decimals because partial sums meet in any order and a loss
     equal to a threshold must not flip a gate.  ``p_variance`` is optional; where absent the cold-start component applies.  Components
@@ -56,7 +56,7 @@ def loss_by_action(floored: DataFrame, components: bool = False) -> DataFrame:
     if components:
         item = F.struct("event", "p_event", "disutility", "expected_loss")
         aggs.append(F.sort_array(F.collect_list(item)).alias("loss_components"))
-    return floored.groupBy("action_id").agg(*aggs)
+    return floored.groupBy(*by).agg(*aggs)
 
 
 def expected_utility(p="p_success", benefit="benefit", loss="expected_loss", cost="review_cost"):
@@ -301,7 +301,12 @@ def score_batch(actions: DataFrame, events: DataFrame, deltas: DataFrame | None
         gained = actions.withColumn("maintainability_gain", F.lit(0.0))
     else:
         gained = maintainability_gain(deltas, actions)
-    df = gained.join(loss, "action_id", "left").withColumns(
+    return _scored(gained.join(loss, "action_id", "left"))
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    """Everything after the joins, for actions with their losses."""
+    df = df.withColumns(
         {
             "expected_loss": F.coalesce("expected_loss", F.lit(0.0)),
             "event_variance": F.coalesce("event_variance", F.lit(0.0)),
@@ -337,32 +342,33 @@ def prediction_manifest(scored: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def policy_probe(actions: DataFrame, events: DataFrame) -> DataFrame:
-    """Every action scored under three priors × two postures (a fixed six-row design)."""
-    design = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(p).alias("prior"), F.lit(h).alias("posture"), F.lit(dp).alias("dp"), F.lit(pv).alias("pv"), F.lit(de).alias("de"))
-                for p, dp, pv in (("cold", 0.0, 0.04), ("shipped", 0.1, 0.008), ("local", 0.2, 0.004))
-                for h, de in (("safe", 0.0), ("harmful", 0.2))
-            ]
-        )
-    )
-    cases = actions.withColumn("case", design).withColumn(
-        "probe_id", F.concat_ws("_", "case.prior", "case.posture", F.col("action_id").cast("string"))
-    )
-    probe_actions = cases.select(
-        *[c for c in actions.columns if c not in ("action_id", "p_success", "p_success_variance")],
-        F.col("probe_id").alias("action_id"),
+    """Every action scored under three priors × two postures (a fixed six-row design).
+
+    Rows are multiplied after the joins: an exploded side looks as small as its table to the planner, which
+    would send all its rows through the driver as a broadcast.
+    """
+    postures = (("safe", 0.0), ("harmful", 0.2))
+    design = [
+        F.struct(F.lit(p).alias("prior"), F.lit(h).alias("posture"), F.lit(dp).alias("dp"), F.lit(pv).alias("pv"))
+        for p, dp, pv in (("cold", 0.0, 0.04), ("shipped", 0.1, 0.008), ("local", 0.2, 0.004)) for h, _ in postures
+    ]
+    shifted = F.explode(F.array(*[F.struct(F.lit(h).alias("posture"), F.lit(de).alias("de")) for h, de in postures]))
+    floored = floor_events(events, actions).withColumn("_c", shifted).withColumns(
+        {"posture": F.col("_c.posture"), "p_event": F.least(F.lit(1.0), F.col("p_event") + F.col("_c.de"))})
+    floored = floored.withColumn("expected_loss", F.col("p_event") * F.col("disutility"))
+    loss = loss_by_action(floored, by=("action_id", "posture"))
+    fields = [c for c in loss.columns if c not in ("action_id", "posture")]
+    # two entries an action
+    both = loss.groupBy("action_id").agg(F.map_from_entries(F.collect_list(F.struct("posture", F.struct(*fields)))).alias("_l"))
+    cases = actions.withColumn("maintainability_gain", F.lit(0.0)).join(both, "action_id", "left").withColumn("case", F.explode(F.array(*design)))
+    found = F.col("_l")[F.col("case.posture")]
+    return _scored(cases.select(
+        *[c for c in cases.columns if c not in ("action_id", "p_success", "p_success_variance", "_l", "case")],
+        F.concat_ws("_", "case.prior", "case.posture", F.col("action_id").cast("string")).alias("action_id"),
         F.col("action_id").alias("base_id"),
         "case.prior",
         "case.posture",
         F.least(F.lit(1.0), F.col("p_success") + F.col("case.dp")).alias("p_success"),
         F.col("case.pv").alias("p_success_variance"),
-    )
-    probe_events = events.join(cases.select("action_id", "probe_id", "case.de"), "action_id").select(
-        F.col("probe_id").alias("action_id"),
-        "event",
-        F.least(F.lit(1.0), F.col("p_event") + F.col("de")).alias("p_event"),
-        "elicited_disutility",
-    )
-    return score_batch(probe_actions, probe_events)
+        *[found[c].alias(c) for c in fields],
+    ))
