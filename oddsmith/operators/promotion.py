@@ -85,6 +85,7 @@ def folded(x: DataFrame, value: str, min_n: int = 2) -> DataFrame:
     Rows are numbered per (scope, range ``_b`` of ids) and shifted by the sizes of earlier ranges,
     so no scope is ever one task.  Fold edges are half-even rounded shares of n.
     """
+    x = x if "_b" in x.columns else ranged(x)
     sizes = x.groupBy(*SCOPE, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
     scope = W.partitionBy(*SCOPE)
     before = scope.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
