@@ -127,24 +127,43 @@ def last_segment(qualified: str | Column, name: str | Column) -> Column:
 RANGE_ROWS, MOST_RANGES = 50_000, 512
 
 
+def _cuts(df: DataFrame, value: str, rows: int | None) -> list:
+    """Split points of ``value`` for ranges of about ``rows`` rows: quantiles of all rows, found in one pass (a sketch; the driver gets at most ``MOST_RANGES``)."""
+    wanted = [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)]
+    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, wanted, 10_000).alias("q")).first()
+    ranges = min(MOST_RANGES, -(-found["n"] // (rows or RANGE_ROWS)))
+    return sorted({found["q"][i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if ranges > 1 else []
+
+
+def _further(cuts: Column, many: int, value: str, at: Column, step: Column) -> Column:
+    """One step of halving: on by ``step`` if that split point is still below the value."""
+    return F.when((at + step <= many) & (F.get(cuts, at + step - 1) < F.col(value)), at + step).otherwise(at)
+
+
 def equi_depth(df: DataFrame, value: str, rows: int | None = None) -> Column:
     """Number, in order, of the range that ``value`` falls in; ranges hold about ``rows`` rows each whatever the values' spread.
 
-    Split points are quantiles of all rows, found in one pass (a sketch; the driver gets at most ``MOST_RANGES`` of
-    them), and looked up by halving.  Equal values share a range.
+    That is the number of split points below the value.  Equal values share a range.
     """
-    wanted = [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)]
-    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, wanted, 10_000).alias("q")).first()
-    ranges = min(MOST_RANGES, -(-found["n"] // (rows or RANGE_ROWS)))
-    cuts = sorted({found["q"][i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if ranges > 1 else []
+    cuts = _cuts(df, value, rows)
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: _further(F.array(*[F.lit(c) for c in cuts]), len(cuts), value, at, step))
+
 
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(value) <= F.lit(cuts[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+def with_ranges(df: DataFrame, value: str, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` with :func:`equi_depth` of ``value`` as column ``name``.
 
-    return between(0, len(cuts))
+    The halving is one projection a step over an array of split points, which compiles to a few comparisons a row.  As one nested
+    CASE of hundreds of branches it is a method too long for the JVM to compile, and runs interpreted.
+    """
+    cuts = _cuts(df, value, rows)
+    points = F.array(*[F.lit(c) for c in cuts])
+    df = df.withColumn(name, F.lit(0))
+    for i in reversed(range(len(cuts).bit_length())):
+        df = df.withColumn(name, _further(points, len(cuts), value, F.col(name), F.lit(1 << i)))
+    return df
 
 
 def running_positions(df: DataFrame, group: list[str], order: str, name: str = "position") -> DataFrame:
@@ -155,7 +174,7 @@ def running_positions(df: DataFrame, group: list[str], order: str, name: str = "
     """
     from pyspark.sql import Window as W
 
-    tagged = df.withColumn("_bucket", equi_depth(df, order))
+    tagged = with_ranges(df, order, "_bucket")
     sizes = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -224,7 +243,7 @@ def previous_row(df: DataFrame, group: list[str], order: str, cols: list[str]) -
     """
     from pyspark.sql import Window as W
 
-    tagged = df.withColumn("_bucket", equi_depth(df, order))
+    tagged = with_ranges(df, order, "_bucket")
     item = F.struct(*cols)
     ends = tagged.groupBy(*group, "_bucket").agg(F.max_by(item, order).alias("_end"))
     carry = W.partitionBy(*group).orderBy("_bucket")
@@ -240,7 +259,7 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: st
     """Running sum in ``order`` inside each group, spread over ranges of ids."""
     from pyspark.sql import Window as W
 
-    tagged = df.withColumn("_bucket", equi_depth(df, order))
+    tagged = with_ranges(df, order, "_bucket")
     sums = tagged.groupBy(*group, "_bucket").agg(F.sum(value).alias("_v"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*group, "_bucket", F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_off"))

@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oddsmith import constants as K
-from oddsmith.functions.columns import equi_depth, lookup
+from oddsmith.functions.columns import lookup, with_ranges
 from oddsmith.functions.stats import (
     bernoulli_variance, beta_variance, brier, log_loss, rate, sample_variance, wilson_lower,
 )
+from oddsmith.session import written
 
 SCOPE = ["target_type", "target_name", "scope_kind", "scope_value"]
+BY = ["scope"]  #: scopes by number
 FOLDS = 10
 
 
@@ -58,6 +60,35 @@ def explode_scopes(rows: DataFrame, *keep: str) -> DataFrame:
         "target_type", "target_name", "_s.scope_kind", "_s.scope_value", *keep)
 
 
+FEATURES = ["target_type", "target_name", "action_type", "symbol_id", "change_kind", "is_public_api", "is_high_symbol_fan_in", "symbol_fan_in_percentile", "domains"]
+
+
+def scoped(rows: DataFrame, sums: list[Column], *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Scopes by number, and rows × the numbers of their scopes.
+
+    The first table has (scope columns, ``scope``, what ``sums`` gives for one set of features, per set that belongs to the scope).  Rows
+    with equal features have equal scopes, so scopes are made and ``sums`` taken once per set of features; a row
+    then looks up a list of numbers, and only numbers are multiplied, hashed and grouped.
+    """
+    if "refinement_status" in rows.columns:
+        rows = rows.filter(F.coalesce(F.col("refinement_status") != "available", F.lit(True)))
+    text = {c: F.coalesce(c, F.lit("")) for c in ("action_type", "symbol_id", "change_kind")}
+    high = F.coalesce(F.col("symbol_fan_in_percentile") >= K.HIGH_PERCENTILE, F.lit(False))
+    flags = {"_flag": F.col("is_high_symbol_fan_in"), "is_public_api": F.coalesce("is_public_api", F.lit(False)),
+             "is_high_symbol_fan_in": high | F.coalesce("is_high_symbol_fan_in", F.lit(False)), "symbol_fan_in_percentile": F.when(high, 1.0).otherwise(0.0)}
+    rows = rows.withColumns({**text, **flags, "domains": F.coalesce(F.array_distinct("domains"), F.array().cast("array<string>"))})
+    sets = written(rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n_group"), F.bool_or("_flag").alias("_flag"), *sums))
+    sets = written(sets.withColumn("set", F.monotonically_increasing_id()))
+    matched = written(sets.withColumn("_s", F.explode(scope_array())).select("set", "target_type", "target_name", "_s.scope_kind", "_s.scope_value"))
+    scopes = written(matched.select(*SCOPE).distinct().withColumn("scope", F.monotonically_increasing_id()))
+    same = [matched[c].eqNullSafe(scopes[c]) for c in SCOPE]
+    matched = written(matched.join(scopes, reduce(Column.__and__, same)).select("set", *[scopes[c] for c in (*SCOPE, "scope")]))
+    lists = written(matched.groupBy("set").agg(F.collect_list("scope").alias("scopes")).join(sets.select("set", *FEATURES), "set").drop("set"))
+    looked = rows.select(*FEATURES, *keep).join(
+        lists.select(*[F.col(c).alias(f"_{c}") for c in FEATURES], "scopes"), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FEATURES]))
+    return matched.join(sets.drop(*FEATURES), "set").drop("set"), looked.select(F.explode("scopes").alias("scope"), *keep)
+
+
 def proposed_domains(rows: DataFrame) -> DataFrame:
     """High-fan-in-in-domain scopes are proposed for every domain, matched by a row or not."""
     return rows.select("target_type", "target_name", F.explode("domains").alias("scope_value")).distinct().select(
@@ -74,40 +105,67 @@ def leave_one_out(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 # --- contiguous folds ---------------------------------------------------------------------------------------
 
 
+#: Rows of one range of ledger ids; shorter ranges leave fewer rows to sort.
+FOLD_ROWS = 5_000
+
+
 def ranged(rows: DataFrame) -> DataFrame:
     """Rows with ``_b``, the even range of ledger ids they fall in; found before rows are multiplied by their scopes."""
-    return rows.withColumn("_b", equi_depth(rows, "ledger_id"))
+    return with_ranges(rows, "ledger_id", "_b", FOLD_ROWS)
+
+
+def _fold(pos: Column, n: str = "n") -> Column:
+    """Fold of a 0-based position; fold edges are half-even rounded shares of n."""
+    k = F.greatest(F.lit(2), F.least(F.lit(FOLDS), F.col(n)))
+    return reduce(
+        lambda a, b: a + b,
+        [((F.lit(i) < k) & (F.bround(F.lit(i) * F.col(n) / k, 0) <= pos)).cast("int") for i in range(1, FOLDS)],
+    )
+
+
+def _placed(cells: DataFrame, by: list[str], min_n: int) -> DataFrame:
+    """Cells (scope, ``_b``, ``_n`` rows) of scopes with at least ``min_n`` rows, with the scope's n, the rows before the cell, and the folds of its first and last row."""
+    scope = W.partitionBy(*by)
+    before = scope.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    c = cells.withColumns({"_off": F.coalesce(F.sum("_n").over(before), F.lit(0)), "n": F.sum("_n").over(scope)}).filter(F.col("n") >= min_n)
+    return c.withColumns({"fold": _fold(F.col("_off")), "_last": _fold(F.col("_off") + F.col("_n") - 1)})
+
+
+def _numbered(x: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the given cells with their fold, from their place inside the cell."""
+    inside = W.partitionBy(*by, "_b").orderBy("ledger_id")
+    placed = x.join(cells.select(*by, "_b", "_off", "n"), [*by, "_b"]).withColumn("_r", F.row_number().over(inside))
+    return placed.withColumn("fold", _fold(F.col("_r") + F.col("_off") - 1)).drop("_b", "_r", "_off")
 
 
 def folded(x: DataFrame, value: str, min_n: int = 2) -> DataFrame:
     """Adds scope totals (n, s) and the fold of each row in ledger order.
 
     Rows are numbered per (scope, range ``_b`` of ids) and shifted by the sizes of earlier ranges,
-    so no scope is ever one task.  Fold edges are half-even rounded shares of n.
+    so no scope is ever one task.
     """
     x = x if "_b" in x.columns else ranged(x)
-    sizes = x.groupBy(*SCOPE, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
-    scope = W.partitionBy(*SCOPE)
-    before = scope.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(
-        *SCOPE, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(scope).alias("n"), F.sum("_v").over(scope).alias("s"),
-    ).filter(F.col("n") >= min_n)
-    inside = W.partitionBy(*SCOPE, "_b").orderBy("ledger_id")
-    # small scopes leave before anything is sorted; the window reuses the join's partitioning
-    placed = x.join(sizes, [*SCOPE, "_b"]).withColumn("_r", F.row_number().over(inside))
-    pos = F.col("_r") + F.col("_off") - 1
-    k = F.greatest(F.lit(2), F.least(F.lit(FOLDS), F.col("n")))
-    fold = reduce(
-        lambda a, b: a + b,
-        [((F.lit(i) < k) & (F.bround(F.lit(i) * F.col("n") / k, 0) <= pos)).cast("int") for i in range(1, FOLDS)],
-    )
-    return placed.withColumn("fold", fold).drop("_b", "_r", "_off")
+    cells = x.groupBy(*SCOPE, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    totals = x.groupBy(*SCOPE).agg(F.sum(value).alias("s"))
+    return _numbered(x, _placed(cells, SCOPE, min_n), SCOPE).join(totals, SCOPE)
+
+
+def fold_cells(x: DataFrame, sums: list[Column], min_n: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``sums`` per (scope, range of ids): ranges that lie in one fold as (.., fold, n, _n, sums), and the rows of the others with their fold.
+
+    A scope has at most nine fold edges, so of hundreds of ranges at most nine hold rows of two folds.  Only those rows are
+    numbered and sorted; all others are added up where they are read.  ``x`` has ``_b`` (:func:`ranged`) and
+    numbered scopes (:func:`scoped`).
+    """
+    cells = written(x.groupBy(*BY, "_b").agg(F.count(F.lit(1)).alias("_n"), *sums))
+    placed = written(_placed(cells, BY, min_n))
+    split = written(placed.filter(F.col("fold") != F.col("_last")).select(*BY, "_b", "_off", "n"))
+    return placed.filter(F.col("fold") == F.col("_last")).drop("_off", "_last"), _numbered(x, split, BY)
 
 
-def _binary_coverage(folds: DataFrame, carry: list[str]) -> DataFrame:
+def _binary_coverage(folds: DataFrame) -> DataFrame:
     """Fold-rate and per-outcome coverage of posterior intervals from fold sums alone."""
-    scope = W.partitionBy(*SCOPE)
+    scope = W.partitionBy(*BY)
     fn, fs = F.col("fn"), F.col("fs")
     n, s = F.sum("fn").over(scope), F.sum("fs").over(scope)
     z = K.Z_95_ONE_SIDED
@@ -121,39 +179,57 @@ def _binary_coverage(folds: DataFrame, carry: list[str]) -> DataFrame:
     hit = ((fs / fn >= lo(wide)) & (fs / fn <= hi(wide))).cast("int")
     ones = F.when((lo(point) <= 1) & (hi(point) >= 1), fs).otherwise(0)
     zeros = F.when(lo(point) <= 0, fn - fs).otherwise(0)
-    return t.filter("m > 0").groupBy(*SCOPE).agg(
-        F.avg(hit).alias("interval_coverage"), F.sum(ones + zeros).alias("covered"), F.sum("fn").alias("evaluated"),
-        *[F.sum(c).alias(c) for c in carry],
+    return t.filter("m > 0").groupBy(*BY).agg(
+        F.avg(hit).alias("interval_coverage"), F.sum(ones + zeros).alias("covered"), F.sum("fn").alias("evaluated"), F.sum("fs").alias("fs"),
     ).withColumn("interval_coverage_lcb", wilson_lower("covered", "evaluated"))
 
 
+def _fold_rates(whole: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows and positives per fold, from the cells and rows of :func:`fold_cells`."""
+    parts = whole.select(*BY, "fold", F.col("_n").alias("fn"), "fs").unionByName(
+        rows.groupBy(*BY, "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("actual_outcome").alias("fs")))
+    return parts.groupBy(*BY, "fold").agg(F.sum("fn").alias("fn"), F.sum("fs").alias("fs"))
+
+
 def binary_coverage(rows: DataFrame, min_n: int = 2) -> DataFrame:
-    x = folded(explode_scopes(ranged(rows), "_b", "ledger_id", "actual_outcome"), "actual_outcome", min_n)
-    folds = x.groupBy(*SCOPE, "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("actual_outcome").alias("fs"))
-    return _binary_coverage(folds, [])
+    sets, x = scoped(ranged(rows), [], "_b", "ledger_id", "actual_outcome")
+    cover = _binary_coverage(_fold_rates(*fold_cells(x, [F.sum("actual_outcome").alias("fs")], min_n)))
+    return sets.select(*SCOPE, "scope").distinct().join(cover, "scope").drop("scope", "fs")
 
 
-def continuous_coverage(x: DataFrame) -> DataFrame:
+def continuous_coverage(x: DataFrame, means: DataFrame, min_n: int = 2) -> DataFrame:
     """Mean and point coverage; point hits need each value, so fold bounds join back to rows.
 
-    Values are taken about the scope mean before squaring, which keeps the sums well scaled.
+    ``means`` has ``mean_value`` of each scope.  Values are taken about it before squaring, which keeps the sums well scaled;
+    a range of ids comes with its mean and variance and is moved there as a whole.
     """
-    scope = W.partitionBy(*SCOPE)
-    a = F.col("actual_value") - F.col("s") / F.col("n")
-    x = x.withColumn("_a", a)
-    folds = x.groupBy(*SCOPE, "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("_a").alias("fs"), F.sum(F.col("_a") * F.col("_a")).alias("fq"))
+    scope = W.partitionBy(*BY)
+    value, centre = F.col("actual_value"), F.col("mean_value")
+    whole, rows = fold_cells(x, [F.count(value).alias("_k"), F.avg(value).alias("_m"), F.var_pop(value).alias("_p")], min_n)
+    rows = written(rows.select(*BY, "fold", "actual_value").join(means, BY))
+    off = F.col("_m") - centre
+    parts = whole.join(means, BY).select(
+        *BY, "fold", F.col("_n").alias("fn"), (F.col("_k") * off).alias("fs"), (F.col("_k") * (F.col("_p") + off * off)).alias("fq"))
+    parts = parts.unionByName(rows.withColumn("_a", value - centre).groupBy(*BY, "fold").agg(
+        F.count(F.lit(1)).alias("fn"), F.sum("_a").alias("fs"), F.sum(F.col("_a") * F.col("_a")).alias("fq")))
+    folds = parts.groupBy(*BY, "fold").agg(*[F.sum(c).alias(c) for c in ("fn", "fs", "fq")])
     m, ts, tq = (F.sum(c).over(scope) - F.col(c) for c in ("fn", "fs", "fq"))
     z = K.Z_95_ONE_SIDED
     t = folds.withColumns({"m": m, "ts": ts, "tq": tq}).filter("m >= 2")
     t = t.withColumns({"mean": F.col("ts") / F.col("m"), "v": (F.col("tq") - F.col("ts") * F.col("ts") / F.col("m")) / (F.col("m") - 1)})
     wide = z * F.sqrt(F.col("v") / F.col("m") + F.col("v") / F.col("fn"))
     point = z * F.sqrt(F.col("v") / F.col("m") + F.col("v"))
-    t = t.select(*SCOPE, "fold", (F.abs(F.col("fs") / F.col("fn") - F.col("mean")) <= wide).cast("int").alias("hit"),
-                 (F.col("mean") - point).alias("lo"), (F.col("mean") + point).alias("hi"))
-    points = x.join(t, [*SCOPE, "fold"]).groupBy(*SCOPE).agg(
-        F.count_if((F.col("_a") >= F.col("lo")) & (F.col("_a") <= F.col("hi"))).alias("covered"), F.count(F.lit(1)).alias("evaluated"))
-    means = t.groupBy(*SCOPE).agg(F.avg("hit").alias("interval_coverage"))
-    return points.join(means, SCOPE).withColumn("interval_coverage_lcb", wilson_lower("covered", "evaluated"))
+    t = written(t.join(means, BY).select(
+        *BY, "fold", (F.abs(F.col("fs") / F.col("fn") - F.col("mean")) <= wide).cast("int").alias("hit"),
+        "mean_value", (F.col("mean") - point).alias("lo"), (F.col("mean") + point).alias("hi")))
+    bounds = written(whole.select(*BY, "_b", "fold").join(t.drop("hit"), [*BY, "fold"]).drop("fold"))
+    inside = F.count_if((value - centre >= F.col("lo")) & (value - centre <= F.col("hi"))).alias("covered")
+    every = F.count(F.lit(1)).alias("evaluated")
+    points = x.join(bounds, [*BY, "_b"]).groupBy(*BY).agg(inside, every).unionByName(
+        rows.join(t.drop("hit", "mean_value"), [*BY, "fold"]).groupBy(*BY).agg(inside, every))
+    points = points.groupBy(*BY).agg(F.sum("covered").alias("covered"), F.sum("evaluated").alias("evaluated"))
+    means = t.groupBy(*BY).agg(F.avg("hit").alias("interval_coverage"))
+    return points.join(means, BY).withColumn("interval_coverage_lcb", wilson_lower("covered", "evaluated"))
 
 
 # --- gates --------------------------------------------------------------------------------------------------------
@@ -169,22 +245,25 @@ def binary_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, concern
     Inside a scope the left-out rate takes two values, (S−1)/(n−1) after a positive and
     S/(n−1) after a negative, so the replayed scores are closed forms of n and S.
     """
-    cols = ("_b", "ledger_id", "actual_outcome", "predicted_probability", "event_disutility", "criticality_stage", "is_high_symbol_fan_in")
-    x = explode_scopes(ranged(rows), *cols)
-    sizes = x.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_group"), F.bool_or("is_high_symbol_fan_in").alias("_flag"))
-    sizes = sizes.filter((F.col("scope_kind") != "high_symbol_fan_in") | F.col("_flag")).drop("_flag")
-    sizes = sizes.unionByName(proposed_domains(rows).withColumn("n_group", F.lit(0).cast("bigint"))).groupBy(*SCOPE).agg(F.max("n_group").alias("n_group"))
-
+    cols = ("_b", "ledger_id", "actual_outcome", "event_disutility", "criticality_stage")
     p, y, d = F.col("predicted_probability"), F.col("actual_outcome"), F.col("event_disutility")
-    p1 = (F.col("s") - y) / (F.col("n") - 1)
     held = lambda q: F.when(d.isNull(), q < 0.5).otherwise(q * d < concern)
     harm, c4 = y == 1, F.col("criticality_stage") == "C4"
-    f = folded(x, "actual_outcome", max(2, min_n))
-    folds = f.groupBy(*SCOPE, "fold").agg(
-        F.count(F.lit(1)).alias("fn"), F.sum(y).alias("fs"), F.sum(brier(p, y)).alias("b0"), F.sum(log_loss(p, y)).alias("l0"),
-        F.count_if(harm & held(p)).alias("fp0"), F.count_if(harm & held(p1)).alias("fp1"),
-        F.count_if(harm & c4).alias("h4"), F.count_if(harm & c4 & held(p)).alias("f40"), F.count_if(harm & c4 & held(p1)).alias("f41"))
-    g = _binary_coverage(folds, ["fs", "b0", "l0", "fp0", "fp1", "h4", "f40", "f41"])
+    # all but the folds and the left-out scores of harmful rows is a sum over the scope
+    sums = {"s": F.sum(y), "b0": F.sum(brier(p, y)), "l0": F.sum(log_loss(p, y)), "fp0": F.count_if(harm & held(p)),
+            "h4": F.count_if(harm & c4), "f40": F.count_if(harm & c4 & held(p))}
+    sets, x = scoped(ranged(rows), [c.alias(name) for name, c in sums.items()], *cols)
+    totals = written(sets.groupBy(*SCOPE, "scope").agg(F.bool_or("_flag").alias("_flag"), *[F.sum(c).alias(c) for c in ("n_group", *sums)]))
+    sizes = totals.filter((F.col("scope_kind") != "high_symbol_fan_in") | F.col("_flag")).select(*SCOPE, "n_group")
+    sizes = sizes.unionByName(proposed_domains(rows).withColumn("n_group", F.lit(0).cast("bigint"))).groupBy(*SCOPE).agg(F.max("n_group").alias("n_group"))
+
+    least = max(2, min_n)
+    left_out = (F.col("s") - 1) / (F.col("n_group") - 1)
+    harmful = x.filter(harm).join(written(totals.filter(F.col("n_group") >= least).select("scope", "n_group", "s")), "scope").groupBy("scope").agg(
+        F.count_if(held(left_out)).alias("fp1"), F.count_if(c4 & held(left_out)).alias("f41"))
+    g = _binary_coverage(_fold_rates(*fold_cells(x, [F.sum(y).alias("fs")], least)))
+    g = g.join(totals.select(*SCOPE, "scope", "b0", "l0", "fp0", "h4", "f40"), "scope").join(harmful, "scope", "left")
+    g = g.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fp1", "f41")})
     n, s = F.col("evaluated").cast("double"), F.col("fs").cast("double")
     up, down = (s - 1) / (n - 1), s / (n - 1)
     with_b = (s * brier(up, F.lit(1)) + (n - s) * brier(down, F.lit(0))) / n
@@ -213,17 +292,25 @@ def binary_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, concern
 
 def continuous_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, min_coverage: float = 0.90) -> DataFrame:
     """Leave-one-out MSE replay; the replayed error is n·SS/(n−1)² with SS the squared spread."""
-    x = explode_scopes(ranged(rows), "_b", "ledger_id", "actual_value", "predicted_value", "is_high_symbol_fan_in")
     a, p = F.col("actual_value"), F.col("predicted_value")
     n = F.col("n_group").cast("double")
-    g = x.groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("n_group"), F.bool_or("is_high_symbol_fan_in").alias("_flag"), F.avg(F.pow(a - p, F.lit(2.0))).alias("mse_without"),
-        F.var_pop(a).alias("_vp"), F.avg(a).alias("mean_value"), F.var_samp(a).alias("_vs"))
+    error = F.pow(a - p, F.lit(2.0))
+    sums = [F.count(a).alias("k"), F.avg(a).alias("m"), F.var_pop(a).alias("v"), F.sum(error).alias("e"), F.count(error).alias("ek")]
+    sets, x = scoped(ranged(rows), sums, "_b", "ledger_id", "actual_value")
+    sets = written(sets)
+    g = written(sets.groupBy(*SCOPE, "scope").agg(
+        F.sum("n_group").alias("n_group"), F.bool_or("_flag").alias("_flag"), F.try_divide(F.sum("e"), F.sum("ek")).alias("mse_without"),
+        F.sum("k").alias("_k"), F.try_divide(F.sum(F.col("k") * F.col("m")), F.sum("k")).alias("mean_value")))
+    # squared spread about the scope's mean, from each set's own spread and the distance of its mean
+    away = F.col("m") - F.col("mean_value")
+    spread = sets.join(g.select("scope", "mean_value"), "scope").groupBy("scope").agg(F.sum(F.col("k") * (F.col("v") + away * away)).alias("_q"))
+    g = written(g.join(spread, "scope").withColumns({"_vp": F.try_divide("_q", "_k"), "_vs": F.try_divide("_q", F.col("_k") - 1)}).drop("_q", "_k"))
+    means = written(g.select("scope", "mean_value"))
     g = g.filter((F.col("scope_kind") != "high_symbol_fan_in") | F.col("_flag"))
     proposed = proposed_domains(rows).join(g.select(*SCOPE), SCOPE, "left_anti").withColumn("n_group", F.lit(0).cast("bigint"))
     g = g.unionByName(proposed, allowMissingColumns=True)
     g = g.withColumn("mse_with", n * n * F.col("_vp") / F.pow(n - 1, F.lit(2.0))).withColumn("delta_mse", F.col("mse_without") - F.col("mse_with"))
-    g = g.join(continuous_coverage(folded(x, "actual_value", max(2, min_n))), SCOPE, "left")
+    g = g.join(continuous_coverage(x, means, max(2, min_n)), "scope", "left").drop("scope")
     veto = (
         F.when(F.col("n_group") < max(2, min_n), "INSUFFICIENT_N")
         .when(F.col("delta_mse") < 0, "DELTA_MSE_NEGATIVE").when(F.col("delta_mse") == 0, "DELTA_MSE_NOT_POSITIVE")
@@ -239,11 +326,15 @@ def continuous_gate(rows: DataFrame, min_n: int = K.MIN_CALIBRATION_SAMPLES, min
 
 def scope_provenance(rows: DataFrame) -> DataFrame:
     """Most common provider and index version per scope, and its graph scope if there is only one."""
-    x = explode_scopes(rows, "ledger_id", "provider_version", "index_version", "graph_scope_digest")
-    cells = x.groupBy(*SCOPE, "provider_version", "index_version").agg(
-        F.count(F.lit(1)).alias("c"), F.min("ledger_id").alias("first"),
-        F.min("graph_scope_digest").alias("lo"), F.max("graph_scope_digest").alias("hi"),
-        F.count_if(F.coalesce(F.col("graph_scope_digest"), F.lit("")) == "").alias("missing"))
+    by = ["provider_version", "index_version"]
+    digest = F.col("graph_scope_digest")
+    # rows with equal features are folded before they are multiplied by their scopes
+    state = [c for c in ("refinement_status",) if c in rows.columns]
+    sets = rows.groupBy(*FEATURES, *state, *by).agg(
+        F.count(F.lit(1)).alias("c"), F.min("ledger_id").alias("first"), F.min(digest).alias("lo"), F.max(digest).alias("hi"),
+        F.count_if(F.coalesce(digest, F.lit("")) == "").alias("missing"))
+    cells = written(explode_scopes(sets, *by, "c", "first", "lo", "hi", "missing").groupBy(*SCOPE, *by).agg(
+        F.sum("c").alias("c"), F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("missing").alias("missing")))
 
     def modal(c):
         per = cells.groupBy(*SCOPE, c).agg(F.sum("c").alias("k"), F.min("first").alias("f"))

@@ -7,6 +7,7 @@ from oddsmith.operators import calibration as C
 from oddsmith.operators import promotion as P
 from oddsmith.plans.calibration import _LL
 from oddsmith.plans.catalog import plan
+from oddsmith.session import cut_lineage
 
 
 def scopes_sql(src: str) -> str:
@@ -130,7 +131,7 @@ def _run(m, family):
         rows, gate = m.benefit_rows, P.continuous_gate
     else:
         rows, gate = C.production_rows(m.prediction_errors, "cost_continuous"), P.continuous_gate
-    gates = gate(rows)
+    gates = cut_lineage(gate(rows))
     return P.promotion_summary(family, gates, P.fact_rows(gates, P.scope_provenance(rows), family == "risk"))
 
 
