@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oddsmith.functions.columns import previous_row
+from oddsmith.session import written
 from oddsmith.functions.stats import normal_cdf, rate
 
 # fixed values: advice classes and tool names
@@ -44,14 +45,22 @@ def scan_terms(messages: DataFrame, by: str, text: str = "text", terms: Sequence
 
 
 def planned_grid(tasks: DataFrame, seeds: int, arms: Sequence[str]) -> DataFrame:
-    """The full design: every task × seed × arm, generated per task row."""
-    return tasks.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds)))).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    """The full design: every task × seed × arm, generated per task row; tasks are dealt out first, as a small file of them is one partition."""
+    dealt = tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds)))).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
 
 
 def grid_status(planned: DataFrame, observed: DataFrame) -> DataFrame:
+    """Planned cells with what became of them, and observed runs that nobody planned.
+
+    The grid is much larger than what was run, so it meets the runs by joins that leave it where it is if the
+    runs are few; a full outer join would shuffle all of it.
+    """
     key = ["task_id", "seed", "arm"]
-    o = observed.select(*key, F.col("harm_label").alias("observed_label"), F.lit(True).alias("done"))
-    return planned.join(o, key, "full_outer").select(
+    o = written(observed.select(*key, F.col("harm_label").alias("observed_label"), F.lit(True).alias("done")))
+    met = written(planned.join(o, key, "left_semi").select(*key).distinct())
+    extra = o.join(met, key, "left_anti")
+    return planned.join(o, key, "left").unionByName(extra, allowMissingColumns=True).select(
         *key, F.when(F.col("done"), "done").otherwise("pending").alias("status"), F.coalesce("observed_label", "harm_label").alias("harm_label"), "language")
 
 
