@@ -139,36 +139,124 @@ def cycle_from_changes(changed: DataFrame, reaching: DataFrame) -> DataFrame:
 # --- blast and incompleteness -----------------------------------------------------------------------------
 
 
-def reverse_blast(changed: DataFrame, edges: DataFrame, files: DataFrame, depth: int = K.REACH_DEPTH) -> DataFrame:
+#: Entries of all files' reach up to which an action is settled from lists; a larger one is settled row by row.
+BLAST_ENTRIES = 1_000_000
+
+# An entry of a file's reach is one long: node number (32 bits), depth (6), rank of the edge among the importer's (20), confidence (4),
+# entrypoint (1).  The least entry of a node is the one of its nearest depth, found by the edge to the first path.
+_NUMBER, _DEPTH, _RANK = 31, 25, 5
+_CONFIDENCES = sorted({*K.IMPORT_CONFIDENCE.values(), K.IMPORT_CONFIDENCE_DEFAULT})
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes(node)``, distinct, with gapless numbers from 0."""
+    rows = written(nodes.withColumn("id", F.monotonically_increasing_id()))
+    part = F.call_function("shiftright", "id", F.lit(33)).alias("part")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.col("id").bitwiseAND((1 << 33) - 1)
+    return rows.select("node", part, inside.alias("inside")).join(offsets, "part").select("node", (F.col("inside") + F.col("offset")).alias("number"))
+
+
+def _settled(lists: DataFrame, key: str) -> DataFrame:
+    """Counts of each row's sorted ``entries``, each node by its least one; depth 0 only counts as an entrypoint."""
+    conf, node, depth = _CONFIDENCES, _NUMBER, _DEPTH
+    kinds = "direct long, n long, low long, total double, least double, entry boolean"
+
+    def settle(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        confs = np.array(conf + [0.0] * (16 - len(conf)))
+        for batch in batches:
+            col = batch.column("entries")
+            at = col.offsets.to_numpy() - col.offsets[0].as_py()
+            values = col.flatten().to_numpy()
+            counts, entry = np.zeros((len(col), 3, 16), np.int64), np.zeros(len(col), bool)
+            for i in range(len(col)):
+                x = values[at[i]:at[i + 1]]
+                number = x >> node
+                x = x[np.concatenate(([True], number[1:] != number[:-1]))]
+                kind = np.minimum((x >> depth) & 63, 2) * 16 + ((x >> 1) & 15)
+                counts[i] = np.bincount(kind, minlength=48).reshape(3, 16)
+                entry[i] = (x & 1).any()
+            found = counts[:, 1:].sum(axis=1)
+            least = np.where(found > 0, confs, 1.0).min(axis=1)
+            out = [counts[:, 1].sum(axis=1), found.sum(axis=1), found[:, confs < 0.5].sum(axis=1), found @ confs, least, entry]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, out)], [key, *(k.split()[0] for k in kinds.split(", "))])
+
+    stats = lists.select(key, "entries").mapInArrow(settle, f"{key} {lists.schema[key].dataType.simpleString()}, {kinds}")
+    return stats.select(key, F.struct("direct", "n", "low", "total", "least", "entry").alias("s"))
+
+
+def file_reach(origins: DataFrame, back: DataFrame, depth: int = K.REACH_DEPTH) -> DataFrame:
+    """``origin, entries, n``: what depends on each file, as one sorted array of entries, the file itself at depth 0.
+
+    ``back(node, importer, edge)`` holds numbers and the low bits of an entry.  A walk that comes back to
+    a node is longer than the first one to it, so the least entry per node is the right one and nothing needs to be kept out.
+    """
+    packed = lambda d: F.shiftleft("node", _NUMBER).bitwiseOR(F.lit(d << _DEPTH)).bitwiseOR(F.col("edge")).alias("x")
+    frontier = written(origins.select(F.col("number").alias("origin"), F.col("number").alias("node"), "edge"))
+    walks = [frontier.select("origin", packed(0))]
+    for d in range(1, depth + 1):
+        step = frontier.select("origin", "node").join(back, "node").select("origin", F.col("importer").alias("node"), "edge")
+        if d < depth:
+            step = frontier = written(step.groupBy("origin", "node").agg(F.min("edge").alias("edge")))
+        walks.append(step.select("origin", packed(d)))
+    least = reduce(DataFrame.unionByName, walks).groupBy("origin", F.call_function("shiftright", "x", F.lit(_NUMBER)).alias("node")).agg(F.min("x").alias("x"))
+    return least.groupBy("origin").agg(F.sort_array(F.collect_list("x")).alias("entries"), F.count(F.lit(1)).alias("n"))
+
+
+def reverse_blast(changed: DataFrame, edges: DataFrame, files: DataFrame, depth: int = K.REACH_DEPTH, most: int = BLAST_ENTRIES) -> DataFrame:
     """Dependents of each action's files with the confidence of the edge that found them.
 
     A node found by several edges of one round takes the one to the first path, so counts
     equal a breadth-first walk and the confidence statistics are deterministic.
+
+    Each file is walked once, for all actions.  An action's reach is that of its files, each node by its least entry:
+    a path that reaches a node first is a first path for the file it started from.  An action of one
+    file takes the file's counts.  Others are brought to the largest of their files' lists, so only the shorter lists travel; where the lists
+    would be long, nodes are counted row by row.
     """
-    known = changed.join(files.select("path"), "path", "left_semi").select("action_id", F.col("path").alias("node")).distinct()
-    back = edges.filter("tgt IS NOT NULL").select(F.col("tgt").alias("node"), F.col("src").alias("importer"), edge_confidence().alias("conf"))
-    frontier, seen, found = known, known, []
-    for d in range(1, depth + 1):
-        step = (
-            frontier.join(back, "node").groupBy("action_id", "importer").agg(F.min_by("conf", "node").alias("conf"))
-            .withColumnRenamed("importer", "node").join(seen, ["action_id", "node"], "left_anti")
-        )
-        step = cut_lineage(step.withColumn("depth", F.lit(d)))
-        frontier = step.select("action_id", "node")
-        seen = seen.unionByName(frontier)
-        found.append(step)
-    reached = reduce(DataFrame.unionByName, found)
-    entry = files.filter("is_entrypoint").select(F.col("path").alias("node"))
-    signal = seen.join(entry, "node", "left_semi").select("action_id").distinct().withColumn("entry", F.lit(True))
-    stats = reached.groupBy("action_id").agg(
-        F.count_if(F.col("depth") == 1).alias("direct_count"), F.count_if(F.col("depth") > 1).alias("transitive_count"),
-        F.avg("conf").alias("edge_confidence_mean"), F.min("conf").alias("edge_confidence_min"),
-        F.count_if(F.col("conf") < 0.5).alias("low_confidence_edge_count"))
-    return known.select("action_id").distinct().join(stats, "action_id", "left").join(signal, "action_id", "left").select(
-        "action_id",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("direct_count", "transitive_count", "low_confidence_edge_count")],
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("edge_confidence_mean", "edge_confidence_min")],
-        F.coalesce("entry", F.lit(False)).alias("entrypoint_signal"))
+    real = edges.filter("tgt IS NOT NULL")
+    names = files.select(F.col("path").alias("node")).unionByName(real.select(F.explode(F.array("src", "tgt")).alias("node"))).distinct()
+    entry = files.groupBy(F.col("path").alias("node")).agg(F.bool_or("is_entrypoint").alias("entry"), F.lit(True).alias("known"))
+    flags = F.coalesce(F.col("entry").cast("long"), F.lit(0))
+    nodes = written(_numbered(names).join(entry, "node", "left").select("node", "number", flags.alias("entry"), F.coalesce("known", F.lit(False)).alias("known")))
+    code = lookup({k: _CONFIDENCES.index(v) for k, v in K.IMPORT_CONFIDENCE.items()}, "kind", _CONFIDENCES.index(K.IMPORT_CONFIDENCE_DEFAULT))
+    ranked = real.select("src", "tgt", code.cast("long").alias("code")).withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("tgt", F.desc("code"))))
+    ranked = ranked.withColumn("rank", F.when(F.col("rank") < 1 << 20, F.col("rank").cast("long")).otherwise(F.raise_error(F.lit("a file imports more than 2^20 files"))))
+    edge = F.shiftleft("rank", _RANK).bitwiseOR(F.shiftleft("code", 1)).bitwiseOR(F.col("entry")).alias("edge")
+    back = written(
+        ranked.join(nodes.select(F.col("node").alias("src"), F.col("number").alias("importer"), "entry"), "src")
+        .join(nodes.select(F.col("node").alias("tgt"), F.col("number").alias("node")), "tgt").select("node", "importer", edge))
+    pairs = written(changed.join(nodes.filter("known").select(F.col("node").alias("path"), "number"), "path").select("action_id", F.col("number").alias("origin")).distinct())
+    used = pairs.select(F.col("origin").alias("number")).distinct()
+    lists = written(file_reach(nodes.join(used, "number", "left_semi").select("number", F.col("entry").alias("edge")), back, depth))
+
+    home = F.max_by("origin", F.struct("n", "origin")).alias("home")
+    actions = written(pairs.join(lists.select("origin", "n"), "origin").groupBy("action_id").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("entries"), home))
+    at_home = lists.select(F.col("origin").alias("home"), F.col("entries").alias("own"))
+    single = actions.filter("files = 1").select("action_id", F.col("home").alias("origin")).join(_settled(lists, "origin"), "origin").select("action_id", "s")
+    few = actions.filter((F.col("files") > 1) & (F.col("entries") <= most)).select("action_id", "home")
+    others = pairs.join(few, "action_id").filter("origin <> home").join(lists.select("origin", "entries"), "origin")
+    shorter = others.select("home", "action_id", "entries").repartition("home").groupBy("home", "action_id").agg(F.flatten(F.collect_list("entries")).alias("more"))
+    merged = shorter.join(at_home, "home").select("action_id", F.sort_array(F.concat("own", "more")).alias("entries"))
+    long = actions.filter((F.col("files") > 1) & (F.col("entries") > most)).select("action_id")
+    rows = pairs.join(long, "action_id").join(lists.select("origin", "entries"), "origin").select("action_id", F.explode("entries").alias("x"))
+    rows = rows.groupBy("action_id", F.call_function("shiftright", "x", F.lit(_NUMBER)).alias("node")).agg(F.min("x").alias("x"))
+    depth_of, conf = F.call_function("shiftright", "x", F.lit(_DEPTH)).bitwiseAND(63), F.element_at(F.array(*map(F.lit, _CONFIDENCES)), F.call_function("shiftright", "x", F.lit(1)).bitwiseAND(15).cast("int") + 1)
+    found = rows.select("action_id", depth_of.alias("d"), F.when(depth_of > 0, conf).alias("c"), (F.col("x").bitwiseAND(1) == 1).alias("e"))
+    counted = found.groupBy("action_id").agg(F.struct(
+        F.count_if(F.expr("d = 1")).alias("direct"), F.count("c").alias("n"), F.count_if(F.expr("c < 0.5")).alias("low"),
+        F.coalesce(F.sum("c"), F.lit(0.0)).alias("total"), F.coalesce(F.min("c"), F.lit(1.0)).alias("least"), F.bool_or("e").alias("entry")).alias("s"))
+    stats = single.unionByName(_settled(merged, "action_id")).unionByName(counted)
+    some = F.col("s.n") > 0
+    return stats.select(
+        "action_id", F.col("s.direct").alias("direct_count"), (F.col("s.n") - F.col("s.direct")).alias("transitive_count"), F.col("s.low").alias("low_confidence_edge_count"),
+        F.when(some, F.col("s.total") / F.col("s.n")).otherwise(0.0).alias("edge_confidence_mean"),
+        F.when(some, F.col("s.least")).otherwise(0.0).alias("edge_confidence_min"), F.col("s.entry").alias("entrypoint_signal"))
 
 
 PROVENANCE = ("unresolved_imports", "dynamic_imports", "wildcard_imports", "missing_files", "parse_error_files")
