@@ -108,14 +108,26 @@ def hottest_symbol_percentile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return top.select("file_path", F.when(F.col("callers") > 0, F.col("p")).alias("percentile"))
 
 
+#: Set members whose neighbours one task counts.
+TASK_MEMBERS = 50_000
+
+
 def edge_kind_counts(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct neighbours of each node set by direction and edge kind."""
-    e = edges.select("source", "target", "kind").distinct()
-    incoming = members.join(e.withColumnRenamed("target", "node"), "node").select(
-        "key", F.lit("in").alias("direction"), "kind", F.col("source").alias("other"))
-    outgoing = members.join(e.withColumnRenamed("source", "node"), "node").select(
-        "key", F.lit("out").alias("direction"), "kind", F.col("target").alias("other"))
-    return incoming.unionByName(outgoing).distinct().groupBy("key", "direction", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Distinct neighbours of each node set by direction and edge kind.
+
+    Neighbours are counted per node first.  Where only one node of a set has neighbours of a direction and
+    kind, its count is the set's; only where several have, their neighbours are written out and told apart.
+    """
+    m = written(members.select("key", "node").distinct())
+    e = written(edges.select("source", "target", "kind").distinct())
+    end = lambda node, other, d: e.select(F.col(node).alias("node"), F.lit(d).alias("direction"), "kind", F.col(other).alias("other"))
+    ends = end("target", "source", "in").unionByName(end("source", "target", "out"))
+    per = ends.groupBy("node", "direction", "kind").agg(F.count(F.lit(1)).alias("n"))
+    group = ["key", "direction", "kind"]
+    tasks = 1 + m.count() // TASK_MEMBERS
+    met = written(m.join(per, "node").repartition(tasks, *group).groupBy(*group).agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("n")))
+    several = m.join(met.filter("nodes > 1").select(*group), "key").join(ends, ["node", "direction", "kind"]).select(*group, "other").distinct()
+    return met.filter("nodes = 1").select(*group, "n").unionByName(several.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
 
 
 def edge_kind_maps(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -166,10 +178,19 @@ def direct_impact(targets: DataFrame, edges: DataFrame, exclude_inside: bool = T
 
 
 def direct_impact_counts(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct dependents per set, overall (kind ``*``) and by edge kind."""
-    hits = direct_impact(targets, edges)
-    kinds = F.explode(F.array(F.col("kind"), F.lit("*"))).alias("kind")
-    return hits.select("key", "source", kinds).distinct().groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Distinct dependents per set, overall (kind ``*``) and by edge kind.
+
+    A dependent is one row of its set with a bit per edge kind, from the edges on; tasks follow the number of targets.
+    """
+    targets = written(targets.select("key", "node"))
+    bit = reduce(lambda c, k: c.when(F.col("kind") == k, 1 << K.IMPACT_EDGES.index(k)), K.IMPACT_EDGES[1:], F.when(F.col("kind") == K.IMPACT_EDGES[0], 1))
+    e = edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).groupBy(F.col("target").alias("node"), "source").agg(F.bit_or(bit).alias("kinds"))
+    tasks = 1 + targets.count() // TASK_MEMBERS
+    hits = targets.join(e, "node").select("key", "source", "kinds").repartition(tasks, "key", "source").groupBy("key", "source").agg(F.bit_or("kinds").alias("kinds"))
+    hits = hits.join(targets.withColumnRenamed("node", "source"), ["key", "source"], "left_anti")
+    counts = [F.count(F.lit(1)).alias("*"), *[F.count_if(F.col("kinds").bitwiseAND(1 << i) > 0).alias(k) for i, k in enumerate(K.IMPACT_EDGES)]]
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("n")) for k in ("*", *K.IMPACT_EDGES)]))
+    return hits.groupBy("key").agg(*counts).select("key", rows.alias("x")).filter("x.n > 0").select("key", "x.kind", "x.n")
 
 
 def reach(targets: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, depth: int = K.REACH_DEPTH,

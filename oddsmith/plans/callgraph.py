@@ -70,8 +70,8 @@ UNION ALL SELECT action_id, 'out', kind, count(DISTINCT target) FROM touched JOI
 """)
 def _(m):
     maps = G.edge_kind_maps(_touched(m), m.edges)
-    side = lambda d, c: maps.select("key", F.lit(d).alias("direction"), F.explode(c).alias("kind", "n"))
-    return side("in", "incoming").unionByName(side("out", "outgoing"))
+    side = lambda d, c: f"transform(map_entries({c}), e -> struct('{d}' AS direction, e.key AS kind, e.value AS n))"
+    return maps.selectExpr("key", f"inline(concat({side('in', 'incoming')}, {side('out', 'outgoing')}))")
 
 
 _UP = """
