@@ -183,22 +183,20 @@ def lift(bundle: DataFrame, track: str, baseline: str, learned: str) -> DataFram
 
 
 def label_predictions(
-    predictions: DataFrame, outcomes: DataFrame, event_labels: DataFrame
+    predictions: DataFrame, outcomes: DataFrame, event_labels: DataFrame, tasks: int | None = None
 ) -> DataFrame:
     """Attach the observed label of each target; a target without one is kept as censored.
 
     Only host-stamped outcomes carry labels.  Measured benefit comes from verification and
-    needs no stamp.
+    needs no stamp.  With ``tasks`` the rows are dealt out to so many tasks, by assessment in the end.
     """
+    dealt = lambda df, *keys: df if tasks is None else df.repartition(tasks, *keys)
     host = F.col("label_source") == "host"
     event = F.when(
         F.startswith("target_name", F.lit("p_event.")), F.substr("target_name", F.lit(9))
     )
-    joined = (
-        predictions.withColumn("event", event)
-        .join(outcomes, "assessment_id", "left")
-        .join(event_labels, ["assessment_id", "event"], "left")
-    )
+    labels = dealt(predictions.withColumn("event", event), "assessment_id", "event").join(event_labels, ["assessment_id", "event"], "left")
+    joined = dealt(labels, "assessment_id").join(outcomes, "assessment_id", "left")
     tn, tt = F.col("target_name"), F.col("target_type")
     binary = (
         F.when(~F.coalesce(host, F.lit(False)), None)
@@ -237,12 +235,19 @@ def stamp_scope(errors: DataFrame) -> DataFrame:
     )
 
 
+#: Outcomes whose predictions one task measures.
+TASK_OUTCOMES = 20_000
+
+
 def measure(
     predictions: DataFrame, outcomes: DataFrame, event_labels: DataFrame, measured: DataFrame
 ) -> DataFrame:
-    """Error rows of every assessment with an outcome that has not been measured before."""
-    due = predictions.join(measured.select("assessment_id"), "assessment_id", "left_anti")
-    rows = label_predictions(due, outcomes, event_labels)
+    """Error rows of every assessment with an outcome that has not been measured before.
+
+    What was measured is left out of the outcomes, which are fewer than the predictions; tasks follow their number.
+    """
+    due = outcomes.filter(F.col("terminal_status").isNotNull()).join(measured.select("assessment_id"), "assessment_id", "left_anti")
+    rows = label_predictions(predictions, due, event_labels, 1 + outcomes.count() // TASK_OUTCOMES)
     return stamp_scope(rows.filter(F.col("terminal_status").isNotNull()))
 
 
