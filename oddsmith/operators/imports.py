@@ -262,13 +262,18 @@ def reverse_blast(changed: DataFrame, edges: DataFrame, files: DataFrame, depth:
 PROVENANCE = ("unresolved_imports", "dynamic_imports", "wildcard_imports", "missing_files", "parse_error_files")
 
 
-def uncertainty_provenance(expected: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Every file and import behind an action's uncertainty: ``action_id, list, line``, all of them."""
-    placed = expected.select("action_id", "path").distinct().join(files.select("path", "parse_error"), "path", "left")
+def _import_lines(edges: DataFrame) -> DataFrame:
+    """``edges`` with the list that an import belongs to (NULL: none) and its line there."""
     known = F.col("kind").isin("static", "relative") & F.col("tgt").isNull()
     kind = F.when(known, "unresolved_imports").when(F.col("kind") == "dynamic", "dynamic_imports").when(F.col("kind") == "wildcard", "wildcard_imports")
     unnamed = F.when(known, "<unknown>").when(F.col("kind") == "dynamic", "<dynamic>").otherwise("*")
-    lines = edges.select(F.col("src").alias("path"), kind.alias("list"), F.concat("src", F.lit(": "), F.coalesce(F.nullif("name", F.lit("")), unnamed)).alias("line")).filter("list IS NOT NULL").distinct()
+    return edges.withColumns({"list": kind, "line": F.concat("src", F.lit(": "), F.coalesce(F.nullif("name", F.lit("")), unnamed))})
+
+
+def uncertainty_provenance(expected: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Every file and import behind an action's uncertainty: ``action_id, list, line``, all of them."""
+    placed = expected.select("action_id", "path").distinct().join(files.select("path", "parse_error"), "path", "left")
+    lines = _import_lines(edges).select(F.col("src").alias("path"), "list", "line").filter("list IS NOT NULL").distinct()
     imports = placed.filter("parse_error IS NOT NULL").join(lines, "path").select("action_id", "list", "line")
     state = F.when(F.col("parse_error").isNull(), "missing_files").when(F.col("parse_error"), "parse_error_files")
     return imports.unionByName(placed.select("action_id", state.alias("list"), F.col("path").alias("line")).filter("list IS NOT NULL"))
@@ -281,22 +286,26 @@ def graph_uncertainty(expected: DataFrame, edges: DataFrame, files: DataFrame, k
     ``uncertainty_codes`` names what raised the score, with its number.
     """
     w = K.UNCERTAINTY_WEIGHT
-    placed = expected.select("action_id", "path").distinct().join(files.select("path", "parse_error"), "path", "left")
-    base = placed.groupBy("action_id").agg(
-        F.count_if(F.col("parse_error").isNull()).alias("missing_file_count"),
-        F.count_if("parse_error").alias("parse_error_count"),
-        F.count_if(F.col("parse_error").isNotNull()).alias("n_changed"))
-    # edges are folded per source file before they meet the actions
+    # a file's edges are folded before they meet the actions: counts, and the first lines of each list, as no action shows more
     unresolved = F.col("tgt").isNull() & F.col("kind").isin("static", "relative")
-    per_file = edges.groupBy(F.col("src").alias("path")).agg(
+    per_file = written(_import_lines(edges).groupBy(F.col("src").alias("path")).agg(
         F.count_if(unresolved).alias("u"), F.count_if(F.col("kind") == "dynamic").alias("d"),
-        F.count_if(F.col("kind") == "wildcard").alias("w"), F.count_if(F.col("kind") == "external").alias("x"))
+        F.count_if(F.col("kind") == "wildcard").alias("w"), F.count_if(F.col("kind") == "external").alias("x"),
+        *[F.slice(F.array_sort(F.collect_set(F.when(F.col("list") == c, F.col("line")))), 1, keep).alias(c) for c in PROVENANCE[:3]]))
     total = per_file.agg(F.sum("d").alias("d"), F.sum("w").alias("w"))
-    local = placed.filter("parse_error IS NOT NULL").join(per_file, "path").groupBy("action_id").agg(
-        F.sum("u").alias("unresolved_import_count"), F.sum("d").alias("dynamic_import_count"),
-        F.sum("w").alias("wildcard_import_count"), F.sum("x").alias("external_import_count"))
+    known = files.select("path", "parse_error", F.lit(True).alias("known")).join(per_file, "path", "left")
+    placed = expected.select("action_id", "path").distinct().join(known, "path", "left")
+    own = {"missing_files": F.col("known").isNull(), "parse_error_files": F.col("parse_error")}
+    placed = placed.withColumns({c: F.when(state, F.array("path")) for c, state in own.items()})
+    # all rows of an action meet in one task; its lists are cut per part of its files first, so one of many files is not gathered whole
+    first = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, keep).alias(c)
+    n = {"missing_file_count": F.col("known").isNull(), "parse_error_count": F.col("parse_error"), "n_changed": F.col("known").isNotNull()}
+    sums = {"unresolved_import_count": "u", "dynamic_import_count": "d", "wildcard_import_count": "w", "external_import_count": "x"}
+    parts = placed.repartition("action_id").groupBy("action_id", F.pmod(F.xxhash64("path"), F.lit(256)).alias("part")).agg(
+        *[F.count_if(c).alias(k) for k, c in n.items()], *[F.sum(c).alias(k) for k, c in sums.items()], *map(first, PROVENANCE))
+    out = parts.groupBy("action_id").agg(*[F.sum(k).alias(k) for k in (*n, *sums)], *map(first, PROVENANCE))
     counts = ("unresolved_import_count", "dynamic_import_count", "wildcard_import_count", "external_import_count")
-    out = base.join(local, "action_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     rd = F.when(F.col("n_changed") > 0, total.select("d").scalar() - F.col("dynamic_import_count")).otherwise(0)
     rw = F.when(F.col("n_changed") > 0, total.select("w").scalar() - F.col("wildcard_import_count")).otherwise(0)
     score = (
@@ -304,16 +313,10 @@ def graph_uncertainty(expected: DataFrame, edges: DataFrame, files: DataFrame, k
         + w["unresolved_import"] * F.col("unresolved_import_count") + w["dynamic_import"] * F.col("dynamic_import_count")
         + w["wildcard_import"] * F.col("wildcard_import_count") + w["repo_dynamic_import"] * rd + w["repo_wildcard_import"] * rw
     )
-    order = W.partitionBy("action_id", "list").orderBy("line")
-    first = uncertainty_provenance(expected, edges, files).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
-    listed = first.groupBy("action_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == c, F.col("line")))).alias(c) for c in PROVENANCE])
-    none = F.array().cast("array<string>")
     found = {"missing_files": F.col("missing_file_count"), "parse_errors": F.col("parse_error_count"), "unresolved": F.col("unresolved_import_count"),
              "dynamic": F.col("dynamic_import_count"), "wildcard": F.col("wildcard_import_count"), "elsewhere": rd + rw}
     codes = [F.when(n > 0, F.concat(F.lit(f"{c}:"), n.cast("string"))) for c, n in found.items()]
-    return (
-        out.withColumns({"graph_uncertainty_score": F.least(F.lit(K.UNCERTAINTY_CAP), score), "uncertainty_codes": F.array_compact(F.array(*codes))})
-        .join(listed, "action_id", "left").withColumns({c: F.coalesce(c, none) for c in PROVENANCE}).drop("n_changed"))
+    return out.withColumns({"graph_uncertainty_score": F.least(F.lit(K.UNCERTAINTY_CAP), score), "uncertainty_codes": F.array_compact(F.array(*codes))}).drop("n_changed")
 
 
 def architecture_evidence(changed: DataFrame, degrees: DataFrame, hubs: DataFrame, cyclic: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
