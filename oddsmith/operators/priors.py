@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 from oddsmith import constants as K
 from oddsmith.functions.columns import clamp, col, finite, glob_regex_column, lookup
-from oddsmith.operators.promotion import explode_scopes
+from oddsmith.operators.promotion import FEATURES, explode_scopes, scope_features, teaches
+from oddsmith.session import written
 
 FACT_JSON = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("sample_size", T.IntegerType()),
@@ -132,11 +134,16 @@ def pattern_pairs(paths: DataFrame, patterns: DataFrame, hot: int = 10_000) -> D
     return anchored.unionByName(met.select("file_path", "scope_value"))
 
 
+def glob_pairs(rows: DataFrame, globs: DataFrame) -> DataFrame:
+    """(file_path, scope_value) of every distinct path of ``rows`` that a distinct pattern matches."""
+    pairs = pattern_pairs(rows.select("file_path").filter("file_path IS NOT NULL").distinct(), globs.select("scope_value").distinct())
+    return pairs.filter(F.regexp_like("file_path", glob_regex_column("scope_value")))
+
+
 def match_globs(targets: DataFrame, facts: DataFrame) -> DataFrame:
     """Path-glob facts of each target: distinct paths meet distinct patterns by literal keys, and each pair is checked once."""
     globs = facts.filter("scope_kind = 'path_glob'")
-    pairs = pattern_pairs(targets.select("file_path").filter("file_path IS NOT NULL").distinct(), globs.select("scope_value").distinct())
-    pairs = pairs.filter(F.regexp_like("file_path", glob_regex_column("scope_value")))
+    pairs = glob_pairs(targets, globs)
     placed = targets.select("action_id", "target_name", "file_path").join(pairs, "file_path")
     return placed.join(globs, ["target_name", "scope_value"]).drop("file_path")
 
@@ -196,6 +203,36 @@ def winners(matched: DataFrame) -> DataFrame:
     )
 
 
+def _best(matched: DataFrame, key: str) -> DataFrame:
+    """The winning fact per (key, target) as one struct, the greater the better."""
+    event = F.startswith("target_name", F.lit("p_event."))
+    names = ("specificity_rank", "sample_size", "created_at", "fact_id", "value", "variance", "aleatoric_variance")
+    return matched.groupBy(key, "target_name").agg(F.max(F.struct(F.when(event, F.col("value")).alias("first"), *names)).alias("w"))
+
+
+def resolved(targets: DataFrame, features: DataFrame, facts: DataFrame) -> DataFrame:
+    """``targets`` with the fact that :func:`winners` finds for them (NULL without one): ``fact_id, value, variance, aleatoric_variance``.
+
+    ``features`` holds one row per action.  Actions with equal features satisfy equal scopes, so each set of features and each path
+    is resolved once; an action looks both up by key, and no row is multiplied by its scopes or facts.
+    """
+    facts = written(facts)
+    by = [*FEATURES[2:], "_teaches"]
+    known = scope_features(features.withColumn("_teaches", teaches(features)))
+    sets = written(known.select(*by).distinct().withColumn("_set", F.monotonically_increasing_id()))
+    unnamed = {c: F.lit(None).cast("string") for c in ("target_type", "target_name")}
+    scopes = explode_scopes(sets.filter("_teaches").withColumns(unnamed), "_set").drop(*unnamed)
+    of_set = written(_best(scopes.join(facts, ["scope_kind", "scope_value"]), "_set"))
+    globs = facts.filter("scope_kind = 'path_glob'")
+    of_path = written(_best(glob_pairs(features, globs).join(globs, "scope_value"), "file_path"))
+    same = [known[c].eqNullSafe(sets[c]) for c in by]
+    keys = known.join(sets, reduce(Column.__and__, same)).select("action_id", "_set", F.col("file_path").alias("_path"))
+    rows = targets.join(keys, "action_id", "left").join(of_set.withColumnRenamed("w", "_ws"), ["_set", "target_name"], "left")
+    rows = rows.join(of_path.select(F.col("file_path").alias("_path"), "target_name", F.col("w").alias("_wp")), ["_path", "target_name"], "left")
+    w = rows.withColumn("w", F.greatest("_ws", "_wp"))
+    return w.select(*targets.columns, *[F.col(f"w.{c}").alias(c) for c in ("fact_id", "value", "variance", "aleatoric_variance")])
+
+
 PROBABILITY = ("p_success", "immediate_benefit_realized")
 
 
@@ -249,14 +286,13 @@ def variance_component() -> Column:
     )
 
 
-def apply_facts(targets: DataFrame, features: DataFrame, facts: DataFrame) -> DataFrame:
-    """New value and variance of every target of every action.
+def apply_facts(targets: DataFrame, features: DataFrame, facts: DataFrame, *keep: str) -> DataFrame:
+    """New value and variance of every target of every action; columns ``keep`` of the targets come along.
 
     A consequence event is never lowered by a repository rate, and a rejected estimate does
     not narrow its uncertainty either.  A learned benefit without a variance keeps the cap.
     """
-    win = winners(match_facts(targets, features, eligible(facts)))
-    j = targets.join(win, ["action_id", "target_name"], "left")
+    j = resolved(targets, features, eligible(facts))
     t, v, prior, was = F.col("target_name"), F.col("value"), F.col("prior"), F.col("prior_variance")
     raw = F.when(is_probability(), clamp_probability(v)).when(t == "review_cost", F.greatest(F.lit(0.0), v)).otherwise(v)
     name = F.when(F.startswith(t, F.lit("p_event.")), F.substr(t, F.lit(9)))
@@ -272,7 +308,7 @@ def apply_facts(targets: DataFrame, features: DataFrame, facts: DataFrame) -> Da
     return j.select(
         "action_id", "target_name", "prior", F.when(v.isNull() | held, prior).otherwise(raw).alias("new_value"),
         new_var.alias("new_variance"), F.col("fact_id"), F.col("variance").isNotNull().alias("has_variance"),
-        F.when(held, "consequence_event_non_decreasing").alias("safety_constraint"))
+        F.when(held, "consequence_event_non_decreasing").alias("safety_constraint"), *keep)
 
 
 # --- shipped priors ---------------------------------------------------------------------------------------------
@@ -333,16 +369,24 @@ def match_cells(actions: DataFrame, cells: Sequence[PriorCell]) -> DataFrame:
 
 
 def warm_priors(actions: DataFrame, cells: Sequence[PriorCell]) -> DataFrame:
-    """Most specific value per omitted field, each field resolved on its own."""
+    """Most specific value per omitted field, each field resolved on its own.
+
+    Once per kind of action: its match columns and the highest floor of a cell that its graph confidence reaches.
+    """
     rank = F.struct("specificity", "sample_size", "calibration_tag")
     best = lambda c, v: F.max_by(v, F.when(F.col(c).isNotNull(), rank))
-    m = match_cells(actions, cells).groupBy("action_id").agg(
+    floors = F.array(*[F.lit(float(x)) for x in sorted({0.0, *(c.min_graph_confidence for c in cells if c.min_graph_confidence is not None)})])
+    reached = F.array_max(F.filter(floors, lambda x: x <= F.col("graph_confidence")))
+    kinds = actions.withColumn("graph_confidence", F.when(finite("graph_confidence") & (F.col("graph_confidence") <= 1), reached))
+    by = [*MATCH, "graph_confidence"]
+    m = written(match_cells(kinds.select(*by).distinct(), cells).groupBy(*by).agg(
         best("p_success", F.struct("p_success", "calibration_tag")).alias("p"),
         best("review_cost", F.struct("review_cost", "calibration_tag")).alias("c"),
         best("p_success_variance", bounded_variance("p_success", "p_success_variance", "p_success_aleatoric_variance", K.WARM_VARIANCE_FLOOR_RATIO)).alias("pv"),
-        best("review_cost_variance", bounded_variance("review_cost", "review_cost_variance", "review_cost_aleatoric_variance", K.WARM_VARIANCE_FLOOR_RATIO)).alias("cv"))
+        best("review_cost_variance", bounded_variance("review_cost", "review_cost_variance", "review_cost_aleatoric_variance", K.WARM_VARIANCE_FLOOR_RATIO)).alias("cv")))
+    same = reduce(Column.__and__, [kinds[c].eqNullSafe(m[c]) for c in by])
     omitted = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    return actions.select("action_id", "p_success_given", "review_cost_given").join(m, "action_id", "left").select(
+    return kinds.join(m, same, "left").select(
         "action_id",
         F.when(omitted("p_success_given"), F.col("p.p_success")).alias("warm_p_success"),
         F.when(omitted("p_success_given"), F.col("p.calibration_tag")).alias("p_success_tag"),
@@ -360,9 +404,9 @@ def layer_priors(targets: DataFrame, warm: DataFrame, features: DataFrame, facts
         F.coalesce(pick("warm_p_success", "warm_review_cost"), F.col("prior")).alias("prior"),
         F.coalesce(pick("warm_p_success_variance", "warm_review_cost_variance"), F.col("prior_variance")).alias("prior_variance"),
         pick("warm_p_success", "warm_review_cost").isNotNull().alias("shipped_used"))
-    local = apply_facts(shipped, features, facts)
+    local = apply_facts(shipped, features, facts, "request_variance", "shipped_used")
     legacy = F.col("fact_id").isNotNull() & ~F.col("has_variance") & t.isin("p_success", "review_cost")
-    return local.join(shipped.select("action_id", "target_name", "request_variance", "shipped_used"), ["action_id", "target_name"]).select(
+    return local.select(
         "action_id", "target_name", F.col("new_value").alias("value"),
         F.when(legacy, F.col("request_variance")).otherwise(F.col("new_variance")).alias("variance"),
         F.when(F.col("fact_id").isNotNull(), "local_learned").when(F.col("shipped_used"), "shipped").otherwise("request").alias("source"))

@@ -52,17 +52,29 @@ def scope_array() -> Column:
     return F.array_compact(F.concat(single, F.flatten(F.transform(domains, per_domain))))
 
 
+def teaches(rows: DataFrame) -> Column:
+    """False for candidate-conditioned (graph-refined) rows."""
+    return F.coalesce(F.col("refinement_status") != "available", F.lit(True)) if "refinement_status" in rows.columns else F.lit(True)
+
+
 def explode_scopes(rows: DataFrame, *keep: str) -> DataFrame:
     """Rows × matched scopes; candidate-conditioned (graph-refined) rows never teach a prior."""
-    if "refinement_status" in rows.columns:
-        rows = rows.filter(F.coalesce(F.col("refinement_status") != "available", F.lit(True)))
-    return rows.withColumn("_s", F.explode(scope_array())).select(
+    return rows.filter(teaches(rows)).withColumn("_s", F.explode(scope_array())).select(
         "target_type", "target_name", "_s.scope_kind", "_s.scope_value", *keep)
 
 
 FEATURES = ["target_type", "target_name", "action_type", "symbol_id", "change_kind", "is_public_api", "is_high_symbol_fan_in", "symbol_fan_in_percentile", "domains"]
 
 
+def scope_features(rows: DataFrame) -> DataFrame:
+    """``rows`` with what their scopes do not tell apart made equal in the columns of ``FEATURES``."""
+    text = {c: F.coalesce(c, F.lit("")) for c in ("action_type", "symbol_id", "change_kind")}
+    high = F.coalesce(F.col("symbol_fan_in_percentile") >= K.HIGH_PERCENTILE, F.lit(False))
+    flags = {"is_public_api": F.coalesce("is_public_api", F.lit(False)),
+             "is_high_symbol_fan_in": high | F.coalesce("is_high_symbol_fan_in", F.lit(False)), "symbol_fan_in_percentile": F.when(high, 1.0).otherwise(0.0)}
+    return rows.withColumns({**text, **flags, "domains": F.coalesce(F.array_distinct("domains"), F.array().cast("array<string>"))})
+
+
 def scoped(rows: DataFrame, sums: list[Column], *keep: str) -> tuple[DataFrame, DataFrame]:
     """Scopes by number, and rows × the numbers of their scopes.
 
@@ -70,13 +82,7 @@ def scoped(rows: DataFrame, sums: list[Column], *keep: str) -> tuple[DataFrame,
     with equal features have equal scopes, so scopes are made and ``sums`` taken once per set of features; a row
     then looks up a list of numbers, and only numbers are multiplied, hashed and grouped.
     """
-    if "refinement_status" in rows.columns:
-        rows = rows.filter(F.coalesce(F.col("refinement_status") != "available", F.lit(True)))
-    text = {c: F.coalesce(c, F.lit("")) for c in ("action_type", "symbol_id", "change_kind")}
-    high = F.coalesce(F.col("symbol_fan_in_percentile") >= K.HIGH_PERCENTILE, F.lit(False))
-    flags = {"_flag": F.col("is_high_symbol_fan_in"), "is_public_api": F.coalesce("is_public_api", F.lit(False)),
-             "is_high_symbol_fan_in": high | F.coalesce("is_high_symbol_fan_in", F.lit(False)), "symbol_fan_in_percentile": F.when(high, 1.0).otherwise(0.0)}
-    rows = rows.withColumns({**text, **flags, "domains": F.coalesce(F.array_distinct("domains"), F.array().cast("array<string>"))})
+    rows = scope_features(rows.filter(teaches(rows)).withColumn("_flag", F.col("is_high_symbol_fan_in")))
     sets = written(rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n_group"), F.bool_or("_flag").alias("_flag"), *sums))
     sets = written(sets.withColumn("set", F.monotonically_increasing_id()))
     matched = written(sets.withColumn("_s", F.explode(scope_array())).select("set", "target_type", "target_name", "_s.scope_kind", "_s.scope_value"))

@@ -6,7 +6,7 @@ from oddsmith import constants as K
 from oddsmith.functions.columns import lookup
 from oddsmith.functions.stats import bernoulli_variance, beta_variance
 from oddsmith.operators import priors as P
-from oddsmith.operators.promotion import SCOPE, explode_scopes
+from oddsmith.operators.promotion import FEATURES, SCOPE, explode_scopes, scope_features, teaches
 from oddsmith.plans.catalog import plan
 from oddsmith.plans.promotion import _RANKS, scopes_sql
 
@@ -34,9 +34,12 @@ wi AS (SELECT * FROM rk WHERE CASE WHEN target_name LIKE 'p_event.%' THEN rv ELS
 
 
 def facts(m):
-    """Facts as measured on the risk rows, plus a few path-glob facts."""
-    g = explode_scopes(m.risk_rows, "actual_outcome", "recorded_at").groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("actual_outcome").cast("double").alias("s"), F.min("recorded_at").alias("created_at"))
+    """Facts as measured on the risk rows, counted per set of features first, plus a few path-glob facts."""
+    rows = m.risk_rows
+    sets = scope_features(rows.filter(teaches(rows))).groupBy(*FEATURES).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("actual_outcome").alias("s"), F.min("recorded_at").alias("created_at"))
+    g = explode_scopes(sets, "n", "s", "created_at").groupBy(*SCOPE).agg(
+        F.sum("n").alias("n"), F.sum("s").cast("double").alias("s"), F.min("created_at").alias("created_at"))
     n = F.col("n")
     learned = g.select(
         F.concat(F.lit("lrf_"), "target_name", F.lit(":"), "scope_kind", F.lit(":"), "scope_value").alias("fact_id"), *SCOPE,
@@ -109,7 +112,8 @@ def _(m):
 
 @plan("f02_most_specific", f"WITH {_MATCHED} SELECT action_id, target_name, fact_id, R(value) AS value FROM wi")
 def _(m):
-    return P.winners(P.match_facts(m.action_targets, m.action_features, P.eligible(facts(m)))).select("action_id", "target_name", "fact_id", "value")
+    won = P.resolved(m.action_targets, m.action_features, P.eligible(facts(m)))
+    return won.filter("fact_id IS NOT NULL").select("action_id", "target_name", "fact_id", "value")
 
 
 @plan("f03_log_pool", f"""WITH {_MATCHED}, lg AS (SELECT *, ln(least(0.99, greatest(0.01, value)) / (1 - least(0.99, greatest(0.01, value)))) AS l FROM rk WHERE r <= 3),
