@@ -1,8 +1,8 @@
 """Ranked recall of past lessons over a stored inverted index, and the building of lesson rows.
 
-The index has three Parquet tables.  ``lessons``: id, repository, length.  ``terms``: how many
-lessons of a repository hold a term.  ``postings``: for a term and a block of ``BLOCK`` neighbouring lesson ids, who holds
-it, how often, and the largest weight in the block.  A term in a third of all lessons is spread over its blocks.
+The index has two Parquet tables.  ``postings``: for a term and a block of ``BLOCK`` neighbouring lesson ids, who holds
+it, how often, and how long the lesson is; the lists of the term NULL hold every lesson.  ``terms``: how many lessons of a repository
+hold a term.  A term in a third of all lessons is spread over its blocks.
 
 A query asks for lessons with all its terms.  Its rarest term names the blocks that can match; a
 block in which another term has no posting is left out by the block keys alone, before any list is read.
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oddsmith.session import written
+
 WORD = "[A-Za-z0-9_]+"
 BLOCK_BITS = 7
 K1, B = 1.2, 0.75
@@ -24,50 +26,62 @@ def words(c: str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
 
 
-def build_index(lessons: DataFrame, path: str, k1: float = K1, b: float = B) -> None:
+def posting_lists(lessons: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Lists of ``lessons(lesson_id, repo_id, text)`` by block, repository and term; with ``terms(term)`` those of these terms only.
+
+    Texts are shuffled once, by block, and read once: words are counted and lists made where the block is.
+    """
+    docs = lessons.select(F.shiftright("lesson_id", BLOCK_BITS).alias("block"), "repo_id", "lesson_id", "text").repartition("block")
+    docs = docs.withColumn("w", F.coalesce(words("text"), F.array().cast("array<string>"))).drop("text")
+    rows = docs.withColumn("len", F.size("w")).withColumn("term", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w"))).drop("w")
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct().withColumn("_asked", F.lit(True)), "term", "left").filter("term IS NULL OR _asked")
+    counts = rows.groupBy("block", "repo_id", "term", "lesson_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.groupBy("block", "repo_id", "term").agg(F.sort_array(F.collect_list(F.struct("lesson_id", "tf", "len"))).alias("entries"), F.count(F.lit(1)).alias("n"))
+
+
+def build_index(lessons: DataFrame, path: str, terms: DataFrame | None = None) -> None:
     """Writes the index of ``lessons(lesson_id, repo_id, text)`` under ``path``; a null text has no term.
 
-    Each text is read once more for the postings; only (lesson, term) counts are shuffled.
+    If all that will be asked is known, ``terms`` keeps the lists that nobody asks for out; lengths and counts are those of whole texts.
     """
-    spark = lessons.sparkSession
-    docs = lessons.select("lesson_id", "repo_id", F.coalesce(words("text"), F.array().cast("array<string>")).alias("w"))
-    docs.select("lesson_id", "repo_id", F.size("w").alias("len")).write.parquet(f"{path}/lessons")
-    avg = spark.read.parquet(f"{path}/lessons").agg(F.coalesce(F.avg("len"), F.lit(0.0))).first()[0]
-    counts = docs.withColumn("len", F.size("w")).select("lesson_id", "repo_id", "len", F.explode("w").alias("term")).groupBy("repo_id", "term", "lesson_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
-    entry = F.struct("lesson_id", "tf", weight.alias("weight"))
-    blocks = counts.withColumn("block", F.shiftright("lesson_id", BLOCK_BITS)).groupBy("repo_id", "term", "block").agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"), F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"))
-    blocks.sortWithinPartitions("term", "repo_id", "block").write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
+    posting_lists(lessons, terms).sortWithinPartitions("term", "repo_id", "block").write.parquet(f"{path}/postings")
+    postings = lessons.sparkSession.read.parquet(f"{path}/postings").filter("term IS NOT NULL")
     postings.groupBy("repo_id", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).write.parquet(f"{path}/terms")
 
 
-def ranked_recall(spark: SparkSession, queries: DataFrame, path: str) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "repo_id", F.explode(F.array_distinct(words("text"))).alias("term"))
+
+
+def ranked_recall(spark: SparkSession, queries: DataFrame, path: str, k1: float = K1, b: float = B) -> DataFrame:
     """Every lesson of the query's repository that holds every term of ``queries(query_id, repo_id, text)``, best BM25 first.
 
     ``query_id, lesson_id, score, position``.  A query without a term finds nothing.
     """
-    postings, known = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
-    total = spark.read.parquet(f"{path}/lessons").count()
-    terms = queries.select("query_id", "repo_id", F.explode(F.array_distinct(words("text"))).alias("term"))
+    index, known = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    postings = index.filter("term IS NOT NULL")
+    every = index.filter("term IS NULL").select(F.explode("entries").alias("e")).agg(
+        F.coalesce(F.sum("e.tf"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("e.tf") * F.col("e.len")), F.lit(0)).alias("words")).first()
+    total, avg = every["n"], every["words"] / max(1, every["n"])
+    terms = written(asked_terms(queries))
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     asked = known.join(terms.select("term").distinct(), "term", "left_semi")
     held = asked.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    found = terms.join(asked.select("repo_id", "term", "n"), ["repo_id", "term"]).join(held.select("term", idf.alias("idf")), "term")
+    found = written(terms.join(asked.select("repo_id", "term", "n"), ["repo_id", "term"]).join(held.select("term", idf.alias("idf")), "term"))
     rarest = found.groupBy("query_id", "repo_id").agg(F.min(F.struct("n", "term"))["term"].alias("term"), F.count(F.lit(1)).alias("got"))
-    rarest = rarest.join(need, "query_id").filter("got = need").select("query_id", "repo_id", "term", "need")
+    rarest = written(rarest.join(need, "query_id").filter("got = need").select("query_id", "repo_id", "term", "need"))
     # blocks that hold all terms, from keys alone
-    first = rarest.join(postings.select("repo_id", "term", "block"), ["repo_id", "term"]).select("query_id", "repo_id", "need", "block")
-    keys = first.join(found.select("query_id", "term", "idf"), "query_id").join(postings.select("repo_id", "term", "block", "most"), ["repo_id", "term", "block"])
-    full = keys.groupBy("query_id", "repo_id", "block", "need").agg(F.count(F.lit(1)).alias("got"), F.sum(F.col("idf") * F.col("most")).alias("bound"))
-    full = full.filter("got = need").drop("got")
+    first = written(rarest.join(postings.select("repo_id", "term", "block"), ["repo_id", "term"]).select("query_id", "repo_id", "need", "block"))
+    keys = first.join(found.select("query_id", "term"), "query_id").join(postings.select("repo_id", "term", "block"), ["repo_id", "term", "block"])
+    full = written(keys.groupBy("query_id", "repo_id", "block", "need").agg(F.count(F.lit(1)).alias("got")).filter("got = need").drop("got"))
     # their lists, cut to the lessons of the rarest term
     start = full.join(rarest.select("query_id", "term"), "query_id").join(postings.select("repo_id", "term", "block", F.col("entries.lesson_id").alias("ids")), ["repo_id", "term", "block"])
     lists = start.drop("term").join(found.select("query_id", "term", "idf"), "query_id").join(postings.select("repo_id", "term", "block", "entries"), ["repo_id", "term", "block"])
     hits = lists.select("query_id", "need", "idf", "ids", F.explode("entries").alias("e")).filter(F.array_contains("ids", F.col("e.lesson_id")))
-    scored = hits.groupBy("query_id", F.col("e.lesson_id").alias("lesson_id"), "need").agg(F.sum(F.col("idf") * F.col("e.weight")).alias("score"), F.count(F.lit(1)).alias("got")).filter("got = need")
+    weight = F.col("e.tf") * (k1 + 1) / (F.col("e.tf") + k1 * (1 - b + b * F.col("e.len") / avg))
+    scored = hits.groupBy("query_id", F.col("e.lesson_id").alias("lesson_id"), "need").agg(F.sum(F.col("idf") * weight).alias("score"), F.count(F.lit(1)).alias("got")).filter("got = need")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("lesson_id"))
     return scored.select("query_id", "lesson_id", "score").withColumn("position", F.row_number().over(order))
 

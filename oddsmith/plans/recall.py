@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.operators import recall as R
 from oddsmith.plans.catalog import plan
+from oddsmith.session import written
 from oddsmith.sources.tables import scratch
 
 _W = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
@@ -27,7 +28,7 @@ def _queries(m):
 
 def _recall(m, queries):
     path = scratch(m.spark, "lesson-index")
-    R.build_index(m.lessons, path)
+    R.build_index(m.lessons, path, written(R.asked_terms(queries).select("term").distinct()))  # as in the SQL, lists nobody asks for are not made
     return R.ranked_recall(m.spark, queries, path)
 
 

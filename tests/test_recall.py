@@ -38,6 +38,23 @@ def test_index_equals_plain_search(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/x/postings").filter(F.size("entries") > 1 << R.BLOCK_BITS).count() == 0
 
 
+def test_lists_of_asked_terms_alone_give_the_same_scores(spark, tmp_path):
+    rng = random.Random(4)
+    lessons = [(i, rng.choice("ab"), " ".join(f"w{rng.randint(0, 12)}" for _ in range(rng.randint(0, 20)))) for i in range(300)] + [(900, "a", None)]
+    queries = [(f"q{k}", rng.choice("ab"), f"w{k} w{k + 1}") for k in range(5)]
+    frame, asked = spark.createDataFrame(lessons, "lesson_id long, repo_id string, text string"), spark.createDataFrame(queries, "query_id string, repo_id string, text string")
+    R.build_index(frame, f"{tmp_path}/x", R.asked_terms(asked))
+    got = R.ranked_recall(spark, asked, f"{tmp_path}/x").collect()
+    assert {(r.query_id, r.lesson_id): (r.position, r.score) for r in got} == plain(queries, lessons) and got
+    assert {r.term for r in spark.read.parquet(f"{tmp_path}/x/postings").select("term").distinct().collect()} == {None, *(f"w{k}" for k in range(6))}
+
+
+def test_texts_are_shuffled_once_and_words_never(spark):
+    frame = spark.createDataFrame([(1, "a", "x y"), (2, "a", None)], "lesson_id long, repo_id string, text string")
+    lists = R.posting_lists(frame)
+    assert lists.count() == 3 and lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_budget_pick_reports_what_it_leaves_out(spark):
     files = lambda i: [f"f{i % 2}", "same"]
     rows = [("five", p, p, 10, files(p), []) for p in range(1, 8)] + [("large", 1, 1, 900, files(1), ["s"]), ("large", 2, 2, 10, files(2), ["s", "t"]), ("all", 1, 9, 100, [], [])] + [("many", p, p, 2000, [], []) for p in range(1, 70)]
