@@ -17,15 +17,27 @@ def edge_confidence(kind: str = "kind") -> Column:
     return F.coalesce(lookup(K.IMPORT_CONFIDENCE, kind), F.lit(K.IMPORT_CONFIDENCE_DEFAULT))
 
 
-def dedupe_imports(raw: DataFrame) -> DataFrame:
-    """Best-confidence kind per resolved (src, tgt); unresolved imports are all kept."""
+def dedupe_imports(raw: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Best-confidence kind per resolved (src, tgt); unresolved imports are all kept.
+
+    ``tasks`` deals the resolved ones out to so many tasks, as a session's number of partitions does not follow its tables.
+    """
     resolved = raw.filter("tgt IS NOT NULL AND tgt <> src")
+    if tasks is not None:
+        resolved = resolved.select("src", "tgt", "kind").repartition(tasks, "src", "tgt")
     order = F.struct(edge_confidence().alias("c"), F.col("kind"))
     best = resolved.groupBy("src", "tgt").agg(F.max_by("kind", order).alias("kind"))
     return best.select("src", "tgt", "kind", F.lit(None).cast("string").alias("name")).unionByName(
         raw.filter("tgt IS NULL").select("src", "tgt", "kind", "name"))
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """``src, tgt, kind, n`` of :func:`dedupe_imports`: a resolved edge is one row already, only the others are counted."""
+    one = edges.filter("tgt IS NOT NULL").select("src", "tgt", "kind", F.lit(1).cast("bigint").alias("n"))
+    none = edges.filter("tgt IS NULL").groupBy("src", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return one.unionByName(none.withColumn("tgt", F.lit(None).cast("string")))
+
+
 def file_degrees(edges: DataFrame, files: DataFrame) -> DataFrame:
     real = edges.filter("tgt IS NOT NULL")
     i = real.groupBy(F.col("tgt").alias("path")).agg(F.count(F.lit(1)).alias("in_degree"))

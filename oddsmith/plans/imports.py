@@ -28,7 +28,8 @@ def _kept(m):
 
 @plan("g21_import_dedupe", f"WITH {_IMP} SELECT src, tgt, kind, count(*) AS n FROM im GROUP BY 1, 2, 3")
 def _(m):
-    return _edges(m).groupBy("src", "tgt", "kind").agg(F.count(F.lit(1)).alias("n"))
+    tasks = max(int(m.spark.conf.get("spark.sql.shuffle.partitions")), m.lineitem.count() // 1_000_000)
+    return I.edge_counts(I.dedupe_imports(m.raw_imports, tasks))
 
 
 @plan("g22_file_degrees", f"WITH {_IMP} SELECT path, i AS in_degree, o AS out_degree FROM dg")
