@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,8 @@ def _cuts(df: DataFrame, value: str, rows: int | None) -> list:
     wanted = [(i + 1) / MOST_RANGES for i in range(MOST_RANGES - 1)]
     found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, wanted, 10_000).alias("q")).first()
     ranges = min(MOST_RANGES, -(-found["n"] // (rows or RANGE_ROWS)))
-    return sorted({found["q"][i * MOST_RANGES // ranges - 1] for i in range(1, ranges)}) if ranges > 1 else []
+    exact = lambda q: Decimal(int(q)) if isinstance(q, Decimal) else q  # noqa: E731  (a sketched decimal comes with an exponent, which no literal may have)
+    return sorted({exact(found["q"][i * MOST_RANGES // ranges - 1]) for i in range(1, ranges)}) if ranges > 1 else []
 
 
 def _further(cuts: Column, many: int, value: str, at: Column, step: Column) -> Column:

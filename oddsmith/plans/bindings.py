@@ -45,8 +45,15 @@ SELECT l_orderkey AS action_id,
 FROM {lineitem}
 """
 
+# a line's ledger id: from order key 36 million on it exceeds a bigint, so Spark reads it as a decimal; plans that return it cast it to the bigint of their SQL
+_LINE = "((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey)"
+_LEDGER_ID = (
+    f"cast(cast({_LINE} as decimal(19, 0)) * 32 + extract(day FROM l_shipdate) as decimal(21, 0))",
+    f"{_LINE} * 32 + cast(extract(day FROM l_shipdate) as bigint)",
+)
+
 _PE_COMMON = """
-  ((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 32 + cast(extract(day FROM l_shipdate) as bigint) AS ledger_id,
+  @ID@ AS ledger_id,
   l_orderkey AS assessment_id, l_orderkey % 1000 AS action_id,
   CASE WHEN l_orderkey % 100 = 0 THEN 1 ELSE 2 END AS hash_version,
   CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS shadow_mode,
@@ -77,7 +84,7 @@ _DOMAINS = (
 
 def _pe(core: str) -> tuple[str, str]:
     body = "SELECT " + core + "," + _PE_COMMON + "," + _FEATURES + ", @D@ AS domains FROM {lineitem}"
-    return body.replace("@D@", _DOMAINS[0]), body.replace("@D@", _DOMAINS[1])
+    return tuple(body.replace("@D@", d).replace("@ID@", i) for d, i in zip(_DOMAINS, _LEDGER_ID))
 
 
 # every row a production risk prediction
@@ -393,13 +400,13 @@ SELECT o_orderkey AS id, '{{"request": {{' || CASE o_orderkey % 5 WHEN 1 THEN '"
 FROM {orders}
 """
 
-VIEWS["guardrails"] = """
+VIEWS["guardrails"] = tuple(f"""
 SELECT l_orderkey AS assessment_id,
-  ((cast(l_orderkey as bigint) * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 32 + cast(extract(day FROM l_shipdate) as bigint) AS id,
+  {i} AS id,
   CASE l_returnflag WHEN 'A' THEN 'proceed' WHEN 'R' THEN 'inspect_first' ELSE 'ask_human' END AS pre_commit_decision,
   l_discount AS measured_benefit, l_shipdate AS recorded_at
-FROM {lineitem}
-"""
+FROM {{lineitem}}
+""" for i in _LEDGER_ID)
 
 # grants for risky actions; they name an action at the top, in a list, in a profile, or (a profile that is text) not at all
 VIEWS["sanctions"] = """

@@ -19,7 +19,7 @@ def _(m):
     keep = C.production_filter("risk_binary")
     for t in ("benefit_binary", "benefit_continuous", "cost_continuous"):
         keep = keep | C.production_filter(t)
-    return m.prediction_errors.filter(keep).select("target_type", "target_name", "ledger_id", "assessment_id")
+    return m.prediction_errors.filter(keep).select("target_type", "target_name", F.col("ledger_id").cast("bigint"), "assessment_id")
 
 
 @plan("c12_row_errors", f"""
@@ -30,7 +30,7 @@ SELECT ledger_id, R((p - y) * (p - y)) AS brier_error, R({_LL}) AS log_loss,
 """)
 def _(m):
     return C.error_columns(m.prediction_errors).select(
-        "ledger_id", "brier_error", "log_loss", "squared_error", "residual")
+        F.col("ledger_id").cast("bigint"), "brier_error", "log_loss", "squared_error", "residual")
 
 
 @plan("e03_calibration_summary", f"""

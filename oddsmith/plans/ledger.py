@@ -58,7 +58,7 @@ def _(m):
     rows = m.prediction_errors.select("ledger_id", "assessment_id", "target_type", "target_name", act)
     caps = m.prediction_errors.filter("ledger_id % 4 <> 0").select(
         F.col("ledger_id").alias("id"), "assessment_id", "target_type", "target_name", act, F.col("symbol_id").alias("features"))
-    return L.latest_capture(rows, caps).select("ledger_id", "features")
+    return L.latest_capture(rows, caps).select(F.col("ledger_id").cast("bigint"), "features")
 
 
 @plan("d04_event_disutility", f"""WITH {_AC}
@@ -66,7 +66,7 @@ SELECT ledger_id, R(CASE target_name WHEN 'p_event.public_api_break' THEN (10 +
 FROM prediction_errors p LEFT JOIN ac ON ac.id = p.assessment_id AND decision IS NOT NULL""")
 def _(m):
     rows = m.prediction_errors.select("ledger_id", "assessment_id", "target_name")
-    return L.event_disutility(rows, m.assessments).select("ledger_id", "event_disutility")
+    return L.event_disutility(rows, m.assessments).select(F.col("ledger_id").cast("bigint"), "event_disutility")
 
 
 @plan("d05_assessment_outcome", f"WITH {_AC} SELECT au.id, decision, terminal_status FROM au LEFT JOIN outcomes o ON o.assessment_id = au.id")
@@ -114,7 +114,7 @@ def _(m):
 SELECT assessment_id, id, pre_commit_decision, R(measured_benefit) AS measured_benefit FROM (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY id DESC) AS rn FROM guardrails) WHERE rn = 1
 """)
 def _(m):
-    return L.latest_by(m.guardrails, "assessment_id", "id", "pre_commit_decision", "measured_benefit")
+    return L.latest_by(m.guardrails, "assessment_id", "id", "pre_commit_decision", "measured_benefit").withColumn("id", F.col("id").cast("bigint"))
 
 
 @plan("f10_sanction_of_assessment", """
@@ -194,7 +194,7 @@ SELECT ledger_id, 'production' AS scope, R(predicted_probability) AS predicted_p
 UNION ALL SELECT ledger_id, 'all', R(predicted_probability) FROM prediction_errors WHERE target_type = 'risk_binary' AND outcome_label_status = 'observed'
 """)
 def _(m):
-    pick = lambda df, s: df.select("ledger_id", F.lit(s).alias("scope"), "predicted_probability")
+    pick = lambda df, s: df.select(F.col("ledger_id").cast("bigint"), F.lit(s).alias("scope"), "predicted_probability")
     every = m.prediction_errors.filter("target_type = 'risk_binary' AND outcome_label_status = 'observed'")
     return pick(C.production_rows(m.prediction_errors, "risk_binary"), "production").unionByName(pick(every, "all"))
 

@@ -36,7 +36,7 @@ def _(m):
 SELECT ledger_id, target_name, scope_kind, scope_value, R((sum(actual_outcome) OVER w - actual_outcome) / (count(*) OVER w - 1)) AS p_loo FROM xs WHERE scope_kind IN ('global', 'domain', 'symbol')
 WINDOW w AS (PARTITION BY {_K})""")
 def _(m):
-    return P.leave_one_out(m.risk_rows, ("global", "domain", "symbol")).select("ledger_id", "target_name", "scope_kind", "scope_value", "p_loo")
+    return P.leave_one_out(m.risk_rows, ("global", "domain", "symbol")).select(F.col("ledger_id").cast("bigint"), "target_name", "scope_kind", "scope_value", "p_loo")
 
 
 _BCOV = f"""
@@ -196,7 +196,7 @@ def _case_tables(m):
 
 @plan("d18_case_triples", f"WITH {_CASES} SELECT ledger_id AS case_id, R(predicted_probability) AS predicted_probability, actual_outcome FROM cs WHERE part = 'score'")
 def _(m):
-    return P.join_cases(*_case_tables(m), "score").select("case_id", "predicted_probability", "actual_outcome")
+    return P.join_cases(*_case_tables(m), "score").select(F.col("case_id").cast("bigint"), "predicted_probability", "actual_outcome")
 
 
 @plan("e28_corpus_coverage", f"""WITH {_CASES}, pr AS (SELECT * FROM cs WHERE part = 'promote'), {scopes_sql('pr')}, {_POS}, {_BCOV}, {_BGATE}

@@ -14,7 +14,7 @@ SELECT ledger_id AS case_id, 'a' || action_id AS action_id, CASE WHEN assessment
 """)
 def _(m):
     rows = m.risk_rows.filter("target_name = 'p_success'").select(
-        F.col("ledger_id").alias("case_id"), F.concat(F.lit("a"), F.col("action_id").cast("string")).alias("action_id"),
+        F.col("ledger_id").cast("bigint").alias("case_id"), F.concat(F.lit("a"), F.col("action_id").cast("string")).alias("action_id"),
         F.when(F.col("assessment_id") % 4 == 0, "score").otherwise("promote").alias("partition"), "criticality_stage", F.col("predicted_probability").alias("predicted_value"))
     path = S.scratch(m.spark, "cases")
     rows.write.json(path)
