@@ -1,8 +1,7 @@
 """Keyed measurement of a prediction stream against an outcome stream.
 
-Every assessment keeps its own state: predictions that wait, and its first outcome.  A prediction
-leaves the state in the batch that brings its outcome, so a batch costs what it touches and not
-what came before.  Two clocks are kept apart: whether a pair is in time follows from the two times
+The state keeps of every assessment the predictions that wait, and its first outcome, in buckets by a hash of its key.  A prediction
+leaves the state in the batch that brings its outcome, and a batch reads the buckets that it touches.  Two clocks are kept apart: whether a pair is in time follows from the two times
 alone, and an event-time timer reports a prediction as overdue when the watermark passes its
 last moment in both streams.  The watermark column is not passed on to the keyed operator, so it moves timers but never
 drops a row: an outcome of any age still finds its prediction.
@@ -23,69 +22,104 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Pairing(StatefulProcessor):
-    """State of one assessment; times are microseconds since 1970."""
+    """State of one bucket of assessments; times are microseconds since 1970.
 
-    def __init__(self, key: str, prediction: T.StructType, outcome: T.StructType, wait: timedelta):
+    Every call to the state is a message to the JVM and back, whatever it carries, so the waiting predictions and the first outcomes of a
+    bucket are one list each: a batch reads and writes a bucket that it touches in a few calls, not each assessment.
+    One timer stands for a bucket, that of its earliest waiting prediction not yet reported.
+    """
+
+    def __init__(self, key: T.StructField, prediction: T.StructType, outcome: T.StructType, wait: timedelta):
         self.key, self.prediction, self.outcome = key, prediction, outcome
         self.wait = wait // timedelta(microseconds=1)
+        self.result = Row(key.name, "predicted_us", *prediction.names, "outcome_us", *outcome.names, "part")
+        self.nothing = (None,) * (1 + len(outcome.names))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        at = T.StructType([T.StructField("at", T.LongType())])
+        own = [self.key, T.StructField("at", T.LongType())]
         self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType(at.fields + self.prediction.fields))
-        self.known = handle.getValueState("outcome", T.StructType(at.fields + self.outcome.fields))
-
-    def row(self, key: tuple, waiting: tuple, known: tuple | None, part: str) -> Row:
-        names = [self.key, "predicted_us", *self.prediction.names, "outcome_us", *self.outcome.names, "part"]
-        return Row(**dict(zip(names, [key[0], *waiting, *(known or [None] * (1 + len(self.outcome.names))), part])))
+        self.waiting = handle.getListState("waiting", T.StructType([*own, T.StructField("reported", T.BooleanType()), *self.prediction.fields]))
+        self.known = handle.getListState("outcomes", T.StructType([*own, *self.outcome.fields]))
 
-    def pair(self, key: tuple, waiting: tuple, known: tuple) -> Row:
-        return self.row(key, waiting, known, JOINED if waiting[0] <= known[0] <= waiting[0] + self.wait else LATE)
+    def pair(self, key: object, prediction: tuple, known: tuple) -> Row:
+        return self.result(key, *prediction, *known, JOINED if prediction[0] <= known[0] <= prediction[0] + self.wait else LATE)
 
     def due(self, at: int) -> int:
         """The first millisecond after the last moment of a prediction made at ``at``."""
         return (at + self.wait) // 1000 + 1
 
+    def next_due(self, waiting: list[tuple]) -> int | None:
+        return min((self.due(w[1]) for w in waiting if not w[2]), default=None)
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        predictions, outcomes = [], []
-        for r in rows:
-            if r["side"] == "prediction":
-                predictions.append((r["at"], *[r[f"p_{c}"] for c in self.prediction.names]))
+        predictions, outcomes, end = {}, {}, 4 + len(self.prediction.fields)
+        for r in rows:  # bucket, key, whether a prediction, at, both payloads
+            side, payload = (predictions, r[4:end]) if r[2] else (outcomes, r[end:])
+            side.setdefault(r[1], []).append((r[3], *payload))
+        known = {o[0]: o[1:] for o in self.known.get()}
+        waiting = list(self.waiting.get())
+        timer = self.next_due(waiting)
+        first = {k: min(o, key=lambda x: (x[0], repr(x))) for k, o in outcomes.items() if k not in known}
+        left = waiting
+        if first:
+            self.known.appendList([(k, *o) for k, o in first.items()])
+            known.update(first)
+            left = [w for w in waiting if w[0] not in first]
+            for w in waiting:
+                if w[0] in first:
+                    yield self.pair(w[0], (w[1], *w[3:]), first[w[0]])
+        new = []
+        for k, made in predictions.items():
+            if k in known:
+                for p in made:
+                    yield self.pair(k, p, known[k])
             else:
-                outcomes.append((r["at"], *[r[f"o_{c}"] for c in self.outcome.names]))
-        known = self.known.get() if self.known.exists() else None
-        if known is None and outcomes:
-            known = min(outcomes, key=lambda o: (o[0], repr(o)))
-            self.known.update(known)
-            if self.waiting.exists():
-                for p in self.waiting.get():
-                    yield self.pair(key, tuple(p), known)
-                self.waiting.clear()
-                for at in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(at)
-        if known is not None:
-            for p in predictions:
-                yield self.pair(key, p, tuple(known))
-        elif predictions:
-            self.waiting.appendList(predictions)
-            for at in {p[0] for p in predictions}:
-                self.handle.registerTimer(self.due(at))
+                new.extend((k, p[0], False, *p[1:]) for p in made)
+        again = {(w[0], self.due(w[1])) for w in new}  # a prediction due with one already reported brings both up
+        left = [(*w[:2], False, *w[3:]) if w[2] and (w[0], self.due(w[1])) in again else w for w in left]
+        now = left + new
+        if left != waiting and now:
+            self.waiting.put(now)
+        elif left != waiting:
+            self.waiting.clear()
+        elif new:
+            self.waiting.appendList(new)
+        self.move_timer(timer, self.next_due(now))
+
+    def move_timer(self, old: int | None, new: int | None) -> None:
+        if old != new and old is not None:
+            self.handle.deleteTimer(old)
+        if old != new and new is not None:
+            self.handle.registerTimer(new)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        for p in self.waiting.get():
-            if self.due(p[0]) == expiredTimerInfo.getExpiryTimeInMs():
-                yield self.row(key, tuple(p), None, OVERDUE)
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = list(self.waiting.get())
+        over = [not w[2] and self.due(w[1]) <= passed for w in waiting]
+        for w, is_over in zip(waiting, over):
+            if is_over:
+                yield self.result(w[0], w[1], *w[3:], *self.nothing, OVERDUE)
+        if any(over):
+            waiting = [(*w[:2], w[2] or is_over, *w[3:]) for w, is_over in zip(waiting, over)]
+            self.waiting.put(waiting)
+        self.move_timer(None, self.next_due(waiting))  # the one that went off goes by itself
+
+
+#: Buckets of assessments, for the life of a checkpoint.  A batch reads what is kept of every bucket it touches: more buckets suit
+#: small batches, fewer suit batches that touch most assessments.
+BUCKETS = 1 << 15
 
 
 def _payload(df: DataFrame, key: str, at: str) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name not in (key, at)]
 
 
-def measure_stream(predictions: DataFrame, outcomes: DataFrame, path: str, checkpoint: str, key: str = "assessment_id", predicted_at: str = "predicted_at", outcome_at: str = "outcome_at", wait: timedelta = timedelta(days=10), delay: str = "0 seconds") -> StreamingQuery:
+def measure_stream(predictions: DataFrame, outcomes: DataFrame, path: str, checkpoint: str, key: str = "assessment_id", predicted_at: str = "predicted_at", outcome_at: str = "outcome_at", wait: timedelta = timedelta(days=10), delay: str = "0 seconds", buckets: int = BUCKETS) -> StreamingQuery:
     """Starts the job; what a batch settles is written under its number, one folder a ``part``.
 
     Both streams carry ``key`` and a time (``predicted_at``, ``outcome_at``) and any further columns.
     The first outcome of an assessment counts: the one processed first, within a batch the earliest.
+    A checkpoint belongs to one number of ``buckets``.
     """
     spark = predictions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # keyed state with timers needs it
@@ -94,11 +128,12 @@ def measure_stream(predictions: DataFrame, outcomes: DataFrame, path: str, check
     def side(df: DataFrame, name: str, at: str) -> DataFrame:
         own = [(x, f"{s}_{f.name}", f) for s, x, fs in (("p", "prediction", p), ("o", "outcome", o)) for f in fs]
         columns = [(F.col(f.name) if x == name else F.lit(None).cast(f.dataType)).alias(as_) for x, as_, f in own]
-        return df.withWatermark(at, delay).select(F.col(key), F.lit(name).alias("side"), F.unix_micros(at).alias("at"), *columns)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket")
+        return df.withWatermark(at, delay).select(bucket, F.col(key), F.lit(name == "prediction").alias("is_prediction"), F.unix_micros(at).alias("at"), *columns)
 
     both = side(predictions, "prediction", predicted_at).unionByName(side(outcomes, "outcome", outcome_at))
     out = T.StructType([predictions.schema[key], T.StructField("predicted_us", T.LongType()), *p, T.StructField("outcome_us", T.LongType()), *o, T.StructField("part", T.StringType())])
-    settled = both.groupBy(key).transformWithState(Pairing(key, T.StructType(p), T.StructType(o), wait), out, "Append", "EventTime")
+    settled = both.groupBy("_bucket").transformWithState(Pairing(predictions.schema[key], T.StructType(p), T.StructType(o), wait), out, "Append", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         times = {predicted_at: F.timestamp_micros("predicted_us"), outcome_at: F.timestamp_micros("outcome_us")}
@@ -115,4 +150,4 @@ def settled(spark: SparkSession, path: str, part: str) -> DataFrame:
 def pending(spark: SparkSession, checkpoint: str, key: str = "assessment_id") -> DataFrame:
     """Predictions that still wait, read from the state itself."""
     state = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
-    return state.select(F.col(f"key.{key}").alias(key), "list_element.*").withColumn("predicted_at", F.timestamp_micros("at")).drop("at")
+    return state.select("list_element.*").withColumn("predicted_at", F.timestamp_micros("at")).drop("at", "reported")
