@@ -161,8 +161,8 @@ _CONFIDENCES = sorted({*K.IMPORT_CONFIDENCE.values(), K.IMPORT_CONFIDENCE_DEFAUL
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
-    """``nodes(node)``, distinct, with gapless numbers from 0."""
-    rows = written(nodes.withColumn("id", F.monotonically_increasing_id()))
+    """``nodes(node)``, distinct, with gapless numbers from 0 in the order of ``node``: what lies near each other has near numbers, which pack well."""
+    rows = written(written(nodes).orderBy("node").withColumn("id", F.monotonically_increasing_id()))
     part = F.call_function("shiftright", "id", F.lit(33)).alias("part")
     sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -171,53 +171,184 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return rows.select("node", part, inside.alias("inside")).join(offsets, "part").select("node", (F.col("inside") + F.col("offset")).alias("number"))
 
 
-def _settled(lists: DataFrame, key: str) -> DataFrame:
-    """Counts of each row's sorted ``entries``, each node by its least one; depth 0 only counts as an entrypoint."""
+def _lists() -> tuple:
+    """``pack``, ``unpack`` and ``settle`` of one sorted array of entries; closures, so tasks need no package.
+
+    Packed are the gaps between numbers and the lower bits, byte by byte of all entries, deflated: about two bytes an entry instead of eight.
+    ``settle`` counts, each node by its least entry; depth 0 only counts as an entrypoint.
+    """
     conf, node, depth = _CONFIDENCES, _NUMBER, _DEPTH
-    kinds = "direct long, n long, low long, total double, least double, entry boolean"
 
-    def settle(batches):
+    def pack(x):
+        import zlib
+
+        import numpy as np
+
+        both = np.empty((len(x), 2), "<u4")
+        both[:, 0] = np.diff(x >> node, prepend=0)
+        both[:, 1] = x & ((1 << node) - 1)
+        plain = both.view(np.uint8).T.tobytes()
+        small = zlib.compress(plain, 6, -15)
+        return b"z" + small if len(small) < len(plain) else b"p" + plain
+
+    def unpack(data):
+        import zlib
+
+        import numpy as np
+
+        plain = zlib.decompress(data[1:], -15) if data[:1] == b"z" else data[1:]
+        both = np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(8, -1).T).view("<u4").astype(np.int64)
+        return (np.cumsum(both[:, 0]) << node) | both[:, 1]
+
+    def settle(x):
         import numpy as np
-        import pyarrow as pa
 
         confs = np.array(conf + [0.0] * (16 - len(conf)))
-        for batch in batches:
-            col = batch.column("entries")
-            at = col.offsets.to_numpy() - col.offsets[0].as_py()
-            values = col.flatten().to_numpy()
-            counts, entry = np.zeros((len(col), 3, 16), np.int64), np.zeros(len(col), bool)
-            for i in range(len(col)):
-                x = values[at[i]:at[i + 1]]
-                number = x >> node
-                x = x[np.concatenate(([True], number[1:] != number[:-1]))]
-                kind = np.minimum((x >> depth) & 63, 2) * 16 + ((x >> 1) & 15)
-                counts[i] = np.bincount(kind, minlength=48).reshape(3, 16)
-                entry[i] = (x & 1).any()
-            found = counts[:, 1:].sum(axis=1)
-            least = np.where(found > 0, confs, 1.0).min(axis=1)
-            out = [counts[:, 1].sum(axis=1), found.sum(axis=1), found[:, confs < 0.5].sum(axis=1), found @ confs, least, entry]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, out)], [key, *(k.split()[0] for k in kinds.split(", "))])
-
-    stats = lists.select(key, "entries").mapInArrow(settle, f"{key} {lists.schema[key].dataType.simpleString()}, {kinds}")
-    return stats.select(key, F.struct("direct", "n", "low", "total", "least", "entry").alias("s"))
+        number = x >> node
+        x = x[np.concatenate(([True], number[1:] != number[:-1]))]
+        kind = np.minimum((x >> depth) & 63, 2) * 16 + ((x >> 1) & 15)
+        counts = np.bincount(kind, minlength=48).reshape(3, 16)
+        found = counts[1:].sum(axis=0)
+        return int(counts[1].sum()), int(found.sum()), int(found[confs < 0.5].sum()), float(found @ confs), float(np.where(found > 0, confs, 1.0).min()), bool((x & 1).any())
+
+    return pack, unpack, settle
+
+
+#: Entries of one origin that a task holds before it reduces them to the least of each node.
+FOLD_ENTRIES = 1 << 22
+
+_STATS = "struct<direct: bigint, n: bigint, low: bigint, total: double, least: double, entry: boolean>"
+
+
+def _in_batches(df: DataFrame, schema: str, each) -> DataFrame:
+    """``df`` row by row through ``each``, which takes a row's values and yields rows of ``schema``, in Arrow batches of bounded size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                for row in each(*[c[i].as_py() for c in b.columns]):
+                    rows.append(row)
+                    if len(rows) == 1000:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
+
+    return df.mapInArrow(run, schema)
 
 
 def file_reach(origins: DataFrame, back: DataFrame, depth: int = K.REACH_DEPTH) -> DataFrame:
-    """``origin, entries, n``: what depends on each file, as one sorted array of entries, the file itself at depth 0.
+    """``origin, n, packed, s``: what depends on each file, as one packed array of entries, the file itself at depth 0, and its counts.
 
     ``back(node, importer, edge)`` holds numbers and the low bits of an entry.  A walk that comes back to
     a node is longer than the first one to it, so the least entry per node is the right one and nothing needs to be kept out.
+    A node's importers travel as one packed list, once for every walk that comes to it, and are only taken apart where the walks of
+    an origin meet: sorted by origin, one at a time, and reduced to the least entries whenever many have come together.
     """
-    packed = lambda d: F.shiftleft("node", _NUMBER).bitwiseOR(F.lit(d << _DEPTH)).bitwiseOR(F.col("edge")).alias("x")
-    frontier = written(origins.select(F.col("number").alias("origin"), F.col("number").alias("node"), "edge"))
-    walks = [frontier.select("origin", packed(0))]
+    pack, unpack, settle = _lists()
+    entry = lambda node: F.shiftleft(node, _NUMBER).bitwiseOR(F.col("edge"))
+    number, depth_bit, held_most = _NUMBER, _DEPTH, FOLD_ENTRIES
+
+    def packed(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at, values = b.column("xs").offsets.to_numpy(), b.column("xs").values.to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([pack(values[i:j]) for i, j in zip(at, at[1:])], pa.binary())], ["node", "packed"])
+
+    importers = written(back.groupBy("node").agg(F.sort_array(F.collect_list(entry("importer"))).alias("xs")).mapInArrow(packed, "node bigint, packed binary"))
+    walk = lambda step, d, x, xs: step.select("origin", F.lit(d).alias("d"), x.cast("bigint").alias("x"), xs.cast("binary").alias("packed"))
+    walks = [walk(origins.withColumn("origin", F.col("number")), 0, entry("number"), F.lit(None))]
+    frontier = written(origins.select(F.col("number").alias("origin"), F.col("number").alias("node")))
     for d in range(1, depth + 1):
-        step = frontier.select("origin", "node").join(back, "node").select("origin", F.col("importer").alias("node"), "edge")
+        walks.append(walk(frontier.join(importers, "node"), d, F.lit(None), F.col("packed")))
         if d < depth:
-            step = frontier = written(step.groupBy("origin", "node").agg(F.min("edge").alias("edge")))
-        walks.append(step.select("origin", packed(d)))
-    least = reduce(DataFrame.unionByName, walks).groupBy("origin", F.call_function("shiftright", "x", F.lit(_NUMBER)).alias("node")).agg(F.min("x").alias("x"))
-    return least.groupBy("origin").agg(F.sort_array(F.collect_list("x")).alias("entries"), F.count(F.lit(1)).alias("n"))
+            frontier = written(frontier.join(back, "node").select("origin", F.col("importer").alias("node")).distinct())
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        of = pa.struct([("direct", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("total", pa.float64()), ("least", pa.float64()), ("entry", pa.bool_())])
+
+        def least(pieces):
+            x = np.concatenate(pieces)
+            x.sort(kind="stable")  # sorted pieces are merged
+            n = x >> number
+            return x[np.concatenate(([True], n[1:] != n[:-1]))]
+
+        def batch(rows):
+            origins, lists = zip(*rows)
+            stats = [dict(zip(of.names, settle(x))) for x in lists]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(origins, pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array([pack(x) for x in lists], pa.binary()), pa.array(stats, of)],
+                ["origin", "n", "packed", "s"])
+
+        def reduced():
+            at, held, size, most = None, [], 0, held_most
+            for b in batches:
+                for origin, d, x, xs in zip(*[c.to_pylist() for c in b.columns]):
+                    if origin != at:
+                        if held:
+                            yield at, least(held)
+                        at, held, size, most = origin, [], 0, held_most
+                    held.append(np.array([x]) if xs is None else unpack(xs) | (d << depth_bit))
+                    size += len(held[-1])
+                    if size > most:
+                        held = [least(held)]
+                        size, most = len(held[0]), max(held_most, 2 * len(held[0]))
+            if held:
+                yield at, least(held)
+
+        rows, size = [], 0
+        for row in reduced():
+            rows.append(row)
+            size += len(row[1])
+            if len(rows) == 1000 or size > 1 << 20:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    met = reduce(DataFrame.unionByName, walks).repartition("origin").sortWithinPartitions("origin")
+    return met.mapInArrow(fold, f"origin bigint, n bigint, packed binary, s {_STATS}")
+
+
+def _united(lists: DataFrame) -> DataFrame:
+    """``action_id, s`` of ``action_id, own, more``: one packed list and an array of others."""
+    _, unpack, settle = _lists()
+
+    def each(action, own, more):
+        import numpy as np
+
+        x = np.concatenate([unpack(own), *map(unpack, more)])
+        x.sort(kind="stable")  # sorted pieces are merged
+        yield action, dict(zip(("direct", "n", "low", "total", "least", "entry"), settle(x)))
+
+    action = lists.schema["action_id"].dataType.simpleString()
+    return _in_batches(lists.select("action_id", "own", "more"), f"action_id {action}, s {_STATS}", each)
+
+
+def _entries(lists: DataFrame) -> DataFrame:
+    """``action_id, x`` of ``action_id, packed``: a row an entry."""
+    _, unpack, _ = _lists()
+
+    def each(action, packed):
+        for x in unpack(packed).tolist():
+            yield action, x
+
+    action = lists.schema["action_id"].dataType.simpleString()
+    return _in_batches(lists.select("action_id", "packed"), f"action_id {action}, x bigint", each)
 
 
 def reverse_blast(changed: DataFrame, edges: DataFrame, files: DataFrame, depth: int = K.REACH_DEPTH, most: int = BLAST_ENTRIES) -> DataFrame:
@@ -243,27 +374,27 @@ def reverse_blast(changed: DataFrame, edges: DataFrame, files: DataFrame, depth:
     back = written(
         ranked.join(nodes.select(F.col("node").alias("src"), F.col("number").alias("importer"), "entry"), "src")
         .join(nodes.select(F.col("node").alias("tgt"), F.col("number").alias("node")), "tgt").select("node", "importer", edge))
-    pairs = written(changed.join(nodes.filter("known").select(F.col("node").alias("path"), "number"), "path").select("action_id", F.col("number").alias("origin")).distinct())
+    pairs = written(changed.select("action_id", "path").distinct().join(nodes.filter("known").select(F.col("node").alias("path"), "number"), "path").select("action_id", F.col("number").alias("origin")))
     used = pairs.select(F.col("origin").alias("number")).distinct()
     lists = written(file_reach(nodes.join(used, "number", "left_semi").select("number", F.col("entry").alias("edge")), back, depth))
 
     home = F.max_by("origin", F.struct("n", "origin")).alias("home")
     actions = written(pairs.join(lists.select("origin", "n"), "origin").groupBy("action_id").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("entries"), home))
-    at_home = lists.select(F.col("origin").alias("home"), F.col("entries").alias("own"))
-    single = actions.filter("files = 1").select("action_id", F.col("home").alias("origin")).join(_settled(lists, "origin"), "origin").select("action_id", "s")
+    at_home = lists.select(F.col("origin").alias("home"), F.col("packed").alias("own"))
+    single = actions.filter("files = 1").select("action_id", F.col("home").alias("origin")).join(lists.select("origin", "s"), "origin").select("action_id", "s")
     few = actions.filter((F.col("files") > 1) & (F.col("entries") <= most)).select("action_id", "home")
-    others = pairs.join(few, "action_id").filter("origin <> home").join(lists.select("origin", "entries"), "origin")
-    shorter = others.select("home", "action_id", "entries").repartition("home").groupBy("home", "action_id").agg(F.flatten(F.collect_list("entries")).alias("more"))
-    merged = shorter.join(at_home, "home").select("action_id", F.sort_array(F.concat("own", "more")).alias("entries"))
+    others = pairs.join(few, "action_id").filter("origin <> home").join(lists.select("origin", "packed"), "origin")
+    shorter = others.select("home", "action_id", "packed").repartition("home").groupBy("home", "action_id").agg(F.collect_list("packed").alias("more"))
+    merged = shorter.join(at_home, "home").select("action_id", "own", "more")
     long = actions.filter((F.col("files") > 1) & (F.col("entries") > most)).select("action_id")
-    rows = pairs.join(long, "action_id").join(lists.select("origin", "entries"), "origin").select("action_id", F.explode("entries").alias("x"))
+    rows = _entries(pairs.join(long, "action_id").join(lists.select("origin", "packed"), "origin"))
     rows = rows.groupBy("action_id", F.call_function("shiftright", "x", F.lit(_NUMBER)).alias("node")).agg(F.min("x").alias("x"))
     depth_of, conf = F.call_function("shiftright", "x", F.lit(_DEPTH)).bitwiseAND(63), F.element_at(F.array(*map(F.lit, _CONFIDENCES)), F.call_function("shiftright", "x", F.lit(1)).bitwiseAND(15).cast("int") + 1)
     found = rows.select("action_id", depth_of.alias("d"), F.when(depth_of > 0, conf).alias("c"), (F.col("x").bitwiseAND(1) == 1).alias("e"))
     counted = found.groupBy("action_id").agg(F.struct(
         F.count_if(F.expr("d = 1")).alias("direct"), F.count("c").alias("n"), F.count_if(F.expr("c < 0.5")).alias("low"),
         F.coalesce(F.sum("c"), F.lit(0.0)).alias("total"), F.coalesce(F.min("c"), F.lit(1.0)).alias("least"), F.bool_or("e").alias("entry")).alias("s"))
-    stats = single.unionByName(_settled(merged, "action_id")).unionByName(counted)
+    stats = single.unionByName(_united(merged)).unionByName(counted)
     some = F.col("s.n") > 0
     return stats.select(
         "action_id", F.col("s.direct").alias("direct_count"), (F.col("s.n") - F.col("s.direct")).alias("transitive_count"), F.col("s.low").alias("low_confidence_edge_count"),

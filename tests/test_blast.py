@@ -72,3 +72,16 @@ def test_a_file_is_walked_once_for_all_its_actions(spark, monkeypatch):
     out = I.reverse_blast(changed, edges, files).collect()
     assert len(out) == 400 and all(r.direct_count == 50 and r.entrypoint_signal for r in out)
     assert rows < 400 * 50
+
+
+def test_blast_equals_a_walk_if_origins_are_reduced_in_parts(spark, graph, monkeypatch):
+    monkeypatch.setattr(I, "FOLD_ENTRIES", 2, raising=False)
+    test_blast_equals_a_walk(spark, graph, 1_000_000)
+
+
+def test_lists_of_dependents_travel_packed(spark):
+    back = spark.range(1, 3001).selectExpr("0L AS node", "id * 7 AS importer", "(id % 5) * 32 + 4 AS edge")
+    row = I.file_reach(spark.sql("SELECT 0L AS number, 1L AS edge"), back).first()
+    assert row.n == 3001 and len(row.packed) < 3 * row.n
+    unpacked = I._lists()[1](row.packed)
+    assert unpacked.tolist() == [1] + [(i * 7 << I._NUMBER) + (1 << I._DEPTH) + (i % 5) * 32 + 4 for i in range(1, 3001)]
