@@ -194,28 +194,36 @@ def direct_impact_counts(targets: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(targets: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, depth: int = K.REACH_DEPTH,
-          keys: tuple[str, ...] = ("key",), blocked_keys: tuple[str, ...] | None = None) -> DataFrame:
+          keys: tuple[str, ...] = ("key",), blocked_keys: tuple[str, ...] | None = None, mark: Column | None = None) -> DataFrame:
     """Reverse reach with the nearest depth of each node.
 
+    With ``mark``, made of an edge's columns, also the least mark of the edges from a node at depth 1 into the targets.
+
     A shortest way never comes back to a target, so walks of 1 to ``depth`` edges are followed and the
     least length per (key, node) counts, the targets themselves at 0.  The longest walks are shuffled once,
     by that aggregate.  A hub target is a skewed join key, which adaptive execution
     splits; the pairs of one key are never gathered in one task.
     """
     keys = list(keys)
-    back = written(links(edges, K.IMPACT_EDGES).withColumnsRenamed({"target": "node", "source": "next"}))
+    marks, unmarked = [], []
+    if mark is None:
+        back = written(links(edges, K.IMPACT_EDGES).withColumnsRenamed({"target": "node", "source": "next"}))
+    else:
+        impact = edges.filter(F.col("kind").isin(*K.IMPACT_EDGES))
+        back = written(impact.groupBy(F.col("target").alias("node"), F.col("source").alias("next")).agg(F.min(mark).alias("mark")))
+        marks, unmarked = [F.min("mark").alias("mark")], [F.lit(None).cast(back.schema["mark"].dataType).alias("mark")]
     bkeys = list(blocked_keys or keys)
     stop = None if blocked is None else written(blocked.select(*bkeys, "node").distinct())
     frontier = written(targets.select(*keys, "node").distinct())
-    walks = [frontier.withColumn("depth", F.lit(0))]
+    walks = [frontier.select(*keys, "node", *unmarked, F.lit(0).alias("depth"))]
     for d in range(1, depth + 1):
-        step = frontier.join(back, "node").select(*keys, F.col("next").alias("node"))
+        step = frontier.select(*keys, "node").join(back, "node").select(*keys, F.col("next").alias("node"), *(["mark"] if marks and d == 1 else unmarked))
         if stop is not None:
             step = step.join(stop, [*bkeys, "node"], "left_anti")
         if d < depth:
-            step = frontier = written(step.distinct())
+            step = frontier = written(step.groupBy(*keys, "node").agg(*marks) if marks else step.distinct())
         walks.append(step.withColumn("depth", F.lit(d)))
-    return reduce(DataFrame.unionByName, walks).groupBy(*keys, "node").agg(F.min("depth").alias("depth")).filter("depth > 0")
+    return reduce(DataFrame.unionByName, walks).groupBy(*keys, "node").agg(F.min("depth").alias("depth"), *marks).filter("depth > 0")
 
 
 def reach_summary(reached: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -301,7 +309,7 @@ def owner_evidence(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     return _percentile_or_zero(base, pops, "transitive_count", "transitive_count", "transitive_percentile")
 
 
-def owner_reach(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def owner_reach(members: DataFrame, nodes: DataFrame, edges: DataFrame, mark: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Reach of each owner that stops at anything the same action changes, and its callers.
 
     An owner is walked once for all its actions: ``ball(key, node, depth)``.  That is its reach in every action of
@@ -311,14 +319,14 @@ def owner_reach(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple
     pairs = written(members.select("action", "key").distinct())
     per_owner = pairs.select("key").distinct().withColumn("node", F.col("key"))
     own = written(impact_targets(per_owner, nodes, edges))
-    ball = written(reach(own, edges))
+    ball = written(reach(own, edges, mark=mark))
     targets = written(pairs.join(own, "key").select("action", "key", "node"))
     several = pairs.join(pairs.groupBy("action").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("action"), "action")
     others = several.join(targets.select("action", F.col("key").alias("other"), "node"), "action").filter("other <> key").select("action", "key", "node")
     apart = written(others.join(ball.select("key", "node"), ["key", "node"]).select("action", "key").distinct())
     plain = written(pairs.join(apart, ["action", "key"], "left_anti"))
     blocked = targets.join(apart.select("action").distinct(), "action", "left_semi").select("action", "node").distinct()
-    own_reach = written(reach(targets.join(apart, ["action", "key"], "left_semi"), edges, blocked, keys=("action", "key"), blocked_keys=("action",)))
+    own_reach = written(reach(targets.join(apart, ["action", "key"], "left_semi"), edges, blocked, keys=("action", "key"), blocked_keys=("action",), mark=mark))
     calls = links(edges).select(F.col("target").alias("key"), F.col("source").alias("caller"))
     inside = pairs.select("action", F.col("key").alias("caller"))
     callers = (
@@ -337,56 +345,73 @@ def impact_witnesses(members: DataFrame, nodes: DataFrame, edges: DataFrame, per
     An owner's witnesses are described, cut and ranked once.  The order goes by depth, then owner's name, so
     where names differ a witness's position is its rank inside (owner, depth) plus the numbers of the blocks
     before it: rows of all actions are never sorted.  Actions with two owners of one name are ranked whole.
+
+    Nodes are numbers in the order of their ids until the end.  Descriptions are shuffled once, by owner, and meet there
+    the actions, one row an owner, for which blocks are counted beforehand from the walks alone.
     """
-    plain, ball, own_reach, _ = owner_reach(members, nodes, edges)
+    ids = nodes.select("id").unionByName(edges.select(F.explode(F.array("source", "target")).alias("id"))).unionByName(members.select(F.col("key").alias("id")))
+    numbers = written(written(ids.filter("id IS NOT NULL").distinct()).orderBy("id").withColumn("number", F.monotonically_increasing_id()))
+    number = lambda df, c: df.join(numbers.select(F.col("id").alias(c), F.col("number").alias("_n")), c).drop(c).withColumnRenamed("_n", c)
+    members = number(members.select("action", "key").distinct(), "key")
+    nodes = written(number(nodes.select("id", "kind", "file_path", "qualified_name", "start_line"), "id"))
+    used = edges.filter(F.col("kind").isin("contains", *K.IMPACT_EDGES)).select("source", "target", "kind", "line", "col")
+    edges = written(number(number(used, "source"), "target"))
+    site = F.struct(F.when(F.col("line") > 0, 0).otherwise(1).alias("place"), "line", "col", F.col("kind").alias("edge_kind"), "target")  # the first comes first
+    plain, ball, own_reach, _ = owner_reach(members, nodes, edges, site)
     info = nodes.select(F.col("id").alias("node"), "file_path", "qualified_name", "start_line")
     names = nodes.select(F.col("id").alias("key"), F.col("qualified_name").alias("owner_name"))
-    own = members.select("key").distinct().withColumn("node", F.col("key"))
-    targets = impact_targets(own, nodes, edges).withColumnRenamed("node", "target")
-    first = W.partitionBy("key", "source").orderBy(
-        F.when(F.col("line") > 0, 0).otherwise(1), "line", "col", "edge_kind", "target")
-    sites = written(
-        edges.filter(F.col("kind").isin(*K.IMPACT_EDGES)).withColumnRenamed("kind", "edge_kind")
-        .join(targets, "target").withColumn("rn", F.row_number().over(first)).filter("rn = 1")
-        .select("key", F.col("source").alias("node"), "edge_kind", F.col("line").alias("edge_line"), F.lit(1).alias("depth"))
-    )
-    at_edge = F.coalesce(F.col("edge_line") > 0, F.lit(False))
+    depths = range(1, K.REACH_DEPTH + 1)
 
     def described(reached: DataFrame, by: list[str]) -> DataFrame:
         """Witnesses of each ``by`` with their place inside it at their depth, ``rank``, and how many the whole ``by`` has."""
-        picked = reached.join(info, "node")
-        near = W.partitionBy(*by).orderBy("depth", "file_path", "qualified_name", "node")
-        total = picked.groupBy(*by).agg(F.count(F.lit(1)).alias("whole"))
+        at_edge = F.coalesce(F.col("mark.line") > 0, F.lit(False))
+        picked = reached.join(info, "node").select(
+            *by, "node", "depth", "file_path", "qualified_name", F.when(at_edge, F.col("mark.line")).otherwise(F.col("start_line")).alias("line"),
+            F.coalesce("mark.edge_kind", F.lit("")).alias("edge_kind"), at_edge.alias("at_edge")).repartition(*by)
         if per_owner is not None:
-            picked = picked.withColumn("rn", F.row_number().over(near)).filter(F.col("rn") <= per_owner).drop("rn")
-        rows = picked.join(sites, ["key", "node", "depth"], "left").join(names, "key").select(
-            *by, "node", "owner_name", F.col("qualified_name").alias("dependent_name"), posix("file_path").alias("file_path"), "depth",
-            F.when(at_edge, F.col("edge_line")).otherwise(F.col("start_line")).alias("line"),
-            F.coalesce("edge_kind", F.lit("")).alias("edge_kind"),
-            F.when(at_edge, "edge_site").otherwise("node_definition").alias("location_source"))
+            near = W.partitionBy(*by).orderBy("depth", "file_path", "qualified_name", "node")
+            picked = picked.withColumns({"rn": F.row_number().over(near), "whole": F.count(F.lit(1)).over(W.partitionBy(*by))}).filter(F.col("rn") <= per_owner).drop("rn")
+        rows = picked.join(names, "key").withColumns({"file_path": posix("file_path"), "location_source": F.when(F.col("at_edge"), "edge_site").otherwise("node_definition")})
         level = W.partitionBy(*by, "depth").orderBy("dependent_name", "file_path", F.col("line").asc_nulls_last(), "edge_kind", "node")
-        return written(rows.withColumn("rank", F.row_number().over(level)).join(total, by))
+        return rows.withColumnRenamed("qualified_name", "dependent_name").withColumn("rank", F.row_number().over(level))
+
+    def levels(reached: DataFrame, by: list[str]) -> DataFrame:
+        """One row per ``by`` and owner's name: how many are shown at each depth, before any limit on the action."""
+        at = lambda n: [F.sum(F.when(F.col("depth") == d, n).otherwise(0)).alias(f"n{d}") for d in depths]
+        if per_owner is not None:
+            return reached.groupBy(*by, "owner_name", "whole").agg(*at(F.lit(1)))
+        counted = reached.join(info.groupBy("node").agg(F.count(F.lit(1)).alias("c")), "node").groupBy(*by).agg(F.sum("c").alias("whole"), *at(F.col("c")))
+        named = names.groupBy("key", "owner_name").agg(F.count(F.lit(1)).alias("same"))
+        return counted.join(named, "key").select(*by, "owner_name", "whole", *[(F.col(f"n{d}") * F.col("same")).alias(f"n{d}") for d in depths])
 
     shared, special = described(ball, ["key"]), described(own_reach, ["action", "key"])
-    # one row per (action, owner, depth): how many are shown, before any limit on the action
-    levels = lambda df, by: df.groupBy(*by, "owner_name", "depth", "whole").agg(F.count(F.lit(1)).alias("n"))
-    blocks = written(plain.join(levels(shared, ["key"]), "key").withColumn("own", F.lit(False)).unionByName(levels(special, ["action", "key"]).withColumn("own", F.lit(True))))
-    action = W.partitionBy("action")
-    earlier = action.orderBy("depth", "owner_name", "key").rowsBetween(W.unboundedPreceding, -1)
-    placed = blocks.withColumns({
-        "before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "lines": F.sum("n").over(action)})
-    total = blocks.select("action", "key", "whole").distinct().groupBy("action").agg(F.sum("whole").alias("n_witnesses"))
-    same = blocks.groupBy("action", "depth", "owner_name").agg(F.countDistinct("key").alias("k")).filter("k > 1").select("action").distinct()
-    placed = placed.join(total, "action").join(same.withColumn("mixed", F.lit(True)), "action", "left")
+    if per_owner is not None:
+        shared, special = written(shared), written(special)
+        ball, own_reach = shared, special
+    blocks = plain.join(levels(ball, ["key"]), "key").withColumn("own", F.lit(False)).unionByName(levels(own_reach, ["action", "key"]).withColumn("own", F.lit(True)))
+    action, named = W.partitionBy("action"), W.partitionBy("action", "owner_name")
+    earlier = action.orderBy("owner_name", "key").rowsBetween(W.unboundedPreceding, -1)
+    holder = lambda f, d: f(F.when(F.col(f"n{d}") > 0, F.col("key"))).over(named)
+    twice = reduce(Column.__or__, [F.coalesce(holder(F.min, d) != holder(F.max, d), F.lit(False)) for d in depths])
+    placed = blocks.filter("action IS NOT NULL").repartition("action").withColumns({
+        "twice": twice, "head": F.row_number().over(W.partitionBy("action", "key").orderBy("owner_name")) == 1,
+        **{f"t{d}": F.sum(f"n{d}").over(action) for d in depths}, **{f"e{d}": F.coalesce(F.sum(f"n{d}").over(earlier), F.lit(0)) for d in depths}})
+    upto = lambda d: reduce(Column.__add__, [F.col(f"t{k}") for k in range(1, d)], F.lit(0))
+    placed = placed.withColumns({
+        "mixed": F.max("twice").over(action), "n_witnesses": F.sum(F.when(F.col("head"), F.col("whole"))).over(action),
+        "lines": upto(K.REACH_DEPTH + 1), **{f"before{d}": upto(d) + F.col(f"e{d}") for d in depths}})
     shown = F.col("lines") if per_action is None else F.least(F.col("lines"), F.lit(per_action))
     placed = placed.withColumn("truncated", shown < F.col("n_witnesses"))
     if per_action is not None:
-        placed = placed.filter((F.col("before") < per_action) | F.col("mixed"))
-    placed = written(placed.select("action", "key", "depth", "own", "before", "n_witnesses", "truncated", F.coalesce("mixed", F.lit(False)).alias("mixed")))
-    rows = placed.filter("NOT own").join(shared, ["key", "depth"]).unionByName(placed.filter("own").join(special, ["action", "key", "depth"]))
+        first = F.coalesce(*[F.when(F.col(f"n{d}") > 0, F.col(f"before{d}")) for d in depths])
+        placed = placed.filter((first < per_action) | F.col("mixed"))
+    placed = written(placed.select("action", "key", "own", "n_witnesses", "truncated", "mixed", *[f"before{d}" for d in depths]))
+    shared, special = (df.drop("whole", "at_edge") for df in (shared, special))
+    rows = placed.filter("NOT own").join(shared, "key").unionByName(placed.filter("own").join(special, ["action", "key"]))
     order = W.partitionBy("action").orderBy("depth", "owner_name", "dependent_name", "file_path",
                                             F.col("line").asc_nulls_last(), "edge_kind", "key", "node")
-    easy = rows.filter("NOT mixed").withColumn("position", (F.col("before") + F.col("rank")).cast("int"))
+    before = reduce(lambda c, d: c.when(F.col("depth") == d, F.col(f"before{d}")), depths[1:], F.when(F.col("depth") == 1, F.col("before1")))
+    easy = rows.filter("NOT mixed").withColumn("position", (before + F.col("rank")).cast("int"))
     out = easy.unionByName(rows.filter("mixed").withColumn("position", F.row_number().over(order)))
     out = out if per_action is None else out.filter(F.col("position") <= per_action)
     return out.select("action", "owner_name", "dependent_name", "file_path", "depth", "line", "edge_kind", "location_source", "position", "n_witnesses", "truncated")
